@@ -3,9 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, source_mix
-from .common import Scratch, table
+from . import exact_dedup, quality_net, source_mix, toxic_crf
+from .common import Scratch, held_out, labelled_sample, table
+
+#: Most labelled rows of each class that a model is fitted on.
+TOXIC_SAMPLE, QUALITY_SAMPLE = 1700, 3000
+
+
+def op5_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents; spans are further columns."""
+    documents = table(spark, sf_dir, "documents")
+    crf = toxic_crf.fit(labelled_sample(documents, table(spark, sf_dir, "labels"), "toxic", TOXIC_SAMPLE))
+    tagged = documents.select("doc_id", toxic_crf.score_column(crf, F.col("text")).alias("t"))
+    return tagged.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("t.score").alias("score"),
+        (F.col("t.score") >= 0.5).cast("int").alias("predicted"), F.col("t.spans").alias("spans"),
+    )
+
+
+def op7_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents."""
+    documents = table(spark, sf_dir, "documents")
+    net = quality_net.fit(labelled_sample(documents, table(spark, sf_dir, "labels"), "quality", QUALITY_SAMPLE))
+    scored = documents.select("doc_id", quality_net.score_column(net, F.col("text")).alias("score"))
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= quality_net.KEEP_FROM).cast("int").alias("predicted"),
+    )
 
 
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
