@@ -52,6 +52,13 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file; each operator also takes any other path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model here learns from: crc32 of the id as text is divisible by 5."""
     return F.crc32(doc_id.cast("string")) % 5 == 0

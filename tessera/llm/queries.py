@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality_net, source_mix, toxic_crf
-from .common import Scratch, held_out, labelled_sample, table
+from . import exact_dedup, piece_codec, quality_net, source_mix, toxic_crf
+from .common import Scratch, held_out, labelled_sample, table, tokenizer_file
 
 #: Most labelled rows of each class that a model is fitted on.
 TOXIC_SAMPLE, QUALITY_SAMPLE = 1700, 3000
@@ -23,6 +23,13 @@ def op5_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_piece_codec(spark: SparkSession, sf_dir: str, model_file: str | None = None) -> DataFrame:
+    """Ids and round trip of all documents."""
+    coded = table(spark, sf_dir, "documents").select(
+        "doc_id", piece_codec.digest_column(F.col("text"), model_file or tokenizer_file("piece_bpe_32k.model")).alias("c"))
+    return coded.select("doc_id", "c.n_tokens", "c.ids_sha256", "c.decoded_sha256")
+
+
 def op7_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents."""
     documents = table(spark, sf_dir, "documents")
