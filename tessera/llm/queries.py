@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, piece_codec, quality_net, source_mix, toxic_crf
+from . import exact_dedup, piece_codec, quality_net, source_mix, token_transducer, toxic_crf
 from .common import Scratch, held_out, labelled_sample, table, tokenizer_file
 
 #: Most labelled rows of each class that a model is fitted on.
@@ -41,6 +41,14 @@ def op7_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_transducer(spark: SparkSession, sf_dir: str, json_file: str | None = None, limit: int = 1024) -> DataFrame:
+    """Token counts of all documents."""
+    counted = table(spark, sf_dir, "documents").select(
+        "doc_id", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_bytes"),
+        token_transducer.count_column(F.col("text"), json_file or tokenizer_file("byte_bpe_50k.json")).alias("n_tokens"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents to their sources' targets."""
     mixed = source_mix.mix(table(spark, sf_dir, "documents"), Scratch(spark))
