@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, piece_codec, quality_net, source_mix, token_transducer, toxic_crf
+from . import exact_dedup, piece_codec, quality_net, secret_markov, source_mix, token_transducer, toxic_crf
 from .common import Scratch, held_out, labelled_sample, table, tokenizer_file
 
 #: Most labelled rows of each class that a model is fitted on.
 TOXIC_SAMPLE, QUALITY_SAMPLE = 1700, 3000
 
 
+def op3_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents."""
+    ratios = secret_markov.fit(secret_markov.training_samples(spark))
+    found = secret_markov.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), ratios)
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secret_markov.joined(base), 256).alias("base_sha256"), secret_markov.joined(F.col("secrets")).alias("spans"),
+    )
+
+
 def op5_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents; spans are further columns."""
     documents = table(spark, sf_dir, "documents")
