@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, piece_codec, quality_net, secret_markov, source_mix, token_transducer, toxic_crf
+from . import exact_dedup, piece_codec, pii_surrogates, quality_net, secret_markov, source_mix, token_transducer, toxic_crf
 from .common import Scratch, held_out, labelled_sample, table, tokenizer_file
 
 #: Most labelled rows of each class that a model is fitted on.
@@ -24,6 +24,12 @@ def op3_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str, key: str = "surrogates-1") -> DataFrame:
+    """All documents with their personal data replaced."""
+    found = pii_surrogates.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), key, Scratch(spark))
+    return found.select("doc_id", "n_entities", "text")
+
+
 def op5_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents; spans are further columns."""
     documents = table(spark, sf_dir, "documents")
