@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, piece_codec, pii_surrogates, quality_net, secret_markov, source_mix, token_transducer, toxic_crf
+from . import exact_dedup, piece_codec, pii_surrogates, pivot_search, quality_net, secret_markov, source_mix, token_transducer, toxic_crf
 from .common import Scratch, held_out, labelled_sample, table, tokenizer_file
 
 #: Most labelled rows of each class that a model is fitted on.
 TOXIC_SAMPLE, QUALITY_SAMPLE = 1700, 3000
 
 
+def op1_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every 50th vector."""
+    return pivot_search.search(table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
 def op3_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents."""
     ratios = secret_markov.fit(secret_markov.training_samples(spark))
@@ -84,6 +89,20 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+_OP1 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 _OP9 = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -136,4 +155,4 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op9_source_mix": _OP9, "op10_exact_dedup": _OP10}
+    return {"op1_pivot_search": _OP1, "op9_source_mix": _OP9, "op10_exact_dedup": _OP10}
