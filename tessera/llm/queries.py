@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, piece_codec, pii_surrogates, pivot_search, quality_net, secret_markov, source_mix, token_transducer, toxic_crf
+from . import exact_dedup, piece_codec, pii_surrogates, pivot_search, quality_net, secret_markov, shingle_join, source_mix, token_transducer, toxic_crf
 from .common import Scratch, held_out, labelled_sample, table, tokenizer_file
 
 #: Most labelled rows of each class that a model is fitted on.
@@ -17,6 +17,11 @@ def op1_pivot_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_search.search(table(spark, sf_dir, "embeddings"), Scratch(spark))
 
 
+def op2_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return shingle_join.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op3_secret_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents."""
     ratios = secret_markov.fit(secret_markov.training_samples(spark))
@@ -103,6 +108,26 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+_OP2 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM w
+), n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, list_sort(s) AS s FROM s),
+c AS (SELECT s, min(doc_id) AS rep, any_value(n_shingles) AS n FROM n WHERE n_shingles > 0 GROUP BY s),
+u AS (SELECT rep, n, unnest(s) AS x FROM c),
+p AS (
+  SELECT a.rep AS a, b.rep AS b FROM u a JOIN u b ON a.x = b.x AND a.rep < b.rep AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 180 * count(*) >= 80 * (a.n + b.n)
+), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT rep AS a, rep AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.a),
+m AS (SELECT a, min(root) AS root FROM r GROUP BY a)
+SELECT n.doc_id, n.n_shingles, coalesce(m.root, n.doc_id) AS component_id
+FROM n LEFT JOIN c ON n.s = c.s AND n.n_shingles > 0 LEFT JOIN m ON m.a = c.rep
+"""
+
 _OP9 = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -155,4 +180,4 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op1_pivot_search": _OP1, "op9_source_mix": _OP9, "op10_exact_dedup": _OP10}
+    return {"op1_pivot_search": _OP1, "op2_shingle_join": _OP2, "op9_source_mix": _OP9, "op10_exact_dedup": _OP10}
