@@ -49,11 +49,15 @@ def repair_text(text: str | None) -> str | None:
     return re.sub(r"\s+", " ", re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", best)).strip()
 
 
-@F.pandas_udf("string")
-def repaired(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def repaired(text: Column) -> Column:
     """Repair in Arrow batches; codecs that may fail have no counterpart in SQL."""
-    for texts in batches:
-        yield texts.map(lambda t: repair_text(t if isinstance(t, str) else None))
+
+    @F.pandas_udf("string")
+    def repair(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: repair_text(t if isinstance(t, str) else None))
+
+    return repair(text)
 
 
 def clean(text: Column) -> Column:
