@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES: tuple[str, ...] = ("factor_plans", "evaluation_plans", "repository_plans", "pit_plans", "news_plans", "strategy_plans")
+_MODULES: tuple[str, ...] = ("factor_plans", "evaluation_plans", "repository_plans", "pit_plans", "news_plans", "strategy_plans", "research_plans", "streaming_plans")
 
 
 def _loaded():

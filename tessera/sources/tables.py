@@ -2,9 +2,9 @@
 
 Bars come from ``lineitem`` (symbol = supplier, one bar per 14 days), the index
 from all suppliers together, securities from ``supplier``, news from ``events``
-and bitemporal status intervals from ``orders``. Values are rounded to six
-decimals where they are made, so every later comparison sees the same numbers
-whatever order a sum was taken in.
+and bitemporal status intervals from ``orders``. Prices are rounded to six
+decimals where they are made, just off the ties of that rounding, so every
+later comparison sees the same numbers whatever order a sum was taken in.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ BAR_SCHEMA = T.StructType([
     *(T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume", "amount")),
 ])
 EPOCH, STEP = "1995-01-02", 14
+#: Added before rounding: prices over a power of two lie on exact ties, which engines round differently.
+OFF_TIE = 3.3e-8
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +35,8 @@ def _bin(ts: str):
 def _bar_columns(source: DataFrame, keys: list[str]) -> DataFrame:
     price = F.col("l_extendedprice") / F.col("l_quantity")
     return source.groupBy(*keys, _bin("l_shipdate").alias("trade_date")).agg(
-        F.round(F.avg(price), 6).alias("open"), F.round(F.max(price), 6).alias("high"), F.round(F.min(price), 6).alias("low"),
-        F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("close"),
+        *(F.round(x + OFF_TIE, 6).alias(n) for n, x in (
+            ("open", F.avg(price)), ("high", F.max(price)), ("low", F.min(price)), ("close", F.sum("l_extendedprice") / F.sum("l_quantity")))),
         F.round(F.sum("l_quantity"), 6).alias("volume"), F.round(F.sum("l_extendedprice"), 4).alias("amount"),
     )
 
@@ -88,8 +90,8 @@ def status_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The same views in DuckDB SQL, for the oracles.
-_BAR = """round(avg(l_extendedprice / l_quantity), 6) AS open, round(max(l_extendedprice / l_quantity), 6) AS high,
-  round(min(l_extendedprice / l_quantity), 6) AS low, round(sum(l_extendedprice) / sum(l_quantity), 6) AS close,
+_BAR = f"""round(avg(l_extendedprice / l_quantity) + {OFF_TIE}, 6) AS open, round(max(l_extendedprice / l_quantity) + {OFF_TIE}, 6) AS high,
+  round(min(l_extendedprice / l_quantity) + {OFF_TIE}, 6) AS low, round(sum(l_extendedprice) / sum(l_quantity) + {OFF_TIE}, 6) AS close,
   round(sum(l_quantity), 6) AS volume, round(sum(l_extendedprice), 4) AS amount"""
 _DATE = f"DATE '{EPOCH}' + CAST({STEP} * floor(date_diff('day', DATE '{EPOCH}', CAST(l_shipdate AS DATE)) / {STEP}) AS INT)"
 SQL_BARS = f"bars AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS symbol, {_DATE} AS trade_date, {_BAR} FROM lineitem GROUP BY 1, 2)"
