@@ -12,7 +12,7 @@ from tessera.operators.grid import dense_grid
 from tessera.plans.evaluation_plans import _mad, _round
 from tessera.plans.factor_plans import FACTOR_SQL, SQL_BASE, SQL_GRID, SQL_WINDOWS
 from tessera.plans.strategy_plans import ALL, _ranks, _weights, _weights_sql
-from tessera.sources.tables import SQL_BARS, SQL_INDEX, bars, index_bars, load
+from tessera.sources.tables import OFF_TIE, SQL_BARS, SQL_INDEX, bars, index_bars, load
 
 AS_OF = "1999-06-28"
 NAMES = ["volatility_20d", "momentum_20d", "amount_stability_20d"]
@@ -21,7 +21,8 @@ NAMES = ["volatility_20d", "momentum_20d", "amount_stability_20d"]
 def regime_metrics(spark, sf_dir):
     """Regime of every index date."""
     out = G.classify(G.index_metrics(index_bars(spark, sf_dir)))
-    return _round(out.select("trade_date", "ma20", "ma60", "ma120", "slope20", "vol20", "drawdown", "to_high20", "breadth", "trend_score", "vol_score", "regime", "risk_level"), 8)
+    off = [(F.col(c) + OFF_TIE).alias(c) for c in ("ma20", "ma60", "ma120")]
+    return _round(out.select("trade_date", *off, "slope20", "vol20", "drawdown", "to_high20", "breadth", "trend_score", "vol_score", "regime", "risk_level"))
 
 
 def market_breadth(spark, sf_dir):
@@ -177,7 +178,7 @@ ORACLE = {
 b AS (SELECT *, ma20 / nullif(coalesce(lag(ma20, 20) OVER (ORDER BY trade_date), first_value(ma20) OVER (ORDER BY trade_date)), 0) - 1 AS slope20, stddev_samp(r) OVER {_w(20)} AS vol20, close / peak - 1 AS drawdown,
   close / hi - 1 AS to_high20, avg(CASE WHEN r > 0 THEN 1.0::DOUBLE ELSE 0 END) OVER {_w(20)} AS up, CASE WHEN rn >= 120 AND ma20 > ma60 AND ma60 > ma120 THEN 1.0::DOUBLE ELSE 0 END AS ord FROM a),
 c AS (SELECT *, 0.6 * avg(ord) OVER {_w(20)} + 0.4 * up AS breadth, 1 / (1 + exp(-20 * slope20)) AS trend_score, 1 / (1 + exp(-(vol20 - 0.02) * 100)) AS vol_score FROM b)
-SELECT trade_date, {', '.join(f'round({x}, 8) + 0.0 AS {x}' for x in ('ma20', 'ma60', 'ma120', 'slope20', 'vol20', 'drawdown', 'to_high20', 'breadth', 'trend_score', 'vol_score'))},
+SELECT trade_date, {', '.join(f'round({x}{f" + {OFF_TIE}" if x[:2] == "ma" else ""}, 6) + 0.0 AS {x}' for x in ('ma20', 'ma60', 'ma120', 'slope20', 'vol20', 'drawdown', 'to_high20', 'breadth', 'trend_score', 'vol_score'))},
   CASE WHEN rn < 20 THEN 'unknown' WHEN drawdown <= -0.2 THEN 'crash' WHEN close > ma20 AND ma20 > ma60 AND vol20 > 0.03 THEN 'volatile_up' WHEN close > ma20 AND ma20 > ma60 AND to_high20 > -0.01 THEN 'breakout'
     WHEN close > ma20 AND ma20 > ma60 THEN 'uptrend' WHEN close < ma20 AND ma20 < ma60 AND vol20 > 0.03 THEN 'panic' WHEN close < ma20 AND ma20 < ma60 AND slope20 < -0.05 THEN 'downtrend'
     WHEN close < ma20 AND ma20 < ma60 THEN 'weak' ELSE 'range' END AS regime,
