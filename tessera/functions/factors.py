@@ -120,7 +120,9 @@ def _regression(kind: str) -> Column:
 
 
 def _declare() -> None:
-    r = _c("_r")
+    def r() -> Column:
+        return _c("_r")
+
     for n in (5, 20, 60):
         register(f"momentum_{n}d", 1, "trend", lambda n=n: ratio(_c(c), lag(_c(c), n)) - 1)
     register("momentum_20d_skip_5d", 1, "trend", lambda: ratio(lag(_c(c), 5), lag(_c(c), 25)) - 1)
@@ -129,8 +131,8 @@ def _declare() -> None:
     for n in (5, 10):
         register(f"reversal_{n}d", 1, "reversal", lambda n=n: ratio(lag(_c(c), n), _c(c)) - 1)
     for n in (20, 60):
-        register(f"volatility_{n}d", -1, "risk", lambda n=n: _std(r, n))
-    register("downside_volatility_20d", -1, "risk", lambda: F.sqrt(_mean(F.when(r.isNotNull(), F.pow(F.least(r, F.lit(0.0)), F.lit(2))), 20)))
+        register(f"volatility_{n}d", -1, "risk", lambda n=n: _std(r(), n))
+    register("downside_volatility_20d", -1, "risk", lambda: F.sqrt(_mean(F.when(r().isNotNull(), F.pow(F.least(r(), F.lit(0.0)), F.lit(2))), 20)))
     for n in (20, 60):
         register(f"max_drawdown_{n}d", 1, "risk", lambda n=n: _max_drawdown(n))
     register("atr_pct_14d", -1, "risk", lambda: _atr(14))
@@ -139,27 +141,27 @@ def _declare() -> None:
     register("amount_ratio_5d_20d", 1, "liquidity", lambda: ratio(_mean(_c(a), 5), _mean(_c(a), 20)))
     register("volume_ratio_5d_20d", 1, "liquidity", lambda: ratio(_mean(_c(v), 5), _mean(_c(v), 20)))
     register("amount_stability_20d", 1, "liquidity", lambda: ratio(_mean(_c(a), 20), _std(_c(a), 20)))
-    register("amihud_illiquidity_20d", -1, "liquidity", lambda: _mean(ratio(F.abs(r), _c(a)), 20))
-    register("price_volume_corr_20d", 1, "volume", lambda: rolling_corr(r, _c(v), 20))
+    register("amihud_illiquidity_20d", -1, "liquidity", lambda: _mean(ratio(F.abs(r()), _c(a)), 20))
+    register("price_volume_corr_20d", 1, "volume", lambda: rolling_corr(r(), _c(v), 20))
     register("up_day_ratio_20d", 1, "volume", lambda: _up_ratio(20))
-    register("money_flow_proxy_20d", 1, "volume", lambda: ratio(_sum(F.coalesce(F.signum(r), F.lit(0.0)) * _c(a), 20), _sum(_c(a), 20)))
+    register("money_flow_proxy_20d", 1, "volume", lambda: ratio(_sum(F.coalesce(F.signum(r()), F.lit(0.0)) * _c(a), 20), _sum(_c(a), 20)))
     register("amount_volatility_20d", -1, "liquidity", lambda: _std(_c("_dla"), 20))
-    register("sharpe_20d", 1, "risk", lambda: ratio(_mean(r, 20), _std(r, 20)))
-    register("return_skew_20d", 1, "risk", lambda: rolling_skew(r, 20))
+    register("sharpe_20d", 1, "risk", lambda: ratio(_mean(r(), 20), _std(r(), 20)))
+    register("return_skew_20d", 1, "risk", lambda: rolling_skew(r(), 20))
 
     def vwap_gap() -> Column:
         vwap = ratio(_sum(_c(a), 20), _sum(_c(v), 20))
         return ratio(_c(c) - vwap, vwap)
 
     register("vwap_gap_20d", 1, "trend", vwap_gap)
-    register("low_vol_reversal_20d", 1, "reversal", lambda: ratio(ratio(lag(_c(c), 20), _c(c)) - 1, _std(r, 20)))
+    register("low_vol_reversal_20d", 1, "reversal", lambda: ratio(ratio(lag(_c(c), 20), _c(c)) - 1, _std(r(), 20)))
     register("breakout_strength_20d", 1, "trend", lambda: ratio(_c(c), rolling(F.max, _c(h), 20)) - 1)
     register("drawdown_recovery_20d", 1, "trend", lambda: ratio(_c(c), rolling(F.min, _c(c), 20)) - 1)
     register("close_position_20d", 1, "trend", _close_position)
     register("price_efficiency_20d", 1, "trend", lambda: ratio(F.abs(_c(c) - lag(_c(c), 20)), _sum(F.abs(_c("_d")), 20)))
     register("intraday_momentum_20d", 1, "trend", lambda: _mean(ratio(_c(c), _c(o)) - 1, 20))
     register("overnight_gap_20d", 1, "trend", lambda: _mean(ratio(_c(o), _c("_prev")) - 1, 20))
-    register("tail_risk_20d", 1, "risk", lambda: rolling(lambda x: F.percentile(x, 0.05), r, 20))
+    register("tail_risk_20d", 1, "risk", lambda: rolling(lambda x: F.percentile(x, 0.05), r(), 20))
     register("upper_shadow_20d", -1, "candle", lambda: _mean(ratio(_c(h) - F.greatest(_c(o), _c(c)), _c(h) - _c(l)), 20))
     register("lower_shadow_20d", 1, "candle", lambda: _mean(ratio(F.least(_c(o), _c(c)) - _c(l), _c(h) - _c(l)), 20))
     register("close_location_20d", 1, "candle", lambda: _mean(ratio(2 * _c(c) - _c(h) - _c(l), _c(h) - _c(l)), 20))
@@ -168,15 +170,15 @@ def _declare() -> None:
     register("linear_slope_20d", 1, "trend", lambda: _regression("slope"))
     register("trend_rsquare_20d", 1, "trend", lambda: _regression("r2"))
     register("trend_residual_20d", -1, "trend", lambda: _regression("residual"))
-    register("volume_return_divergence_20d", 1, "volume", lambda: rolling_corr(r, _c("_dlv"), 20))
+    register("volume_return_divergence_20d", 1, "volume", lambda: rolling_corr(r(), _c("_dlv"), 20))
     register("price_rank_20d", 1, "trend", lambda: _price_rank(20))
     register("rsi_14d", 1, "trend", lambda: _rsi(14))
     register("bollinger_zscore_20d", 1, "trend", lambda: ratio(_c(c) - _mean(_c(c), 20), _std(_c(c), 20)))
     register("parkinson_volatility_20d", -1, "risk", lambda: F.sqrt(_mean(F.pow(F.ln(F.when(ratio(_c(h), _c(l)) > 0, ratio(_c(h), _c(l)))), F.lit(2)), 20) / (4 * math.log(2))))
-    register("return_autocorr_20d", 1, "risk", lambda: rolling_corr(r, _c("_r1"), 20))
+    register("return_autocorr_20d", 1, "risk", lambda: rolling_corr(r(), _c("_r1"), 20))
     register("obv_trend_20d", 1, "volume", lambda: ratio(_c("_obv") - lag(_c("_obv"), 20), _sum(_c(v), 20)))
-    register("volatility_contraction_5d_20d", 1, "risk", lambda: 1 - ratio(_std(r, 5), _std(r, 20)))
-    register("volume_weighted_return_20d", 1, "volume", lambda: ratio(_sum(r * _c(a), 20), _sum(_c(a), 20)))
+    register("volatility_contraction_5d_20d", 1, "risk", lambda: 1 - ratio(_std(r(), 5), _std(r(), 20)))
+    register("volume_weighted_return_20d", 1, "volume", lambda: ratio(_sum(r() * _c(a), 20), _sum(_c(a), 20)))
     register("gap_follow_through_20d", 1, "candle", lambda: _mean((ratio(_c(o), _c("_prev")) - 1) * (ratio(_c(c), _c(o)) - 1), 20))
 
 
