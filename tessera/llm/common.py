@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,18 @@ def shared_folder(spark: SparkSession) -> str:
     return given or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what is run inside: a bound on a Python worker's memory where rows hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; each can be dropped once it has been used."""
 

@@ -151,7 +151,12 @@ def codec(model_file: str) -> Codec:
 
 
 def digest_column(text: Column, model_file: str) -> Column:
-    """struct(n_tokens, ids_sha256, decoded_sha256) of every text, in Arrow batches. Null counts as empty."""
+    """struct(n_tokens, ids_sha256, decoded_sha256) of every text, in Arrow batches.
+
+    Null and empty texts are the end id alone and decode to the empty text;
+    long texts are encoded whole; equal texts have equal results; an empty
+    table gives no rows. It is a column, so other columns don't matter.
+    """
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

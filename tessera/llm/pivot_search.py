@@ -29,7 +29,8 @@ def quantised(embedding: Column, factor: int = 256) -> Column:
 
 
 def _matrix(rows) -> np.ndarray:
-    return np.array(list(rows), np.int64).reshape(len(rows), -1)
+    rows = list(rows)
+    return np.array(rows, np.int64).reshape(len(rows), len(rows[0]) if rows else 0)
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:

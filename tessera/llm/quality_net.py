@@ -145,7 +145,13 @@ def score_texts(net: Net, texts: list[str | None]) -> np.ndarray:
 
 
 def score_column(net: Net, text: Column) -> Column:
-    """Probability of label 1 for every text, in Arrow batches; null counts as empty."""
+    """Probability of label 1 for every text, in Arrow batches.
+
+    Null and empty texts are one chunk of padding and have that chunk's score;
+    texts of any length are scored whole, in slabs of bounded memory; equal
+    texts have equal scores; an empty table gives no rows. It is a column, so
+    the table's other columns and their names don't matter.
+    """
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

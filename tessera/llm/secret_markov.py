@@ -99,12 +99,13 @@ def _ratio(value: Column, table: list[float]) -> Column:
 
 
 def scan(documents: DataFrame, table: list[float], cut: float = 1.0) -> DataFrame:
-    """Every column of ``documents`` and ``secrets``: array<struct<start, kind, end, name>> by start, then kind.
+    """Every column of ``documents`` and ``secrets``: array<struct<start, kind, end>> by start, then kind.
 
     Base matches come first and stay: assignments whose value has 8 or more
     characters, access keys of 16 or more, hexadecimal runs of 32 or more. Runs
-    of key characters that touch no base span are added as ``markov`` where their log-likelihood ratio exceeds ``cut``. Offsets count code points, the
-    end is exclusive. Null and empty texts hold no secrets; repeated rows give
+    of key characters that touch no base span are added as ``markov`` where
+    their log-likelihood ratio exceeds ``cut`` a character pair. Offsets count
+    code points, the end is exclusive. Null and empty texts hold no secrets; repeated rows give
     repeated results; a column named ``secrets`` is replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -7,19 +7,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch
+from .common import BROADCAST_ROWS, Scratch, batches_of
 from .components import components
 from .shingles import shingle_set
 
-#: Token groups, i.e. coordinates of a count vector.
-GROUPS = 64
+#: A count vector has a power of two of token groups, at least 2 ** LEAST_BITS and at most PER_GROUP shingles to a group on average.
+LEAST_BITS, PER_GROUP = 6, 8
+#: Counts are kept in a byte; this one stands for itself or more.
+FULL = 255
 #: Two sets are linked where NUM * |union| <= DEN * |intersection|.
 NUM, DEN = 4, 5
 #: Points of a leaf, children of a node, most points of one tree.
 LEAF, FANOUT, TREE = 16, 8, 4096
+#: Rows of an Arrow batch that hold one whole text, or two.
+TEXT_BATCH, PAIR_BATCH = 1000, 200
+#: Passes in which nodes are compared with drawn members of their cells before the trees are built.
+LEADERS = 2
 #: One document in HOT_SAMPLE is looked at for frequent shingles; one met in HOT_LEAST of them is frequent; so many are kept.
 HOT_SAMPLE, HOT_LEAST, HOT_KEPT = 64, 4, 100_000
 
@@ -29,9 +35,47 @@ def node_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def count_vector(shingles: np.ndarray) -> np.ndarray:
-    """Shingles per hashed group."""
-    return np.bincount((shingles >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+def count_vector(shingles: np.ndarray) -> bytes:
+    """Shingles per hashed group, one byte each; counts from FULL on are FULL. Larger sets have more groups."""
+    bits = max(LEAST_BITS, int(np.ceil(np.log2(max(1, len(shingles)) / PER_GROUP))))
+    groups = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(groups, FULL).astype(np.uint8).tobytes()
+
+
+def folded(vectors: np.ndarray, groups: int) -> np.ndarray:
+    """Vectors over fewer groups: neighbours add up."""
+    if vectors.shape[1] == groups:
+        return vectors
+    return np.minimum(vectors.reshape(len(vectors), groups, -1).sum(2, dtype=np.int64), FULL).astype(np.uint8)
+
+
+def stacked(column: list) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Greatest overlap that the coordinate minima allow; unbounded where both counts of a group are FULL."""
+    low = np.minimum(a, b)
+    return np.where((low == FULL).any(1), UNBOUNDED, low.sum(1, dtype=np.int64))
+
+
+def pair_bounds(a: list, b: list) -> np.ndarray:
+    """overlap_bound of pairs of vectors of any lengths, the longer one folded."""
+    la, lb = (np.array([len(v) for v in x]) for x in (a, b))
+    out = np.zeros(len(a), np.int64)
+    for x, y in set(zip(la.tolist(), lb.tolist(), strict=True)):
+        at = np.flatnonzero((la == x) & (lb == y))
+        step = max(1, SLAB // max(x, y))
+        for k in range(0, len(at), step):
+            some = at[k : k + step]
+            out[some] = overlap_bound(folded(stacked([a[r] for r in some]), min(x, y)), folded(stacked([b[r] for r in some]), min(x, y)))
+    return out
+
+
+#: Bytes of vectors that are compared at once.
+SLAB = 1 << 25
+UNBOUNDED = 1 << 40
 
 
 def prefix(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -76,7 +120,7 @@ def features(documents: DataFrame) -> DataFrame:
             })
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(describe, "doc_id long, n long, node long, keys array<long>, counts array<int>")
+    return rows.mapInPandas(describe, "doc_id long, n long, node long, keys array<long>, counts binary")
 
 
 # ---- the tree
@@ -107,42 +151,65 @@ class CountTree:
         upper2, low2, high2, root2 = other.levels[min(level, len(other.levels) - 1)]
         ok = (DEN * high[i] >= NUM * low2[j]) & (DEN * high2[j] >= NUM * low[i]) & ((root[i] != root2[j]) | (root[i] == MIXED))
         ok = ok.nonzero()[0]
-        bound = np.minimum(upper[i[ok]], upper2[j[ok]]).sum(1)
+        bound = overlap_bound(upper[i[ok]], upper2[j[ok]])
         return ok[(NUM + DEN) * bound >= NUM * (low[i[ok]] + low2[j[ok]])]
 
     def join(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the point pairs that the bound leaves, each pair once, of different components."""
-        level = len(self.levels) - 1
-        i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        while level > 0:
+        """Positions of the point pairs that the bound leaves, each pair once, of different components.
+
+        Box pairs are taken from a stack in parts of bounded size, deepest first.
+        """
+        most = max(1, SLAB // self.levels[0][0].shape[1])
+        stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        while stack:
+            level, i, j = stack.pop()
             keep = self._may(level, i, self, j)
             i, j = i[keep], j[keep]
-            level -= 1
-            width = LEAF if level == 0 else FANOUT
-            total = len(self.levels[level][0])
-            child = np.arange(width)
-            a = (i[:, None, None] * width + child[None, :, None]).repeat(width, 2).ravel()
-            b = (j[:, None, None] * width + child[None, None, :]).repeat(width, 1).ravel()
-            ok = (a < total) & (b < total) & (a <= b)
-            i, j = a[ok], b[ok]
-        keep = self._may(0, i, self, j)
-        i, j = i[keep], j[keep]
-        apart = i != j
-        return self.order[i[apart]], self.order[j[apart]]
+            if level == 0:
+                apart = i != j
+                found.append((self.order[i[apart]], self.order[j[apart]]))
+                continue
+            width = LEAF if level == 1 else FANOUT
+            total, child = len(self.levels[level - 1][0]), np.arange(width)
+            for k in range(0, len(i), step := max(1, most // width**2)):
+                p, q = i[k : k + step], j[k : k + step]
+                a = (p[:, None, None] * width + child[None, :, None]).repeat(width, 2).ravel()
+                b = (q[:, None, None] * width + child[None, None, :]).repeat(width, 1).ravel()
+                ok = (a < total) & (b < total) & (a <= b)
+                stack.append((level - 1, a[ok], b[ok]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (self.order[:0], self.order[:0])
 
 
 #: Component mark of boxes that hold several.
 MIXED = np.iinfo(np.int64).min
 
 
-def tree_pairs(nodes: np.ndarray, sizes: np.ndarray, roots: np.ndarray, blocks: np.ndarray, counts: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Node pairs of one cell that may be linked. ``across`` keeps pairs of different blocks only."""
-    if len(nodes) < 2:
-        return nodes[:0], nodes[:0]
-    i, j = CountTree(counts, sizes, roots).join()
-    if across:
-        i, j = i[keep := blocks[i] != blocks[j]], j[keep]
-    return np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])
+def tree_pairs(nodes: np.ndarray, sizes: np.ndarray, roots: np.ndarray, blocks: np.ndarray, counts: list, across: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Node pairs of one cell that may be linked. ``across`` keeps pairs of different blocks only.
+
+    Sizes of linked sets differ by a quarter at most, so their vectors are of
+    equal or neighbouring lengths: each length has a tree over its own sets and
+    the folded ones of the next length.
+    """
+    lengths = np.array([len(v) for v in counts])
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for groups in np.unique(lengths).tolist():
+        at = np.flatnonzero((lengths == groups) | (lengths == 2 * groups))
+        if len(at) < 2:
+            continue
+        vectors = np.empty((len(at), groups), np.uint8)
+        own = lengths[at] == groups
+        vectors[own] = stacked([counts[k] for k in at[own]])
+        if not own.all():
+            vectors[~own] = folded(stacked([counts[k] for k in at[~own]]), groups)
+        i, j = CountTree(vectors, sizes[at], roots[at]).join()
+        keep = own[i] | own[j]
+        i, j = at[i[keep]], at[j[keep]]
+        if across:
+            i, j = i[keep := blocks[i] != blocks[j]], j[keep]
+        found.append((np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (nodes[:0], nodes[:0])
 
 
 def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -153,7 +220,7 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         same = (pdf["key"].to_numpy()[1:] == pdf["key"].to_numpy()[:-1]) & (pdf["i"].to_numpy()[1:] == pdf["i"].to_numpy()[:-1]) & (pdf["j"].to_numpy()[1:] == pdf["j"].to_numpy()[:-1])
         starts = np.flatnonzero(np.r_[True, ~same])
         columns = [pdf[c].to_numpy(np.int64) for c in ("node", "n", "root", "block")]
-        counts = np.array(list(pdf["counts"]), np.int64).reshape(len(pdf), -1)
+        counts = pdf["counts"].tolist()
         across = (pdf["i"] != pdf["j"]).to_numpy()
         found = [tree_pairs(*(c[a:b] for c in columns), counts[a:b], bool(across[a])) for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True)]
         both = [np.concatenate(x) for x in zip(*found, strict=True)]
@@ -180,11 +247,6 @@ def _small(df: DataFrame, rows: int = BROADCAST_ROWS):
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def bound(a: Column, b: Column) -> Column:
-    """Greatest overlap that two count vectors allow."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-
-
 def _verified(pairs: DataFrame, documents: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b, doc_a, doc_b) whose whole texts are linked, as a, b."""
     pairs = scratch.write(pairs, f"{name}-pairs")
@@ -209,7 +271,8 @@ def _verified(pairs: DataFrame, documents: DataFrame, scratch: Scratch, name: st
                 keep.append(both > 0 and DEN * both >= NUM * (len(x) + len(y) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
-    return scratch.write(left.join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long").distinct(), name)
+    with batches_of(documents.sparkSession, PAIR_BATCH):
+        return scratch.write(left.join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long").distinct(), name)
 
 
 def near_duplicates(documents: DataFrame, scratch: Scratch) -> DataFrame:
@@ -218,9 +281,10 @@ def near_duplicates(documents: DataFrame, scratch: Scratch) -> DataFrame:
     1. Each text becomes its set of distinct 5-word shingles, a count vector
        (shingles per hashed group) and prefix keys. Equal sets are one node.
     2. Nodes that share a prefix key form a cell; linked nodes always share
-       one. Each node is compared with the first node of its largest and its
-       smallest cell: that joins the bulk of every large group of near copies
-       in a number of comparisons that grows with the rows, not the pairs.
+       one. In two passes each cell draws a leader and each node is compared
+       with the leaders of four of its cells, as far as they are of another
+       component: that joins the bulk of every large group of near copies in a
+       number of comparisons that grows with the rows, not the pairs.
     3. In the cells that still hold several components, an R-tree over the
        count vectors is joined with itself; boxes whose coordinate minima
        cannot reach the overlap that a link needs, or that hold one and the
@@ -234,7 +298,8 @@ def near_duplicates(documents: DataFrame, scratch: Scratch) -> DataFrame:
     linked text has an id. Repeated rows share their result. An empty table
     gives no rows.
     """
-    every = scratch.write(features(documents), "features")
+    with batches_of(documents.sparkSession, TEXT_BATCH):
+        every = scratch.write(features(documents), "features")
     full = every.where("n > 0")
     reps = scratch.write(full.groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
     copies = scratch.write(
@@ -242,38 +307,41 @@ def near_duplicates(documents: DataFrame, scratch: Scratch) -> DataFrame:
     copies = copies.select(F.col("doc_id").alias("__doc"), F.col("node").alias("__node"))
     points = full.join(_small(copies), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("node") == F.col("__node")), "left_anti").dropna(subset=["doc_id"])
     keys = points.select(F.explode("keys").alias("key"), "node", "n").repartition("key")
-    shared = (
-        keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size"))
-        .where("first.node <> last").drop("last")
-    )
-    members = scratch.write(keys.join(shared, "key").select("key", "node", "n", "size", F.col("first.node").alias("lead"), F.col("first.n").alias("lead_n")), "members")
-
-    # the leaders' pass
-    fits = (DEN * F.col("n") >= NUM * F.col("lead_n")) & (DEN * F.col("lead_n") >= NUM * F.col("n"))
-    lead = members.where("node <> lead").where(fits).groupBy("node").agg(
-        F.max(F.struct("size", "lead")).alias("x"), F.min(F.struct("size", "lead")).alias("y"))
-    lead = lead.select(F.col("node").alias("a"), F.explode(F.array_distinct(F.array("x.lead", "y.lead"))).alias("b"))
-    links = _verified(_bounded(lead, points), documents, scratch, "lead-links")
-    roots = scratch.write(components(links, scratch, "lead"), "lead-roots")
+    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("first <> last").select("key", "size")
+    members = scratch.write(keys.join(shared, "key").select("key", "node", "n", "size"), "members")
+
+    # the leaders' passes
+    roots = None
+    for turn in range(LEADERS):
+        placed = _placed(members, roots)
+        mine = placed.select("key", F.struct(F.xxhash64("key", "node", F.lit(turn)).alias("draw"), "node", "n", "root").alias("m"), "size")
+        lead = mine.groupBy("key").agg(F.min("m").alias("lead"), F.min("m.root").alias("low"), F.max("m.root").alias("high")).where("low <> high").select("key", "lead")
+        near = mine.join(lead, "key").where("m.root <> lead.root").where((DEN * F.col("m.n") >= NUM * F.col("lead.n")) & (DEN * F.col("lead.n") >= NUM * F.col("m.n")))
+        pick = F.struct(F.xxhash64("key", F.lit(turn)).alias("draw"), F.col("lead.node").alias("b"))
+        picks = near.groupBy(F.col("m.node").alias("a")).agg(
+            F.max(F.struct("size", F.col("lead.node").alias("b"))).alias("x"), F.min(F.struct("size", F.col("lead.node").alias("b"))).alias("y"), F.min(pick).alias("z"), F.max(pick).alias("w"))
+        pairs = scratch.write(picks.select("a", F.explode(F.array_distinct(F.array("x.b", "y.b", "z.b", "w.b"))).alias("b")), f"lead-{turn}")
+        links = _verified(_allowed(pairs, points).dropDuplicates(["a", "b"]), documents, scratch, f"lead-links-{turn}")
+        if roots is not None:
+            links = links.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = scratch.write(components(links, scratch, f"lead-{turn}"), f"lead-roots-{turn}")
 
     # the trees' pass
-    roots_now = roots.select(F.col("node").alias("__node"), "root")
-    placed = members.select("key", "node", "n", "size").join(_small(roots_now), F.col("node") == F.col("__node"), "left")
-    placed = placed.select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    placed = _placed(members, roots)
     mixed = placed.groupBy("key").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(node))").alias("who"), F.min("node").alias("least"),
     ).where("low <> high")
     # cells of the same members are one cell
     mixed = mixed.groupBy("size", "who", "least").agg(F.min("key").alias("key"))
     mixed = mixed.select("key", F.ceil(F.col("size") / TREE).cast("int").alias("parts"))
-    rows = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = placed.drop("size").join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("key", "node", "n", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     rows = rows.join(points.select("node", "counts"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = rows.select("key", "i", "j", "node", "n", "root", "block", "counts").mapInPandas(_cells, "a long, b long").distinct()
+    found = scratch.write(rows.select("key", "i", "j", "node", "n", "root", "block", "counts").mapInPandas(_cells, "a long, b long").distinct(), "tree-pairs")
     more = _verified(_with_docs(found, points), documents, scratch, "tree-links")
-    stars = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = components(stars.unionByName(more), scratch, "all")
+    known = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    roots = components(known.unionByName(more), scratch, "all")
 
     groups = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -284,6 +352,14 @@ def near_duplicates(documents: DataFrame, scratch: Scratch) -> DataFrame:
     return linked.unionByName(alone)
 
 
+def _placed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """key, node, n, size and the component that each member has so far."""
+    if roots is None:
+        return members.select("key", "node", "n", "size", F.col("node").alias("root"))
+    now = roots.select(F.col("node").alias("__node"), "root")
+    return members.join(_small(now), F.col("node") == F.col("__node"), "left").select("key", "node", "n", "size", F.coalesce("root", "node").alias("root"))
+
+
 def _with_docs(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """Pairs with a document of each node."""
     ids = points.select("node", "doc_id")
@@ -291,13 +367,20 @@ def _with_docs(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return pairs.join(ids.select(F.col("node").alias("b"), F.col("doc_id").alias("doc_b")), "b").select("a", "b", "doc_a", "doc_b").dropDuplicates(["a", "b"])
 
 
-def _bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs that their count vectors allow, with a document of each node."""
+def _allowed(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs (a, b) that their count vectors allow, with a document of each node: a, b, doc_a, doc_b."""
     facts = points.select("node", "doc_id", "n", "counts")
     for side in ("a", "b"):
         pairs = pairs.join(facts.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "counts"))), side)
-    kept = pairs.where((NUM + DEN) * bound(F.col("counts_a"), F.col("counts_b")) >= NUM * (F.col("n_a") + F.col("n_b")))
-    return kept.select("a", "b", F.col("doc_id_a").alias("doc_a"), F.col("doc_id_b").alias("doc_b")).dropDuplicates(["a", "b"])
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                limit = pair_bounds(pdf["counts_a"].tolist(), pdf["counts_b"].tolist())
+                ok = (NUM + DEN) * limit >= NUM * (pdf["n_a"] + pdf["n_b"]).to_numpy()
+                yield pdf.loc[ok, ["a", "b", "doc_id_a", "doc_id_b"]].rename(columns={"doc_id_a": "doc_a", "doc_id_b": "doc_b"})
+
+    return pairs.select("a", "b", "n_a", "n_b", "counts_a", "counts_b", "doc_id_a", "doc_id_b").mapInPandas(keep, "a long, b long, doc_a long, doc_b long")
 
 
 def one_of_each(documents: DataFrame, scratch: Scratch) -> DataFrame:

@@ -172,7 +172,12 @@ def machine(json_file: str) -> Transducer:
 
 
 def count_column(text: Column, json_file: str) -> Column:
-    """Number of tokens of every text, in Arrow batches. Null counts as empty."""
+    """Number of tokens of every text, in Arrow batches.
+
+    Null and empty texts have none; long texts are counted whole, by chunks;
+    equal texts have equal counts; an empty table gives no rows. It is a
+    column, so other columns don't matter.
+    """
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -154,7 +154,7 @@ def fit(sample: list[tuple[int, str, int]], rounds: int = 40, rate: float = 0.25
     docs, labels = _apart([[w.lower() for w in TOKEN.findall(t)] for _, t, _ in sample], [y for _, _, y in sample])
     par = {"weights": np.zeros(1 << BITS), "trans": np.zeros((2, 2)), "start": np.array([0.0, -4.0])}
     if labels.sum() in (0, len(labels)):
-        return Crf(par["weights"], par["trans"], par["start"])
+        return Crf(par["weights"], np.array([[0.0, -8.0], [0.0, -8.0]]), np.array([0.0, -8.0]))
     gold_of = label_tokens(docs, labels)
     words = sorted(gold_of)
     number = {w: i for i, w in enumerate(words)}
@@ -239,7 +239,12 @@ def tag_texts(crf: Crf, texts: list[str | None], cut: float = 0.5) -> tuple[np.n
 
 
 def score_column(crf: Crf, text: Column) -> Column:
-    """struct(score, spans) of every text in Arrow batches; spans are array<struct<start,end,prob>>. Null counts as empty."""
+    """struct(score, spans) of every text in Arrow batches; spans are array<struct<start,end,prob>>.
+
+    Null, empty and wordless texts score 0 without spans; long texts are tagged
+    whole; equal texts have equal results; an empty table gives no rows. It is
+    a column, so the table's other columns and their names don't matter.
+    """
 
     @F.pandas_udf("score double, spans array<struct<start:int,end:int,prob:double>>")
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
