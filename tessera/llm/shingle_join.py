@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, Scratch, batches_of
@@ -22,6 +22,8 @@ FULL = 255
 NUM, DEN = 4, 5
 #: Points of a leaf, children of a node, most points of one tree.
 LEAF, FANOUT, TREE = 16, 8, 4096
+#: A row of a cell names so many cells of its node that come before; a pair that meets in one of them isn't reported again.
+EARLIER = 8
 #: Rows of an Arrow batch that hold one whole text, or two.
 TEXT_BATCH, PAIR_BATCH = 1000, 200
 #: Passes in which nodes are compared with drawn members of their cells before the trees are built.
@@ -154,10 +156,10 @@ class CountTree:
         bound = overlap_bound(upper[i[ok]], upper2[j[ok]])
         return ok[(NUM + DEN) * bound >= NUM * (low[i[ok]] + low2[j[ok]])]
 
-    def join(self) -> tuple[np.ndarray, np.ndarray]:
+    def join(self, new: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the point pairs that the bound leaves, each pair once, of different components.
 
-        Box pairs are taken from a stack in parts of bounded size, deepest first.
+        ``new`` tells which pairs to keep at once. Box pairs are taken from a stack in parts of bounded size, deepest first.
         """
         most = max(1, SLAB // self.levels[0][0].shape[1])
         stack = [(len(self.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
@@ -168,7 +170,10 @@ class CountTree:
             i, j = i[keep], j[keep]
             if level == 0:
                 apart = i != j
-                found.append((self.order[i[apart]], self.order[j[apart]]))
+                i, j = self.order[i[apart]], self.order[j[apart]]
+                if new is not None and len(i):
+                    i, j = i[keep := new(i, j)], j[keep]
+                found.append((i, j))
                 continue
             width = LEAF if level == 1 else FANOUT
             total, child = len(self.levels[level - 1][0]), np.arange(width)
@@ -185,8 +190,21 @@ class CountTree:
 MIXED = np.iinfo(np.int64).min
 
 
-def tree_pairs(nodes: np.ndarray, sizes: np.ndarray, roots: np.ndarray, blocks: np.ndarray, counts: list, across: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Node pairs of one cell that may be linked. ``across`` keeps pairs of different blocks only.
+def met_before(earlier: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the rows of a pair name a common earlier cell; column 0 counts the cells that a row names."""
+    out = np.zeros(len(i), bool)
+    for k in range(0, len(i), step := SLAB >> 8):
+        a, b = earlier[i[k : k + step]], earlier[j[k : k + step]]
+        for x in range(1, earlier.shape[1]):
+            named = (b[:, 1:] == a[:, x, None]) & (np.arange(1, earlier.shape[1]) <= b[:, :1])
+            out[k : k + step] |= named.any(1) & (x <= a[:, 0])
+    return out
+
+
+def tree_pairs(
+    nodes: np.ndarray, sizes: np.ndarray, roots: np.ndarray, blocks: np.ndarray, counts: list, earlier: np.ndarray, across: bool,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Node pairs of one cell that may be linked and meet in no earlier cell. ``across`` keeps pairs of different blocks only.
 
     Sizes of linked sets differ by a quarter at most, so their vectors are of
     equal or neighbouring lengths: each length has a tree over its own sets and
@@ -203,11 +221,15 @@ def tree_pairs(nodes: np.ndarray, sizes: np.ndarray, roots: np.ndarray, blocks:
         vectors[own] = stacked([counts[k] for k in at[own]])
         if not own.all():
             vectors[~own] = folded(stacked([counts[k] for k in at[~own]]), groups)
-        i, j = CountTree(vectors, sizes[at], roots[at]).join()
-        keep = own[i] | own[j]
-        i, j = at[i[keep]], at[j[keep]]
-        if across:
-            i, j = i[keep := blocks[i] != blocks[j]], j[keep]
+
+        def new(i: np.ndarray, j: np.ndarray, at: np.ndarray = at, own: np.ndarray = own) -> np.ndarray:
+            keep = own[i] | own[j]
+            if across:
+                keep &= blocks[at[i]] != blocks[at[j]]
+            keep[keep] = ~met_before(earlier, at[i[keep]], at[j[keep]])
+            return keep
+
+        i, j = (at[x] for x in CountTree(vectors, sizes[at], roots[at]).join(new))
         found.append((np.minimum(nodes[i], nodes[j]), np.maximum(nodes[i], nodes[j])))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (nodes[:0], nodes[:0])
 
@@ -222,7 +244,11 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [pdf[c].to_numpy(np.int64) for c in ("node", "n", "root", "block")]
         counts = pdf["counts"].tolist()
         across = (pdf["i"] != pdf["j"]).to_numpy()
-        found = [tree_pairs(*(c[a:b] for c in columns), counts[a:b], bool(across[a])) for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True)]
+        lengths = pdf["earlier"].map(len).to_numpy(np.int64)
+        earlier = np.zeros((len(pdf), EARLIER + 1), np.int64)
+        earlier[:, 0] = lengths
+        earlier[:, 1:][np.arange(EARLIER) < lengths[:, None]] = np.concatenate([np.asarray(e, np.int64) for e in pdf["earlier"]])
+        found = [tree_pairs(*(c[a:b] for c in columns), counts[a:b], earlier[a:b], bool(across[a])) for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True)]
         both = [np.concatenate(x) for x in zip(*found, strict=True)]
         return pd.DataFrame({"a": both[0], "b": both[1]}).drop_duplicates()
 
@@ -289,7 +315,9 @@ def near_duplicates(documents: DataFrame, scratch: Scratch) -> DataFrame:
        count vectors is joined with itself; boxes whose coordinate minima
        cannot reach the overlap that a link needs, or that hold one and the
        same component, are left out. Cells beyond TREE nodes are cut in blocks,
-       and every pair of blocks has a tree, so nothing is capped.
+       and every pair of blocks has a tree, so nothing is capped. Nodes that
+       meet in many cells are reported in the first, since each row names the
+       node's cells just before its own.
     4. The pairs left are verified on whole texts; links give components.
 
     Texts of fewer than five words are one shingle; null texts and those
@@ -334,11 +362,13 @@ def near_duplicates(documents: DataFrame, scratch: Scratch) -> DataFrame:
     # cells of the same members are one cell
     mixed = mixed.groupBy("size", "who", "least").agg(F.min("key").alias("key"))
     mixed = mixed.select("key", F.ceil(F.col("size") / TREE).cast("int").alias("parts"))
-    rows = placed.drop("size").join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    before = Window.partitionBy("node").orderBy("key").rowsBetween(-EARLIER, -1)
+    rows = placed.drop("size").join(mixed, "key").withColumn("earlier", F.collect_list("key").over(before))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", "node", "n", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = rows.select("key", "node", "n", "root", "block", "earlier", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     rows = rows.join(points.select("node", "counts"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = scratch.write(rows.select("key", "i", "j", "node", "n", "root", "block", "counts").mapInPandas(_cells, "a long, b long").distinct(), "tree-pairs")
+    found = scratch.write(rows.select("key", "i", "j", "node", "n", "root", "block", "earlier", "counts").mapInPandas(_cells, "a long, b long").distinct(), "tree-pairs")
     more = _verified(_with_docs(found, points), documents, scratch, "tree-links")
     known = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = components(known.unionByName(more), scratch, "all")
