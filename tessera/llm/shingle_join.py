@@ -15,7 +15,7 @@ from .components import components
 from .shingles import shingle_set
 
 #: A count vector has a power of two of token groups, at least 2 ** LEAST_BITS and at most PER_GROUP shingles to a group on average.
-LEAST_BITS, PER_GROUP = 6, 8
+LEAST_BITS, PER_GROUP = 8, 8
 #: Counts are kept in a byte; this one stands for itself or more.
 FULL = 255
 #: Two sets are linked where NUM * |union| <= DEN * |intersection|.
