@@ -16,8 +16,8 @@ from .bpe_tables import PairTable, merge_all
 SPACE = "▁"
 #: Units that a task remembers before it starts afresh.
 REMEMBERED = 300_000
-#: Code points of text that are cut into units at once.
-SWEEP = 8_000_000
+#: Code points of text that are cut into units at once: a unit is a Python string of some 60 bytes.
+SWEEP = 1_000_000
 
 
 class Codec:
