@@ -33,7 +33,7 @@ def market_breadth(spark, sf_dir):
 def _fills(spark, sf_dir):
     line = load(spark, sf_dir, "lineitem")
     sign = F.when(F.col("l_returnflag") == "R", -1).otherwise(1)
-    return line.where("l_suppkey <= 40 and l_linenumber = 1").select(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("symbol"), (F.col("l_quantity") * sign).cast("long").alias("quantity"))
+    return line.select(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("symbol"), (F.col("l_quantity") * sign).cast("long").alias("quantity"))
 
 
 def _closes(spark, sf_dir):
@@ -57,7 +57,7 @@ def portfolio_diagnostics(spark, sf_dir):
 
 
 def _targets(spark, sf_dir):
-    s = load(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0 and s_suppkey <= 60")
+    s = load(spark, sf_dir, "supplier")
     return s.select(F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("symbol"), (F.col("s_suppkey") % 7 / 60.0).alias("weight"))
 
 
@@ -75,7 +75,7 @@ def portfolio_review(spark, sf_dir):
 
 def weight_validation(spark, sf_dir):
     """Runs whose weights are invalid."""
-    o = load(spark, sf_dir, "orders").where("o_orderkey <= 400")
+    o = load(spark, sf_dir, "orders")
     w = o.select((F.col("o_orderkey") % 40).cast("string").alias("run_id"), (F.when(F.col("o_orderkey") % 97 == 0, -1.0).when(F.col("o_orderkey") % 89 == 0, F.lit(None)).otherwise(F.col("o_orderkey") % 10 / 40.0)).alias("weight"))
     return P.weight_problems(w)
 
@@ -92,15 +92,14 @@ def prediction_weights(spark, sf_dir):
 
 def advisory_outcomes(spark, sf_dir):
     """What became of advised weights after 1, 5 and 20 dates."""
-    w = _weights(spark, sf_dir).where("decision_date between date'1998-01-01' and date'2001-06-30'")
-    return _round(P.outcomes(w, dense_grid(bars(spark, sf_dir)), index_bars(spark, sf_dir)))
+    return _round(P.outcomes(_weights(spark, sf_dir), dense_grid(bars(spark, sf_dir)), index_bars(spark, sf_dir)))
 
 
 def advisory_expiry(spark, sf_dir):
     """Advice that newer bars supersede."""
     w = _weights(spark, sf_dir)
     advice = w.select(F.col("decision_date").cast("string").alias("advice_id"), F.col("decision_date").alias("as_of"), "symbol")
-    return P.expired(advice, bars(spark, sf_dir).where("trade_date <= date'2000-06-30'"))
+    return P.expired(advice, bars(spark, sf_dir))
 
 
 def _runs(spark, sf_dir):
