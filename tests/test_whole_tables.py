@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from tessera import catalog
+from tessera.plans import repository_plans
 
 from .test_oracle import SF, TABLES, plain
 
@@ -13,8 +14,10 @@ from .test_oracle import SF, TABLES, plain
 CUTS = [
     " WHERE l_suppkey <= 40 AND l_linenumber = 1", " WHERE s_suppkey % 5 = 0 AND s_suppkey <= 60", " WHERE o_orderkey <= 400",
     " WHERE decision_date BETWEEN DATE '1998-01-01' AND DATE '2001-06-30'", " WHERE trade_date <= DATE '2000-06-30'",
+    " WHERE o_custkey % 3 = 0", "job_id % 7 = 0 AND ",
 ]
 NAMES = "positions portfolio_state portfolio_diagnostics trade_plan portfolio_review weight_validation advisory_outcomes advisory_expiry".split()
+NAMES += "sync_progress full_market_progress next_incomplete_symbols consecutive_failures append_once".split()
 
 
 @pytest.fixture(scope="module")
@@ -50,3 +53,8 @@ def test_positions_by_a_loop(spark, duck):
         want[symbol] = want.get(symbol, 0) + int(quantity) * (-1 if flag == "R" else 1)
     got = dict(map(tuple, catalog.queries()["positions"](spark, SF).collect()))
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_the_job_log_has_every_order(spark, duck):
+    want = {r[0] for r in duck.sql("SELECT o_orderkey FROM orders").fetchall()}
+    assert {r.job_id for r in repository_plans.jobs(spark, SF).collect()} == want
