@@ -26,6 +26,8 @@ DIGITS, LATIN = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 ACCENTED, CYRILLIC, GREEK = "àâäçéèêëîïíóñôöùûüúß", "абвгдежзийклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 #: Attempts after which an entity that still collides is an error, not a silent clash.
 ATTEMPTS = 24
+#: From this attempt on, e-mail addresses and names, whose shapes may have no stand-in left, get longer ones.
+LONGER_FROM = 8
 
 
 def _kind(hit: Column) -> Column:
@@ -81,12 +83,17 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
 
     E-mail addresses keep their shape and top-level domain, phone numbers their
     country code, cards their first digit and Luhn remainder, addresses are
-    valid dotted quads, names keep gender and script.
+    valid dotted quads, names keep gender and script. From LONGER_FROM on, and
+    where no character of an address can change, 16 keyed hexadecimal digits end
+    the local part and names have 14 more letters.
     """
     stream = F.sha2(F.concat_ws("|", F.lit(key), kind, entity, attempt.cast("string")), 512)
     chars = F.split(entity, "")
     top = F.length(F.regexp_extract(entity, r"\.[^.]*$", 0))
     shaped = F.array_join(F.transform(chars, lambda c, i: F.when(i >= F.size(chars) - top, c).otherwise(_like(c, _symbol(stream, i)))), "")
+    at = F.instr(entity, "@")
+    longer = F.concat(F.substring(shaped, F.lit(1), F.least(at - 1, F.lit(48))), F.substring(stream, 1, 16), F.substring(shaped, at, F.length(shaped)))
+    shaped = F.when((attempt >= LONGER_FROM) | (shaped == entity), longer).otherwise(shaped)
     opening = F.instr(entity, ":")
     phone = F.array_join(F.transform(chars, lambda c, i: F.when(i < opening, c).when(i == opening, (_symbol(stream, i) % 8 + 2).cast("string")).otherwise(_like(c, _symbol(stream, i)))), "")
     body = F.array_join(F.transform(chars, lambda c, i: F.when(i == 0, c).when(i == F.size(chars) - 1, F.lit("0")).otherwise(_like(c, _symbol(stream, i)))), "")
@@ -97,8 +104,8 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
 
     def syllables(consonants: str, vowels: str, female: str, male: str) -> Column:
         draw = lambda letters, k: F.substring(F.lit(letters), _symbol(stream, F.lit(k)) % len(letters) + 1, F.lit(1))
-        parts = [draw(consonants if k % 2 == 0 else vowels, k) for k in range(7)]
-        return F.concat(*parts, F.when(kind == "female", F.lit(female)).otherwise(F.lit(male)))
+        parts = [draw(consonants if k % 2 == 0 else vowels, k) for k in range(21)]
+        return F.concat(*parts[:7], F.when(attempt >= LONGER_FROM, F.concat(*parts[7:])).otherwise(""), F.when(kind == "female", F.lit(female)).otherwise(F.lit(male)))
 
     name = (
         F.when(cyrillic, syllables("бвгдзклмнпрст", "аеиоу", "а", "ов"))
@@ -115,6 +122,7 @@ def _formatted(kind: Column, hit: Column, made: Column) -> Column:
     """The surrogate in the mention's own format: its separators, its capitals, its title."""
     chars = F.split(hit, "")
     cased = F.array_join(F.zip_with(chars, F.split(made, ""), lambda c, s: F.when(c != F.lower(c), F.upper(s)).otherwise(s)), "")
+    cased = F.when(F.length(hit) == F.length(made), cased).when((hit == F.upper(hit)) & (hit != F.lower(hit)), F.upper(made)).otherwise(made)
     skip = F.length(_country(hit))
     digits = F.regexp_replace(F.regexp_replace(made, "^[^:]*:", ""), "[^0-9]", "")
     placed = F.array_join(F.transform(chars, lambda c, i: F.when(
