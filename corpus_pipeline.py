@@ -36,9 +36,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and the digests of the ids and of the text that they decode to, for every row of the mix."""
-    coded = docs.select("doc_id", "source", piece_codec.digest_column(F.col("text"), tokenizer_file("piece_bpe_32k.model")).alias("c"))
-    return coded.select("doc_id", "source", "c.n_tokens", "c.ids_sha256", "c.decoded_sha256")
+    """doc_id, source, the token ids with the end id, their number, and the digests of the ids and of the text that they decode to, for every row of the mix."""
+    coded = docs.select("doc_id", "source", piece_codec.coded_column(F.col("text"), tokenizer_file("piece_bpe_32k.model")).alias("c"))
+    return coded.select("doc_id", "source", "c.ids", "c.n_tokens", "c.ids_sha256", "c.decoded_sha256")
 
 
 STAGES = [

@@ -129,15 +129,27 @@ class Codec:
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """(n_tokens, ids_sha256, decoded_sha256) of each text, in sweeps of bounded size."""
-        out, i = [], 0
+        return [x for sweep in self._sweeps(texts) for x in self._digest(sweep)]
+
+    def coded(self, texts: list[str]) -> list[tuple[np.ndarray, int, str, str]]:
+        """(ids, n_tokens, ids_sha256, decoded_sha256) of each text, in sweeps of bounded size; count and digests are those of the ids."""
+        out = []
+        for sweep in self._sweeps(texts):
+            for _, joined, data in self._digest(sweep, whole=True):
+                ids = np.fromstring(joined, np.int32, sep=" ")
+                out.append((ids, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(data.decode("utf-8", "replace").encode()).hexdigest()))
+        return out
+
+    @staticmethod
+    def _sweeps(texts: list[str]) -> Iterator[list[str]]:
+        i = 0
         while i < len(texts):
             j, size = i, 0
             while j < len(texts) and (j == i or size + len(texts[j]) <= SWEEP):
                 size += len(texts[j])
                 j += 1
-            out += self._digest(texts[i:j])
+            yield texts[i:j]
             i = j
-        return out
 
 
 _CODECS: dict[str, Codec] = {}
@@ -168,6 +180,18 @@ def digest_column(text: Column, model_file: str) -> Column:
     return digest(text)
 
 
+def coded_column(text: Column, model_file: str) -> Column:
+    """struct(ids, n_tokens, ids_sha256, decoded_sha256) of every text, otherwise like digest_column."""
+
+    @F.pandas_udf("ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = codec(model_file)
+        for texts in batches:
+            yield pd.DataFrame(own.coded([t if isinstance(t, str) else "" for t in texts]), columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encode(text)
+
+
 def id_column(text: Column, model_file: str) -> Column:
     """array<int> of every text's ids with the end id."""
 
