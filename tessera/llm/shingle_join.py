@@ -327,13 +327,12 @@ def near_duplicates(documents: DataFrame, scratch: Scratch) -> DataFrame:
     gives no rows.
     """
     with batches_of(documents.sparkSession, TEXT_BATCH):
-        every = scratch.write(features(documents), "features")
+        every = scratch.write(features(documents).withColumn("row", F.monotonically_increasing_id()), "features")
     full = every.where("n > 0")
-    reps = scratch.write(full.groupBy("node").agg(F.min("doc_id").alias("rep")), "reps")
-    copies = scratch.write(
-        full.select("doc_id", "node").join(reps, "node").where("not (doc_id <=> rep)").select("doc_id", "node").distinct(), "copies")
-    copies = copies.select(F.col("doc_id").alias("__doc"), F.col("node").alias("__node"))
-    points = full.join(_small(copies), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("node") == F.col("__node")), "left_anti").dropna(subset=["doc_id"])
+    reps = scratch.write(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min_by("row", "doc_id").alias("rep_row")), "reps")
+    # one row of each node stays, also where rows are repeated with their ids
+    copies = scratch.write(full.select("row", "node").join(reps, "node").where("row <> rep_row").select(F.col("row").alias("__row")), "copies")
+    points = full.join(_small(copies), F.col("row") == F.col("__row"), "left_anti").dropna(subset=["doc_id"])
     keys = points.select(F.explode("keys").alias("key"), "node", "n").repartition("key")
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("first <> last").select("key", "size")
     members = scratch.write(keys.join(shared, "key").select("key", "node", "n", "size"), "members")

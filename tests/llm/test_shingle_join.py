@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import shingle_join, shingles
 from tessera.llm.common import Scratch
@@ -57,6 +58,23 @@ def test_chains_of_near_copies(spark, scratch):
     assert shingle_join.one_of_each(docs, Scratch(spark)).count() == len({r[2] for r in brute(rows)})
 
 
+def test_repeated_rows_lose_no_link(spark, monkeypatch):
+    rng = random.Random(4)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    hub, one, two = sorted((fresh(60) for _ in range(3)), key=lambda t: shingle_join.node_of(shingles.shingle_set(" ".join(t))))
+    texts = [hub, one, [*one[:-1], "x"], two, [*two[:-1], "y"]]
+    while min(texts, key=lambda t: shingle_join.node_of(shingles.shingle_set(" ".join(t)))) is not hub:
+        texts[0] = hub = fresh(60)
+    # the hub meets each pair in a cell of the same size; the leaders find nothing, so the trees must find both links
+    cells = F.when(F.col("doc_id") == 0, F.array(F.lit(1), F.lit(2))).when(F.col("doc_id") < 3, F.array(F.lit(1))).otherwise(F.array(F.lit(2)))
+    monkeypatch.setattr(shingle_join, "features", lambda d, f=shingle_join.features: f(d).withColumn("keys", cells.cast("array<long>")))
+    monkeypatch.setattr(shingle_join, "_allowed", lambda pairs, points, f=shingle_join._allowed: f(pairs, points).where("false"))
+    rows = [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n long")
+    got = shingle_join.near_duplicates(docs, Scratch(spark)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
 def test_cut_cells_lose_no_link(documents, rows, scratch, monkeypatch):
     monkeypatch.setattr(shingle_join, "TREE", 2)
     got = shingle_join.near_duplicates(documents, scratch).collect()
