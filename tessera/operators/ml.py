@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
@@ -33,10 +36,17 @@ def calendar_windows(dates: DataFrame, train_months: int = 12, valid_months: int
         F.date_sub(at(train_months + valid_months), embargo_days + 1).alias("valid_end"), at(train_months + valid_months).alias("test_start"), F.date_sub(at(months), 1).alias("test_end"))
 
 
-def train_gbt(train: DataFrame, names: list[str], label: str, rounds: int = 10, depth: int = 4, seed: int = 42):
-    """A fitted tree ensemble on the assembled features. Scores differ from other libraries' by construction."""
+def train_gbt(train: DataFrame, names: list[str], label: str, rounds: int = 10, depth: int = 4, seed: int = 42, valid: DataFrame | None = None):
+    """A fitted tree ensemble on the assembled features. Scores differ from other libraries' by construction.
+
+    With ``valid`` rows, trees are added only as long as they lower the error on these.
+    """
+    tree = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="score", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed)
+    if valid is not None:
+        train = train.withColumn("_valid", F.lit(False)).unionByName(valid.withColumn("_valid", F.lit(True)))
+        tree = tree.setValidationIndicatorCol("_valid")
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(train)
-    return GBTRegressor(featuresCol="features", labelCol=label, predictionCol="score", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed).fit(vectors)
+    return tree.fit(vectors)
 
 
 def predict(model, rows: DataFrame, names: list[str]) -> DataFrame:
@@ -44,6 +54,25 @@ def predict(model, rows: DataFrame, names: list[str]) -> DataFrame:
     return model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(rows)).drop("features")
 
 
+def walk_forward(data: DataFrame, windows: DataFrame, names: list[str], label: str, rounds: int = 10, depth: int = 4, side_by_side: int = 4) -> DataFrame:
+    """Rows of every test span with window_id and the score of a model of their own window.
+
+    Windows without training, validation or test rows are skipped. Only the
+    calendar of windows comes to the driver.
+    """
+
+    def one(w) -> DataFrame | None:
+        train, valid, test = (data.where(F.col("trade_date").between(F.lit(w[f"{part}_start"]), F.lit(w[f"{part}_end"]))) for part in ("train", "valid", "test"))
+        if train.isEmpty() or valid.isEmpty() or test.isEmpty():
+            return None
+        model = train_gbt(train, names, label, rounds, depth, 42 + w["window_id"] + 1, valid)
+        return predict(model, test, names).withColumn("window_id", F.lit(w["window_id"]))
+
+    with ThreadPoolExecutor(side_by_side) as pool:
+        scored = [x for x in pool.map(one, windows.orderBy("window_id").collect()) if x is not None]
+    return reduce(DataFrame.unionByName, scored) if scored else data.limit(0).withColumns({"score": F.lit(0.0), "window_id": F.lit(0)})
+
+
 def importance(model, names: list[str]) -> list[tuple[str, float]]:
     """Features by importance."""
     return sorted(zip(names, map(float, model.featureImportances.toArray()), strict=True), key=lambda x: (-x[1], x[0]))

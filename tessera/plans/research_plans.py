@@ -135,10 +135,10 @@ def ml_windows(spark, sf_dir):
 
 
 def ml_walk_forward(spark, sf_dir):
-    """Train on one window, score its test span, rank IC by date; a model has no SQL."""
-    data = M.dataset(bars(spark, sf_dir), NAMES).cache()
-    model = M.train_gbt(data.where("trade_date < date'1999-06-01'"), NAMES, "fwd_5d", rounds=4, depth=3)
-    return M.rank_ic_by_date(M.predict(model, data.where("trade_date >= date'1999-09-01'"), NAMES), "fwd_5d")
+    """A model for each calendar window, its test span scored, rank IC by date; a model has no SQL."""
+    b = bars(spark, sf_dir)
+    scored = M.walk_forward(M.dataset(b, NAMES).cache(), M.calendar_windows(b), NAMES, "fwd_5d", rounds=4, depth=3)
+    return M.rank_ic_by_date(scored, "fwd_5d")
 
 
 def ml_rank_ic(spark, sf_dir):
