@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .units import gathered
+
 #: Symbols merged in one sweep; bounds the memory of the matrices.
 SWEEP = 2_000_000
 
@@ -110,30 +112,31 @@ def _agenda_long(row: np.ndarray, table: PairTable) -> np.ndarray:
 LONG = 64
 
 
-def merge_all(strings: list[np.ndarray], table: PairTable) -> list[np.ndarray]:
-    """The merged symbols of every string. Strings of like length share a matrix."""
-    out: list = [None] * len(strings)
-    lengths = np.array([len(s) for s in strings], np.int64)
+def merge_all(flat: np.ndarray, lengths: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:
+    """Merge strings laid end to end: their symbols afterwards, again end to end, and the new lengths. Strings of like length share a matrix."""
+    starts = np.cumsum(lengths) - lengths
     order = np.argsort(lengths, kind="stable")
-    i = int(np.searchsorted(lengths[order], 1))
-    for k in order[:i]:
-        out[k] = np.zeros(0, np.int64)
+    ranked = lengths[order]
+    after = lengths.copy()
+    out = flat.copy()  # a merged string never outgrows its place
+    i = int(np.searchsorted(ranked, 2))
     while i < len(order):
-        width = int(lengths[order[i]])
+        width = int(ranked[i])
         if width > LONG:
-            out[order[i]] = _agenda_long(np.asarray(strings[order[i]]), table)
+            k = order[i]
+            done = _agenda_long(flat[starts[k] : starts[k] + width], table)
+            out[starts[k] : starts[k] + len(done)], after[k] = done, len(done)
             i += 1
             continue
         width += 2 if width > 4 else 0
-        j = min(int(np.searchsorted(lengths[order], width, "right")), i + max(1, SWEEP // width))
-        part = order[i:j]
-        size = lengths[part]
+        j = min(int(np.searchsorted(ranked, min(width, LONG), "right")), i + max(1, SWEEP // width))
+        part, size = order[i:j], ranked[i:j]
+        inside = np.arange(width)[None, :] < size[:, None]
         rows = np.zeros((len(part), width), np.int64)
-        rows[np.arange(width)[None, :] < size[:, None]] = np.concatenate([strings[k] for k in part])
+        rows[inside] = gathered(flat, starts[part], size)
         done, left = _agenda(rows, size, table)
-        flat = done[np.arange(width)[None, :] < left[:, None]]
-        ends = np.cumsum(left).tolist()
-        for k, a, b in zip(part.tolist(), [0, *ends], ends, strict=False):
-            out[k] = flat[a:b]
+        begin = np.cumsum(left) - left
+        out[np.arange(int(left.sum())) + np.repeat(starts[part] - begin, left)] = done[np.arange(width)[None, :] < left[:, None]]
+        after[part] = left
         i = j
-    return out
+    return gathered(out, starts, after), after

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -12,23 +12,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .bpe_tables import PairTable, merge_all
+from .units import Remembered, Units, code_points, gathered, sweeps
 
 SPACE = "▁"
-#: Units that a task remembers before it starts afresh.
-REMEMBERED = 300_000
-#: Code points of text that are cut into units at once: a unit is a Python string of some 60 bytes.
-SWEEP = 1_000_000
+#: Units of one generation that a task remembers, and letters up to which a unit is remembered.
+REMEMBERED, SHORT = 120_000, 64
+#: Code points of a text that the library encodes whole in each Arrow batch, besides every new unit.
+WHOLE = 4096
 
 
 class Codec:
     """Encoder and decoder of one model file (kind BPE, no normalisation but white space marks, byte fallback).
 
-    Text is cut into units that no piece crosses: a run of space marks with the
-    letters after it, or a single code point that no longer piece holds. Every
-    unit is merged by the agenda: of all adjacent symbol pairs whose union is a
-    piece, that with the highest score, then the leftmost, merges first. Units
-    met for the first time are merged in numpy for a whole Arrow batch and
-    checked against the library; a difference raises.
+    Text is cut into units wherever no piece holds the two neighbouring code
+    points, so that no merge can cross a cut. Each distinct unit of a sweep is
+    merged once by the agenda: of all adjacent symbol pairs whose union is a
+    piece, that with the highest score, then the leftmost, merges first. New
+    units that start with a space mark, and a whole text of every Arrow batch,
+    are checked against the library; a difference raises.
     """
 
     def __init__(self, model_file: str, check: bool = True):
@@ -36,130 +37,157 @@ class Codec:
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
         lib, n = self.library, self.library.get_piece_size()
-        self.check, self.eos = check, lib.eos_id()
+        self.check, self.eos, self.base = check, lib.eos_id(), n
         plain = [i for i in range(n) if not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i) or lib.is_unused(i))]
         ids = {lib.id_to_piece(i): i for i in plain}
-        if any(SPACE in p.lstrip(SPACE) or (len(p.lstrip(SPACE)) and p.startswith(SPACE * 2)) for p in ids):
-            raise ValueError("pieces that hold a space mark after other letters are not supported")
-        self.byte_id = {int(lib.id_to_piece(i)[3:5], 16): i for i in range(n) if lib.is_byte(i)}
+        self.byte_id = np.zeros(256, np.int64)
+        for i in range(n):
+            if lib.is_byte(i):
+                self.byte_id[int(lib.id_to_piece(i)[3:5], 16)] = i
+        self.names = [str(i) for i in range(n)]
         self.bytes_of = [b"" if lib.is_control(i) else lib.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
-        for b, i in self.byte_id.items():
+        for b, i in enumerate(self.byte_id.tolist()):
             self.bytes_of[i] = bytes([b])
-        # symbols: ids of the vocabulary, then one for each code point met without a piece of its own
-        self.symbol_of = dict(ids)
-        self.base = n
-        self.symbols = n + 0x110000
-        left, right, rank, made = [], [], [], []
-        scores = sorted({lib.get_score(i) for i in plain}, reverse=True)
-        level = {s: r for r, s in enumerate(scores)}
+        # symbols: ids of the vocabulary, then one for each code point without a piece of its own
+        self.symbol_of = np.arange(n, n + 0x110000, dtype=np.int64)
         for piece, i in ids.items():
-            for k in range(1, len(piece)):
-                a, b = self._symbol(piece[:k]), self._symbol(piece[k:])
-                if a is not None and b is not None:
-                    left.append(a), right.append(b), rank.append(level[lib.get_score(i)]), made.append(i)
-        self.table = PairTable(*(np.array(x, np.int64) for x in (left, right, rank, made)), self.symbols)
-        inside = set("".join(p for p in ids if len(p) > 1))
-        alone = "".join(re.escape(c) for c in "\n\t\r" if c not in inside)
-        self.cut = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else ""))
-        self.memory: dict[str, tuple[int, str, bytes]] = {}
-
-    def _symbol(self, part: str) -> int | None:
-        found = self.symbol_of.get(part)
-        return found if found is not None else self.base + ord(part) if len(part) == 1 else None
-
-    def _ids(self, symbols: np.ndarray) -> list[int]:
-        found = symbols.tolist()
-        if not found or max(found) < self.base:
-            return found
-        out: list[int] = []
-        for s in found:
-            out += [s] if s < self.base else [self.byte_id[b] for b in chr(s - self.base).encode()]
+            if len(piece) == 1:
+                self.symbol_of[ord(piece)] = i
+        known = lambda part: ids.get(part, n + ord(part) if len(part) == 1 else None)
+        level = {s: r for r, s in enumerate(sorted({lib.get_score(i) for i in plain}, reverse=True))}
+        rows = [
+            (a, b, level[lib.get_score(i)], i)
+            for piece, i in ids.items() for k in range(1, len(piece)) if (a := known(piece[:k])) is not None and (b := known(piece[k:])) is not None
+        ]
+        self.table = PairTable(*np.array(rows, np.int64).T, n + 0x110000)
+        # which code points stand next to each other inside a piece
+        letters = sorted({c for p in ids if len(p) > 1 for c in p})
+        self.place = np.full(0x110000, len(letters), np.int32)
+        self.place[[ord(c) for c in letters]] = np.arange(len(letters))
+        self.joined = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for p in ids:
+            at = self.place[[ord(c) for c in p]]
+            self.joined[at[:-1], at[1:]] = True
+        mark = self.place[ord(SPACE)]
+        if self.joined[:, mark].sum() > self.joined[mark, mark]:
+            raise ValueError("pieces that hold a space mark after other letters are not supported")
+        self.units = Units()
+        self.memory = Remembered(REMEMBERED)
+
+    def _spelled(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols without a piece become the bytes of their code point."""
+        other = np.flatnonzero(symbols >= self.base)
+        if not len(other):
+            return symbols, lengths
+        kinds, which = np.unique(symbols[other], return_inverse=True)
+        spelled = [chr(s - self.base).encode("utf-8", "replace") for s in kinds.tolist()]
+        sizes = np.array([len(b) for b in spelled])
+        flat = self.byte_id[np.frombuffer(b"".join(spelled), np.uint8)]
+        width = np.ones(len(symbols), np.int64)
+        width[other] = sizes[which]
+        begin = np.cumsum(width) - width
+        out = np.empty(int(width.sum()), np.int64)
+        plain = np.flatnonzero(symbols < self.base)
+        out[begin[plain]] = symbols[plain]
+        out[np.arange(int(width[other].sum())) + np.repeat(begin[other] - (np.cumsum(width[other]) - width[other]), width[other])] = gathered(flat, (np.cumsum(sizes) - sizes)[which], sizes[which])
+        totals = np.zeros(len(lengths), np.int64)
+        np.add.at(totals, np.repeat(np.arange(len(lengths)), lengths), width)
+        return out, totals
+
+    def _merged(self, units: list[str]) -> list[np.ndarray]:
+        """Ids of units; the library's own ids of each that starts with a space mark must be the same."""
+        lengths = np.array([len(u) for u in units], np.int64)
+        flat, sizes = self._spelled(*merge_all(self.symbol_of[code_points("".join(units))], lengths, self.table))
+        flat = flat.astype(np.int32)
+        ends = np.cumsum(sizes).tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        if self.check:
+            # the library puts a space mark before any text and no piece crosses into the next mark: one text holds them all
+            marked = [k for k, u in enumerate(units) if u[0] == SPACE and u[-1] != SPACE]
+            told = np.array(self.library.encode("".join([units[k] for k in marked])[1:]), np.int32)
+            ours = gathered(flat, (np.cumsum(sizes) - sizes)[marked], sizes[marked]) if marked else told
+            if not np.array_equal(ours, told):
+                wrong = next((units[k] for k in marked if out[k].tolist() != self.library.encode(units[k][1:])), "a run of units")
+                raise ValueError(f"agenda and library differ on {wrong!r}")
         return out
 
-    def learn(self, units: list[str]) -> None:
-        """Merge and remember units; the library's own ids of each must be the same."""
-        get = self.symbol_of.get
-        start = self.base
-        rows = [np.array([s if (s := get(c)) is not None else start + ord(c) for c in u], np.int64) for u in units]
-        merged = [self._ids(r) for r in merge_all(rows, self.table)]
-        if self.check:
-            # the library puts a space mark before any text: units that start with one go in without it
-            marked = [k for k, u in enumerate(units) if u[0] == SPACE]
-            theirs = self.library.encode([units[k][1:] if len(units[k]) > 1 else SPACE for k in marked], num_threads=1)
-            for k, ids in zip(marked, theirs, strict=True):
-                if len(units[k]) > 1 and ids != merged[k]:
-                    raise ValueError(f"agenda and library differ on {units[k]!r}: {merged[k]} and {ids}")
-        for unit, ids in zip(units, merged, strict=True):
-            self.memory[unit] = len(ids), " ".join(map(str, ids)), self.raw(ids)
-
-    def raw(self, ids: list[int]) -> bytes:
-        """Bytes of ids before space marks at the start are taken off."""
-        return b"".join([self.bytes_of[i] for i in ids])
-
-    def units(self, text: str) -> list[str]:
-        """The text, spaces marked and one mark put before it, cut into units."""
-        return self.cut.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of the texts of one sweep, each with the end id."""
+        text = "".join([SPACE + t.replace(" ", SPACE) if t else "" for t in texts])
+        sizes = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
+        if not text:
+            return [np.array([self.eos], np.int32) for _ in texts]
+        points = code_points(text)
+        place = self.place[points]
+        begins = np.r_[True, ~self.joined[place[:-1], place[1:]]]
+        begins[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.r_[starts[1:], len(points)]
+        first, kind = self.units.distinct(points, starts, ends)
+        names = [text[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        self.memory.turn()
+        new = self.memory.known(names)
+        held = self.memory.young
+        long = {}
+        for unit, ids in zip(new, self._merged(new) if new else (), strict=True):
+            if len(unit) <= SHORT:
+                held[unit] = ids.tobytes()
+            else:
+                long[unit] = ids.tobytes()
+        coded = [held[u] if len(u) <= SHORT else long[u] for u in names]
+        flat = np.frombuffer(b"".join(coded), np.int32)
+        width = np.array([len(c) // 4 for c in coded], np.int64)
+        each = width[kind]
+        ids = gathered(flat, (np.cumsum(width) - width)[kind], each)
+        # a text's ids end where its last unit ends
+        done = np.r_[0, np.cumsum(each)][np.searchsorted(starts, np.cumsum(sizes))].tolist()
+        return [np.append(ids[a:b], np.int32(self.eos)) for a, b in zip([0, *done], done, strict=False)]
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text with the end id."""
-        found = self._digest([text or ""], whole=True)[0][1]
-        return [int(x) for x in found.split()]
+        return self.encode_all([text or ""])[0].tolist()
+
+    def decoded(self, ids: list[int]) -> bytes:
+        """UTF-8 bytes of the text of ids: the first space mark goes, control ids are nothing, broken bytes are replaced."""
+        data = b"".join([self.bytes_of[i] for i in ids])
+        data = data[1:] if data[:1] == b" " else data
+        try:
+            data.decode()
+            return data
+        except UnicodeDecodeError:
+            return data.decode("utf-8", "replace").encode()
 
     def decode(self, ids: list[int]) -> str:
-        """Text of ids: the first space mark goes, control ids are nothing, broken bytes are replaced."""
-        data = self.raw(ids)
-        return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
-
-    def _digest(self, texts: list[str], whole: bool = False) -> list[tuple]:
-        cut = [self.units(t) for t in texts]
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        new = set().union(*cut).difference(self.memory) if cut else set()
-        if new:
-            self.learn(sorted(new))
-        out = []
-        for units in cut:
-            found = list(map(self.memory.__getitem__, units))
-            ids = " ".join([f[1] for f in found] + [str(self.eos)])
-            data = b"".join([f[2] for f in found])
-            data = data[1:] if data[:1] == b" " else data
-            n = sum([f[0] for f in found]) + 1
-            out.append((n, ids, data) if whole else (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(data.decode("utf-8", "replace").encode()).hexdigest()))
-        return out
+        """Text of ids."""
+        return self.decoded(ids).decode()
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """(n_tokens, ids_sha256, decoded_sha256) of each text, in sweeps of bounded size."""
-        return [x for sweep in self._sweeps(texts) for x in self._digest(sweep)]
+    def release(self) -> None:
+        """Let go of the units that texts have brought."""
+        self.memory = Remembered(REMEMBERED)
 
-    def coded(self, texts: list[str]) -> list[tuple[np.ndarray, int, str, str]]:
+    def coded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, int, str, str]]:
         """(ids, n_tokens, ids_sha256, decoded_sha256) of each text, in sweeps of bounded size; count and digests are those of the ids."""
-        out = []
-        for sweep in self._sweeps(texts):
-            for _, joined, data in self._digest(sweep, whole=True):
-                ids = np.fromstring(joined, np.int32, sep=" ")
-                out.append((ids, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(data.decode("utf-8", "replace").encode()).hexdigest()))
-        return out
-
-    @staticmethod
-    def _sweeps(texts: list[str]) -> Iterator[list[str]]:
-        i = 0
-        while i < len(texts):
-            j, size = i, 0
-            while j < len(texts) and (j == i or size + len(texts[j]) <= SWEEP):
-                size += len(texts[j])
-                j += 1
-            yield texts[i:j]
-            i = j
-
-
-_CODECS: dict[str, Codec] = {}
-
-
+        for turn, sweep in enumerate(sweeps(texts)):
+            found = self.encode_all(sweep)
+            if self.check and turn == 0:
+                # ids that the library gives and the text that it decodes them to
+                k = next((k for k, t in enumerate(sweep) if 0 < len(t) <= WHOLE), None)
+                if k is not None and (self.library.encode(sweep[k], add_eos=True) != (ids := found[k].tolist()) or self.library.decode(ids) != self.decode(ids)):
+                    raise ValueError(f"codec and library differ on {sweep[k][:200]!r}")
+            for row in found:
+                ids = row.tolist()
+                joined = " ".join([self.names[i] for i in ids])
+                yield row, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(self.decoded(ids)).hexdigest()
+
+
+@lru_cache(maxsize=1)
 def codec(model_file: str) -> Codec:
     """The process's codec of a model file."""
-    if model_file not in _CODECS:
-        _CODECS[model_file] = Codec(model_file)
-    return _CODECS[model_file]
+    return Codec(model_file)
+
+
+def _strings(texts: pd.Series) -> list[str]:
+    return [t if isinstance(t, str) else "" for t in texts]
 
 
 def digest_column(text: Column, model_file: str) -> Column:
@@ -167,15 +195,18 @@ def digest_column(text: Column, model_file: str) -> Column:
 
     Null and empty texts are the end id alone and decode to the empty text;
     long texts are encoded whole; equal texts have equal results; an empty
-    table gives no rows. It is a column, so other columns don't matter.
+    table gives no rows. It is a column, so other columns don't matter. Units
+    that a task has met are let go at its end.
     """
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(model_file)
-        for texts in batches:
-            found = own.digests([t if isinstance(t, str) else "" for t in texts])
-            yield pd.DataFrame(found, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for texts in batches:
+                yield pd.DataFrame([row[1:] for row in own.coded(_strings(texts))], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            own.release()
 
     return digest(text)
 
@@ -186,8 +217,11 @@ def coded_column(text: Column, model_file: str) -> Column:
     @F.pandas_udf("ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(model_file)
-        for texts in batches:
-            yield pd.DataFrame(own.coded([t if isinstance(t, str) else "" for t in texts]), columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for texts in batches:
+                yield pd.DataFrame(list(own.coded(_strings(texts))), columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            own.release()
 
     return encode(text)
 
@@ -198,8 +232,11 @@ def id_column(text: Column, model_file: str) -> Column:
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(model_file)
-        for texts in batches:
-            yield pd.Series([own.encode(t if isinstance(t, str) else "") for t in texts])
+        try:
+            for texts in batches:
+                yield pd.Series([ids for sweep in sweeps(_strings(texts)) for ids in own.encode_all(sweep)], dtype=object)
+        finally:
+            own.release()
 
     return encode(text)
 
