@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,24 +52,54 @@ def test_counts_equal_the_library():
 
 
 @pytest.mark.parametrize("chunk", [1, 3, 8, 31])
-def test_chunk_maps_compose(monkeypatch, chunk):
+def test_counts_do_not_depend_on_chunks(chunk):
     own = token_transducer.Transducer(BYTES)
     many = texts(3, 150)
-    want = own.counts(many)
-    monkeypatch.setattr(token_transducer, "CHUNK", chunk)
-    assert own.counts(many) == want
+    assert own.counts(many, chunk) == own.counts(many)
 
 
-def test_prefix_scan_is_associative():
+def test_prefix_scan_is_that_of_the_machine():
+    own = token_transducer.PretokenMachine()
+    rng = np.random.default_rng(4)
+    kinds = rng.integers(0, token_transducer.RESET + 1, 300)
+    scanned = own.scan(own.letter[kinds])
+    states = np.arange(len(own.step))
+    for k, prefix in zip(kinds, scanned, strict=True):
+        states = own.step[states, k]
+        assert (own.to[prefix] == states).all()
+
+
+def test_pretokens_are_those_of_the_pattern():
+    import regex
+
+    own = token_transducer.PretokenMachine()
+    for t in texts(5, 800):
+        kinds = np.append(own.classes[token_transducer.code_points(t)], np.uint8(token_transducer.RESET))
+        starts = [i for i in np.flatnonzero(own.begins_at(kinds, 7)) if i < len(t)]
+        assert starts == [m.start() for m in regex.finditer(token_transducer.SPLIT, t)]
+
+
+def test_counting_machine_on_runs_and_after_forgetting(monkeypatch):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(BYTES)
+    monkeypatch.setattr(token_transducer, "STATES", 40)
     own = token_transducer.Transducer(BYTES)
-    t = "some words, and  more <|endoftext|> it's 2024\n\nend of it"
-    maps = own.maps([t[i : i + 5] for i in range(0, len(t), 5)])
-    scanned = own.scan(maps)
-    assert scanned[-1] == own.total(maps)
-    acc = maps[0]
-    for m, s in zip(maps[1:], scanned[1:]):
-        acc = own.compose([(acc, m)])[0]
-        assert acc == s
+    rng = random.Random(9)
+    runs = ["".join(rng.choice("aeht-= nsing") * rng.randint(1, 9) for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    assert own.counts(runs) == [len(lib.encode(t, add_special_tokens=False).ids) for t in runs]
+    assert len(own.counting.configurations) <= 40 + 100
+
+
+def test_units_with_one_rolling_hash_are_told_apart():
+    # a word and its letters exchanged agree in every polynomial modulo 2 ** 64
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    points = token_transducer.code_points(word + word.translate(str.maketrans("ab", "ba")) + word)
+    n = len(word)
+    first, kind = token_transducer.Units().distinct(points, np.array([0, n, 2 * n]), np.array([n, 2 * n, 3 * n]))
+    assert first.tolist() == [0, 1] and kind.tolist() == [0, 1, 0]
 
 
 def test_count_column_takes_nulls(documents, empty):
