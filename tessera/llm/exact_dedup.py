@@ -1,53 +1,85 @@
-"""Exact deduplication by a tree merge of digest runs."""
+"""Exact deduplication by a tree merge of sorted digest runs."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WHITE_SPACE, Scratch
+from .common import BROADCAST_ROWS, Scratch
 
-#: Runs start in 2 ** ROUNDS slots and meet pairwise, so ROUNDS binomial rounds leave one run a digest range.
-ROUNDS = 4
+#: Runs start in FAN ** ROUNDS slots; each round merges FAN of them, so ROUNDS rounds leave one run a digest range.
+FAN, ROUNDS = 4, 2
+#: An entry of a run: digest, what verifies it, the best row so far (most code points, then smallest id) and the rows it stands for.
+ENTRY = "slot int, part int, digest string, proof string, bytes long, minus_length long, no_id boolean, id long, n long"
+_ORDER = ["slot", "part", "digest", "proof", "bytes", "minus_length", "no_id", "id"]
+_SAME = ["slot", "part", "digest", "proof", "bytes"]
 
 
 def normalised(text: Column) -> Column:
     """The text without white space; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), WHITE_SPACE, "")
-
-
-def _merge(runs: DataFrame) -> DataFrame:
-    """Merge runs of equal (digest, slot): sizes add up, the best entry survives."""
-    return runs.groupBy("digest", "bytes", "slot").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+    found = F.coalesce(text, F.lit(""))
+    for blank in " \n\t\r\x0b\x0c":
+        found = F.replace(found, F.lit(blank), F.lit(""))
+    return found
 
 
-def digest_groups(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """One row per distinct normalised text: digest, bytes, best, n.
+def _collapsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Merge the sorted runs of a partition: neighbours of equal digest, proof and length become one entry.
 
-    Every document enters as a run entry (digest, byte length, slot, best, 1).
-    In round r the slots that differ in bit r alone exchange their runs; the
-    exchange deals entries by digest, so no task sees more than its range of
-    digests, and equal entries collapse before they travel. What an entry keeps
-    at every level is the least (negated length, id), which is associative:
-    any order of merging, and any retried task, gives the same survivor.
-    Entries only meet where both the SHA-256 and the byte length agree.
+    The first of them is the best one, since the order goes on by length and
+    id. Only the last entry is carried from batch to batch.
+    """
+    held: pd.DataFrame | None = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        new = np.ones(len(pdf), bool)
+        new[1:] = np.logical_or.reduce([pdf[c].to_numpy()[1:] != pdf[c].to_numpy()[:-1] for c in _SAME])
+        first = np.flatnonzero(new)
+        out = pdf.iloc[first].assign(n=np.add.reduceat(pdf["n"].to_numpy(), first))
+        held = out.iloc[-1:]
+        if len(out) > 1:
+            yield out.iloc[:-1]
+    if held is not None:
+        yield held
+
+
+def digest_groups(documents: DataFrame, fan: int = FAN, rounds: int = ROUNDS) -> DataFrame:
+    """One row per distinct normalised text: digest, bytes, no_id, id, n.
+
+    Every input partition sorts its entries and merges equal ones: that is its
+    run. Runs are dealt to slots by partition. In each round the slots of one
+    group exchange their runs: the exchange deals them by group and digest
+    range, every task sorts the run pieces it receives into one sequence and
+    merges it. An entry keeps at every level the least (negated length, id),
+    which is associative: any order of merging, and any retried task, gives
+    the same survivor. Entries are merged only where SHA-256, byte length and
+    a second, independent digest agree, so a clash of digests never joins two
+    texts. A task holds one batch and one entry, however many copies there
+    are; of a text, one entry a partition travels.
     """
     text = normalised(F.col("text"))
     entries = documents.select(
+        F.pmod(F.spark_partition_id(), F.lit(fan**rounds)).cast("int").alias("slot"),
         F.sha2(text, 256).alias("digest"),
+        F.md5(text).alias("proof"),
         F.octet_length(text).cast("long").alias("bytes"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(1 << rounds)).alias("slot"),
-        F.struct(
-            (-F.coalesce(F.length("text"), F.lit(0))).alias("minus_length"),
-            F.col("doc_id").isNull().alias("no_id"),
-            F.col("doc_id").alias("doc_id"),
-        ).alias("best"),
+        (-F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("minus_length"),
+        F.col("doc_id").isNull().alias("no_id"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
         F.lit(1).cast("long").alias("n"),
-    )
-    runs = _merge(entries)
+    ).withColumn("part", F.conv(F.substring("digest", 1, 4), 16, 10).cast("int"))
+    names = [c.split()[0] for c in ENTRY.split(", ")]
+    runs = entries.select(*names).sortWithinPartitions(*_ORDER).mapInPandas(_collapsed, ENTRY)
     for _ in range(rounds):
-        runs = _merge(runs.withColumn("slot", F.shiftright("slot", 1)))
-    return runs.drop("slot")
+        met = runs.withColumn("slot", F.floor(F.col("slot") / fan).cast("int")).repartition("slot", "part")
+        runs = met.sortWithinPartitions(*_ORDER).mapInPandas(_collapsed, ENTRY)
+    return runs.select("digest", "bytes", "no_id", "id", "n")
 
 
 def exact_dedup(documents: DataFrame) -> DataFrame:
@@ -55,16 +87,16 @@ def exact_dedup(documents: DataFrame) -> DataFrame:
 
     Texts are equal when identical after white space is deleted; of equal texts
     the row with the most code points, then the smallest id, stays. Null texts
-    count as empty. Of rows that repeat one id and text every copy counts in
-    group_size and each one bears the same flags; a null id ranks last and a
-    row without id is never kept beside one that has an id. An empty table
-    gives no rows. Columns of the input named like the four new ones are
-    replaced.
+    count as empty; texts of any length count whole. Of rows that repeat one id
+    and text every copy counts in group_size and each one bears the same flags;
+    ties in length go to the smallest id; a null id ranks last and a row
+    without id is never kept beside one that has an id. An empty table gives no
+    rows. Columns of the input named like the four new ones are replaced.
     """
     new = ["keep_id", "group_size", "kept", "text_sha256"]
     groups = digest_groups(documents).select(
         F.col("digest").alias("__digest"), F.col("bytes").alias("__bytes"),
-        F.col("best.doc_id").alias("__keep_id"), F.col("n").alias("__n"),
+        F.when(~F.col("no_id"), F.col("id")).alias("__keep_id"), F.col("n").alias("__n"),
     )
     text = normalised(F.col("text"))
     return (
@@ -90,7 +122,7 @@ def survivors(documents: DataFrame, scratch: Scratch, broadcast_rows: int = BROA
     """
     text = normalised(F.col("text"))
     own = documents.withColumn("__own", F.sha2(text, 256))
-    best = digest_groups(documents).where("n > 1").select("digest", F.col("best.doc_id").alias("keep_id"))
+    best = digest_groups(documents).where("n > 1").select("digest", F.when(~F.col("no_id"), F.col("id")).alias("keep_id"))
     ids = own.select("doc_id", "__own").join(best, F.col("__own") == F.col("digest"))
     copies = ids.groupBy("doc_id", "digest", "keep_id").agg(F.count(F.lit(1)).alias("n"))
     copies = copies.select(

@@ -74,7 +74,7 @@ def mix(documents: DataFrame, scratch: Scratch, seed: str = "mix", weights: tupl
     4096 ticket ranges a source, and only the range in which the cut falls is
     ordered row by row. Null texts have size 0 and take nothing; a null source
     is a source of its own; rows that repeat an id share its place, so a cut
-    never splits them; an empty table gives no rows. Reruns agree. Columns of
+    never splits them; texts of any length count whole; an empty table gives no rows. Reruns agree. Columns of
     the input named like the five new ones are replaced.
     """
     new = ["size", "source_size", "target", "copies", "taken"]
@@ -82,16 +82,17 @@ def mix(documents: DataFrame, scratch: Scratch, seed: str = "mix", weights: tupl
     rows = rows.withColumn("__bucket", F.shiftright("__ticket", 60 - 12))
     ranges = scratch.write(rows.groupBy("source", "__bucket").agg(F.sum("size").alias("words")), "ranges")
     targets = water_fill(ranges.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs, share)
-    targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0).cast("long"))
-    targets = targets.withColumn("need", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
+    # columns of our own have names that no table of documents bears
+    targets = targets.withColumn("__whole", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_epochs))).otherwise(0).cast("long"))
+    targets = targets.withColumn("__need", F.greatest(F.col("target") - F.col("__whole") * F.col("source_size"), F.lit(0.0)))
     targets = targets.withColumnRenamed("source", "__of")
     sums = ranges.join(targets, F.col("source").eqNullSafe(F.col("__of"))).drop("__of")
     up_to = Window.partitionBy("source").orderBy("__bucket")
     sums = sums.withColumn("through", F.sum("words").over(up_to))
     # the cut's range is the first whose running sum reaches the need
-    cuts = sums.groupBy("source", "source_size", "target", "whole", "need").agg(
-        F.min(F.when(F.col("through") >= F.col("need"), F.struct(F.col("__bucket").alias("bucket"), (F.col("through") - F.col("words")).alias("before")))).alias("cut"))
-    cuts = cuts.select(F.col("source").alias("__source"), "source_size", "target", "whole", "need",
+    cuts = sums.groupBy("source", "source_size", "target", "__whole", "__need").agg(
+        F.min(F.when(F.col("through") >= F.col("__need"), F.struct(F.col("__bucket").alias("bucket"), (F.col("through") - F.col("words")).alias("before")))).alias("cut"))
+    cuts = cuts.select(F.col("source").alias("__source"), "source_size", "target", "__whole", "__need",
                        F.col("cut.bucket").alias("__cut"), F.col("cut.before").alias("__before"))
     cuts = scratch.write(cuts, "cuts")
     # one row per source: broadcast while there are few sources, else joined by shuffle
@@ -100,17 +101,17 @@ def mix(documents: DataFrame, scratch: Scratch, seed: str = "mix", weights: tupl
     at_cut = F.col("__bucket") == F.col("__cut")
     inner = (
         rows.select("source", "doc_id", "size", "__ticket", "__bucket").join(
-            hint(cuts.select("__source", "need", "__cut", "__before")),
+            hint(cuts.select("__source", "__need", "__cut", "__before")),
             F.col("source").eqNullSafe(F.col("__source")) & (F.col("__bucket") == F.col("__cut")))
-        .groupBy("__source", "need", "__before", "__ticket").agg(F.sum("size").alias("size"))
+        .groupBy("__source", "__need", "__before", "__ticket").agg(F.sum("size").alias("size"))
         .withColumn("through", F.col("__before") + F.sum("size").over(Window.partitionBy("__source").orderBy("__ticket")))
-        .groupBy("__source").agg(F.max(F.when(2 * F.col("through") - F.col("size") <= 2 * F.col("need"), F.col("__ticket"))).alias("__last"))
+        .groupBy("__source").agg(F.max(F.when(2 * F.col("through") - F.col("size") <= 2 * F.col("__need"), F.col("__ticket"))).alias("__last"))
         .withColumnRenamed("__source", "__inner")
     )
-    extra = F.when(F.col("need") <= 0, False).when(F.col("__cut").isNull(), True).when(at_cut, F.coalesce(F.col("__ticket") <= F.col("__last"), F.lit(False))).otherwise(F.col("__bucket") < F.col("__cut"))
+    extra = F.when(F.col("__need") <= 0, False).when(F.col("__cut").isNull(), True).when(at_cut, F.coalesce(F.col("__ticket") <= F.col("__last"), F.lit(False))).otherwise(F.col("__bucket") < F.col("__cut"))
     return (
         dealt.join(hint(inner), F.col("source").eqNullSafe(F.col("__inner")), "left")
-        .withColumn("copies", F.least(F.col("whole") + F.when(extra, 1).otherwise(0), F.lit(max_epochs)).cast("long"))
+        .withColumn("copies", F.least(F.col("__whole") + F.when(extra, 1).otherwise(0), F.lit(max_epochs)).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("__ticket", "__bucket", "__cut", "__before", "__last", "__inner", "whole", "need")
+        .drop("__ticket", "__bucket", "__cut", "__before", "__last", "__inner", "__whole", "__need")
     )

@@ -48,3 +48,12 @@ def test_all_sources_equal_and_empty_table(spark, empty, scratch):
     assert source_mix.mix(empty, scratch).count() == 0
     one = spark.createDataFrame([(1, None, "en", "a", 0), (2, "", "en", "b", 0)], "doc_id long, text string, lang string, source string, taken long")
     assert [r.taken for r in source_mix.mix(one, Scratch(spark)).collect()] == [0, 0]
+
+
+def test_clashing_columns(documents, spark):
+    names = ["need", "whole", "cut", "through", "words", "weight", "cap", "budget", "copies", "stop", "level"]
+    clash = documents.selectExpr("*", *[f"concat('{n}', doc_id) as {n}" for n in names])
+    plain = {(r.doc_id, r.text): r.taken for r in source_mix.mix(documents, Scratch(spark)).collect()}
+    got = source_mix.mix(clash, Scratch(spark)).collect()
+    assert {(r.doc_id, r.text): r.taken for r in got} == plain
+    assert all(r[n] == (f"{n}{r.doc_id}" if r.doc_id is not None else None) for r in got for n in names if n != "copies")
