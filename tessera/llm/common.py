@@ -57,6 +57,13 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_only(self, *names: str) -> None:
+        """Delete every table but these, once nothing will read the others again."""
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(self.root)
+        self.drop(*[s.getPath().getName() for s in folder.getFileSystem(conf).listStatus(folder) if s.getPath().getName() not in names])
+
     def drop(self, *names: str) -> None:
         """Delete tables that nothing will read again."""
         jvm = self.spark.sparkContext._jvm

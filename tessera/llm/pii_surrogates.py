@@ -142,7 +142,8 @@ def assign(entities: DataFrame, key: str, scratch: Scratch, attempts: int = ATTE
     checks are two joins on the surrogate; nothing but the number of colliding
     entities comes to the driver.
     """
-    entities = scratch.write(entities.select("kind", "entity").distinct(), "entities")
+    # drawing costs more than reading: the entities are dealt over all tasks
+    entities = scratch.write(entities.select("kind", "entity").distinct().repartition("entity"), "entities")
     now = entities.withColumn("attempt", F.lit(0))
     for turn in range(attempts):
         now = scratch.write(now.withColumn("made", surrogate(F.col("kind"), F.col("entity"), F.col("attempt"), key)), f"made{turn}")
@@ -154,6 +155,7 @@ def assign(entities: DataFrame, key: str, scratch: Scratch, attempts: int = ATTE
         )
         bad = scratch.write(bad, f"bad{turn}")
         if not bad.count():
+            scratch.drop("entities", f"bad{turn}", *(f"{x}{k}" for x in ("made", "bad") for k in range(turn)))
             return now.select("kind", "entity", "made")
         now = now.join(bad, ["kind", "entity"], "left").select("kind", "entity", (F.col("attempt") + F.when(F.col("again"), 1).otherwise(0)).alias("attempt"))
     raise ValueError(f"surrogates still collide after {attempts} attempts")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, Scratch, batches_of
 from .components import components
-from .shingles import shingle_set
+from .shingles import overlap, set_digest, shingle_sets
 
 #: A count vector has a power of two of token groups, at least 2 ** LEAST_BITS and at most PER_GROUP shingles to a group on average.
 LEAST_BITS, PER_GROUP = 8, 8
@@ -21,7 +20,7 @@ FULL = 255
 #: Two sets are linked where NUM * |union| <= DEN * |intersection|.
 NUM, DEN = 4, 5
 #: Points of a leaf, children of a node, most points of one tree.
-LEAF, FANOUT, TREE = 16, 8, 4096
+LEAF, FANOUT, TREE = 16, 8, 1024
 #: A row of a cell names so many cells of its node that come before; a pair that meets in one of them isn't reported again.
 EARLIER = 8
 #: Rows of an Arrow batch that hold one whole text, or two.
@@ -32,13 +31,8 @@ LEADERS = 2
 HOT_SAMPLE, HOT_LEAST, HOT_KEPT = 64, 4, 100_000
 
 
-def node_of(shingles: np.ndarray) -> int:
-    """Number of a set: equal sets, and only they, share it (64 bits of a digest)."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
-
-
 def count_vector(shingles: np.ndarray) -> bytes:
-    """Shingles per hashed group, one byte each; counts from FULL on are FULL. Larger sets have more groups."""
+    """Shingles per hashed group, one byte each; counts from FULL on are FULL. Larger sets have more groups. Takes the first row of a set."""
     bits = max(LEAST_BITS, int(np.ceil(np.log2(max(1, len(shingles)) / PER_GROUP))))
     groups = np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return np.minimum(groups, FULL).astype(np.uint8).tobytes()
@@ -98,7 +92,7 @@ def frequent_shingles(documents: DataFrame) -> np.ndarray:
     """Sorted shingles that a sample of the documents finds frequent; at most HOT_KEPT of them."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sets = [shingle_set(t) for t in pdf["text"]]
+            sets = [s[0] for s in shingle_sets(pdf["text"].tolist())]
             values, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
             yield pd.DataFrame({"s": values.view(np.int64), "n": n.astype(np.int64)})
 
@@ -109,20 +103,19 @@ def frequent_shingles(documents: DataFrame) -> np.ndarray:
 
 
 def features(documents: DataFrame) -> DataFrame:
-    """doc_id, n, node, keys, counts of every document; sets of no shingle have n = 0 and no keys."""
+    """doc_id, n, digest, keys, counts of every document; sets of no shingle have n = 0 and no keys. Equal sets, and only they, share their 128-bit digest."""
     hot = documents.sparkSession.sparkContext.broadcast(frequent_shingles(documents))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sets = [shingle_set(t if isinstance(t, str) else None) for t in pdf["text"]]
+            sets = shingle_sets([t if isinstance(t, str) else None for t in pdf["text"]])
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"].astype("Int64"), "n": np.array([len(s) for s in sets], np.int64),
-                "node": np.array([node_of(s) for s in sets], np.int64),
-                "keys": [prefix(s, hot.value).view(np.int64) for s in sets], "counts": [count_vector(s) for s in sets],
+                "doc_id": pdf["doc_id"].astype("Int64"), "n": np.array([s.shape[1] for s in sets], np.int64), "digest": [set_digest(s) for s in sets],
+                "keys": [prefix(s[0], hot.value).view(np.int64) for s in sets], "counts": [count_vector(s[0]) for s in sets],
             })
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInPandas(describe, "doc_id long, n long, node long, keys array<long>, counts binary")
+    return rows.mapInPandas(describe, "doc_id long, n long, digest binary, keys array<long>, counts binary")
 
 
 # ---- the tree
@@ -274,31 +267,30 @@ def _small(df: DataFrame, rows: int = BROADCAST_ROWS):
 
 
 def _verified(pairs: DataFrame, documents: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b, doc_a, doc_b) whose whole texts are linked, as a, b."""
+    """The pairs (a, b, doc_a, doc_b, set_a, set_b) whose whole texts are linked, as a, b."""
     pairs = scratch.write(pairs, f"{name}-pairs")
-    right = scratch.write(pairs.select("b", "doc_b").distinct(), f"{name}-right")
+    right = scratch.write(pairs.select("b", "doc_b", "set_b").distinct(), f"{name}-right")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    left = texts.join(_small(pairs.select("a", "b", "doc_a")), F.col("doc_id") == F.col("doc_a")).select("a", "b", F.col("text").alias("text_a"))
-    right = texts.join(_small(right), F.col("doc_id") == F.col("doc_b")).select("b", F.col("text").alias("text_b"))
+    left = texts.join(_small(pairs.select("a", "b", "doc_a", "set_a")), F.col("doc_id") == F.col("doc_a")).select("a", "b", "set_a", F.col("text").alias("text_a"))
+    right = texts.join(_small(right), F.col("doc_id") == F.col("doc_b")).select("b", "set_b", F.col("text").alias("text_b"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
         for pdf in batches:
+            # the rows of one b follow each other: its text is cut once
+            number = {t: k for k, t in enumerate(dict.fromkeys([*pdf["text_a"], *pdf["text_b"]]))}
+            sets = shingle_sets(list(number))
+            names = [set_digest(s) for s in sets]
             keep = []
-            for a, b, text_a, text_b in zip(pdf["a"], pdf["b"], pdf["text_a"], pdf["text_b"], strict=True):
-                if b not in held:
-                    if len(held) >= 32:
-                        held.clear()
-                    own = shingle_set(text_b)
-                    held[b] = own if node_of(own) == b else own[:0]
-                x, y = shingle_set(text_a), held[b]
+            for text_a, text_b, set_a, set_b in zip(pdf["text_a"], pdf["text_b"], pdf["set_a"], pdf["set_b"], strict=True):
+                i, j = number[text_a], number[text_b]
                 # an id that repeats with another text brings a set that isn't the node's
-                both = len(np.intersect1d(x, y, assume_unique=True)) if len(y) and node_of(x) == a else 0
-                keep.append(both > 0 and DEN * both >= NUM * (len(x) + len(y) - both))
+                both = overlap(sets[i], sets[j]) if names[i] == set_a and names[j] == set_b else 0
+                keep.append(both > 0 and DEN * both >= NUM * (sets[i].shape[1] + sets[j].shape[1] - both))
             yield pdf.loc[keep, ["a", "b"]]
 
     with batches_of(documents.sparkSession, PAIR_BATCH):
-        return scratch.write(left.join(right, "b").select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long").distinct(), name)
+        joined = left.join(right, "b").select("a", "b", "set_a", "set_b", "text_a", "text_b")
+        return scratch.write(joined.mapInPandas(check, "a long, b long").distinct(), name)
 
 
 def near_duplicates(documents: DataFrame, scratch: Scratch) -> DataFrame:
@@ -329,10 +321,11 @@ def near_duplicates(documents: DataFrame, scratch: Scratch) -> DataFrame:
     with batches_of(documents.sparkSession, TEXT_BATCH):
         every = scratch.write(features(documents).withColumn("row", F.monotonically_increasing_id()), "features")
     full = every.where("n > 0")
-    reps = scratch.write(full.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min_by("row", "doc_id").alias("rep_row")), "reps")
+    # a node is known by the number of one of its rows, so no two nodes can share it
+    reps = scratch.write(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("node")), "reps")
     # one row of each node stays, also where rows are repeated with their ids
-    copies = scratch.write(full.select("row", "node").join(reps, "node").where("row <> rep_row").select(F.col("row").alias("__row")), "copies")
-    points = full.join(_small(copies), F.col("row") == F.col("__row"), "left_anti").dropna(subset=["doc_id"])
+    copies = scratch.write(full.select("row", "digest").join(reps, "digest").where("row <> node").select(F.col("row").alias("__row")), "copies")
+    points = full.join(_small(copies), F.col("row") == F.col("__row"), "left_anti").dropna(subset=["doc_id"]).withColumnRenamed("row", "node")
     keys = points.select(F.explode("keys").alias("key"), "node", "n").repartition("key")
     shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size")).where("first <> last").select("key", "size")
     members = scratch.write(keys.join(shared, "key").select("key", "node", "n", "size"), "members")
@@ -374,9 +367,10 @@ def near_duplicates(documents: DataFrame, scratch: Scratch) -> DataFrame:
 
     groups = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = scratch.write(groups.join(first, "root").select("node", "component_id"), "classes")
-    bare = every.select("doc_id", "n", "node")
-    linked = bare.where("n > 0").join(classes, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    classes = scratch.write(groups.join(first, "root").select("digest", "component_id"), "classes")
+    scratch.keep_only("features", "classes")
+    bare = every.select("doc_id", "n", "digest")
+    linked = bare.where("n > 0").join(classes, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = bare.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
@@ -390,26 +384,28 @@ def _placed(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _with_docs(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs with a document of each node."""
-    ids = points.select("node", "doc_id")
-    pairs = pairs.join(ids.select(F.col("node").alias("a"), F.col("doc_id").alias("doc_a")), "a")
-    return pairs.join(ids.select(F.col("node").alias("b"), F.col("doc_id").alias("doc_b")), "b").select("a", "b", "doc_a", "doc_b").dropDuplicates(["a", "b"])
+    """Pairs with a document of each node and the digests of their sets."""
+    for side in ("a", "b"):
+        pairs = pairs.join(points.select(F.col("node").alias(side), F.col("doc_id").alias(f"doc_{side}"), F.col("digest").alias(f"set_{side}")), side)
+    return pairs.select("a", "b", "doc_a", "doc_b", "set_a", "set_b")
 
 
 def _allowed(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs (a, b) that their count vectors allow, with a document of each node: a, b, doc_a, doc_b."""
-    facts = points.select("node", "doc_id", "n", "counts")
+    """Pairs (a, b) that their count vectors allow, with a document and the set digest of each node."""
+    facts = points.select("node", "doc_id", "n", "counts", "digest")
     for side in ("a", "b"):
-        pairs = pairs.join(facts.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "counts"))), side)
+        pairs = pairs.join(facts.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "counts", "digest"))), side)
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
                 limit = pair_bounds(pdf["counts_a"].tolist(), pdf["counts_b"].tolist())
                 ok = (NUM + DEN) * limit >= NUM * (pdf["n_a"] + pdf["n_b"]).to_numpy()
-                yield pdf.loc[ok, ["a", "b", "doc_id_a", "doc_id_b"]].rename(columns={"doc_id_a": "doc_a", "doc_id_b": "doc_b"})
+                names = {"doc_id_a": "doc_a", "doc_id_b": "doc_b", "digest_a": "set_a", "digest_b": "set_b"}
+                yield pdf.loc[ok, ["a", "b", *names]].rename(columns=names)
 
-    return pairs.select("a", "b", "n_a", "n_b", "counts_a", "counts_b", "doc_id_a", "doc_id_b").mapInPandas(keep, "a long, b long, doc_a long, doc_b long")
+    schema = "a long, b long, doc_a long, doc_b long, set_a binary, set_b binary"
+    return pairs.select("a", "b", "n_a", "n_b", "counts_a", "counts_b", "doc_id_a", "doc_id_b", "digest_a", "digest_b").mapInPandas(keep, schema)
 
 
 def one_of_each(documents: DataFrame, scratch: Scratch) -> DataFrame:
@@ -419,4 +415,5 @@ def one_of_each(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """
     found = near_duplicates(documents, scratch)
     gone = scratch.write(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    scratch.keep_only("gone")
     return documents.join(_small(gone), F.col("doc_id") == F.col("__gone"), "left_anti")

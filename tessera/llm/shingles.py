@@ -1,11 +1,19 @@
-"""Word shingles of whole texts as 64-bit numbers, in numpy."""
+"""Word shingles of whole texts as 128-bit numbers, in numpy."""
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
 import numpy as np
 
+from .units import SWEEP, Units, sweeps
+
 WORDS = 5
-_MASK = (1 << 64) - 1
+#: Words of a shingle are told apart by 128-bit digests; a set of shingles is named by one.
+DIGEST = 16
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -19,53 +27,72 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE, _UNBASE = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
-_PLACE = mix(np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(name: str, base: int, n: int) -> np.ndarray:
-    """base ** 0..n-1 modulo 2 ** 64; kept, since most texts are short."""
-    held = _POWERS.get(name)
-    if held is None or len(held) < n:
-        size = max(n, 1 << 17)
-        held = np.empty(size, np.uint64)
-        held[0] = 1
-        done = 1
-        while done < size:
-            step = min(done, size - done)
-            held[done : done + step] = held[:step] * np.uint64(pow(base, done, 1 << 64))
-            done += step
-        if size <= 1 << 21:
-            _POWERS[name] = held
-    return held[:n]
-
-
-def word_hashes(text: str) -> np.ndarray:
-    """One number per word of the text, A-Z in lower case."""
-    data = np.frombuffer(text.encode("utf-8", "replace").lower(), np.uint8)
-    blank = _SPACE[data]
-    edge = np.flatnonzero(np.diff(blank.astype(np.int8), prepend=1, append=1))
-    begin, end = edge[::2], edge[1::2]
-    if not len(begin):
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers("up", _BASE, len(data)), out=sums[1:])
-    return mix((sums[end] - sums[begin]) * _powers("down", _UNBASE, len(data))[begin] + (end - begin).astype(np.uint64))
+#: Odd factors of the places in a shingle, one row for each half of a word's digest.
+_PLACE = mix(np.arange(1, 2 * WORDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)).reshape(2, WORDS) | np.uint64(1)
+
+
+def _totals(words: np.ndarray, size: int) -> np.ndarray:
+    """128 bits, as two rows, for each run of ``size`` words, from both halves of their digests."""
+    n = len(words) - size + 1
+    total = np.full((2, n), size, np.uint64)
+    for k in range(size):
+        left, right = words[k : k + n].T
+        # one half enters through a mixer, so no sum is linear in the digests
+        total[0] += left * _PLACE[0, k] + mix(right + _PLACE[1, k])
+        total[1] += right * _PLACE[1, k] + mix(left + _PLACE[0, k])
+    return mix(total)
+
+
+def _distinct(shingles: np.ndarray) -> np.ndarray:
+    first = np.unique(shingles[0], return_index=True)[1]
+    return shingles[:, first]
+
+
+def _sets(texts: list[str], units: Units) -> list[np.ndarray]:
+    """shingle_sets of the texts of one sweep. Each distinct word is digested once."""
+    coded = [t.encode("utf-8", "replace").lower() for t in texts]
+    joined = b"\n".join(coded) + b"\n"
+    data = np.frombuffer(joined, np.uint8)
+    edge = np.flatnonzero(np.diff(_SPACE[data].view(np.int8), prepend=1, append=1))
+    starts, ends = edge[::2], edge[1::2]
+    if not len(starts):
+        return [np.zeros((2, 0), np.uint64) for _ in texts]
+    first, kind = units.distinct(data, starts, ends)
+    digests = b"".join([hashlib.blake2b(joined[x:y], digest_size=DIGEST).digest() for x, y in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+    words = np.frombuffer(digests, np.uint64).reshape(-1, 2)[kind]
+    runs = _totals(words, WORDS) if len(words) >= WORDS else None
+    stops = np.searchsorted(starts, np.cumsum([len(c) + 1 for c in coded])).tolist()
+    out = []
+    for x, y in zip([0, *stops], stops, strict=False):
+        if y - x >= WORDS:
+            out.append(_distinct(runs[:, x : y - WORDS + 1]))
+        else:
+            out.append(_totals(words[x:y], y - x) if y > x else np.zeros((2, 0), np.uint64))
+    return out
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Distinct shingles of WORDS words of each text, 128 bits as two rows, sorted by the first; a shorter text is one shingle, an empty one has none."""
+    units = _units()
+    return [s for sweep in sweeps([t or "" for t in texts], SWEEP // 2) for s in _sets(sweep, units)]
+
+
+@lru_cache(maxsize=1)
+def _units() -> Units:
+    return Units()
 
 
 def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct shingles of WORDS words; a shorter text is one shingle, an empty one has none."""
-    words = word_hashes(text or "")
-    if not len(words):
-        return words
-    if len(words) < WORDS:
-        return mix(np.array([(words * _PLACE[: len(words)]).sum() + np.uint64(len(words))], np.uint64))
-    n = len(words) - WORDS + 1
-    total = np.zeros(n, np.uint64)
-    for k in range(WORDS):
-        total += words[k : k + n] * _PLACE[k]
-    return np.unique(mix(total + np.uint64(WORDS)))
+    """The shingles of one text."""
+    return shingle_sets([text])[0]
+
+
+def set_digest(shingles: np.ndarray) -> bytes:
+    """Name of a set of shingles."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=DIGEST).digest()
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of shingles that two sets share, all 128 bits compared."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    return int((a[1][i] == b[1][j]).sum())

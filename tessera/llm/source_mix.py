@@ -95,6 +95,7 @@ def mix(documents: DataFrame, scratch: Scratch, seed: str = "mix", weights: tupl
     cuts = cuts.select(F.col("source").alias("__source"), "source_size", "target", "__whole", "__need",
                        F.col("cut.bucket").alias("__cut"), F.col("cut.before").alias("__before"))
     cuts = scratch.write(cuts, "cuts")
+    scratch.keep_only("cuts")
     # one row per source: broadcast while there are few sources, else joined by shuffle
     hint = F.broadcast if cuts.count() <= BROADCAST_SOURCES else (lambda df: df)
     dealt = rows.join(hint(cuts), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")

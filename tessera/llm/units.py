@@ -46,9 +46,8 @@ class Units:
         keys = keys * np.uint64(64) + np.minimum(size, 63).astype(np.uint64)
         _, first, kind = np.unique(keys, return_index=True, return_inverse=True)
         if len(starts) and not self._same(points, starts, size, first[kind]):
-            text = points.tobytes()
             seen: dict[bytes, int] = {}
-            kind = np.array([seen.setdefault(text[4 * a : 4 * b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+            kind = np.array([seen.setdefault(points[a:b].tobytes(), len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
             first = np.unique(kind, return_index=True)[1]
         return first, kind
 
