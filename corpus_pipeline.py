@@ -59,6 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.write(stage(spark, docs, sf_dir), f"stage{k}")
-        if k > 1:
+        if k:
             scratch.drop(f"stage{k - 1}")
     return docs
