@@ -7,16 +7,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .bpe_tables import PairTable, merge_all
-from .units import Remembered, Units, code_points, gathered, sweeps
+from .units import Remembered, Units, array_sweeps, code_points, gathered
 
 SPACE = "▁"
 #: Units of one generation that a task remembers, and letters up to which a unit is remembered.
-REMEMBERED, SHORT = 120_000, 64
+REMEMBERED, SHORT = 60_000, 64
+#: Code points that are encoded at once; bounds the memory of a worker.
+CODED = 300_000
 #: Code points of a text that the library encodes whole in each Arrow batch, besides every new unit.
 WHOLE = 4096
 
@@ -49,7 +51,7 @@ class Codec:
         for b, i in enumerate(self.byte_id.tolist()):
             self.bytes_of[i] = bytes([b])
         # symbols: ids of the vocabulary, then one for each code point without a piece of its own
-        self.symbol_of = np.arange(n, n + 0x110000, dtype=np.int64)
+        self.symbol_of = np.arange(n, n + 0x110000, dtype=np.int32)
         for piece, i in ids.items():
             if len(piece) == 1:
                 self.symbol_of[ord(piece)] = i
@@ -97,7 +99,7 @@ class Codec:
     def _merged(self, units: list[str]) -> list[np.ndarray]:
         """Ids of units; the library's own ids of each that starts with a space mark must be the same."""
         lengths = np.array([len(u) for u in units], np.int64)
-        flat, sizes = self._spelled(*merge_all(self.symbol_of[code_points("".join(units))], lengths, self.table))
+        flat, sizes = self._spelled(*merge_all(self.symbol_of[code_points("".join(units))].astype(np.int64), lengths, self.table))
         flat = flat.astype(np.int32)
         ends = np.cumsum(sizes).tolist()
         out = [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
@@ -165,19 +167,18 @@ class Codec:
         """Let go of the units that texts have brought."""
         self.memory = Remembered(REMEMBERED)
 
-    def coded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, int, str, str]]:
-        """(ids, n_tokens, ids_sha256, decoded_sha256) of each text, in sweeps of bounded size; count and digests are those of the ids."""
-        for turn, sweep in enumerate(sweeps(texts)):
-            found = self.encode_all(sweep)
-            if self.check and turn == 0:
-                # ids that the library gives and the text that it decodes them to
-                k = next((k for k, t in enumerate(sweep) if 0 < len(t) <= WHOLE), None)
-                if k is not None and (self.library.encode(sweep[k], add_eos=True) != (ids := found[k].tolist()) or self.library.decode(ids) != self.decode(ids)):
-                    raise ValueError(f"codec and library differ on {sweep[k][:200]!r}")
-            for row in found:
-                ids = row.tolist()
-                joined = " ".join([self.names[i] for i in ids])
-                yield row, len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(self.decoded(ids)).hexdigest()
+    def coded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str, str]]:
+        """(ids, ids_sha256, decoded_sha256) of each text of one sweep; the digests are those of the ids."""
+        found = self.encode_all(texts)
+        if self.check:
+            # ids that the library gives and the text that it decodes them to
+            k = next((k for k, t in enumerate(texts) if 0 < len(t) <= WHOLE), None)
+            if k is not None and (self.library.encode(texts[k], add_eos=True) != (ids := found[k].tolist()) or self.library.decode(ids) != self.decode(ids)):
+                raise ValueError(f"codec and library differ on {texts[k][:200]!r}")
+        for row in found:
+            ids = row.tolist()
+            joined = " ".join([self.names[i] for i in ids])
+            yield row, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(self.decoded(ids)).hexdigest()
 
 
 @lru_cache(maxsize=1)
@@ -186,8 +187,36 @@ def codec(model_file: str) -> Codec:
     return Codec(model_file)
 
 
-def _strings(texts: pd.Series) -> list[str]:
-    return [t if isinstance(t, str) else "" for t in texts]
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    """Arrow lists of ids."""
+    ends = np.cumsum([0, *map(len, rows)])
+    if ends[-1] >= 1 << 31:
+        raise ValueError("a batch has more than 2 ** 31 ids")
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32()))
+
+
+def _coded(batches: Iterator[pa.Array], model_file: str, with_ids: bool) -> Iterator[pa.Array]:
+    """Structs for every Arrow batch of texts. Only one sweep of a batch is held as Python strings at a time."""
+    own = codec(model_file)
+    try:
+        for batch in batches:
+            parts, sizes, first, second = [], [], [], []
+            for texts in array_sweeps(batch, CODED):
+                rows = list(own.coded(texts))
+                sizes += [len(r[0]) for r in rows]
+                first += [r[1] for r in rows]
+                second += [r[2] for r in rows]
+                if with_ids:
+                    parts.append(_lists([r[0] for r in rows]))
+            columns = [pa.array(sizes, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
+            names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns.insert(0, pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32())))
+                names.insert(0, "ids")
+            yield pa.StructArray.from_arrays(columns, names)
+    finally:
+        own.release()
+        pa.default_memory_pool().release_unused()
 
 
 def digest_column(text: Column, model_file: str) -> Column:
@@ -199,14 +228,9 @@ def digest_column(text: Column, model_file: str) -> Column:
     that a task has met are let go at its end.
     """
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def digest(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = codec(model_file)
-        try:
-            for texts in batches:
-                yield pd.DataFrame([row[1:] for row in own.coded(_strings(texts))], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-        finally:
-            own.release()
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _coded(batches, model_file, False)
 
     return digest(text)
 
@@ -214,40 +238,25 @@ def digest_column(text: Column, model_file: str) -> Column:
 def coded_column(text: Column, model_file: str) -> Column:
     """struct(ids, n_tokens, ids_sha256, decoded_sha256) of every text, otherwise like digest_column."""
 
-    @F.pandas_udf("ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = codec(model_file)
-        try:
-            for texts in batches:
-                yield pd.DataFrame(list(own.coded(_strings(texts))), columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
-        finally:
-            own.release()
+    @F.arrow_udf("ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _coded(batches, model_file, True)
 
     return encode(text)
 
 
 def id_column(text: Column, model_file: str) -> Column:
     """array<int> of every text's ids with the end id."""
-
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(model_file)
-        try:
-            for texts in batches:
-                yield pd.Series([ids for sweep in sweeps(_strings(texts)) for ids in own.encode_all(sweep)], dtype=object)
-        finally:
-            own.release()
-
-    return encode(text)
+    return coded_column(text, model_file)["ids"]
 
 
 def text_column(ids: Column, model_file: str) -> Column:
-    """Text of every array of ids."""
+    """Text of every array of ids; null stays."""
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(model_file)
         for rows in batches:
-            yield pd.Series([own.decode([int(i) for i in r]) if r is not None else None for r in rows])
+            yield pa.array([own.decode(r.as_py()) if r.is_valid else None for r in rows], pa.string())
 
     return decode(ids)

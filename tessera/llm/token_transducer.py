@@ -7,19 +7,19 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .units import Remembered, Units, code_points, sweeps
+from .units import Remembered, Units, array_sweeps, code_points, sweeps
 
 # Fixed values of the byte-level format: the split pattern that the machine of pretokens implements, and the code points that stand for bytes.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 #: Code points of a chunk; states and transitions that the counting machine keeps; border tests that it keeps; pretokens of one generation that a task remembers.
-CHUNK, STATES, ARCS, FITS, REMEMBERED, SHORT = 128, 150_000, 600_000, 500_000, 120_000, 64
+CHUNK, STATES, ARCS, FITS, REMEMBERED, SHORT = 128, 150_000, 600_000, 500_000, 80_000, 64
 
 # Input classes and states of the machine of pretokens.
 LETTER, ALONE, R, V, L, E, NUMBER, OTHER, QUOTE, BLANK, WHITE, RESET = range(12)
@@ -343,13 +343,14 @@ def count_column(text: Column, json_file: str) -> Column:
     a task has met are let go at its end.
     """
 
-    @F.pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = transducer(json_file)
         try:
-            for texts in batches:
-                yield pd.Series(own.counts([t if isinstance(t, str) else "" for t in texts]), dtype="int64")
+            for batch in batches:
+                yield pa.array([n for texts in array_sweeps(batch) for n in own.counts(texts)], pa.int64())
         finally:
             own.release()
+            pa.default_memory_pool().release_unused()
 
     return count(text)

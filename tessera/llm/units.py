@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Code points that are handled at once; bounds the memory of every array here.
-SWEEP = 1_000_000
+SWEEP = 500_000
 _STEP = 0xD1342543DE82EF95
 _BACK = pow(_STEP, -1, 1 << 64)
 
@@ -85,6 +87,19 @@ def sweeps(texts: list[str], size: int = SWEEP) -> Iterator[list[str]]:
         yield held
 
 
+def array_sweeps(texts: pa.Array, size: int = SWEEP) -> Iterator[list[str]]:
+    """The texts of an Arrow array, null as empty, in sweeps: only one sweep exists as Python strings at a time."""
+    lengths = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > start and total + n > size:
+            yield [t or "" for t in texts.slice(start, i - start).to_pylist()]
+            start, total = i, 0
+        total += n
+    if start < len(lengths):
+        yield [t or "" for t in texts.slice(start).to_pylist()]
+
+
 class Remembered:
     """Two generations of a mapping: what is met again outlives a change of generation, the rest is let go.
 
