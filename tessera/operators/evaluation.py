@@ -113,27 +113,82 @@ def turnover(bucketed: DataFrame) -> DataFrame:
     return daily.groupBy("bucket").agg(F.avg("t").alias("turnover"))
 
 
-def stability(pairs: DataFrame, folds: int = 3, least_dates: int = 20) -> DataFrame:
-    """Rank IC and long-short mean of contiguous folds of dates, with a status each."""
-    dates = pairs.select("trade_date").distinct().withColumn("fold", F.ntile(folds).over(Window.orderBy("trade_date")))
-    ic = daily_ic(pairs).select("trade_date", "rank_ic")
-    spread = long_short(with_bucket(pairs, 5), 5)
-    by_fold = ic.join(spread, "trade_date").join(F.broadcast(dates), "trade_date").groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n_dates"), F.avg("rank_ic").alias("rank_ic_mean"), F.avg("long_short").alias("long_short_mean"))
-    good = (F.col("rank_ic_mean") > 0) & (F.col("long_short_mean") > 0)
-    return by_fold.withColumn("status", F.when(F.col("n_dates") < least_dates, "insufficient").when(good, "positive").otherwise("negative"))
-
-
-def screen(summary: DataFrame, least_dates: int = 20, ic: float = 0.02, ir: float = 0.2) -> DataFrame:
-    """candidate, watch or rejected with the reasons: few dates, weak rank IC, weak ratio, no spread."""
-    reasons = F.filter(F.array(
-        F.when(F.col("n_dates") < least_dates, "few_dates"),
-        F.when(F.coalesce(F.abs("rank_ic_mean") < ic, F.lit(True)), "weak_rank_ic"),
-        F.when(F.coalesce(F.abs("rank_ic_ir") < ir, F.lit(True)), "weak_ir"),
-        F.when(F.coalesce(F.col("long_short_mean") <= 0, F.lit(True)), "no_spread"),
-    ), lambda x: x.isNotNull())
-    status = F.when(F.size("reasons") == 0, "candidate").when((F.size("reasons") == 1) & ~F.array_contains("reasons", "few_dates"), "watch").otherwise("rejected")
-    return summary.withColumn("reasons", reasons).withColumn("status", status)
+def spread_turnover(bucketed: DataFrame, groups: int, key: str) -> DataFrame:
+    """key, long_short_turnover: mean of the top and the bottom bucket's turnover, by a key.
+
+    Of two equal-weighted sets with n and m names of which k are in both, the
+    turnover is ((n - k) / n + (m - k) / m + k |1/m - 1/n|) / 2, so each name
+    only needs its row before. Keys with one date have none (0).
+    """
+    dates = bucketed.select(key, "trade_date").distinct().withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy("trade_date")))
+    ends = bucketed.where(F.col("bucket").isin(1, groups)).join(F.broadcast(dates), [key, "trade_date"])
+    before = Window.partitionBy(key, "symbol").orderBy("_i")
+    stays = (F.lag("_i").over(before) == F.col("_i") - 1) & (F.lag("bucket").over(before) == F.col("bucket"))
+    sizes = ends.withColumn("_k", F.coalesce(stays, F.lit(False))).groupBy(key, "bucket", "_i").agg(F.count(F.lit(1)).alias("m"), F.count_if("_k").alias("k"))
+    sizes = sizes.withColumn("n", F.lag("m").over(Window.partitionBy(key, "bucket").orderBy("_i")))
+    each = ((F.col("n") - F.col("k")) / F.col("n") + (F.col("m") - F.col("k")) / F.col("m") + F.col("k") * F.abs(1.0 / F.col("m") - 1.0 / F.col("n"))) / 2
+    by_bucket = sizes.groupBy(key, "bucket").agg(F.coalesce(F.avg(each), F.lit(0.0)).alias("t"))
+    return by_bucket.groupBy(key).agg((F.sum("t") / 2).alias("long_short_turnover"))
+
+
+def stability(panel: DataFrame, x: str, y: str, groups: int, folds: int = 3, least_dates: int = 20) -> DataFrame:
+    """Consecutive folds of all dates, each evaluated for itself, with the verdict over all of them.
+
+    watch where a fold has too few valid dates, unstable where one has no
+    positive rank IC or no positive spread, else stable.
+    """
+    if folds < 2:
+        raise ValueError("stability needs two folds or more")
+    dates = panel.select("trade_date").distinct().withColumn("fold", F.ntile(folds).over(Window.orderBy("trade_date")))
+    bucketed = with_bucket(complete_pairs(panel, x, y, groups), groups).join(F.broadcast(dates), "trade_date")
+    daily = daily_ic(bucketed).join(long_short(bucketed, groups), "trade_date").join(F.broadcast(dates), "trade_date")
+    each = daily.groupBy("fold").agg(
+        F.count("ic").alias("n_dates"), F.avg("rank_ic").alias("rank_ic_mean"), ratio(F.avg("rank_ic"), F.stddev_samp("rank_ic")).alias("rank_ic_ir"), F.avg("long_short").alias("long_short_return"))
+    spans = dates.groupBy("fold").agg(F.min("trade_date").alias("start_date"), F.max("trade_date").alias("end_date"))
+    out = spans.join(each, "fold", "left").join(spread_turnover(bucketed, groups, "fold"), "fold", "left").fillna(0, ["n_dates"])
+    whole = Window.partitionBy()  # one row a fold
+    usable = F.count_if(F.col("n_dates") >= least_dates).over(whole)
+    bad = F.coalesce(F.col("rank_ic_mean") <= 0, F.lit(True)) | F.coalesce(F.col("long_short_return") <= 0, F.lit(True))
+    failing = F.count_if((F.col("n_dates") >= least_dates) & bad).over(whole)
+    status = F.when(usable < folds, "watch").when(failing > 0, "unstable").otherwise("stable")
+    reason = (
+        F.when(usable < folds, F.format_string(f"only %d/{folds} folds have at least {least_dates} valid dates", usable))
+        .when(failing > 0, F.format_string("%d/%d folds have non-positive RankIC or long-short return", failing, usable))
+        .otherwise("all usable consecutive folds have positive RankIC and long-short return")
+    )
+    return out.withColumns({"status": status, "reason": reason})
+
+
+# The limits of the screen.
+REJECT_DATES, CANDIDATE_DATES, CANDIDATE_IC, CANDIDATE_IR, MOST_TURNOVER = 60, 120, 0.02, 0.15, 0.80
+
+
+def screen(summary: DataFrame) -> DataFrame:
+    """rejected, watch or candidate with the reasons.
+
+    Rejected are factors of fewer than 60 dates or without a positive rank IC,
+    ratio or spread; of the others those that miss a limit of the candidates
+    (120 dates, rank IC 0.02, ratio 0.15, turnover 0.80) are watched.
+    """
+    positive = lambda c: F.coalesce(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) & (F.col(c) > 0), F.lit(False))
+    rejections = F.array_compact(F.array(
+        F.when(F.col("n_dates") < REJECT_DATES, F.format_string(f"only %d valid evaluation dates; need at least {REJECT_DATES}", "n_dates")),
+        F.when(~positive("rank_ic_mean"), "RankIC must be finite and positive"),
+        F.when(~positive("rank_ic_ir"), "RankIC IR must be finite and positive"),
+        F.when(~positive("long_short_mean"), "long-short return must be finite and positive"),
+    ))
+    turnover_of = F.col("long_short_turnover")
+    doubts = F.array_compact(F.array(
+        F.when(F.col("n_dates") < CANDIDATE_DATES, F.format_string(f"only %d dates; need {CANDIDATE_DATES} for candidate status", "n_dates")),
+        F.when(F.col("rank_ic_mean") < CANDIDATE_IC, F.format_string("RankIC %.4f is below 0.0200", "rank_ic_mean")),
+        F.when(F.col("rank_ic_ir") < CANDIDATE_IR, F.format_string("RankIC IR %.4f is below 0.1500", "rank_ic_ir")),
+        F.when(turnover_of.isNull() | F.isnan(turnover_of), "long-short turnover is unavailable").when(turnover_of > MOST_TURNOVER, F.format_string("long-short turnover %.2f exceeds 0.80", turnover_of)),
+    ))
+    good = F.array(F.lit("passes the pre-OOS factor screen; rolling OOS validation is still required"))
+    return summary.withColumns({"_no": rejections, "_maybe": doubts}).withColumns({
+        "status": F.when(F.size("_no") > 0, "rejected").when(F.size("_maybe") > 0, "watch").otherwise("candidate"),
+        "reasons": F.when(F.size("_no") > 0, F.col("_no")).when(F.size("_maybe") > 0, F.col("_maybe")).otherwise(good),
+    }).drop("_no", "_maybe")
 
 
 def score_buckets(df: DataFrame, score: str, label: str, groups: int = 10) -> DataFrame:
@@ -165,16 +220,17 @@ def expand_factors(panel: DataFrame, names: list[str], label: str) -> DataFrame:
 
 
 def ic_by_factor(long: DataFrame, least: int, groups: int = 5) -> DataFrame:
-    """IC, rank IC and long-short means of many factors at once."""
+    """IC, rank IC, long-short mean and turnover of many factors at once."""
     by_date = Window.partitionBy("factor", "trade_date")
     kept = long.withColumn("_n", F.count(F.lit(1)).over(by_date)).where(F.col("_n") >= least)
     place = F.row_number().over(by_date.orderBy("x", "symbol"))
     ranked = kept.withColumns({
         "_rx": average_rank("x", "factor", "trade_date"), "_ry": average_rank("y", "factor", "trade_date"),
-        "_b": F.greatest(F.lit(1), F.least(F.lit(groups), F.ceil(place * groups / F.col("_n")))),
+        "bucket": F.greatest(F.lit(1), F.least(F.lit(groups), F.ceil(place * groups / F.col("_n")))),
     })
-    side = lambda b: F.avg(F.when(F.col("_b") == b, F.col("y")))
+    side = lambda b: F.avg(F.when(F.col("bucket") == b, F.col("y")))
     daily = ranked.groupBy("factor", "trade_date").agg(_corr("x", "y").alias("ic"), _corr("_rx", "_ry").alias("rank_ic"), (side(groups) - side(1)).alias("ls"))
-    return daily.groupBy("factor").agg(
+    means = daily.groupBy("factor").agg(
         F.avg("ic").alias("ic_mean"), F.avg("rank_ic").alias("rank_ic_mean"), ratio(F.avg("rank_ic"), F.stddev_samp("rank_ic")).alias("rank_ic_ir"),
-        F.avg("ls").alias("long_short_mean"), F.count(F.lit(1)).alias("n_dates"))
+        F.avg("ls").alias("long_short_mean"), F.count("ic").alias("n_dates"))
+    return means.join(F.broadcast(spread_turnover(ranked, groups, "factor")), "factor")

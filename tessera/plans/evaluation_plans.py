@@ -60,8 +60,8 @@ def group_turnover(spark, sf_dir):
 
 
 def stability_folds(spark, sf_dir):
-    """Three contiguous folds."""
-    return _round(E.stability(_pairs(spark, sf_dir)))
+    """Three consecutive folds and the verdict over them."""
+    return _round(E.stability(_panel(spark, sf_dir), FACTOR, LABEL, GROUPS))
 
 
 def preprocess_factor(spark, sf_dir):
@@ -84,7 +84,7 @@ def factor_screening(spark, sf_dir):
     names = list(REGISTRY)
     long = E.expand_factors(_panel(spark, sf_dir, tuple(names)), names, LABEL)
     out = E.screen(E.ic_by_factor(long, GROUPS))
-    return _round(out.select("factor", "ic_mean", "rank_ic_mean", "rank_ic_ir", "long_short_mean", "n_dates", F.array_join("reasons", ",").alias("reasons"), "status"))
+    return _round(out.select("factor", "ic_mean", "rank_ic_mean", "rank_ic_ir", "long_short_mean", "long_short_turnover", "n_dates", F.array_join("reasons", "; ").alias("reasons"), "status"))
 
 
 def score_buckets(spark, sf_dir):
@@ -132,6 +132,15 @@ _LS = "ls AS (SELECT trade_date, avg(y) FILTER (bucket = 5) - avg(y) FILTER (buc
 _GROUP = "SELECT bucket, round(avg(m), 6) + 0.0 AS mean_return, count(*) AS n_dates FROM (SELECT trade_date, bucket, avg(y) AS m FROM b GROUP BY 1, 2) GROUP BY 1"
 
 
+def _turnover_sql(key: str, source: str, bucket: str) -> str:
+    """CTEs that end in ``tt``: key, t, the mean of the top and bottom bucket's turnover from weight changes."""
+    return f"""td AS (SELECT {key}, trade_date, row_number() OVER (PARTITION BY {key} ORDER BY trade_date) AS i FROM (SELECT DISTINCT {key}, trade_date FROM {source})),
+tw AS (SELECT {key}, {bucket} AS g, symbol, i, 1.0::DOUBLE / count(*) OVER (PARTITION BY {key}, trade_date, {bucket}) AS w FROM {source} JOIN td USING ({key}, trade_date)),
+tm AS (SELECT * FROM tw UNION ALL SELECT {key}, g, symbol, i + 1, -w FROM tw), tc AS (SELECT {key}, g, i, symbol, sum(w) AS dw FROM tm WHERE i >= 2 GROUP BY ALL),
+te AS (SELECT {key}, max(i) AS last FROM td GROUP BY 1), ts AS (SELECT {key}, g, i, sum(abs(dw)) / 2 AS t FROM tc JOIN te USING ({key}) WHERE i <= last GROUP BY ALL),
+tt AS (SELECT {key}, (coalesce(avg(t) FILTER (g = 1), 0) + coalesce(avg(t) FILTER (g = 5), 0)) / 2 AS t FROM td LEFT JOIN ts USING ({key}) GROUP BY 1)"""
+
+
 def _mad(table: str, x: str, out: str) -> str:
     """CTEs that winsorise x of a table and add its z-score."""
     return f"""{out}1 AS (SELECT *, median({x}) OVER (PARTITION BY trade_date) AS m FROM {table}),
@@ -156,10 +165,15 @@ h AS (SELECT bucket, symbol, idx, 1.0::DOUBLE / count(*) OVER (PARTITION BY b.tr
 m AS (SELECT * FROM h UNION ALL SELECT bucket, symbol, idx + 1, -w FROM h),
 c AS (SELECT bucket, idx, symbol, sum(w) AS dw FROM m WHERE idx BETWEEN 2 AND (SELECT max(idx) FROM dates) GROUP BY ALL),
 t AS (SELECT bucket, idx, sum(abs(dw)) / 2 AS t FROM c GROUP BY ALL) SELECT bucket, round(avg(t), 6) + 0.0 AS turnover FROM t GROUP BY 1""",
-    "stability_folds": f"""WITH {_RANKED}, {_B5[len(_PAIRS) + 2:]}, {_LS}, f AS (SELECT trade_date, ntile(3) OVER (ORDER BY trade_date) AS fold FROM (SELECT DISTINCT trade_date FROM pairs)),
-a AS (SELECT fold, count(*) AS n_dates, avg(rank_ic) AS r, avg(long_short) AS l FROM f JOIN daily USING (trade_date) JOIN ls USING (trade_date) GROUP BY 1)
-SELECT fold, n_dates, round(r, 6) + 0.0 AS rank_ic_mean, round(l, 6) + 0.0 AS long_short_mean,
-  CASE WHEN n_dates < 20 THEN 'insufficient' WHEN r > 0 AND l > 0 THEN 'positive' ELSE 'negative' END AS status FROM a""",
+    "stability_folds": f"""WITH {_RANKED}, {_B5[len(_PAIRS) + 2:]}, {_LS}, f AS (SELECT trade_date, ntile(3) OVER (ORDER BY trade_date) AS fold FROM (SELECT DISTINCT trade_date FROM panel)),
+{_turnover_sql('fold', 'b JOIN f USING (trade_date)', 'bucket')},
+a AS (SELECT fold, count(ic) AS n_dates, avg(rank_ic) AS r, avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) AS ir, avg(long_short) AS l FROM f JOIN daily USING (trade_date) JOIN ls USING (trade_date) GROUP BY 1),
+e AS (SELECT sp.*, coalesce(n_dates, 0) AS n_dates, r, ir, l, t FROM (SELECT fold, min(trade_date) AS start_date, max(trade_date) AS end_date FROM f GROUP BY 1) sp LEFT JOIN a USING (fold) LEFT JOIN tt USING (fold)),
+v AS (SELECT *, count(*) FILTER (n_dates >= 20) OVER () AS u, count(*) FILTER (n_dates >= 20 AND (r IS NULL OR r <= 0 OR l IS NULL OR l <= 0)) OVER () AS bad FROM e)
+SELECT fold, start_date, end_date, n_dates, round(r, 6) + 0.0 AS rank_ic_mean, round(ir, 6) + 0.0 AS rank_ic_ir, round(l, 6) + 0.0 AS long_short_return, round(t, 6) + 0.0 AS long_short_turnover,
+  CASE WHEN u < 3 THEN 'watch' WHEN bad > 0 THEN 'unstable' ELSE 'stable' END AS status,
+  CASE WHEN u < 3 THEN 'only ' || u || '/3 folds have at least 20 valid dates' WHEN bad > 0 THEN bad || '/' || u || ' folds have non-positive RankIC or long-short return'
+    ELSE 'all usable consecutive folds have positive RankIC and long-short return' END AS reason FROM v""",
     "preprocess_factor": f"""WITH {SQL_BASE}, px AS (SELECT symbol, trade_date, {FACTOR_SQL[FACTOR]} AS x FROM b3 {SQL_WINDOWS}), {_mad('px', 'x', 'p')}
 SELECT symbol, trade_date, round(x, 6) + 0.0 AS x, round(z_x, 6) + 0.0 AS z, round(CASE WHEN x IS NOT NULL THEN
   (rank() OVER (PARTITION BY trade_date, x IS NULL ORDER BY x) + (count(*) OVER (PARTITION BY trade_date, x) - 1) / 2.0) / count(x) OVER (PARTITION BY trade_date) END, 6) + 0.0 AS pct FROM p""",
@@ -173,11 +187,15 @@ r AS (SELECT *, rank() OVER (PARTITION BY factor, trade_date ORDER BY x) + (coun
   greatest(1, least(5, ceil(row_number() OVER (PARTITION BY factor, trade_date ORDER BY x, symbol) * 5 / CAST(n AS DOUBLE)))) AS bk FROM cells),
 d AS (SELECT factor, trade_date, covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0) AS ic, covar_samp(rx, ry) / nullif(stddev_samp(rx) * stddev_samp(ry), 0) AS rank_ic,
   avg(y) FILTER (bk = 5) - avg(y) FILTER (bk = 1) AS ls FROM r GROUP BY 1, 2),
-s AS (SELECT factor, avg(ls) AS l, avg(ic) AS a, avg(rank_ic) AS b, avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) AS c, count(*) AS n_dates FROM d GROUP BY 1),
-q AS (SELECT *, list_filter([CASE WHEN n_dates < 20 THEN 'few_dates' END, CASE WHEN coalesce(abs(b) < 0.02, true) THEN 'weak_rank_ic' END,
-  CASE WHEN coalesce(abs(c) < 0.2, true) THEN 'weak_ir' END, CASE WHEN coalesce(l <= 0, true) THEN 'no_spread' END], lambda v: v IS NOT NULL) AS w FROM s)
-SELECT factor, round(a, 6) + 0.0 AS ic_mean, round(b, 6) + 0.0 AS rank_ic_mean, round(c, 6) + 0.0 AS rank_ic_ir, round(l, 6) + 0.0 AS long_short_mean, n_dates, array_to_string(w, ',') AS reasons,
-  CASE WHEN len(w) = 0 THEN 'candidate' WHEN len(w) = 1 AND w[1] <> 'few_dates' THEN 'watch' ELSE 'rejected' END AS status FROM q""",
+{_turnover_sql('factor', 'r', 'bk')},
+s AS (SELECT factor, avg(ls) AS l, avg(ic) AS a, avg(rank_ic) AS b, avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) AS c, count(ic) AS n_dates FROM d GROUP BY 1),
+q AS (SELECT *, list_filter([CASE WHEN n_dates < 60 THEN 'only ' || n_dates || ' valid evaluation dates; need at least 60' END, CASE WHEN NOT coalesce(b > 0, false) THEN 'RankIC must be finite and positive' END,
+    CASE WHEN NOT coalesce(c > 0, false) THEN 'RankIC IR must be finite and positive' END, CASE WHEN NOT coalesce(l > 0, false) THEN 'long-short return must be finite and positive' END], lambda v: v IS NOT NULL) AS no,
+  list_filter([CASE WHEN n_dates < 120 THEN 'only ' || n_dates || ' dates; need 120 for candidate status' END, CASE WHEN b < 0.02 THEN printf('RankIC %.4f is below 0.0200', b) END,
+    CASE WHEN c < 0.15 THEN printf('RankIC IR %.4f is below 0.1500', c) END, CASE WHEN t IS NULL THEN 'long-short turnover is unavailable' WHEN t > 0.80 THEN printf('long-short turnover %.2f exceeds 0.80', t) END], lambda v: v IS NOT NULL) AS maybe FROM s JOIN tt USING (factor))
+SELECT factor, round(a, 6) + 0.0 AS ic_mean, round(b, 6) + 0.0 AS rank_ic_mean, round(c, 6) + 0.0 AS rank_ic_ir, round(l, 6) + 0.0 AS long_short_mean, round(t, 6) + 0.0 AS long_short_turnover, n_dates,
+  CASE WHEN len(no) > 0 THEN array_to_string(no, '; ') WHEN len(maybe) > 0 THEN array_to_string(maybe, '; ') ELSE 'passes the pre-OOS factor screen; rolling OOS validation is still required' END AS reasons,
+  CASE WHEN len(no) > 0 THEN 'rejected' WHEN len(maybe) > 0 THEN 'watch' ELSE 'candidate' END AS status FROM q""",
     "score_buckets": f"WITH {_buckets(10, _pairs_sql(1))} {_GROUP}",
     "top_bottom_return": f"""WITH {_PAIRS}, r AS (SELECT trade_date, y, row_number() OVER (PARTITION BY trade_date ORDER BY x, symbol) AS lo,
   row_number() OVER (PARTITION BY trade_date ORDER BY x DESC, symbol) AS hi, greatest(1, floor(n * 0.2)) AS cut FROM pairs),

@@ -147,7 +147,7 @@ _RANGE = f"trade_date BETWEEN DATE '{START}' AND DATE '{END}'"
 _OK = "status = 'active' AND exchange IN ('SH', 'SZ')"
 _NAME = r"NOT regexp_matches(name, '^(ST|\*ST|SST|S\*ST)') AND NOT contains(name, '退')"
 _JOBS = """jobs AS (SELECT o_orderkey AS job_id, lpad(CAST(o_custkey % 400 + 1 AS VARCHAR), 6, '0') AS target,
-  CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'P' THEN 'empty' ELSE 'failed' END AS status, CAST(o_orderdate AS DATE) AS created_at FROM orders WHERE o_custkey % 3 = 0)"""
+  CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'P' THEN 'empty' ELSE 'failed' END AS status, CAST(o_orderdate AS DATE) AS created_at FROM orders)"""
 _COV = f"cov AS (SELECT symbol, min(trade_date) AS first_date, max(trade_date) AS last_date, count(*) AS n_bars FROM bars GROUP BY 1)"
 
 
@@ -182,7 +182,7 @@ SELECT text, coalesce(by_code, by_name, CASE WHEN n = 1 THEN lk END) AS symbol,
     "covered_symbols": f"WITH {SQL_BARS}, {SQL_STOCKS}, {_COV} SELECT symbol, name, first_date, last_date, n_bars FROM stocks JOIN cov USING (symbol) WHERE {_OK} AND {_NAME} AND first_date <= DATE '{START}' AND last_date >= DATE '{END}'",
     "sync_progress": _progress(f" AND {_NAME}"),
     "full_market_progress": _progress(""),
-    "next_incomplete_symbols": f"WITH {SQL_STOCKS}, {_JOBS} SELECT symbol FROM stocks WHERE {_OK} AND {_NAME} AND symbol NOT IN (SELECT target FROM jobs WHERE job_id % 7 = 0 AND status <> 'failed') ORDER BY 1 LIMIT 10",
+    "next_incomplete_symbols": f"WITH {SQL_STOCKS}, {_JOBS} SELECT symbol FROM stocks WHERE {_OK} AND {_NAME} AND symbol NOT IN (SELECT target FROM jobs WHERE status <> 'failed') ORDER BY 1 LIMIT 10",
     "consecutive_failures": f"""WITH {_JOBS}, r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY created_at DESC, job_id DESC) AS rn FROM jobs)
 SELECT target, coalesce(min(rn) FILTER (status <> 'failed') - 1, count(*)) AS failures FROM r GROUP BY 1""",
     "data_quality": f"{_QUALITY} SELECT symbol, expected, present, missing, array_to_string(gone[1:20], ',') AS first_missing FROM q",

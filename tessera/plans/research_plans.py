@@ -164,10 +164,10 @@ QUERIES = {f.__name__: f for f in (
 _W = "(ORDER BY trade_date ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
 _w = lambda n: _W.format(n - 1)
 _POS = """p AS (SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS symbol, CAST(sum(CAST(l_quantity * CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS BIGINT)) AS BIGINT) AS quantity
-FROM lineitem WHERE l_suppkey <= 40 AND l_linenumber = 1 GROUP BY 1 HAVING sum(CAST(l_quantity * CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS BIGINT)) <> 0)"""
+FROM lineitem GROUP BY 1 HAVING sum(CAST(l_quantity * CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS BIGINT)) <> 0)"""
 _CLOSE = f"c AS (SELECT symbol, arg_max(close, trade_date) AS price FROM bars WHERE trade_date <= DATE '{AS_OF}' GROUP BY 1)"
 _VALUED = f"{SQL_BARS}, {_POS}, {_CLOSE}, v AS (SELECT p.symbol, quantity, price, round(quantity * price, 2) AS market_value FROM p LEFT JOIN c USING (symbol))"
-_T = "t AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS symbol, s_suppkey % 7 / 60.0::DOUBLE AS weight FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey <= 60)"
+_T = "t AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS symbol, s_suppkey % 7 / 60.0::DOUBLE AS weight FROM supplier)"
 _SCORE = "s AS (SELECT trade_date, symbol, round(close / open - 1, 8) AS score FROM bars)"
 _RUNS = """r AS (SELECT c_name AS run_id, round(c_acctbal / 20000, 6) AS annual_return, (c_custkey % 37 - 12) / 10.0::DOUBLE AS sharpe, -(c_custkey % 41) / 100.0::DOUBLE AS max_drawdown,
 (c_custkey % 29 - 9) / 10.0::DOUBLE AS stressed_sharpe, c_custkey % 7 AS n_windows FROM customer)"""
@@ -197,20 +197,20 @@ SELECT symbol, CASE WHEN gap > 0 THEN 'buy' ELSE 'sell' END AS side, CAST(floor(
   CASE WHEN CAST(symbol AS INT) > 20 THEN weight ELSE 0 END AS planned FROM t WHERE CAST(symbol AS INT) % 2 = 0 OR CAST(symbol AS INT) % 3 <> 0 OR CAST(symbol AS INT) > 20)
 SELECT symbol, round(current, 6) + 0.0 AS current, round(advised, 6) + 0.0 AS advised, round(planned, 6) + 0.0 AS planned, round(advised - current, 6) + 0.0 AS delta,
 CASE WHEN advised - current > 1e-9 THEN 'increase' WHEN advised - current < -1e-9 THEN 'reduce' ELSE 'keep' END AS action FROM j""",
-    "weight_validation": """WITH w AS (SELECT CAST(o_orderkey % 40 AS VARCHAR) AS run_id, CASE WHEN o_orderkey % 97 = 0 THEN -1.0 WHEN o_orderkey % 89 = 0 THEN NULL ELSE o_orderkey % 10 / 40.0 END::DOUBLE AS weight FROM orders WHERE o_orderkey <= 400),
+    "weight_validation": """WITH w AS (SELECT CAST(o_orderkey % 40 AS VARCHAR) AS run_id, CASE WHEN o_orderkey % 97 = 0 THEN -1.0 WHEN o_orderkey % 89 = 0 THEN NULL ELSE o_orderkey % 10 / 40.0 END::DOUBLE AS weight FROM orders),
 g AS (SELECT run_id, count(*) FILTER (weight IS NULL) AS a, count(*) FILTER (weight < 0 OR weight > 1) AS b, sum(weight) AS s FROM w GROUP BY 1)
 SELECT run_id, CASE WHEN a > 0 THEN 'not_finite' WHEN b > 0 THEN 'out_of_range' ELSE 'sum_above_one' END AS problem FROM g WHERE a > 0 OR b > 0 OR s > 1 + 1e-9""",
     "prediction_weights": f"""WITH {SQL_BARS}, {_SCORE}, k AS (SELECT *, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, symbol) AS k FROM s WHERE score > 0)
 SELECT trade_date, symbol, round(least(score / sum(score) OVER d * 0.9, least(0.1, 0.9 / count(*) OVER d)), 6) + 0.0 AS weight FROM k WHERE k <= 12 WINDOW d AS (PARTITION BY trade_date)""",
     "advisory_outcomes": f"""WITH {_weights_sql(ALL['momentum_rank'])}, grid AS {SQL_GRID[SQL_GRID.index('grid AS') + 8:]}, {SQL_INDEX}, ax AS (SELECT trade_date, close AS ix, row_number() OVER (ORDER BY trade_date) AS i FROM index_bars),
-st AS (SELECT w.decision_date, i AS i0, ix AS x0 FROM (SELECT DISTINCT decision_date FROM weights WHERE decision_date BETWEEN DATE '1998-01-01' AND DATE '2001-06-30') w JOIN ax ON ax.trade_date = w.decision_date),
+st AS (SELECT w.decision_date, i AS i0, ix AS x0 FROM (SELECT DISTINCT decision_date FROM weights) w JOIN ax ON ax.trade_date = w.decision_date),
 pa AS (SELECT decision_date, ax.trade_date, i - i0 AS step, ix / x0 AS b FROM st JOIN ax ON i BETWEEN i0 AND i0 + 20),
 e AS (SELECT pa.decision_date, step, b, w.weight, g.close, g0.close AS c0 FROM pa JOIN weights w USING (decision_date) LEFT JOIN grid g ON g.symbol = w.symbol AND g.trade_date = pa.trade_date LEFT JOIN grid g0 ON g0.symbol = w.symbol AND g0.trade_date = pa.decision_date),
 dy AS (SELECT decision_date, step, sum(weight * close / nullif(c0, 0)) + 1 - sum(weight) AS v, count(*) FILTER (close IS NULL OR c0 IS NULL) AS gone, any_value(b) AS b FROM e GROUP BY 1, 2),
 ru AS (SELECT *, max(v) OVER d AS peak, sum(gone) OVER d AS missing FROM dy WINDOW d AS (PARTITION BY decision_date ORDER BY step)), rw AS (SELECT *, min(v / nullif(peak, 0) - 1) OVER (PARTITION BY decision_date ORDER BY step) AS worst FROM ru)
 SELECT decision_date, step AS horizon, CASE WHEN missing = 0 THEN 'done' ELSE 'pending' END AS status, CASE WHEN missing = 0 THEN round(v - 1, 6) + 0.0 END AS "return", CASE WHEN missing = 0 THEN round(worst, 6) + 0.0 END AS drawdown,
 CASE WHEN missing = 0 THEN round(v - b, 6) + 0.0 END AS excess FROM rw WHERE step IN (1, 5, 20)""",
-    "advisory_expiry": f"""WITH {_weights_sql(ALL['momentum_rank'])}, la AS (SELECT symbol, max(trade_date) AS last FROM bars WHERE trade_date <= DATE '2000-06-30' GROUP BY 1)
+    "advisory_expiry": f"""WITH {_weights_sql(ALL['momentum_rank'])}, la AS (SELECT symbol, max(trade_date) AS last FROM bars GROUP BY 1)
 SELECT CAST(decision_date AS VARCHAR) AS advice_id, coalesce(min(last) > decision_date, false) AS expired FROM weights LEFT JOIN la USING (symbol) GROUP BY decision_date""",
     "run_ranking": f"WITH {_RUNS} SELECT run_id, round(annual_return * 100 + sharpe * 10 - abs(max_drawdown) * 40 + stressed_sharpe * 5, 6) + 0.0 AS score FROM r ORDER BY annual_return * 100 + sharpe * 10 - abs(max_drawdown) * 40 + stressed_sharpe * 5 DESC, run_id LIMIT 100",
     "run_eligibility": f"""WITH {_RUNS}, f AS (SELECT run_id, list_filter([CASE WHEN n_windows < 3 THEN 'few_windows' END, CASE WHEN sharpe <= 0 THEN 'no_edge' END, CASE WHEN max_drawdown < -0.3 THEN 'deep_drawdown' END, CASE WHEN stressed_sharpe <= 0 THEN 'cost_sensitive' END], lambda x: x IS NOT NULL) AS f FROM r)

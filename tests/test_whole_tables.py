@@ -1,4 +1,4 @@
-"""Queries that once read a part of their tables, against SQL and loops over all rows."""
+"""Queries over whole tables, against loops over all rows."""
 
 from __future__ import annotations
 
@@ -8,17 +8,7 @@ import pytest
 from tessera import catalog
 from tessera.plans import repository_plans
 
-from .test_oracle import SF, TABLES, plain
-
-#: Cuts that the registered SQL still has; the expected results here are without them.
-CUTS = [
-    " WHERE l_suppkey <= 40 AND l_linenumber = 1", " WHERE s_suppkey % 5 = 0 AND s_suppkey <= 60", " WHERE o_orderkey <= 400",
-    " WHERE decision_date BETWEEN DATE '1998-01-01' AND DATE '2001-06-30'", " WHERE trade_date <= DATE '2000-06-30'",
-    " WHERE o_custkey % 3 = 0", "job_id % 7 = 0 AND ",
-]
-NAMES = "positions portfolio_state portfolio_diagnostics trade_plan portfolio_review weight_validation advisory_outcomes advisory_expiry".split()
-NAMES += "sync_progress full_market_progress next_incomplete_symbols consecutive_failures append_once".split()
-
+from .test_oracle import SF, TABLES
 
 @pytest.fixture(scope="module")
 def duck():
@@ -29,23 +19,6 @@ def duck():
     return con
 
 
-def whole(name):
-    sql = catalog.oracle_sql()[name]
-    for cut in CUTS:
-        sql = sql.replace(cut, "")
-    return sql
-
-
-@pytest.mark.parametrize("name", NAMES)
-def test_query_reads_whole_tables(spark, duck, name):
-    df = catalog.queries()[name](spark, SF)
-    want = duck.sql(whole(name))
-    columns = sorted(df.columns)
-    got = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
-    at = [want.columns.index(c) for c in columns]
-    assert got == sorted((tuple(plain(r[i]) for i in at) for r in want.fetchall()), key=repr)
-
-
 def test_positions_by_a_loop(spark, duck):
     want = {}
     for supplier, flag, quantity in duck.sql("SELECT l_suppkey, l_returnflag, l_quantity FROM lineitem").fetchall():
