@@ -9,26 +9,37 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Keywords by class, in order of priority; the list is a parameter of the classifier.
-KEYWORDS: dict[str, tuple[str, float, tuple[str, ...]]] = {
-    "exoneration": ("neutral", 0.0, ("cleared", "acquitted", "dismissed", "澄清", "撤销")),
-    "severe_risk": ("negative", -1.0, ("fraud", "bankrupt", "delist", "立案", "退市", "造假")),
-    "company_risk": ("negative", -0.6, ("loss", "lawsuit", "penalty", "亏损", "处罚", "减持")),
-    "fund_flow": ("neutral", -0.2, ("outflow", "inflow", "资金流")),
-    "market_mood": ("neutral", -0.1, ("slump", "panic", "跌停", "大跌")),
+# Keywords by class, the first class that a text meets counts; (label, score, keywords).
+KEYWORDS: dict[str, tuple[str, float | None, tuple[str, ...]]] = {
+    "exonerating": ("", None, ("预亏变预盈", "亏损收窄", "扭亏为盈", "胜诉", "解除风险", "调查显示", "退市新规", "减持新规", "异动拉升", "涨停", "利好")),
+    "severe_company_risk": ("negative", -0.8, ("立案调查", "证监会立案", "行政处罚", "处罚决定", "财务造假", "债务违约", "债务逾期", "资不抵债", "破产", "破产重整", "终止上市", "强制退市")),
+    "company_risk": ("risk", -0.4, ("减持", "风险提示", "监管函", "问询函", "警示函", "亏损")),
+    "industry_market_flow": ("", None, ("净流出",)),
+    "general_market_sentiment": ("", None, ("下跌", "跌停", "异动")),
 }
+#: Classes whose items count as neutral news.
+NEUTRAL = ("exonerating",)
 
 
-def classify(text: Column, keywords: dict | None = None) -> Column:
-    """struct(event_type, label, score): the first class of which the text holds a keyword, else neutral."""
-    out = F.struct(F.lit("neutral").alias("event_type"), F.lit("neutral").alias("label"), F.lit(0.0).alias("score"))
-    low = F.lower(F.coalesce(text, F.lit("")))
+def classify(title: Column, body: Column | None = None, keywords: dict | None = None) -> Column:
+    """struct(event_type, label, score): the first class of which "title body" holds a keyword, else neutral without a score."""
+    nothing = F.struct(F.lit("neutral").alias("event_type"), F.lit("").alias("label"), F.lit(None).cast("double").alias("score"))
+    text = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(body, F.lit("")) if body is not None else F.lit(""))
+    out = nothing
     for name, (label, score, words) in reversed((keywords or KEYWORDS).items()):
-        hit = low.rlike("|".join(re.escape(w.lower()) for w in words))
-        out = F.when(hit, F.struct(F.lit(name).alias("event_type"), F.lit(label).alias("label"), F.lit(score).alias("score"))).otherwise(out)
+        hit = text.rlike("|".join(re.escape(w) for w in words))
+        found = F.struct(F.lit(name).alias("event_type"), F.lit(label).alias("label"), F.lit(score).cast("double").alias("score"))
+        out = F.when(hit, nothing if name in NEUTRAL else found).otherwise(out)
     return out
 
 
+def reclassified(news: DataFrame) -> DataFrame:
+    """Stored items whose class, label or score the present keywords change: the update that a store applies by key."""
+    fresh = news.withColumn("_c", classify(F.col("title"), F.col("body")))
+    changed = ~(F.col("event_type").eqNullSafe(F.col("_c.event_type")) & F.col("sentiment_label").eqNullSafe(F.col("_c.label")) & F.col("sentiment_score").eqNullSafe(F.col("_c.score")))
+    return fresh.where(changed).withColumns({"event_type": F.col("_c.event_type"), "sentiment_label": F.col("_c.label"), "sentiment_score": F.col("_c.score")}).drop("_c")
+
+
 def _score(text: str) -> int:
     wide = sum("一" <= c <= "鿿" for c in text)
     odd = sum(c in "ÃÂåæçèéäö¤¥¦§¨©ª«¬" for c in text)

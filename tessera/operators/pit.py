@@ -83,25 +83,63 @@ def pit_name_class(name):
     return F.when(prefix.isin("*ST", "S*ST"), "st_star").when(prefix == "SST", "sst").when(prefix == "ST", "st").when(name.contains("退"), "st_star").otherwise("normal")
 
 
-def universe_waterfall(candidates: DataFrame, stocks: DataFrame, status: DataFrame, bars: DataFrame, as_of: str, lookback_days: int = 180, least_bars: int = 5) -> DataFrame:
-    """symbol, eligible, exclusion_reason, name, status: the first reason that applies, in a fixed order.
-
-    delisted, suspended, not_listed, st, no_bars. Names and statuses are those
-    of the date, with the current snapshot as fallback.
+def universe_waterfall(candidates: DataFrame, stocks: DataFrame, status: DataFrame, names: DataFrame, bars: DataFrame, as_of: str, lookback_days: int = 180, least_bars: int = 5,
+                       exclude_st: bool = True, st_policy: str = "exclude_known") -> DataFrame:
+    """symbol, eligible, exclusion_reason, name, status_at, n_bars and what was missing: the first reason that applies, in a fixed order.
+
+    delisted, suspended, not_listed, st, no_bars. What the date's own rows say
+    counts. Only a security without any status row of the date falls back to
+    the present snapshot, so nothing that happened later changes a past
+    universe where history is known. Risk names are those of the status row or,
+    without one, of the date's name row; with neither, st_policy "strict"
+    takes the snapshot's name and the others keep the security. Rows that used
+    a fallback are marked degraded.
     """
+    if st_policy not in ("strict", "include_unknown", "exclude_known"):
+        raise ValueError("st_policy is strict, include_unknown or exclude_known")
     day = F.lit(as_of).cast("date")
     asks = candidates.select("symbol").distinct().withColumn("as_of", day)
     at = interval_join(asks, status).select("symbol", F.col("status").alias("pit_status"))
-    n = bars.where((F.col("trade_date") <= day) & (F.col("trade_date") > F.date_sub(day, lookback_days))).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"))
-    out = at.join(stocks.select("symbol", "name", "list_date", F.col("status").alias("now")), "symbol", "left").join(n, "symbol", "left")
-    cls = F.when(F.col("pit_status").isin("st", "sst", "st_star"), F.col("pit_status")).otherwise(pit_name_class(F.coalesce("name", F.lit(""))))
+    called = interval_join(asks, names, values=("name",)).select("symbol", F.col("name").alias("pit_name"))
+    n = bars.where((F.col("trade_date") <= day) & (F.col("trade_date") > F.date_sub(day, lookback_days))).groupBy("symbol").agg(F.countDistinct("trade_date").alias("n_bars"))
+    out = at.join(called, "symbol", "left").join(stocks.select("symbol", F.col("name").alias("now_name"), F.col("status").alias("now")), "symbol", "left").join(n, "symbol", "left")
+    known, risky = F.col("pit_status").isNotNull(), lambda c: F.coalesce(pit_name_class(c) != "normal", F.lit(False))
+    by_name = F.when(F.col("pit_name").isNotNull(), risky(F.col("pit_name"))).otherwise(risky(F.col("now_name")) if st_policy == "strict" else F.lit(False))
+    risk = F.when(known, F.col("pit_status").isin("st", "sst", "st_star")).otherwise(by_name)
     reason = (
-        F.when((F.col("pit_status") == "delisted") | (F.col("now") == "inactive"), "delisted")
-        .when(F.col("pit_status") == "suspended", "suspended")
-        .when(F.col("list_date").isNull() | (F.col("list_date") > day), "not_listed")
-        .when(cls != "normal", "st").when(F.coalesce("n_bars", F.lit(0)) < least_bars, "no_bars")
+        F.when(F.col("pit_status") == "delisted", "delisted").when(F.col("pit_status") == "suspended", "suspended")
+        .when(~known & ~F.coalesce(F.col("now") == "active", F.lit(False)), "not_listed")
+        .when(F.lit(exclude_st) & risk, "st").when(F.coalesce("n_bars", F.lit(0)) < least_bars, "no_bars")
     )
-    return out.select("symbol", reason.isNull().alias("eligible"), reason.alias("exclusion_reason"), "name", F.coalesce("pit_status", "now").alias("status_at"))
+    return out.select(
+        "symbol", reason.isNull().alias("eligible"), reason.alias("exclusion_reason"), F.coalesce("pit_name", "now_name").alias("name"), F.coalesce("pit_status", "now").alias("status_at"),
+        F.coalesce("n_bars", F.lit(0)).cast("long").alias("n_bars"), (~known).alias("missing_status"), F.col("pit_name").isNull().alias("missing_name"),
+        (~known | (F.lit(exclude_st) & F.col("pit_name").isNull())).alias("degraded"))
+
+
+def materialised(pool: DataFrame, pool_key: str, as_of: str) -> DataFrame:
+    """A universe as rows of the pool table: pool_key, as_of, symbol, eligible, exclusion_reason, name_at, status_at."""
+    return pool.select(F.lit(pool_key).alias("pool_key"), F.lit(as_of).cast("date").alias("as_of"), "symbol", "eligible", "exclusion_reason", F.col("name").alias("name_at"), "status_at")
+
+
+def replace_pool(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The pool table after a new build: the (pool_key, as_of) that it holds are replaced whole."""
+    built = fresh.select("pool_key", "as_of").distinct()
+    return stored.join(F.broadcast(built), ["pool_key", "as_of"], "left_anti").unionByName(fresh)
+
+
+def pool_listing(stored: DataFrame, pool_key: str, as_of: str) -> DataFrame:
+    """Members of a stored pool, by symbol."""
+    return stored.where((F.col("pool_key") == pool_key) & (F.col("as_of") == F.lit(as_of).cast("date"))).orderBy("symbol")
+
+
+def waterfall_report(pool: DataFrame) -> DataFrame:
+    """One row: candidates, eligible ones, exclusions by reason, missing rows, and whether anything was degraded."""
+    reasons = ("delisted", "suspended", "not_listed", "st", "no_bars")
+    return pool.agg(
+        F.count(F.lit(1)).alias("total_candidates"), F.count_if("eligible").alias("eligible_count"),
+        *(F.count_if(F.col("exclusion_reason") == r).alias(f"excluded_{r}") for r in reasons),
+        F.count_if("missing_status").alias("missing_status_rows"), F.count_if("missing_name").alias("missing_name_rows"), F.bool_or("degraded").alias("pit_degraded"))
 
 
 def waterfall_counts(pool: DataFrame) -> DataFrame:

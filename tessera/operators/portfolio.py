@@ -18,14 +18,44 @@ def valued(positions: DataFrame, closes: DataFrame) -> DataFrame:
     return positions.join(closes, "symbol", "left").withColumn("market_value", F.round(F.col("quantity") * F.col("price"), 2))
 
 
-def diagnostics(values: DataFrame, cash: float) -> DataFrame:
-    """Equity, exposure, largest three weights, concentration, and warnings."""
-    equity = F.sum("market_value") + cash
-    top = F.slice(F.sort_array(F.collect_list("market_value"), asc=False), 1, 3)
-    out = values.groupBy().agg(equity.alias("equity"), F.sum("market_value").alias("position_value"), F.count(F.lit(1)).alias("n"), F.sum(F.pow("market_value", F.lit(2))).alias("_sq"), F.aggregate(top, F.lit(0.0), lambda a, x: a + x).alias("_top"))
-    out = out.select("equity", "n", ratio(F.col("position_value"), F.col("equity")).alias("exposure"), ratio(F.col("_top"), F.col("equity")).alias("top3"), ratio(F.col("_sq"), F.pow("equity", F.lit(2))).alias("hhi"))
-    warnings = F.filter(F.array(F.when(F.col("exposure") > 0.95, "high_exposure"), F.when(F.col("top3") > 0.5, "concentrated"), F.when(F.col("n") < 5, "few_names")), lambda x: x.isNotNull())
-    return out.withColumn("warnings", F.array_join(warnings, ","))
+# The limits of the portfolio warnings.
+MOST_LARGEST, MOST_TOP3, LEAST_CASH, DEEP = 0.3, 0.65, 0.05, -0.1
+
+
+def valuations(positions: DataFrame, bars: DataFrame, cash: float) -> DataFrame:
+    """as_of_date, equity: cash and the value of what is held, on every date with bars."""
+    held = bars.join(positions, "symbol").groupBy(F.col("trade_date").alias("as_of_date")).agg(F.sum(F.col("quantity") * F.col("close")).alias("value"))
+    return held.select("as_of_date", F.round(F.col("value") + cash, 2).alias("equity"))
+
+
+def diagnostics(values: DataFrame, cash: float, history: DataFrame) -> DataFrame:
+    """Cash and position weights, concentration, drawdown of the recorded equity, and warnings; one row.
+
+    ``values`` are positions with market_value, ``history`` is as_of_date and
+    equity. Without positive equity all weights are 0.
+    """
+    best = F.slice(F.sort_array(F.collect_list("market_value"), asc=False), 1, 3)
+    # the three largest alone: a position list never leaves its partitions whole
+    top = values.where("market_value is not null").orderBy(F.desc("market_value")).limit(3).agg(best.alias("top"))
+    sums = values.agg(F.coalesce(F.sum("market_value"), F.lit(0.0)).alias("pv"), F.coalesce(F.sum(F.col("market_value") * F.col("market_value")), F.lit(0.0)).alias("sq")).join(F.broadcast(top))
+    by_date = Window.orderBy("as_of_date").rowsBetween(Window.unboundedPreceding, 0)  # one row a date
+    path = history.withColumn("peak", F.greatest(F.lit(0.0), F.max("equity").over(by_date)))
+    path = path.withColumn("dd", F.when(F.col("peak") > 0, F.col("equity") / F.col("peak") - 1).otherwise(0.0))
+    falls = path.agg(F.coalesce(F.max_by("dd", "as_of_date"), F.lit(0.0)).alias("current"), F.least(F.lit(0.0), F.coalesce(F.min("dd"), F.lit(0.0))).alias("deepest"))
+    equity = F.lit(cash) + F.col("pv")
+    share = lambda x: F.when(equity > 0, x / equity).otherwise(0.0)
+    out = sums.join(F.broadcast(falls)).select(
+        equity.alias("equity"), share(F.lit(cash)).alias("cash_weight"), share(F.col("pv")).alias("gross_exposure"),
+        F.coalesce(share(F.get("top", F.lit(0))), F.lit(0.0)).alias("largest_position_weight"), share(F.aggregate("top", F.lit(0.0), lambda a, x: a + x)).alias("top_three_weight"),
+        F.when(equity > 0, F.col("sq") / (equity * equity)).otherwise(0.0).alias("concentration_hhi"), F.col("current").alias("current_drawdown"), F.col("deepest").alias("max_drawdown"))
+    warnings = F.array_compact(F.array(
+        F.when(F.col("equity") <= 0, "No positive portfolio equity is available for risk diagnostics."),
+        F.when(F.col("largest_position_weight") > MOST_LARGEST, "Largest holding exceeds 30% of portfolio equity."),
+        F.when(F.col("top_three_weight") > MOST_TOP3, "Top three holdings exceed 65% of portfolio equity."),
+        F.when((F.col("cash_weight") < LEAST_CASH) & (F.col("equity") > 0), "Cash reserve is below 5% of portfolio equity."),
+        F.when(F.col("current_drawdown") <= DEEP, "Current equity is more than 10% below its recorded peak."),
+    ))
+    return out.withColumn("warnings", F.array_join(warnings, " ")).drop("equity")
 
 
 def trade_plan(targets: DataFrame, positions: DataFrame, closes: DataFrame, equity: float, lot: int = 100) -> DataFrame:
@@ -98,12 +128,28 @@ def best_candidates(runs: DataFrame, top: int = 100) -> DataFrame:
     return runs.withColumn("score", score).orderBy(F.desc("score"), "run_id").limit(top)
 
 
-def eligibility(runs: DataFrame) -> DataFrame:
-    """status and flags of validated runs: eligible, research_only or rejected."""
-    flags = F.filter(F.array(F.when(F.col("n_windows") < 3, "few_windows"), F.when(F.col("sharpe") <= 0, "no_edge"), F.when(F.col("max_drawdown") < -0.3, "deep_drawdown"), F.when(F.col("stressed_sharpe") <= 0, "cost_sensitive")), lambda x: x.isNotNull())
-    out = runs.withColumn("flags", flags)
-    hard = F.array_contains("flags", "no_edge") | F.array_contains("flags", "deep_drawdown")
-    return out.withColumn("status", F.when(F.size("flags") == 0, "eligible").when(hard, "rejected").otherwise("research_only")).withColumn("flags", F.array_join("flags", ","))
+# Trading days that a validation needs out of sample.
+LEAST_DAYS = 126
+
+
+def eligibility(runs: DataFrame, least_windows: int = 3) -> DataFrame:
+    """status and flags of validated runs.
+
+    ``runs`` holds run_id, pit_source (built from a point-in-time universe),
+    n_dates (trading dates of the recorded range), benchmark_complete,
+    n_windows and oos_days. Point-in-time faults come first, then the
+    benchmark, then too little history.
+    """
+    pit = F.when(~F.col("pit_source"), "source backtest was not built from a point-in-time research universe")
+    calendar = F.when(F.col("pit_source") & (F.col("n_dates") == 0), "local trading calendar has no dates for the recorded backtest range")
+    benchmark = F.when(~F.col("benchmark_complete"), "local benchmark does not cover every OOS window boundary")
+    windows = F.when(F.col("n_windows") < least_windows, "fewer than the requested number of independent OOS windows were available")
+    days = F.when(F.col("oos_days") < LEAST_DAYS, f"fewer than {LEAST_DAYS} OOS trading days were available")
+    status = (
+        F.when(pit.isNotNull() | calendar.isNotNull(), "not_eligible_pit_degraded").when(benchmark.isNotNull(), "not_eligible_benchmark_missing")
+        .when(windows.isNotNull() | days.isNotNull(), "not_eligible_insufficient_oos_history").otherwise("eligible")
+    )
+    return runs.withColumns({"status": status, "flags": F.array_join(F.array_compact(F.array(pit, calendar, benchmark, windows, days)), "; ")})
 
 
 def compare_variants(metrics: DataFrame, base: str, other: str, names: tuple[str, ...]) -> DataFrame:

@@ -130,17 +130,29 @@ def quality_totals(quality: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_symbols"), F.count_if(F.col("missing") == 0).alias("complete"), F.count_if(F.col("missing") > 0).alias("with_gaps"), F.sum("missing").alias("missing_bars"))
 
 
-def select_research_symbols(stocks: DataFrame, bars: DataFrame, start: str, end: str, least: int | None = None, limit: int = 300) -> DataFrame:
+def select_research_symbols(stocks: DataFrame, bars: DataFrame, calendar: DataFrame, start: str, end: str, least: int | None = None, share: float = 0.8,
+                            limit: int = 100, exchanges: tuple[str, ...] = ("SH", "SZ", "BJ"), drop_risk: bool = True) -> DataFrame:
     """Eligible securities with enough distinct dates in a range, most first.
 
-    The minimum is round(days * 5 / 7) trading days, capped at 15.
+    Enough are ``share`` of the calendar's days, 15 at most, or the caller's
+    own ``least``, which only the calendar's days limit. Where the calendar is
+    empty the days are 5/7 of the range's and ``least`` counts as it is.
     """
     import datetime as dt
-
-    days = (dt.date.fromisoformat(end) - dt.date.fromisoformat(start)).days + 1
-    need = min(15, least if least is not None else round(days * 5 / 7))
-    n = daily_bars(bars, None, start, end).groupBy("symbol").agg(F.countDistinct("trade_date").alias("n_bars")).where(F.col("n_bars") >= need)
-    return eligible_stocks(stocks).select("symbol").join(n, "symbol").orderBy(F.desc("n_bars"), "symbol").limit(limit)
+    import math
+
+    span = max(1, (dt.date.fromisoformat(end) - dt.date.fromisoformat(start)).days + 1)
+    days = F.col("_days")
+    if least is None:
+        guess = max(1, min(15, math.ceil(max(1, round(span * 5 / 7)) * share)))
+        need = F.when(days == 0, guess).otherwise(F.least(days, F.greatest(F.lit(1), F.least(F.lit(15), F.ceil(days * share)))))
+    else:
+        need = F.when(days == 0, max(1, least)).otherwise(F.greatest(F.lit(1), F.least(F.lit(least), days)))
+    expected = calendar.where(F.col("trade_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).agg(F.countDistinct("trade_date").alias("_days"))
+    n = daily_bars(bars, None, start, end).groupBy("symbol").agg(F.countDistinct("trade_date").alias("n_bars"))
+    pool = eligible_stocks(stocks, exchanges, drop_risk=drop_risk).select("symbol").join(n, "symbol")
+    # one row of expected days
+    return pool.join(F.broadcast(expected)).where(F.col("n_bars") >= need).drop("_days").orderBy(F.desc("n_bars"), "symbol").limit(max(1, min(limit, MOST_SYMBOLS)))
 
 
 def pool_diagnostics(stocks: DataFrame, bars: DataFrame, start: str, end: str) -> DataFrame:
@@ -153,8 +165,11 @@ def pool_diagnostics(stocks: DataFrame, bars: DataFrame, start: str, end: str) -
 
 
 def amount_band(amount: Column) -> Column:
-    """Five liquidity bands of a traded amount."""
-    return F.when(amount < 1e7, "tiny").when(amount < 5e7, "small").when(amount < 2e8, "medium").when(amount < 1e9, "large").otherwise("huge")
+    """Five bands of an amount of money."""
+    return (
+        F.when(amount < 100_000, "under_100k_cny").when(amount < 500_000, "100k_to_500k_cny").when(amount < 1_000_000, "500k_to_1m_cny")
+        .when(amount < 5_000_000, "1m_to_5m_cny").otherwise("over_5m_cny")
+    )
 
 
 def bar_violations(raw: DataFrame) -> DataFrame:

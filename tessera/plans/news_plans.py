@@ -8,7 +8,16 @@ from tessera.operators import news as N
 from tessera.sources.tables import SQL_NEWS, load, news
 
 TYPES = ("click", "purchase")
-WORDS = {"exoneration": ("neutral", 0.0, ("license",)), "severe_risk": ("negative", -1.0, ("idiot", "scum")), "company_risk": ("negative", -0.6, ("password", "token")), "fund_flow": ("neutral", -0.2, ("!!",))}
+PHRASES = [w for _, _, words in N.KEYWORDS.values() for w in words] + ["公告", "年报", "ordinary news"]
+
+
+def _stories(spark, sf_dir):
+    """Documents as news: a phrase by id is the title, some ids have a second one in the body."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "text")
+    phrases = F.array(*map(F.lit, PHRASES))
+    pick = lambda k: F.element_at(phrases, (F.pmod(k, F.lit(len(PHRASES))) + 1).cast("int"))
+    extra = F.when(F.col("doc_id") % 3 == 0, pick(F.col("doc_id") * 7)).otherwise("")
+    return d.select("doc_id", pick(F.col("doc_id")).alias("title"), F.concat(F.coalesce("text", F.lit("")), extra).alias("body"))
 
 
 def _decisions(spark, sf_dir):
@@ -29,11 +38,20 @@ def news_known_counts(spark, sf_dir):
 
 
 def news_classify(spark, sf_dir):
-    """Documents by keyword class."""
-    c = load(spark, sf_dir, "documents").select("doc_id", N.classify(F.col("text"), WORDS).alias("c"))
+    """Stories by keyword class."""
+    c = _stories(spark, sf_dir).select("doc_id", N.classify(F.col("title"), F.col("body")).alias("c"))
     return c.select("doc_id", "c.event_type", "c.label", "c.score")
 
 
+def news_reclassify(spark, sf_dir):
+    """Stored stories that the present keywords change."""
+    k = F.col("doc_id")
+    old = _stories(spark, sf_dir).withColumns({
+        "event_type": F.when(k % 2 == 0, "neutral").otherwise("company_risk"), "sentiment_label": F.when(k % 2 == 0, "").otherwise("risk"),
+        "sentiment_score": F.when(k % 2 == 1, F.lit(-0.4))})
+    return N.reclassified(old).select("doc_id", "event_type", "sentiment_label", "sentiment_score")
+
+
 def news_class_counts(spark, sf_dir):
     """Documents per class."""
     return news_classify(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
@@ -73,19 +91,24 @@ def news_text_repair(spark, sf_dir):
     return d.withColumn("fixed", N.clean(F.col("text"))).where("fixed <> text").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (news_scan, news_known_counts, news_classify, news_class_counts, news_block_list, news_risk_summary, news_coverage, news_upsert, news_evidence, news_text_repair)}
+QUERIES = {f.__name__: f for f in (news_scan, news_known_counts, news_classify, news_reclassify, news_class_counts, news_block_list, news_risk_summary, news_coverage, news_upsert, news_evidence, news_text_repair)}
 
 _IN = "event_type IN ('click', 'purchase')"
-_CASE = """CASE WHEN contains(t, 'license') THEN 'exoneration' WHEN contains(t, 'idiot') OR contains(t, 'scum') THEN 'severe_risk'
-  WHEN contains(t, 'password') OR contains(t, 'token') THEN 'company_risk' WHEN contains(t, '!!') THEN 'fund_flow' ELSE 'neutral' END"""
-_CLASSES = f"c AS (SELECT doc_id, {_CASE} AS event_type FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents))"
+_HAS = {name: " OR ".join(f"contains(t, '{w}')" for w in words) for name, (_, _, words) in N.KEYWORDS.items()}
+_CASE = f"""CASE WHEN {_HAS['exonerating']} THEN 'neutral' WHEN {_HAS['severe_company_risk']} THEN 'severe_company_risk' WHEN {_HAS['company_risk']} THEN 'company_risk'
+  WHEN {_HAS['industry_market_flow']} THEN 'industry_market_flow' WHEN {_HAS['general_market_sentiment']} THEN 'general_market_sentiment' ELSE 'neutral' END"""
+_LIST = ", ".join(f"'{p}'" for p in PHRASES)
+_CLASSES = f"""st AS (SELECT doc_id, ([{_LIST}])[1 + doc_id % {len(PHRASES)}] || ' ' || coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN ([{_LIST}])[1 + doc_id * 7 % {len(PHRASES)}] ELSE '' END AS t FROM documents),
+c AS (SELECT doc_id, {_CASE} AS event_type FROM st), cl AS (SELECT *, CASE event_type WHEN 'severe_company_risk' THEN 'negative' WHEN 'company_risk' THEN 'risk' ELSE '' END AS label,
+  CAST(CASE event_type WHEN 'severe_company_risk' THEN -0.8 WHEN 'company_risk' THEN -0.4 END AS DOUBLE) AS score FROM c)"""
 ORACLE = {
     "news_scan": f"""WITH {SQL_NEWS} SELECT news_id, symbol, event_type, published_at, fetched_at FROM news WHERE source = 'feed1'
 AND (published_at >= '2024-01-05' OR fetched_at >= '2024-01-05') AND published_at <= '2024-01-20' AND fetched_at <= '2024-01-20' ORDER BY published_at DESC, news_id DESC LIMIT 200""",
     "news_known_counts": f"""WITH {SQL_NEWS} SELECT 'observed' AS mode, CAST(known_at AS DATE) AS day, count(*) AS n FROM news GROUP BY ALL
 UNION ALL SELECT 'published_at', CAST(published_at AS DATE), count(*) FROM news GROUP BY ALL""",
-    "news_classify": f"""WITH {_CLASSES} SELECT doc_id, event_type, CASE WHEN event_type IN ('severe_risk', 'company_risk') THEN 'negative' ELSE 'neutral' END AS label,
-CAST(CASE event_type WHEN 'severe_risk' THEN -1.0 WHEN 'company_risk' THEN -0.6 WHEN 'fund_flow' THEN -0.2 ELSE 0 END AS DOUBLE) AS score FROM c""",
+    "news_classify": f"WITH {_CLASSES} SELECT doc_id, event_type, label, score FROM cl",
+    "news_reclassify": f"""WITH {_CLASSES} SELECT doc_id, event_type, label AS sentiment_label, score AS sentiment_score FROM cl
+WHERE event_type <> CASE WHEN doc_id % 2 = 0 THEN 'neutral' ELSE 'company_risk' END""",
     "news_class_counts": f"WITH {_CLASSES} SELECT event_type, count(*) AS n FROM c GROUP BY 1",
     "news_block_list": f"""WITH {SQL_NEWS}, d AS (SELECT DISTINCT CAST(ts AS DATE) AS decision_date FROM events)
 SELECT DISTINCT decision_date, symbol FROM d JOIN news ON {_IN} AND known_at >= CAST(decision_date - 3 AS TIMESTAMP) AND known_at < CAST(decision_date + 1 AS TIMESTAMP)""",

@@ -53,9 +53,37 @@ def _candidates(spark, sf_dir):
     return stocks(spark, sf_dir).select("symbol").union(status_intervals(spark, sf_dir).where("valid_from < date'1997-01-01'").select("symbol")).distinct()
 
 
+def _names(spark, sf_dir):
+    """Names by interval for two thirds of the securities; some bore a risk name until they were renamed."""
+    k = F.col("symbol").cast("int")
+    base = stocks(spark, sf_dir).where(k % 3 != 0).select("symbol", F.col("name").alias("plain"), k.alias("k"))
+    cut = F.lit("1999-01-01").cast("date")
+    first = base.select("symbol", F.when(F.col("k") % 5 == 0, F.concat(F.lit("ST "), "plain")).otherwise(F.col("plain")).alias("name"), F.lit("1995-01-01").cast("date").alias("valid_from"),
+                        F.when(F.col("k") % 4 == 0, cut).alias("valid_to"), F.lit(None).cast("date").alias("announced_at"))
+    second = base.where("k % 4 = 0").select("symbol", F.when(F.col("k") % 7 == 0, F.concat(F.lit("*ST "), "plain")).otherwise(F.col("plain")).alias("name"), cut.alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), cut.alias("announced_at"))
+    return first.unionByName(second)
+
+
+def _pool(spark, sf_dir):
+    return P.universe_waterfall(_candidates(spark, sf_dir), stocks(spark, sf_dir), status_intervals(spark, sf_dir), _names(spark, sf_dir), bars(spark, sf_dir), AS_OF)
+
+
 def pit_universe(spark, sf_dir):
     """The universe of a date with reasons."""
-    return P.universe_waterfall(_candidates(spark, sf_dir), stocks(spark, sf_dir), status_intervals(spark, sf_dir), bars(spark, sf_dir), AS_OF)
+    return _pool(spark, sf_dir)
+
+
+def pit_universe_report(spark, sf_dir):
+    """Its counters."""
+    return P.waterfall_report(_pool(spark, sf_dir))
+
+
+def research_pool_listing(spark, sf_dir):
+    """A pool built twice: the second build replaces the first, the older date stays."""
+    pool = _pool(spark, sf_dir)
+    older, first = P.materialised(pool, "main", "1999-01-04"), P.materialised(pool.where("eligible"), "main", AS_OF)
+    stored = P.replace_pool(P.replace_pool(older, first), P.materialised(pool, "main", AS_OF))
+    return P.pool_listing(stored, "main", AS_OF)
 
 
 def pit_universe_counts(spark, sf_dir):
@@ -87,7 +115,7 @@ def pit_st_names(spark, sf_dir):
     return stocks(spark, sf_dir).select("symbol", "name", P.pit_name_class(F.col("name")).alias("class"))
 
 
-QUERIES = {f.__name__: f for f in (status_as_of, last_close_as_of, derived_intervals, scd2_reconcile, pit_universe, pit_universe_counts, pit_coverage_report, trade_gaps, last_wins, pit_st_names)}
+QUERIES = {f.__name__: f for f in (status_as_of, last_close_as_of, derived_intervals, scd2_reconcile, pit_universe, pit_universe_report, research_pool_listing, pit_universe_counts, pit_coverage_report, trade_gaps, last_wins, pit_st_names)}
 
 
 def _pick(asks: str) -> str:
@@ -97,12 +125,16 @@ FROM {asks} a LEFT JOIN status s ON s.symbol = a.symbol AND s.valid_from <= a.as
 
 _CLASS = r"""CASE WHEN regexp_matches(name, '^\s*(\*ST|S\*ST)($|\s|[^\x00-\x7F])') THEN 'st_star' WHEN regexp_matches(name, '^\s*SST($|\s|[^\x00-\x7F])') THEN 'sst'
   WHEN regexp_matches(name, '^\s*ST($|\s|[^\x00-\x7F])') THEN 'st' WHEN contains(name, '退') THEN 'st_star' ELSE 'normal' END"""
-_UNIVERSE = f"""WITH {SQL_BARS}, {SQL_STOCKS}, {SQL_STATUS},
+_NAMES = """pn AS (SELECT symbol, CASE WHEN CAST(symbol AS INT) % 5 = 0 THEN 'ST ' || name ELSE name END AS name, DATE '1995-01-01' AS valid_from, CASE WHEN CAST(symbol AS INT) % 4 = 0 THEN DATE '1999-01-01' END AS valid_to FROM stocks WHERE CAST(symbol AS INT) % 3 <> 0
+  UNION ALL SELECT symbol, CASE WHEN CAST(symbol AS INT) % 7 = 0 THEN '*ST ' || name ELSE name END, DATE '1999-01-01', NULL FROM stocks WHERE CAST(symbol AS INT) % 3 <> 0 AND CAST(symbol AS INT) % 4 = 0)"""
+_UNIVERSE = f"""WITH {SQL_BARS}, {SQL_STOCKS}, {SQL_STATUS}, {_NAMES},
 cand AS (SELECT symbol, DATE '{AS_OF}' AS as_of FROM stocks UNION SELECT symbol, DATE '{AS_OF}' FROM status WHERE valid_from < DATE '1997-01-01'), {_pick('cand')},
-n AS (SELECT symbol, count(*) AS n FROM bars WHERE trade_date <= DATE '{AS_OF}' AND trade_date > DATE '{AS_OF}' - 180 GROUP BY 1),
-j AS (SELECT p.symbol, p.status AS pit, s.name, s.list_date, s.status AS now, n.n, coalesce({_CLASS.replace('name', "coalesce(s.name, '')")}, 'normal') AS cls FROM pick p LEFT JOIN stocks s USING (symbol) LEFT JOIN n USING (symbol) WHERE rn = 1),
-u AS (SELECT *, CASE WHEN coalesce(pit, '') = 'delisted' OR coalesce(now, '') = 'inactive' THEN 'delisted' WHEN pit = 'suspended' THEN 'suspended'
-  WHEN list_date IS NULL OR list_date > DATE '{AS_OF}' THEN 'not_listed' WHEN pit = 'st' OR cls <> 'normal' THEN 'st' WHEN coalesce(n, 0) < 5 THEN 'no_bars' END AS reason FROM j)"""
+n AS (SELECT symbol, count(DISTINCT trade_date) AS n FROM bars WHERE trade_date <= DATE '{AS_OF}' AND trade_date > DATE '{AS_OF}' - 180 GROUP BY 1),
+nm AS (SELECT symbol, arg_max(name, valid_from) AS pname FROM pn WHERE valid_from <= DATE '{AS_OF}' AND (valid_to IS NULL OR valid_to > DATE '{AS_OF}') GROUP BY 1),
+j AS (SELECT p.symbol, p.status AS pit, nm.pname, s.name AS sname, s.status AS now, coalesce(n.n, 0) AS n, coalesce({_CLASS.replace('name', 'nm.pname')}, 'normal') AS cls
+  FROM pick p LEFT JOIN nm USING (symbol) LEFT JOIN stocks s USING (symbol) LEFT JOIN n USING (symbol) WHERE rn = 1),
+u AS (SELECT *, CASE WHEN pit = 'delisted' THEN 'delisted' WHEN pit = 'suspended' THEN 'suspended' WHEN pit IS NULL AND coalesce(now, '') <> 'active' THEN 'not_listed'
+  WHEN pit IN ('st', 'sst', 'st_star') OR (pit IS NULL AND pname IS NOT NULL AND cls <> 'normal') THEN 'st' WHEN n < 5 THEN 'no_bars' END AS reason FROM j)"""
 ORACLE = {
     "status_as_of": f"""WITH {SQL_STATUS}, asks AS (SELECT symbol, CAST(unnest(generate_series(DATE '1996-01-01', DATE '2001-07-01', INTERVAL 3 MONTH)) AS DATE) AS as_of FROM (SELECT DISTINCT symbol FROM status)), {_pick('asks')}
 SELECT symbol, as_of, valid_from, status FROM pick WHERE rn = 1""",
@@ -117,7 +149,11 @@ b AS (SELECT coalesce(a.symbol, n.symbol) AS symbol, a.status AS old, n.status A
 SELECT symbol, old AS status, valid_from, CAST(NULL AS DATE) AS valid_to, 'kept' AS action FROM b WHERE same
 UNION ALL SELECT symbol, old, valid_from, DATE '{AS_OF}', 'closed' FROM b WHERE NOT same AND old IS NOT NULL AND valid_from < DATE '{AS_OF}'
 UNION ALL SELECT symbol, new, DATE '{AS_OF}', NULL, 'opened' FROM b WHERE NOT same AND new IS NOT NULL""",
-    "pit_universe": f"{_UNIVERSE} SELECT symbol, reason IS NULL AS eligible, reason AS exclusion_reason, name, coalesce(pit, now) AS status_at FROM u",
+    "pit_universe": f"""{_UNIVERSE} SELECT symbol, reason IS NULL AS eligible, reason AS exclusion_reason, coalesce(pname, sname) AS name, coalesce(pit, now) AS status_at, n AS n_bars,
+  pit IS NULL AS missing_status, pname IS NULL AS missing_name, pit IS NULL OR pname IS NULL AS degraded FROM u""",
+    "pit_universe_report": f"""{_UNIVERSE} SELECT count(*) AS total_candidates, count(*) FILTER (reason IS NULL) AS eligible_count, {', '.join(f"count(*) FILTER (reason = '{r}') AS excluded_{r}" for r in ('delisted', 'suspended', 'not_listed', 'st', 'no_bars'))},
+  count(*) FILTER (pit IS NULL) AS missing_status_rows, count(*) FILTER (pname IS NULL) AS missing_name_rows, bool_or(pit IS NULL OR pname IS NULL) AS pit_degraded FROM u""",
+    "research_pool_listing": f"{_UNIVERSE} SELECT 'main' AS pool_key, DATE '{AS_OF}' AS as_of, symbol, reason IS NULL AS eligible, reason AS exclusion_reason, coalesce(pname, sname) AS name_at, coalesce(pit, now) AS status_at FROM u",
     "pit_universe_counts": f"{_UNIVERSE} SELECT coalesce(reason, 'eligible') AS reason, count(*) AS n FROM u GROUP BY 1",
     "pit_coverage_report": f"""WITH {SQL_STATUS} SELECT count(*) AS n_rows, count(DISTINCT symbol) AS n_symbols, count(*) FILTER (valid_to IS NULL) AS n_open, count(*) FILTER (status = 'st') AS n_st,
   count(*) FILTER (status = 'suspended') AS n_suspended, count(*) FILTER (announced_at > valid_from) AS n_late, min(valid_from) AS first_from, max(valid_from) AS last_from FROM status""",

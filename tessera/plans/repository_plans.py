@@ -106,7 +106,8 @@ def data_quality_totals(spark, sf_dir):
 
 def research_symbols(spark, sf_dir):
     """Securities with enough bars."""
-    return R.select_research_symbols(stocks(spark, sf_dir), bars(spark, sf_dir), START, END, limit=30)
+    b = bars(spark, sf_dir)
+    return R.select_research_symbols(stocks(spark, sf_dir), b, b.select("trade_date").distinct(), START, END, limit=30)
 
 
 def pool_diagnostics(spark, sf_dir):
@@ -125,8 +126,8 @@ def risk_name_filter(spark, sf_dir):
 
 
 def amount_bands(spark, sf_dir):
-    """Symbols by liquidity band of their mean amount."""
-    mean = bars(spark, sf_dir).groupBy("symbol").agg((F.avg("amount") * 1000).alias("m"))
+    """Symbols by band of an amount: their mean amount, spread over the bands by symbol."""
+    mean = bars(spark, sf_dir).groupBy("symbol").agg(F.avg("amount").alias("m")).withColumn("m", F.col("m") * 10 * F.pow(F.lit(4.0), F.col("symbol").cast("int") % 5 - 2))
     return mean.groupBy(R.amount_band(F.col("m")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -187,14 +188,15 @@ SELECT text, coalesce(by_code, by_name, CASE WHEN n = 1 THEN lk END) AS symbol,
 SELECT target, coalesce(min(rn) FILTER (status <> 'failed') - 1, count(*)) AS failures FROM r GROUP BY 1""",
     "data_quality": f"{_QUALITY} SELECT symbol, expected, present, missing, array_to_string(gone[1:20], ',') AS first_missing FROM q",
     "data_quality_totals": f"{_QUALITY} SELECT count(*) AS n_symbols, count(*) FILTER (missing = 0) AS complete, count(*) FILTER (missing > 0) AS with_gaps, CAST(sum(missing) AS BIGINT) AS missing_bars FROM q",
-    "research_symbols": f"""WITH {SQL_BARS}, {SQL_STOCKS}, n AS (SELECT symbol, count(DISTINCT trade_date) AS n_bars FROM bars WHERE {_RANGE} GROUP BY 1 HAVING count(DISTINCT trade_date) >= 15)
-SELECT symbol, n_bars FROM stocks JOIN n USING (symbol) WHERE {_OK} AND {_NAME} ORDER BY n_bars DESC, symbol LIMIT 30""",
+    "research_symbols": f"""WITH {SQL_BARS}, {SQL_STOCKS}, need AS (SELECT least(n, greatest(1, least(15, ceil(n * 0.8)))) AS need FROM (SELECT count(DISTINCT trade_date) AS n FROM bars WHERE {_RANGE})),
+n AS (SELECT symbol, count(DISTINCT trade_date) AS n_bars FROM bars WHERE {_RANGE} GROUP BY 1)
+SELECT symbol, n_bars FROM stocks JOIN n USING (symbol), need WHERE status = 'active' AND exchange IN ('SH', 'SZ', 'BJ') AND {_NAME} AND n_bars >= need ORDER BY n_bars DESC, symbol LIMIT 30""",
     "pool_diagnostics": f"""WITH {SQL_BARS}, {SQL_STOCKS}, e AS (SELECT symbol, count(*) AS n, min(trade_date) AS lo, max(trade_date) AS hi FROM bars WHERE {_RANGE} AND symbol IN (SELECT symbol FROM stocks WHERE {_OK} AND {_NAME}) GROUP BY 1)
 SELECT count(*) AS eligible, min(lo) AS first_date, max(hi) AS last_date, CAST(sum(n) AS BIGINT) AS n_bars, (SELECT string_agg(symbol, ',') FROM (SELECT symbol FROM e ORDER BY n DESC, symbol LIMIT 5)) AS top5 FROM e""",
     "active_symbols": f"WITH {SQL_STOCKS} SELECT symbol, exchange FROM stocks WHERE status = 'active' ORDER BY symbol LIMIT 6000",
     "risk_name_filter": f"WITH {SQL_STOCKS} SELECT symbol, name FROM stocks WHERE {_OK} AND {_NAME}",
-    "amount_bands": f"""WITH {SQL_BARS}, m AS (SELECT symbol, avg(amount) * 1000 AS m FROM bars GROUP BY 1)
-SELECT CASE WHEN m < 1e7 THEN 'tiny' WHEN m < 5e7 THEN 'small' WHEN m < 2e8 THEN 'medium' WHEN m < 1e9 THEN 'large' ELSE 'huge' END AS band, count(*) AS n FROM m GROUP BY 1""",
+    "amount_bands": f"""WITH {SQL_BARS}, m AS (SELECT symbol, avg(amount) * 10 * pow(4.0, CAST(symbol AS INT) % 5 - 2) AS m FROM bars GROUP BY 1)
+SELECT CASE WHEN m < 100000 THEN 'under_100k_cny' WHEN m < 500000 THEN '100k_to_500k_cny' WHEN m < 1000000 THEN '500k_to_1m_cny' WHEN m < 5000000 THEN '1m_to_5m_cny' ELSE 'over_5m_cny' END AS band, count(*) AS n FROM m GROUP BY 1""",
     "bar_validation": f"""WITH {SQL_BARS}, k AS (SELECT *, date_diff('day', DATE '1995-01-02', trade_date) / 14 + CAST(symbol AS INT) AS k FROM bars),
 h AS (SELECT symbol, trade_date, open, low, volume, amount, CASE WHEN k % 11 = 0 THEN NULL WHEN k % 13 = 0 THEN -close ELSE close END AS close, CASE WHEN k % 17 = 0 THEN low / 2 ELSE high END AS high FROM k),
 r AS (SELECT symbol, trade_date, CASE WHEN close IS NULL THEN 'missing_value' WHEN least(open, high, low, close) <= 0 THEN 'price_not_positive'

@@ -12,7 +12,7 @@ from tessera.operators.grid import dense_grid
 from tessera.plans.evaluation_plans import _mad, _round
 from tessera.plans.factor_plans import FACTOR_SQL, SQL_BASE, SQL_GRID, SQL_WINDOWS
 from tessera.plans.strategy_plans import ALL, _ranks, _weights, _weights_sql
-from tessera.sources.tables import OFF_TIE, SQL_BARS, SQL_INDEX, bars, index_bars, load
+from tessera.sources.tables import SQL_BARS, SQL_INDEX, bars, index_bars, load
 
 AS_OF = "1999-06-28"
 NAMES = ["volatility_20d", "momentum_20d", "amount_stability_20d"]
@@ -21,8 +21,7 @@ NAMES = ["volatility_20d", "momentum_20d", "amount_stability_20d"]
 def regime_metrics(spark, sf_dir):
     """Regime of every index date."""
     out = G.classify(G.index_metrics(index_bars(spark, sf_dir)))
-    off = [(F.col(c) + OFF_TIE).alias(c) for c in ("ma20", "ma60", "ma120")]
-    return _round(out.select("trade_date", *off, "slope20", "vol20", "drawdown", "to_high20", "breadth", "trend_score", "vol_score", "regime", "risk_level"))
+    return _round(out.select("trade_date", "regime", "confidence", "trend_score", "breadth_score", "volatility_score", "drawdown"), 4)
 
 
 def market_breadth(spark, sf_dir):
@@ -52,8 +51,10 @@ def portfolio_state(spark, sf_dir):
 
 
 def portfolio_diagnostics(spark, sf_dir):
-    """Exposure and concentration."""
-    return _round(P.diagnostics(P.valued(P.aggregate_positions(_fills(spark, sf_dir)), _closes(spark, sf_dir)), 500_000.0), 5)
+    """Weights, concentration, drawdown and warnings."""
+    held, cash = P.aggregate_positions(_fills(spark, sf_dir)), 500_000.0
+    past = bars(spark, sf_dir).where(F.col("trade_date") <= F.lit(AS_OF).cast("date"))
+    return _round(P.diagnostics(P.valued(held, _closes(spark, sf_dir)), cash, P.valuations(held, past, cash)))
 
 
 def _targets(spark, sf_dir):
@@ -115,7 +116,10 @@ def run_ranking(spark, sf_dir):
 
 def run_eligibility(spark, sf_dir):
     """Status and flags of runs."""
-    return P.eligibility(_runs(spark, sf_dir)).select("run_id", "status", "flags")
+    c = load(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    runs = c.select(F.col("c_name").alias("run_id"), (k % 5 != 0).alias("pit_source"), (k % 11).alias("n_dates"), (k % 7 != 0).alias("benchmark_complete"), (k % 8).alias("n_windows"), (k % 37 * 9).alias("oos_days"))
+    return P.eligibility(runs).select("run_id", "status", "flags")
 
 
 def variant_comparison(spark, sf_dir):
@@ -172,25 +176,38 @@ _SCORE = "s AS (SELECT trade_date, symbol, round(close / open - 1, 8) AS score F
 _RUNS = """r AS (SELECT c_name AS run_id, round(c_acctbal / 20000, 6) AS annual_return, (c_custkey % 37 - 12) / 10.0::DOUBLE AS sharpe, -(c_custkey % 41) / 100.0::DOUBLE AS max_drawdown,
 (c_custkey % 29 - 9) / 10.0::DOUBLE AS stressed_sharpe, c_custkey % 7 AS n_windows FROM customer)"""
 ORACLE = {
-    "regime_metrics": f"""WITH {SQL_INDEX}, a AS (SELECT *, close / lag(close) OVER (ORDER BY trade_date) - 1 AS r, avg(close) OVER {_w(20)} AS ma20, avg(close) OVER {_w(60)} AS ma60, avg(close) OVER {_w(120)} AS ma120,
-  row_number() OVER (ORDER BY trade_date) AS rn, max(close) OVER {_w(120)} AS peak, max(close) OVER {_w(20)} AS hi FROM index_bars),
-b AS (SELECT *, ma20 / nullif(coalesce(lag(ma20, 20) OVER (ORDER BY trade_date), first_value(ma20) OVER (ORDER BY trade_date)), 0) - 1 AS slope20, stddev_samp(r) OVER {_w(20)} AS vol20, close / peak - 1 AS drawdown,
-  close / hi - 1 AS to_high20, avg(CASE WHEN r > 0 THEN 1.0::DOUBLE ELSE 0 END) OVER {_w(20)} AS up, CASE WHEN rn >= 120 AND ma20 > ma60 AND ma60 > ma120 THEN 1.0::DOUBLE ELSE 0 END AS ord FROM a),
-c AS (SELECT *, 0.6 * avg(ord) OVER {_w(20)} + 0.4 * up AS breadth, 1 / (1 + exp(-20 * slope20)) AS trend_score, 1 / (1 + exp(-(vol20 - 0.02) * 100)) AS vol_score FROM b)
-SELECT trade_date, {', '.join(f'round({x}{f" + {OFF_TIE}" if x[:2] == "ma" else ""}, 6) + 0.0 AS {x}' for x in ('ma20', 'ma60', 'ma120', 'slope20', 'vol20', 'drawdown', 'to_high20', 'breadth', 'trend_score', 'vol_score'))},
-  CASE WHEN rn < 20 THEN 'unknown' WHEN drawdown <= -0.2 THEN 'crash' WHEN close > ma20 AND ma20 > ma60 AND vol20 > 0.03 THEN 'volatile_up' WHEN close > ma20 AND ma20 > ma60 AND to_high20 > -0.01 THEN 'breakout'
-    WHEN close > ma20 AND ma20 > ma60 THEN 'uptrend' WHEN close < ma20 AND ma20 < ma60 AND vol20 > 0.03 THEN 'panic' WHEN close < ma20 AND ma20 < ma60 AND slope20 < -0.05 THEN 'downtrend'
-    WHEN close < ma20 AND ma20 < ma60 THEN 'weak' ELSE 'range' END AS regime,
-  CASE WHEN vol20 IS NULL THEN 'unknown' WHEN vol_score > 0.8 THEN 'high' WHEN vol_score > 0.5 THEN 'medium' ELSE 'low' END AS risk_level FROM c""",
+    "regime_metrics": f"""WITH {SQL_INDEX}, a AS (SELECT trade_date, close, close / lag(close) OVER (ORDER BY trade_date) - 1 AS r, row_number() OVER (ORDER BY trade_date) AS rn,
+  avg(close) OVER {_w(20)} AS a20, avg(close) OVER {_w(60)} AS a60, avg(close) OVER {_w(120)} AS a120, max(close) OVER {_w(120)} AS hi FROM index_bars),
+m AS (SELECT *, CASE WHEN rn >= 20 THEN a20 END AS m20, CASE WHEN rn >= 60 THEN a60 END AS m60, CASE WHEN rn >= 120 THEN a120 END AS m120 FROM a),
+s AS (SELECT *, CASE WHEN rn >= 40 THEN lag(m20, 20) OVER (ORDER BY trade_date) WHEN rn >= 21 THEN (SELECT m20 FROM m WHERE rn = 20) END AS base,
+  (SELECT avg(CASE WHEN x.m20 > x.m60 AND x.m60 > x.m120 THEN 1.0::DOUBLE ELSE 0 END) FROM m x WHERE x.rn BETWEEN m.rn - 19 AND m.rn) AS al,
+  (SELECT avg(CASE WHEN x.r > 0 THEN 1.0::DOUBLE ELSE 0 END) FROM m x WHERE x.rn BETWEEN m.rn - 18 AND m.rn) AS up, stddev_samp(r) OVER {_w(20)} AS sd FROM m),
+g AS (SELECT trade_date, rn, (coalesce(1 / (1 + exp(-(close / m20 - 1) / 0.05)), 0.5) + coalesce(1 / (1 + exp(-(m20 / m60 - 1) / 0.03)), 0.5) + coalesce(1 / (1 + exp(-(m60 / m120 - 1) / 0.03)), 0.5)
+    + coalesce(1 / (1 + exp(-(m20 / base - 1) / 0.03)), 0.5)) / 4 AS t, 0.6 * al + 0.4 * up AS b, CASE WHEN sd > 0 THEN 1 / (1 + exp(-(sd * sqrt(252) - 0.35) / 0.12)) ELSE 0 END AS v,
+  CASE WHEN rn >= 120 THEN greatest(0, 1 - close / hi) ELSE 0 END AS d FROM s),
+c AS (SELECT *, CASE WHEN v >= 0.7 AND d >= 0.15 AND t <= 0.4 THEN ['PANIC', greatest(0.6, least(0.95, 0.6 + 0.4 * ((v - 0.7) / 0.3 + (d - 0.15) / 0.5) / 2))::VARCHAR]
+  WHEN d >= 0.35 THEN ['PANIC', greatest(0.6, least(0.95, 0.6 + d))::VARCHAR] WHEN t >= 0.65 AND v >= 0.55 AND d <= 0.1 THEN ['EUPHORIA', greatest(0.55, least(0.9, 0.5 + 0.4 * t + 0.3 * v))::VARCHAR]
+  WHEN t >= 0.55 AND b >= 0.4 AND v <= 0.6 AND d <= 0.15 THEN ['BULL', greatest(0.5, least(0.9, 0.4 + 0.4 * t + 0.2 * b))::VARCHAR] WHEN t >= 0.5 AND b >= 0.6 THEN ['BULL', greatest(0.45, least(0.85, 0.4 + 0.4 * b + 0.2 * t))::VARCHAR]
+  WHEN t <= 0.35 AND b <= 0.3 THEN ['BEAR', greatest(0.5, least(0.9, 0.5 + 0.3 * (0.5 - t) + 0.2 * (0.5 - b) + 0.2 * d))::VARCHAR] WHEN d >= 0.2 AND t <= 0.4 THEN ['BEAR', greatest(0.5, least(0.85, 0.5 + 0.3 * d + 0.2 * (0.5 - t)))::VARCHAR]
+  WHEN t <= 0.25 THEN ['BEAR', greatest(0.55, least(0.9, 0.6 + 0.4 * (0.5 - t)))::VARCHAR] ELSE ['SIDEWAYS', greatest(0.3, least(0.75, 1 - (abs(t - 0.5) * 2 + abs(b - 0.5) + abs(v - 0.4)) / 3))::VARCHAR] END AS k FROM g)
+SELECT trade_date, CASE WHEN rn >= 20 THEN k[1] ELSE 'SIDEWAYS' END AS regime, CASE WHEN rn >= 20 THEN round(CAST(k[2] AS DOUBLE) * least(1, rn / 120.0::DOUBLE), 4) + 0.0 ELSE 0.0 END AS confidence,
+  CASE WHEN rn >= 20 THEN round(t, 4) + 0.0 ELSE 0.5 END AS trend_score, CASE WHEN rn >= 20 THEN round(b, 4) + 0.0 ELSE 0.0 END AS breadth_score, CASE WHEN rn >= 20 THEN round(v, 4) + 0.0 ELSE 0.0 END AS volatility_score,
+  CASE WHEN rn >= 20 THEN round(d, 4) + 0.0 ELSE 0.0 END AS drawdown FROM c""",
     "market_breadth": f"""WITH {SQL_BARS}, a AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS rn, avg(close) OVER (PARTITION BY symbol ORDER BY trade_date ROWS 19 PRECEDING) AS m20,
   avg(close) OVER (PARTITION BY symbol ORDER BY trade_date ROWS 59 PRECEDING) AS m60 FROM bars)
 SELECT trade_date, round(avg(((close > m20)::INT + (close > m60)::INT) / 2.0::DOUBLE), 6) + 0.0 AS breadth, count(*) AS n FROM a WHERE rn >= 60 GROUP BY 1""",
     "positions": f"WITH {_POS} SELECT * FROM p",
     "portfolio_state": f"WITH {_VALUED} SELECT symbol, quantity, round(price, 4) + 0.0 AS price, round(market_value, 4) + 0.0 AS market_value FROM v",
-    "portfolio_diagnostics": f"""WITH {_VALUED}, k AS (SELECT market_value, row_number() OVER (ORDER BY market_value DESC NULLS LAST) AS k FROM v),
-d AS (SELECT sum(market_value) + 500000 AS e, count(*) AS n, sum(market_value) AS pv, sum(market_value * market_value) AS sq, sum(market_value) FILTER (k <= 3) AS t FROM k)
-SELECT round(e, 5) + 0.0 AS equity, n, round(pv / e, 5) + 0.0 AS exposure, round(t / e, 5) + 0.0 AS top3, round(sq / (e * e), 5) + 0.0 AS hhi,
-array_to_string(list_filter([CASE WHEN pv / e > 0.95 THEN 'high_exposure' END, CASE WHEN t / e > 0.5 THEN 'concentrated' END, CASE WHEN n < 5 THEN 'few_names' END], lambda x: x IS NOT NULL), ',') AS warnings FROM d""",
+    "portfolio_diagnostics": f"""WITH {_VALUED}, k AS (SELECT market_value AS mv, row_number() OVER (ORDER BY market_value DESC NULLS LAST) AS k FROM v),
+d AS (SELECT sum(mv) + 500000 AS e, sum(mv) AS pv, sum(mv * mv) AS sq, max(mv) FILTER (k = 1) AS l, sum(mv) FILTER (k <= 3) AS t FROM k),
+h AS (SELECT trade_date, round(sum(quantity * close) + 500000, 2) AS e FROM bars JOIN p USING (symbol) WHERE trade_date <= DATE '{AS_OF}' GROUP BY 1),
+q AS (SELECT trade_date, CASE WHEN greatest(0, max(e) OVER (ORDER BY trade_date)) > 0 THEN e / greatest(0, max(e) OVER (ORDER BY trade_date)) - 1 ELSE 0 END AS dd FROM h),
+f AS (SELECT arg_max(dd, trade_date) AS cur, least(0, min(dd)) AS deep FROM q),
+w AS (SELECT CASE WHEN e > 0 THEN 500000 / e ELSE 0 END AS cw, CASE WHEN e > 0 THEN pv / e ELSE 0 END AS g, CASE WHEN e > 0 THEN l / e ELSE 0 END AS lw, CASE WHEN e > 0 THEN t / e ELSE 0 END AS tw, CASE WHEN e > 0 THEN sq / (e * e) ELSE 0 END AS hhi, e, cur, deep FROM d, f)
+SELECT round(cw, 6) + 0.0 AS cash_weight, round(g, 6) + 0.0 AS gross_exposure, round(lw, 6) + 0.0 AS largest_position_weight, round(tw, 6) + 0.0 AS top_three_weight, round(hhi, 6) + 0.0 AS concentration_hhi,
+  round(cur, 6) + 0.0 AS current_drawdown, round(deep, 6) + 0.0 AS max_drawdown, array_to_string(list_filter([CASE WHEN e <= 0 THEN 'No positive portfolio equity is available for risk diagnostics.' END,
+  CASE WHEN lw > 0.3 THEN 'Largest holding exceeds 30% of portfolio equity.' END, CASE WHEN tw > 0.65 THEN 'Top three holdings exceed 65% of portfolio equity.' END,
+  CASE WHEN cw < 0.05 AND e > 0 THEN 'Cash reserve is below 5% of portfolio equity.' END, CASE WHEN cur <= -0.1 THEN 'Current equity is more than 10% below its recorded peak.' END], lambda x: x IS NOT NULL), ' ') AS warnings FROM w""",
     "trade_plan": f"""WITH {SQL_BARS}, {_POS}, {_CLOSE}, {_T}, g AS (SELECT t.symbol, price, weight * 5e8 - coalesce(quantity, 0) * price AS gap FROM t LEFT JOIN p USING (symbol) JOIN c USING (symbol) WHERE price > 0)
 SELECT symbol, CASE WHEN gap > 0 THEN 'buy' ELSE 'sell' END AS side, CAST(floor(abs(gap) / price / 100) * 100 AS BIGINT) AS quantity, round(price, 6) + 0.0 AS price FROM g WHERE floor(abs(gap) / price / 100) > 0""",
     "portfolio_review": f"""WITH {_T}, j AS (SELECT symbol, CASE WHEN CAST(symbol AS INT) % 2 = 0 THEN weight ELSE 0 END AS current, CASE WHEN CAST(symbol AS INT) % 3 <> 0 THEN weight * 1.5 ELSE 0 END AS advised,
@@ -213,8 +230,12 @@ CASE WHEN missing = 0 THEN round(v - b, 6) + 0.0 END AS excess FROM rw WHERE ste
     "advisory_expiry": f"""WITH {_weights_sql(ALL['momentum_rank'])}, la AS (SELECT symbol, max(trade_date) AS last FROM bars GROUP BY 1)
 SELECT CAST(decision_date AS VARCHAR) AS advice_id, coalesce(min(last) > decision_date, false) AS expired FROM weights LEFT JOIN la USING (symbol) GROUP BY decision_date""",
     "run_ranking": f"WITH {_RUNS} SELECT run_id, round(annual_return * 100 + sharpe * 10 - abs(max_drawdown) * 40 + stressed_sharpe * 5, 6) + 0.0 AS score FROM r ORDER BY annual_return * 100 + sharpe * 10 - abs(max_drawdown) * 40 + stressed_sharpe * 5 DESC, run_id LIMIT 100",
-    "run_eligibility": f"""WITH {_RUNS}, f AS (SELECT run_id, list_filter([CASE WHEN n_windows < 3 THEN 'few_windows' END, CASE WHEN sharpe <= 0 THEN 'no_edge' END, CASE WHEN max_drawdown < -0.3 THEN 'deep_drawdown' END, CASE WHEN stressed_sharpe <= 0 THEN 'cost_sensitive' END], lambda x: x IS NOT NULL) AS f FROM r)
-SELECT run_id, CASE WHEN len(f) = 0 THEN 'eligible' WHEN list_contains(f, 'no_edge') OR list_contains(f, 'deep_drawdown') THEN 'rejected' ELSE 'research_only' END AS status, array_to_string(f, ',') AS flags FROM f""",
+    "run_eligibility": """WITH c AS (SELECT c_name AS run_id, c_custkey AS k FROM customer), f AS (SELECT run_id,
+  CASE WHEN k % 5 = 0 THEN 'source backtest was not built from a point-in-time research universe' END AS a, CASE WHEN k % 5 <> 0 AND k % 11 = 0 THEN 'local trading calendar has no dates for the recorded backtest range' END AS b,
+  CASE WHEN k % 7 = 0 THEN 'local benchmark does not cover every OOS window boundary' END AS c, CASE WHEN k % 8 < 3 THEN 'fewer than the requested number of independent OOS windows were available' END AS d,
+  CASE WHEN k % 37 * 9 < 126 THEN 'fewer than 126 OOS trading days were available' END AS e FROM c)
+SELECT run_id, CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN 'not_eligible_pit_degraded' WHEN c IS NOT NULL THEN 'not_eligible_benchmark_missing' WHEN d IS NOT NULL OR e IS NOT NULL THEN 'not_eligible_insufficient_oos_history' ELSE 'eligible' END AS status,
+  array_to_string(list_filter([a, b, c, d, e], lambda x: x IS NOT NULL), '; ') AS flags FROM f""",
     "variant_comparison": f"""WITH {_RUNS}, l AS (UNPIVOT (SELECT run_id, annual_return, sharpe, max_drawdown FROM r) ON annual_return, sharpe, max_drawdown INTO NAME metric VALUE v)
 SELECT metric, round(max(v) FILTER (run_id = 'Customer#000000003'), 6) + 0.0 AS base, round(max(v) FILTER (run_id = 'Customer#000000008'), 6) + 0.0 AS other,
 round(max(v) FILTER (run_id = 'Customer#000000008') - max(v) FILTER (run_id = 'Customer#000000003'), 6) + 0.0 AS delta FROM l GROUP BY 1""",
