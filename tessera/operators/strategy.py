@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql.window import WindowSpec
 from pyspark.sql import functions as F
 
 from tessera.functions.windows import average_rank, by_symbol, lag, ratio, trailing
@@ -22,7 +23,11 @@ class Strategy:
     Without factors ``order`` ranks the candidates (an expression, best first
     when descending). ``buffered`` strategies look at what is held when they
     select: a held name stays while its rank is within hold * top_n, a new one
-    enters within entry * top_n.
+    enters within entry * top_n. ``relative`` names a feature that is low in
+    good candidates, its weight and its limit: candidates above the limit go,
+    those without a value get no points, and where nobody has one the factors'
+    own weights hold. A date on which the condition ``silent`` holds has no
+    candidates.
     """
 
     name: str
@@ -38,6 +43,8 @@ class Strategy:
     entry: float | None = 1.0
     buffered: bool = False
     weighting: str = "equal"
+    relative: tuple[str, float, float] | None = None
+    silent: str = "false"
 
     def with_params(self, **changes) -> Strategy:
         """The same strategy with other parameters; exposures must lie in 0..1 and buffers at 1 or above."""
@@ -47,8 +54,14 @@ class Strategy:
         return out
 
 
+#: Rows over which the benchmark's momentum is taken, and the momentum above which the inverse strategy stands aside.
+INDEX_WINDOW, MOST_INDEX_MOMENTUM = 20, 1.0
+#: What the other factors weigh where a relative one exists: trend the rest, calm and volume these.
+RELATIVE_SHARES = {"vol19": 0.25, "volx": 0.15}
+
+
 def catalogue(least_amount: float = 5e7, least_price: float = 5.0, calm_drawdown: float = 0.25, inverse_drawdown: float = 0.5, up_ratio: float = 0.5,
-              oversold: float = -0.05, oversold_rsi: float = 30.0, oversold_z: float = 1.5) -> dict[str, Strategy]:
+              oversold: float = -0.05, oversold_rsi: float = 30.0, oversold_z: float = 1.5, most_index_momentum: float = MOST_INDEX_MOMENTUM) -> dict[str, Strategy]:
     """The built-in strategies with their defaults."""
     liquid = f"amt20 >= {least_amount} AND close >= {least_price}"
     calm = "amt5 <= 2.5 * amt20 AND amt20 > 0"
@@ -62,8 +75,8 @@ def catalogue(least_amount: float = 5e7, least_price: float = 5.0, calm_drawdown
         Strategy("trend_filtered_mean_reversion", f"rn >= 121 AND close > ma120 AND ret5 <= {oversold} AND (rsi14 <= {oversold_rsi} OR z20 <= {-oversold_z}) AND {liquid}",
                  {"ret5": (1 / 3, -1), "rsi14": (1 / 3, -1), "z20": (1 / 3, -1)}),
         Strategy("low_vol_defensive", f"rn >= 60 AND close > ma60 AND {liquid} AND up19 >= {up_ratio} AND dd60 >= {-calm_drawdown} AND vol19 IS NOT NULL",
-                 {"trend60": (0.45, 1), "vol19": (0.35, -1), "volx": (0.20, 1)}, cap=0.15, weighting="inverse_vol"),
-        Strategy("inverse_momentum", f"rn >= 66 AND {liquid} AND {calm} AND mom60s5 <= 0 AND dd60 >= {-inverse_drawdown}", order="mom60s5", ascending=True, top_n=30, cap=0.05, gross=0.8, entry=None, buffered=True),
+                 {"trend60": (0.45, 1), "vol19": (0.35, -1), "volx": (0.20, 1)}, cap=0.15, weighting="inverse_vol", relative=("beta60", 0.25, 2.0)),
+        Strategy("inverse_momentum", f"rn >= 66 AND {liquid} AND {calm} AND mom60s5 <= 0 AND dd60 >= {-inverse_drawdown}", order="mom60s5", ascending=True, top_n=30, cap=0.05, gross=0.8, entry=None, buffered=True, silent=f"index_momentum > {most_index_momentum}"),
         Strategy("stable_reversal", f"rn >= 21 AND {liquid} AND {calm} AND rev5 >= 0 AND stab20 IS NOT NULL AND vola20 > 0",
                  {"stab20": (0.8 * 0.55, 1), "rev5": (0.8 * 0.45, 1), "vola20": (0.2, -1)}, then="rev5", top_n=20, cap=0.05, gross=0.8, buffered=True),
         Strategy("multi_factor_rank", f"rn >= 61 AND {liquid} AND {calm} AND vola20 > 0 AND stab20 IS NOT NULL AND lav20 IS NOT NULL AND tail20 IS NOT NULL",
@@ -107,6 +120,32 @@ def features(bars: DataFrame) -> DataFrame:
     })
 
 
+def with_index_momentum(decisions: DataFrame, index: DataFrame, window: int = INDEX_WINDOW) -> DataFrame:
+    """Adds index_momentum of the decision date: what the index gained in ``window`` rows, 0 where it is too short."""
+    before = F.lag("close", window).over(Window.orderBy("trade_date"))  # the index has one row a date
+    bench = index.select(F.col("trade_date").alias("decision_date"), F.when(before > 0, F.col("close") / before - 1).alias("_k"))
+    return decisions.join(F.broadcast(bench), "decision_date", "left").withColumn("index_momentum", F.coalesce("_k", F.lit(0.0))).drop("_k")
+
+
+def with_beta(rows: DataFrame, index: DataFrame, window: int = 60, least: int = 5) -> DataFrame:
+    """Adds beta60, the beta on the index's down days among the last common days; null below ``least`` of them or without variance."""
+    w = Window.orderBy("trade_date")
+    bench = index.select("trade_date", (ratio(F.col("close"), F.lag("close").over(w)) - 1).alias("_m"))
+    out = rows.join(F.broadcast(bench), "trade_date", "left")
+    # rows that lack either return are no common days: they are numbered away
+    common = F.col("_r").isNotNull() & F.col("_m").isNotNull()
+    out = out.withColumn("_n", F.count_if(common).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0)))
+    near = by_symbol_of("_n").rangeBetween(-(window - 1), 0)
+    down = lambda x: F.when(common & (F.col("_m") < 0), F.col(x))
+    n, v, cov = F.count(down("_m")).over(near), F.var_samp(down("_m")).over(near), F.covar_samp(down("_r"), down("_m")).over(near)
+    return out.withColumn("beta60", F.when((n >= least) & (v >= 1e-12), cov / v)).drop("_m", "_n")
+
+
+def by_symbol_of(order: str) -> WindowSpec:
+    """A security's rows in the order of a column."""
+    return Window.partitionBy("symbol").orderBy(order)
+
+
 def decision_rows(rows: DataFrame, dates: DataFrame, every: int) -> DataFrame:
     """decision_date and the row of every security that is its latest then.
 
@@ -135,7 +174,22 @@ def percentile(x: str, sign: int, date: str = "decision_date") -> Column:
 def ranked(decisions: DataFrame, strategy: Strategy) -> DataFrame:
     """decision_date, symbol, score, rank (and the volatility) of the candidates that pass the gate."""
     kept = decisions.where(strategy.gate)
-    if strategy.factors:
+    if strategy.silent != "false":
+        kept = kept.where(~F.expr(strategy.silent))
+    if strategy.relative:
+        name, weight, limit = strategy.relative
+        kept = kept.where(F.col(name).isNull() | (F.col(name) <= limit))
+        by_date = Window.partitionBy("decision_date")
+        n = F.count(name).over(by_date)
+        place = 1 - (average_rank(name, "decision_date", "_none") - 1) / (n - 1)
+        marks = {f"_p_{k}": percentile(k, sign) for k, (_, sign) in strategy.factors.items()}
+        kept = kept.withColumn("_none", F.col(name).isNull()).withColumns({**marks, "_n": n, "_p": F.when(F.col(name).isNull(), 0.0).when(n <= 1, 1.0).otherwise(place)})
+        rest = 1 - weight - sum(RELATIVE_SHARES.values())
+        alone, beside = F.lit(0.0), F.col("_p") * weight
+        for k, (w, _) in strategy.factors.items():
+            alone, beside = alone + F.col(f"_p_{k}") * w, beside + F.col(f"_p_{k}") * RELATIVE_SHARES.get(k, rest)
+        kept = kept.withColumn("score", F.round(F.when(F.col("_n") > 0, beside).otherwise(alone), 9))
+    elif strategy.factors:
         total = sum(w for w, _ in strategy.factors.values())
         marks = {f"_p_{k}": percentile(k, sign) for k, (_, sign) in strategy.factors.items()}
         kept = kept.withColumns(marks)

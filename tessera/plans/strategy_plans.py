@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from tessera.operators import execution as X
@@ -13,13 +11,15 @@ from tessera.plans.evaluation_plans import _round
 from tessera.plans.factor_plans import SQL_GRID
 from tessera.sources.tables import SQL_BARS, SQL_INDEX, bars, index_bars
 
-EVERY, AMOUNT, PRICE, CASH = 5, 50_000.0, 5.0, 100_000_000.0
-ALL = S.catalogue(AMOUNT, PRICE, calm_drawdown=0.95, up_ratio=0.4, inverse_drawdown=0.9, oversold_rsi=45.0, oversold_z=0.8)
+EVERY, AMOUNT, PRICE = 5, 50_000.0, 5.0
+ALL = S.catalogue(AMOUNT, PRICE, calm_drawdown=0.95, up_ratio=0.4, inverse_drawdown=0.9, oversold_rsi=45.0, oversold_z=0.8, most_index_momentum=0.05)
 
 
 def _ranks(spark, sf_dir, name):
     b = bars(spark, sf_dir)
-    return S.ranked(S.decision_rows(S.features(b), b, EVERY), ALL[name])
+    rows, index = S.features(b), index_bars(spark, sf_dir)
+    decisions = S.decision_rows(S.with_beta(rows, index) if ALL[name].relative else rows, b, EVERY)
+    return S.ranked(S.with_index_momentum(decisions, index) if ALL[name].silent != "false" else decisions, ALL[name])
 
 
 def ranks_query(name):
@@ -61,39 +61,6 @@ def downside_beta(spark, sf_dir):
     return _round(S.downside_beta(bars(spark, sf_dir), index_bars(spark, sf_dir)))
 
 
-def _events(spark, sf_dir, name="momentum_rank", costs=(1.0,)):
-    s = ALL[name]
-    base = X.Rules(cash=CASH, top_n=s.top_n, cap=s.cap, gross=s.gross, hold=s.hold, entry=s.entry, buffered=s.buffered)
-    runs = {f"{name}_x{m:g}": replace(base, commission=base.commission * m, slippage=base.slippage * m, stamp_tax=base.stamp_tax * m) for m in costs}
-    ranks = _ranks(spark, sf_dir, name)
-    decisions = ranks.where(F.col("rank") <= 2 * s.top_n).select("decision_date", "symbol", "rank") if s.buffered else S.risk_gate(S.target_weights(ranks, s))
-    return X.simulate(bars(spark, sf_dir), decisions, runs)
-
-
-def backtest_query(name):
-    """Equity curve of an executed strategy; the fold has no SQL."""
-
-    def query(spark, sf_dir):
-        return X.equity_curve(_events(spark, sf_dir, name))
-
-    return query
-
-
-def backtest_trades(spark, sf_dir):
-    """Trades of a run."""
-    return X.trades(_events(spark, sf_dir))
-
-
-def cost_stress(spark, sf_dir):
-    """Metrics under one, two and three times the costs, as parallel runs."""
-    return X.metrics(X.equity_curve(_events(spark, sf_dir, costs=(1.0, 2.0, 3.0))), CASH, index_bars(spark, sf_dir))
-
-
-def trade_statistics(spark, sf_dir):
-    """Turnover and costs."""
-    return X.trade_stats(X.trades(_events(spark, sf_dir)), CASH)
-
-
 def _index_curve(spark, sf_dir):
     b = index_bars(spark, sf_dir)
     return b.select(F.lit("index").alias("run_id"), "trade_date", F.col("close").alias("equity"), F.lit("equity").alias("kind"), F.lit(0.0).alias("cash"), F.lit(0.0).alias("position_value"))
@@ -129,8 +96,8 @@ def walk_forward_windows(spark, sf_dir):
 
 _STATELESS = [n for n, s in ALL.items() if not s.buffered]
 QUERIES = (
-    {f"ranks_{n}": ranks_query(n) for n in ALL} | {f"weights_{n}": weights_query(n) for n in _STATELESS} | {f"backtest_{n}": backtest_query(n) for n in ("momentum_rank", "inverse_momentum", "stable_reversal", "multi_factor_rank")}
-    | {f.__name__: f for f in (risk_gate, frictionless_returns, downside_beta, backtest_trades, cost_stress, trade_statistics, drawdown_curve, backtest_metrics, benchmark_curve, monthly_report, walk_forward_windows)})
+    {f"ranks_{n}": ranks_query(n) for n in ALL} | {f"weights_{n}": weights_query(n) for n in _STATELESS}
+    | {f.__name__: f for f in (risk_gate, frictionless_returns, downside_beta, drawdown_curve, backtest_metrics, benchmark_curve, monthly_report, walk_forward_windows)})
 
 
 def _w(n: int) -> str:
@@ -163,13 +130,31 @@ decided AS (SELECT * EXCLUDE (k) FROM (SELECT a.trade_date AS decision_date, fea
 def _ranks_sql(s: S.Strategy) -> str:
     """CTEs that end in ``ranks``."""
     total = sum(w for w, _ in s.factors.values())
+    if s.relative:
+        name, weight, limit = s.relative
+        pct = lambda k, sign: f"CASE WHEN count(*) OVER d <= 1 THEN 1.0 ELSE {'' if sign > 0 else '1 - '}(rank() OVER (PARTITION BY decision_date ORDER BY {k}) + (count(*) OVER (PARTITION BY decision_date, {k}) - 1) / 2.0 - 1) / nullif(CAST(count(*) OVER d AS DOUBLE) - 1, 0) END"
+        marks = ", ".join(f"{pct(k, sign)} AS p_{k}" for k, (_, sign) in s.factors.items())
+        marks += f""", CASE WHEN {name} IS NULL THEN 0 WHEN count({name}) OVER d <= 1 THEN 1 ELSE 1 - (rank() OVER (PARTITION BY decision_date, {name} IS NULL ORDER BY {name}) + (count(*) OVER (PARTITION BY decision_date, {name}) - 1) / 2.0 - 1)
+  / nullif(CAST(count({name}) OVER d AS DOUBLE) - 1, 0) END AS p_rel, count({name}) OVER d AS n_rel"""
+        alone = " + ".join(f"p_{k} * {w!r}" for k, (w, _) in s.factors.items())
+        score = f"round(CASE WHEN n_rel > 0 THEN p_rel * {weight} + p_trend60 * 0.35 + p_vol19 * 0.25 + p_volx * 0.15 ELSE {alone} END, 9)"
+        features = f"""{_FEATURES}, {SQL_INDEX}, ix AS (SELECT trade_date, close / lag(close) OVER (ORDER BY trade_date) - 1 AS m FROM index_bars),
+own AS (SELECT symbol, trade_date, r, m, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS j FROM feat JOIN ix USING (trade_date) WHERE r IS NOT NULL AND m IS NOT NULL),
+bt AS (SELECT a.symbol, a.trade_date, CASE WHEN count(*) >= 5 AND var_samp(b.m) >= 1e-12 THEN covar_samp(b.r, b.m) / var_samp(b.m) END AS {name} FROM own a JOIN own b ON a.symbol = b.symbol AND b.j BETWEEN a.j - 59 AND a.j AND b.m < 0 GROUP BY 1, 2),
+rated AS (SELECT d.*, bt.{name} FROM decided d LEFT JOIN bt USING (symbol, trade_date))"""
+        return f"""{features}, gated AS (SELECT * FROM rated WHERE {s.gate} AND ({name} IS NULL OR {name} <= {limit})), marked AS (SELECT *, {marks} FROM gated WINDOW d AS (PARTITION BY decision_date)),
+ranks AS (SELECT decision_date, symbol, CAST({score} AS DOUBLE) AS score, row_number() OVER (PARTITION BY decision_date ORDER BY {score} DESC, symbol) AS rank, vol19 FROM marked)"""
+    quiet = ""
+    if s.silent != "false":
+        quiet = f" AND NOT (coalesce((SELECT k.index_momentum FROM km k WHERE k.trade_date = decided.decision_date), 0) > {s.silent.split('> ')[1]})"
     if s.factors:
         marks = ", ".join(f"CASE WHEN count(*) OVER d <= 1 THEN 1.0 ELSE {'' if sign > 0 else '1 - '}(rank() OVER (PARTITION BY decision_date ORDER BY {k}) + (count(*) OVER (PARTITION BY decision_date, {k}) - 1) / 2.0 - 1) / nullif(CAST(count(*) OVER d AS DOUBLE) - 1, 0) END AS p_{k}" for k, (_, sign) in s.factors.items())
         score = f"round({' + '.join(f'p_{k} * {w / total!r}' for k, (w, _) in s.factors.items())}, 9)"
     else:
         marks, score = "1 AS one", "0.0" if s.order == "symbol" else s.order
     by = f"{score} {'ASC' if s.ascending else 'DESC'}, {f'{s.then} DESC, ' if s.then else ''}symbol"
-    return f"""{_FEATURES}, gated AS (SELECT * FROM decided WHERE {s.gate}), marked AS (SELECT *, {marks} FROM gated WINDOW d AS (PARTITION BY decision_date)),
+    index = f""", {SQL_INDEX}, km AS (SELECT trade_date, close / nullif(lag(close, {S.INDEX_WINDOW}) OVER (ORDER BY trade_date), 0) - 1 AS index_momentum FROM index_bars)""" if quiet else ""
+    return f"""{_FEATURES}{index}, gated AS (SELECT * FROM decided WHERE {s.gate}{quiet}), marked AS (SELECT *, {marks} FROM gated WINDOW d AS (PARTITION BY decision_date)),
 ranks AS (SELECT decision_date, symbol, CAST({score} AS DOUBLE) AS score, row_number() OVER (PARTITION BY decision_date ORDER BY {by}) AS rank, vol19 FROM marked)"""
 
 

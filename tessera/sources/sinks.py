@@ -51,7 +51,7 @@ def fingerprint(spec: dict) -> str:
 
 def content_fingerprint(bars: DataFrame) -> str:
     """Order-free digest of a bar table: rows are hashed where they lie, only sums come back."""
-    text = F.concat_ws("|", "symbol", "trade_date", *(F.format_string("%.10g", F.col(c)) for c in ("open", "high", "low", "close", "volume", "amount")))
+    text = F.concat_ws("|", "symbol", "trade_date", *(F.format_string("%.17g", F.col(c)) for c in ("open", "high", "low", "close", "volume", "amount")))
     parts = [F.sum(F.conv(F.substring(F.sha2(text, 256), k, 12), 16, 10).cast("decimal(20,0)")).alias(f"p{k}") for k in (1, 13, 25, 37)]
     row = bars.agg(F.count(F.lit(1)).alias("n"), *parts).first()
     return hashlib.sha256("|".join(map(str, row)).encode()).hexdigest()
