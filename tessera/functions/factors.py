@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import by_symbol, lag, ratio, rolling, rolling_corr, rolling_skew, trailing
+from .windows import by_symbol, lag, over, ratio, rolling, rolling_corr, rolling_skew, sharing
 
 o, h, l, c, v, a = "open", "high", "low", "close", "volume", "amount"
 
@@ -55,12 +55,19 @@ def base_columns(grid: DataFrame) -> DataFrame:
 
 
 def compute(grid: DataFrame, names: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """symbol, trade_date, the kept columns and the named factors (all by default), in one projection."""
+    """symbol, trade_date, the kept columns and the named factors (all by default), in one projection.
+
+    Factors share their windowed aggregates: each is computed once, in one
+    window stage, before the projection.
+    """
     names = list(REGISTRY) if names is None else names
     missing = [n for n in names if n not in REGISTRY]
     if missing:
         raise KeyError(f"unknown factors: {missing}")
-    return base_columns(grid).select("symbol", "trade_date", *keep, *(REGISTRY[n].build().alias(n) for n in names))
+    with sharing() as shared:
+        built = [REGISTRY[n].build().alias(n) for n in names]
+    helpers = {name: window for name, window in shared.values()}
+    return base_columns(grid).withColumns(helpers).select("symbol", "trade_date", *keep, *built)
 
 
 def _mean(x: Column, n: int) -> Column:
@@ -76,16 +83,20 @@ def _std(x: Column, n: int) -> Column:
 
 
 def _max_drawdown(n: int) -> Column:
-    closes = F.collect_list(c).over(trailing(n))
-    dips = F.transform(closes, lambda x, k: ratio(x, F.array_max(F.slice(closes, F.lit(1), k + 1))) - 1)
-    return F.when(F.count(c).over(trailing(n)) == n, F.array_min(dips))
+    start = F.struct(F.lit(None).cast("double").alias("peak"), F.lit(None).cast("double").alias("worst"))
+
+    def step(acc: Column, x: Column) -> Column:
+        peak = F.greatest(acc["peak"], x)
+        return F.struct(peak.alias("peak"), F.least(acc["worst"], ratio(x, peak) - 1).alias("worst"))
+
+    return F.when(over(F.count(_c(c)), n) == n, F.aggregate(over(F.collect_list(_c(c)), n), start, step, lambda acc: acc["worst"]))
 
 
 def _price_rank(n: int) -> Column:
-    closes, now = F.collect_list(c).over(trailing(n)), _c(c)
+    closes, now = over(F.collect_list(_c(c)), n), _c(c)
     below = F.size(F.filter(closes, lambda x: x < now))
     same = F.size(F.filter(closes, lambda x: x == now))
-    return F.when(F.count(c).over(trailing(n)) == n, (below + (same + 1) / 2.0 - 1) / (n - 1))
+    return F.when(over(F.count(_c(c)), n) == n, (below + (same + 1) / 2.0 - 1) / (n - 1))
 
 
 def _atr(n: int) -> Column:
@@ -94,8 +105,7 @@ def _atr(n: int) -> Column:
 
 
 def _up_ratio(n: int) -> Column:
-    w = trailing(n)
-    return F.when(_c("_i") >= n, ratio(F.sum(F.when(_c("_r") > 0, 1.0).otherwise(0.0)).over(w), F.count("_r").over(w).cast("double")))
+    return F.when(_c("_i") >= n, ratio(over(F.sum(F.when(_c("_r") > 0, 1.0).otherwise(0.0)), n), over(F.count(_c("_r")), n).cast("double")))
 
 
 def _rsi(n: int) -> Column:
@@ -110,12 +120,12 @@ def _close_position() -> Column:
 
 
 def _regression(kind: str) -> Column:
-    w, full = trailing(20), F.count(c).over(trailing(20)) == 20
-    slope, intercept = F.regr_slope(c, "_i").over(w), F.regr_intercept(c, "_i").over(w)
+    full = over(F.count(_c(c)), 20) == 20
+    slope, intercept = over(F.regr_slope(c, "_i"), 20), over(F.regr_intercept(c, "_i"), 20)
     if kind == "slope":
         return F.when(full, ratio(slope, _c(c)))
     if kind == "r2":
-        return F.when(full & (F.stddev_samp(c).over(w) > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.regr_r2(c, "_i").over(w))))
+        return F.when(full & (over(F.stddev_samp(_c(c)), 20) > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), over(F.regr_r2(c, "_i"), 20))))
     return F.when(full, ratio(_c(c) - (intercept + slope * _c("_i")), _c(c)))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -18,9 +19,31 @@ def trailing(n: int) -> WindowSpec:
     return by_symbol().rowsBetween(-(n - 1), 0)
 
 
+_shared: dict[str, tuple[str, Column]] | None = None
+
+
+@contextmanager
+def sharing() -> Iterator[dict[str, tuple[str, Column]]]:
+    """Within it ``over`` names each windowed aggregate once; what is collected is to be added as columns before the expressions are used."""
+    global _shared
+    before, _shared = _shared, {}
+    try:
+        yield _shared
+    finally:
+        _shared = before
+
+
+def over(aggregate: Column, n: int) -> Column:
+    """An aggregate over the last n rows: a reference to its shared column, or the window itself."""
+    if _shared is None:
+        return aggregate.over(trailing(n))
+    name, _ = _shared.setdefault(f"{aggregate}|{n}", (f"_w{len(_shared)}", aggregate.over(trailing(n))))
+    return F.col(name)
+
+
 def rolling(agg: Callable[[Column], Column], x: Column, n: int) -> Column:
     """An aggregate over the last n rows that is null unless all n values are present."""
-    return F.when(F.count(x).over(trailing(n)) == n, agg(x).over(trailing(n)))
+    return F.when(over(F.count(x), n) == n, over(agg(x), n))
 
 
 def lag(x: Column, n: int = 1) -> Column:
@@ -36,16 +59,15 @@ def ratio(a: Column, b: Column) -> Column:
 def rolling_corr(x: Column, y: Column, n: int) -> Column:
     """Pearson correlation of n complete pairs; null where a side is constant."""
     both = x.isNotNull() & y.isNotNull()
-    a, b, w = F.when(both, x), F.when(both, y), trailing(n)
-    full = F.count(a).over(w) == n
-    return F.when(full, ratio(F.covar_samp(a, b).over(w), F.stddev_samp(a).over(w) * F.stddev_samp(b).over(w)))
+    a, b = F.when(both, x), F.when(both, y)
+    full = over(F.count(a), n) == n
+    return F.when(full, ratio(over(F.covar_samp(a, b), n), over(F.stddev_samp(a), n) * over(F.stddev_samp(b), n)))
 
 
 def rolling_skew(x: Column, n: int) -> Column:
     """Bias-corrected skewness; 0 where the window is constant."""
-    w = trailing(n)
-    value = F.when(F.stddev_samp(x).over(w) == 0, F.lit(0.0)).otherwise(F.skewness(x).over(w) * ((n * (n - 1)) ** 0.5) / (n - 2))
-    return F.when(F.count(x).over(w) == n, value)
+    value = F.when(over(F.stddev_samp(x), n) == 0, F.lit(0.0)).otherwise(over(F.skewness(x), n) * ((n * (n - 1)) ** 0.5) / (n - 2))
+    return F.when(over(F.count(x), n) == n, value)
 
 
 def average_rank(order: str, *keys: str) -> Column:

@@ -86,8 +86,13 @@ def catalogue(least_amount: float = 5e7, least_price: float = 5.0, calm_drawdown
 
 
 def _drawdown(n: int) -> Column:
-    closes = F.collect_list("close").over(trailing(n))
-    return F.array_min(F.transform(closes, lambda x, k: x / F.array_max(F.slice(closes, F.lit(1), k + 1)) - 1))
+    start = F.struct(F.lit(None).cast("double").alias("peak"), F.lit(None).cast("double").alias("worst"))
+
+    def step(acc: Column, x: Column) -> Column:
+        peak = F.greatest(acc["peak"], x)
+        return F.struct(peak.alias("peak"), F.least(acc["worst"], x / peak - 1).alias("worst"))
+
+    return F.aggregate(F.collect_list("close").over(trailing(n)), start, step, lambda acc: acc["worst"])
 
 
 def features(bars: DataFrame) -> DataFrame:
