@@ -25,3 +25,9 @@ def build_session(app: str = "tessera", master: str | None = None, shuffle_parti
     if master:
         builder = builder.master(master)
     return builder.config(map=conf | (extra or {})).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder (``spark.checkpoint.dir``), or one below the warehouse where the setting is absent, as in local runs."""
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return (given or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.news import upsert
+from tessera.operators.pit import last_wins
+from tessera.session import shared_folder
 
 
 def event_stream(spark: SparkSession, folder: str, files: int = 4) -> DataFrame:
@@ -34,31 +36,39 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "3 days")
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there and return its result table (for tests and reports)."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over all that is there into Parquet files and read them back.
+
+    Result and checkpoint lie in the shared folder, so nothing passes through
+    the driver. In complete mode each batch replaces the table before it; in
+    update mode the rows of every batch stay. A replayed batch writes its own
+    files again.
+    """
+    folder = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/check").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", f"{folder}/out").start()
+    else:
+        one = mode == "complete"
+        query = writer.foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/out/{0 if one else k}")).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
 
 
-def merge_into(path: str, keys: tuple[str, ...] = ("source", "news_id")):
-    """foreachBatch sink: upsert each batch into a Parquet table by writing a new version beside it.
+def merge_into(path: str, keys: tuple[str, ...] = ("source", "news_id"), order: tuple[str, ...] = ("fetched_at",)):
+    """foreachBatch sink: upsert each batch into a Parquet table by writing version ``v{batch}`` beside the one before.
 
-    The pointer file names the current version, so a batch that is replayed
-    after a failure writes the same version again.
+    Of the rows of one batch that share a key the last by ``order`` counts. A
+    replayed batch writes its own version again; a batch whose predecessor is
+    missing fails, since the table would start anew without a sign.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = f"{path}/v{batch_id - 1}"
-        try:
-            stored = spark.read.parquet(before)
-        except Exception as error:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            stored = None
-        latest = batch.dropDuplicates(list(keys))
-        (upsert(stored, latest, keys) if stored is not None else latest).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        latest = last_wins(batch, list(keys), list(order))
+        if batch_id > 0:
+            # a missing version raises here
+            latest = upsert(spark.read.parquet(f"{path}/v{batch_id - 1}"), latest, keys)
+        latest.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
 
     return write
 
