@@ -6,31 +6,39 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .units import Remembered
+
 TOKEN = re.compile(r"[^\W\d_]+")
 BITS = 18
 #: Features a token has: the word, its first 3 to 6 letters, its last 3, its length.
 FEATURES = 7
-#: Tokens scored in one sweep, and words remembered by a task.
-SWEEP, REMEMBERED = 400_000, 300_000
+#: Tokens scored in one sweep, and words of one generation that a task remembers.
+#: Neighbours are held back: what one document alone says must not count.
+CONTEXT_DECAY = 1e-3
+SWEEP, REMEMBERED = 300_000, 80_000
 #: The document score takes the surest tokens only, so that length alone adds nothing.
 SUREST = 5
 
 
 @dataclass(frozen=True)
 class Crf:
-    """Weights of 2 ** BITS hashed features for state 1 against 0, transitions and starts (log scale)."""
+    """Weights of 2 ** BITS hashed features for state 1 against 0, transitions and starts (log scale).
+
+    ``before`` and ``after`` weigh the words next to a token, hashed alike.
+    """
 
     weights: np.ndarray
     trans: np.ndarray
     start: np.ndarray
-    memory: dict = field(default_factory=dict, compare=False)
+    before: np.ndarray | None = None
+    after: np.ndarray | None = None
 
 
 def features(word: str) -> list[int]:
@@ -148,36 +156,44 @@ def marginals(crf: Crf, emission: np.ndarray, fresh: np.ndarray) -> np.ndarray:
 def fit(sample: list[tuple[int, str, int]], rounds: int = 40, rate: float = 0.25, decay: float = 1e-5) -> Crf:
     """Maximise the conditional likelihood of the token labels with Adam.
 
-    ``sample`` holds (id, text, label) rows; the token labels are those of
-    ``label_tokens``. Without toxic rows every token is scored as clean.
+    ``sample`` holds (id, text, label) rows. A token is labelled toxic where
+    ``label_tokens`` says so of its word and its document is labelled toxic:
+    the same word is clean in a clean document, so what tells the two apart
+    must come from its neighbours and from the chain. Without toxic rows every
+    token is scored as clean.
     """
     docs, labels = _apart([[w.lower() for w in TOKEN.findall(t)] for _, t, _ in sample], [y for _, _, y in sample])
-    par = {"weights": np.zeros(1 << BITS), "trans": np.zeros((2, 2)), "start": np.array([0.0, -4.0])}
+    par = {"weights": np.zeros(1 << BITS), "before": np.zeros(1 << BITS), "after": np.zeros(1 << BITS), "trans": np.zeros((2, 2)), "start": np.array([0.0, -4.0])}
     if labels.sum() in (0, len(labels)):
         return Crf(par["weights"], np.array([[0.0, -8.0], [0.0, -8.0]]), np.array([0.0, -8.0]))
     gold_of = label_tokens(docs, labels)
     words = sorted(gold_of)
     number = {w: i for i, w in enumerate(words)}
     rows = _feature_rows(words)
+    toxic = np.array([y for d, y in zip(docs, labels, strict=True) for _ in d], int)
     kept = [d for d in docs if d]
     seq = np.array([number[w] for d in kept for w in d], np.int32)
     fresh = np.zeros(len(seq), bool)
     fresh[np.cumsum([0, *(len(d) for d in kept[:-1])])] = True
-    gold = np.array([gold_of[w] for w in words])[seq]
+    gold = np.array([gold_of[w] for w in words])[seq] * toxic
     inner = ~fresh[1:]
+    name = rows[:, 0][seq]
     told = np.bincount((2 * gold[:-1] + gold[1:])[inner], minlength=4).reshape(2, 2)
     mean = {k: np.zeros_like(v) for k, v in par.items()}
     var = {k: np.zeros_like(v) for k, v in par.items()}
     for step in range(1, rounds + 1):
-        emission = par["weights"][rows].sum(1)[seq]
+        emission = par["weights"][rows].sum(1)[seq] + _beside(par["before"][name], par["after"][name], fresh)
         f0, f1, b0, b1 = _scan(emission, fresh, par["trans"], par["start"])
         post = f1 * b1 / (f0 * b0 + f1 * b1)
         ahead = b0[1:], b1[1:] * np.exp(np.clip(emission[1:], -50, 50))
         t = np.exp(par["trans"])
         each = np.stack([f * t[i, j] * ahead[j] for i, f in enumerate((f0[:-1], f1[:-1])) for j in (0, 1)])
         pair = (each / each.sum(0))[:, inner].sum(1).reshape(2, 2)
-        by_word = np.bincount(seq, post - gold, minlength=len(words))
+        error = post - gold
+        by_word = np.bincount(seq, error, minlength=len(words))
         grad = {
+            "before": np.bincount(name[:-1][inner], error[1:][inner], minlength=1 << BITS) / len(kept) + CONTEXT_DECAY * par["before"],
+            "after": np.bincount(name[1:][inner], error[:-1][inner], minlength=1 << BITS) / len(kept) + CONTEXT_DECAY * par["after"],
             "weights": np.bincount(rows.ravel(), np.repeat(by_word, FEATURES), minlength=1 << BITS) / len(kept) + decay * par["weights"],
             "trans": (pair - told) / len(kept) + decay * par["trans"],
             "start": np.array([-1.0, 1.0]) * (post[fresh] - gold[fresh]).sum() / len(kept),
@@ -186,28 +202,40 @@ def fit(sample: list[tuple[int, str, int]], rounds: int = 40, rate: float = 0.25
             mean[k] = 0.9 * mean[k] + 0.1 * g
             var[k] = 0.99 * var[k] + 0.01 * g * g
             par[k] = par[k] - rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(var[k] / (1 - 0.99**step)) + 1e-8)
-    return Crf(par["weights"], par["trans"], par["start"])
+    return Crf(par["weights"], par["trans"], par["start"], par["before"], par["after"])
+
+
+def _beside(before: np.ndarray, after: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """What the neighbours add to each token: the word before it and the word after it, within the document."""
+    out = np.zeros(len(fresh))
+    inner = ~fresh[1:]
+    out[1:][inner] += before[:-1][inner]
+    out[:-1][inner] += after[1:][inner]
+    return out
 
 
-def _emissions(crf: Crf, docs: list[list[str]]) -> np.ndarray:
-    memory = crf.memory
-    if len(memory) > REMEMBERED:
-        memory.clear()
-    new = list(set().union(*docs).difference(memory)) if docs else []
+def _emissions(crf: Crf, docs: list[list[str]], fresh: np.ndarray, memory: Remembered) -> np.ndarray:
+    place: dict[str, int] = {}
+    seq = np.array([place.setdefault(w, len(place)) for d in docs for w in d], np.int64)
+    memory.turn()
+    new = memory.known(list(place))
     for i in range(0, len(new), 50_000):
         part = new[i : i + 50_000]
-        values = crf.weights[_feature_rows([w.lower() for w in part])].sum(1)
-        memory.update(zip(part, values.tolist(), strict=True))
-    get = memory.__getitem__
-    return np.array([get(w) for d in docs for w in d], np.float64)
+        rows = _feature_rows([w.lower() for w in part])
+        beside = [x[rows[:, 0]].tolist() if x is not None else [0.0] * len(part) for x in (crf.before, crf.after)]
+        memory.young.update(zip(part, zip(crf.weights[rows].sum(1).tolist(), *beside, strict=True), strict=True))
+    get = memory.young.__getitem__
+    values = np.array([get(w) for w in place], np.float64).reshape(len(place), 3)
+    return values[seq, 0] + _beside(values[seq, 1], values[seq, 2], fresh)
 
 
-def tag_texts(crf: Crf, texts: list[str | None], cut: float = 0.5) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+def tag_texts(crf: Crf, texts: list[str | None], cut: float = 0.5, memory: Remembered | None = None) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
     """A score in 0..1 for each text, and its spans (start, end, probability) over ``cut`` in code points.
 
     The score is 1 - prod(1 - p) over the SUREST largest marginals; a text
     without words scores 0.
     """
+    memory = Remembered(REMEMBERED) if memory is None else memory
     scores, spans = np.zeros(len(texts)), [[] for _ in texts]
     held: list[list[str]] = []
     first = size = 0
@@ -220,7 +248,7 @@ def tag_texts(crf: Crf, texts: list[str | None], cut: float = 0.5) -> tuple[np.n
         starts = np.cumsum(lengths) - lengths
         fresh = np.zeros(size, bool)
         fresh[starts[lengths > 0]] = True
-        prob = marginals(crf, _emissions(crf, held), fresh)
+        prob = marginals(crf, _emissions(crf, held, fresh, memory), fresh)
         worst = np.zeros(len(held))
         if size:
             worst[lengths > 0] = np.maximum.reduceat(prob, starts[lengths > 0])
@@ -248,8 +276,9 @@ def score_column(crf: Crf, text: Column) -> Column:
 
     @F.pandas_udf("score double, spans array<struct<start:int,end:int,prob:double>>")
     def tag(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        memory = Remembered(REMEMBERED)
         for texts in batches:
-            scores, spans = tag_texts(crf, [t if isinstance(t, str) else None for t in texts])
+            scores, spans = tag_texts(crf, [t if isinstance(t, str) else None for t in texts], memory=memory)
             rows = [[{"start": a, "end": b, "prob": p} for a, b, p in s] for s in spans]
             yield pd.DataFrame({"score": scores, "spans": rows})
 
