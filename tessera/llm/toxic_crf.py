@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +19,12 @@ TOKEN = re.compile(r"[^\W\d_]+")
 BITS = 18
 #: Features a token has: the word, its first 3 to 6 letters, its last 3, its length.
 FEATURES = 7
-#: Tokens scored in one sweep, and words of one generation that a task remembers.
 #: Neighbours are held back: what one document alone says must not count.
 CONTEXT_DECAY = 1e-3
+#: Tokens scored in one sweep, and words of one generation that a task remembers.
 SWEEP, REMEMBERED = 300_000, 80_000
+#: Tokens of one block of the training set: the arrays of a step are as long as a block, not as the set.
+FITTED = 200_000
 #: The document score takes the surest tokens only, so that length alone adds nothing.
 SUREST = 5
 
@@ -51,23 +53,29 @@ def _feature_rows(words: list[str]) -> np.ndarray:
     return np.array([features(w) for w in words], np.int32).reshape(len(words), FEATURES)
 
 
-def _apart(docs: list[list[str]], labels: list[int]) -> tuple[list[list[str]], np.ndarray]:
-    """One document of each set of near copies, so that copies don't count as further witnesses.
+def _numbered(sample: list[tuple[int, str, int]]) -> tuple[list[str], list[np.ndarray], np.ndarray]:
+    """The words met, the documents as numbers of words, and the documents' labels.
 
-    Two documents are taken as copies where one of two min-hashes of their word triples agrees.
+    One document of each set of near copies counts, so that copies don't count
+    as further witnesses: two documents are taken as copies where one of two
+    min-hashes of their word triples agrees. Words are held once, tokens as
+    four bytes each.
     """
+    place: dict[str, int] = {}
     seen: set = set()
-    kept = []
-    for i, words in enumerate(docs):
+    docs, labels = [], []
+    for _, text, y in sample:
+        words = [w.lower() for w in TOKEN.findall(text)]
         triples = [zlib.crc32(" ".join(words[k : k + 3]).encode()) for k in range(max(1, len(words) - 2))]
         marks = {(0, min(triples)), (1, max(triples))}
         if seen.isdisjoint(marks):
-            kept.append(i)
+            docs.append(np.array([place.setdefault(w, len(place)) for w in words], np.int32))
+            labels.append(y)
         seen |= marks
-    return [docs[i] for i in kept], np.array([labels[i] for i in kept], int)
+    return list(place), docs, np.array(labels, int)
 
 
-def label_tokens(docs: list[list[str]], labels: np.ndarray, least: int = 8, ratio: float = 30.0) -> dict[str, int]:
+def label_tokens(docs: Iterable[list[str]], labels: np.ndarray, least: int = 8, ratio: float = 30.0) -> dict[str, int]:
     """Word to 0 or 1, from the labelled documents that hold it.
 
     A word is labelled toxic where it, or a prefix of 4 to 6 letters, occurs in
@@ -159,45 +167,30 @@ def fit(sample: list[tuple[int, str, int]], rounds: int = 40, rate: float = 0.25
     ``sample`` holds (id, text, label) rows. A token is labelled toxic where
     ``label_tokens`` says so of its word and its document is labelled toxic:
     the same word is clean in a clean document, so what tells the two apart
-    must come from its neighbours and from the chain. Without toxic rows every
-    token is scored as clean.
+    must come from its neighbours and from the chain. Without toxic rows, or
+    without words, every token is scored as clean. The gradient is summed over
+    blocks of whole documents.
     """
-    docs, labels = _apart([[w.lower() for w in TOKEN.findall(t)] for _, t, _ in sample], [y for _, _, y in sample])
+    words, docs, labels = _numbered(sample)
     par = {"weights": np.zeros(1 << BITS), "before": np.zeros(1 << BITS), "after": np.zeros(1 << BITS), "trans": np.zeros((2, 2)), "start": np.array([0.0, -4.0])}
-    if labels.sum() in (0, len(labels)):
+    n_docs = sum(len(d) > 0 for d in docs)
+    if n_docs == 0 or labels.sum() in (0, len(labels)):
         return Crf(par["weights"], np.array([[0.0, -8.0], [0.0, -8.0]]), np.array([0.0, -8.0]))
-    gold_of = label_tokens(docs, labels)
-    words = sorted(gold_of)
-    number = {w: i for i, w in enumerate(words)}
+    gold_of = label_tokens(([words[i] for i in np.unique(d)] for d in docs), labels)
+    telling = np.array([gold_of[w] for w in words], np.int8)
     rows = _feature_rows(words)
-    toxic = np.array([y for d, y in zip(docs, labels, strict=True) for _ in d], int)
-    kept = [d for d in docs if d]
-    seq = np.array([number[w] for d in kept for w in d], np.int32)
-    fresh = np.zeros(len(seq), bool)
-    fresh[np.cumsum([0, *(len(d) for d in kept[:-1])])] = True
-    gold = np.array([gold_of[w] for w in words])[seq] * toxic
-    inner = ~fresh[1:]
-    name = rows[:, 0][seq]
-    told = np.bincount((2 * gold[:-1] + gold[1:])[inner], minlength=4).reshape(2, 2)
+    blocks = [_Block.of(part, telling) for part in _parts(docs, labels)]
     mean = {k: np.zeros_like(v) for k, v in par.items()}
     var = {k: np.zeros_like(v) for k, v in par.items()}
     for step in range(1, rounds + 1):
-        emission = par["weights"][rows].sum(1)[seq] + _beside(par["before"][name], par["after"][name], fresh)
-        f0, f1, b0, b1 = _scan(emission, fresh, par["trans"], par["start"])
-        post = f1 * b1 / (f0 * b0 + f1 * b1)
-        ahead = b0[1:], b1[1:] * np.exp(np.clip(emission[1:], -50, 50))
-        t = np.exp(par["trans"])
-        each = np.stack([f * t[i, j] * ahead[j] for i, f in enumerate((f0[:-1], f1[:-1])) for j in (0, 1)])
-        pair = (each / each.sum(0))[:, inner].sum(1).reshape(2, 2)
-        error = post - gold
-        by_word = np.bincount(seq, error, minlength=len(words))
-        grad = {
-            "before": np.bincount(name[:-1][inner], error[1:][inner], minlength=1 << BITS) / len(kept) + CONTEXT_DECAY * par["before"],
-            "after": np.bincount(name[1:][inner], error[:-1][inner], minlength=1 << BITS) / len(kept) + CONTEXT_DECAY * par["after"],
-            "weights": np.bincount(rows.ravel(), np.repeat(by_word, FEATURES), minlength=1 << BITS) / len(kept) + decay * par["weights"],
-            "trans": (pair - told) / len(kept) + decay * par["trans"],
-            "start": np.array([-1.0, 1.0]) * (post[fresh] - gold[fresh]).sum() / len(kept),
-        }
+        grad = {k: np.zeros_like(v) for k, v in par.items()}
+        by_word = np.zeros(len(words))
+        own = par["weights"][rows].sum(1)
+        for block in blocks:
+            _add_gradient(grad, by_word, par, own, rows[:, 0], block)
+        grad["weights"] = np.bincount(rows.ravel(), np.repeat(by_word, FEATURES), minlength=1 << BITS)
+        for k in grad:
+            grad[k] = grad[k] / n_docs + (CONTEXT_DECAY if k in ("before", "after") else 0.0 if k == "start" else decay) * par[k]
         for k, g in grad.items():
             mean[k] = 0.9 * mean[k] + 0.1 * g
             var[k] = 0.99 * var[k] + 0.01 * g * g
@@ -205,6 +198,56 @@ def fit(sample: list[tuple[int, str, int]], rounds: int = 40, rate: float = 0.25
     return Crf(par["weights"], par["trans"], par["start"], par["before"], par["after"])
 
 
+def _parts(docs: list[np.ndarray], labels: np.ndarray) -> Iterator[list[tuple[np.ndarray, int]]]:
+    """Documents that hold words, with their labels, in blocks of about FITTED tokens."""
+    held, size = [], 0
+    for d, y in zip(docs, labels, strict=True):
+        if len(d):
+            held.append((d, int(y)))
+            size += len(d)
+        if size >= FITTED:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+@dataclass(frozen=True)
+class _Block:
+    """Whole documents end to end: numbers of words, marks of first tokens, token labels, counts of label pairs within documents."""
+
+    seq: np.ndarray
+    fresh: np.ndarray
+    gold: np.ndarray
+    told: np.ndarray
+
+    @staticmethod
+    def of(part: list[tuple[np.ndarray, int]], telling: np.ndarray) -> _Block:
+        seq = np.concatenate([d for d, _ in part])
+        fresh = np.zeros(len(seq), bool)
+        fresh[np.cumsum([0, *(len(d) for d, _ in part[:-1])])] = True
+        gold = telling[seq] * np.repeat(np.array([y for _, y in part], np.int8), [len(d) for d, _ in part])
+        told = np.bincount((2 * gold[:-1] + gold[1:])[~fresh[1:]], minlength=4).reshape(2, 2)
+        return _Block(seq, fresh, gold, told)
+
+
+def _add_gradient(grad: dict[str, np.ndarray], by_word: np.ndarray, par: dict[str, np.ndarray], own: np.ndarray, hashed: np.ndarray, block: _Block) -> None:
+    """Adds one block's part of the gradient; ``own`` is each word's own score and ``hashed`` its hashed feature."""
+    name, fresh, inner = hashed[block.seq], block.fresh, ~block.fresh[1:]
+    emission = own[block.seq] + _beside(par["before"][name], par["after"][name], fresh)
+    f0, f1, b0, b1 = _scan(emission, fresh, par["trans"], par["start"])
+    post = f1 * b1 / (f0 * b0 + f1 * b1)
+    ahead = b0[1:], b1[1:] * np.exp(np.clip(emission[1:], -50, 50))
+    t = np.exp(par["trans"])
+    each = np.stack([f * t[i, j] * ahead[j] for i, f in enumerate((f0[:-1], f1[:-1])) for j in (0, 1)])
+    error = post - block.gold
+    by_word += np.bincount(block.seq, error, minlength=len(by_word))
+    grad["before"] += np.bincount(name[:-1][inner], error[1:][inner], minlength=1 << BITS)
+    grad["after"] += np.bincount(name[1:][inner], error[:-1][inner], minlength=1 << BITS)
+    grad["trans"] += (each / each.sum(0))[:, inner].sum(1).reshape(2, 2) - block.told
+    grad["start"] += np.array([-1.0, 1.0]) * error[fresh].sum()
+
+
 def _beside(before: np.ndarray, after: np.ndarray, fresh: np.ndarray) -> np.ndarray:
     """What the neighbours add to each token: the word before it and the word after it, within the document."""
     out = np.zeros(len(fresh))
