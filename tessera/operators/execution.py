@@ -215,17 +215,25 @@ def trade_stats(trade_rows: DataFrame, initial: float) -> DataFrame:
 
 
 def monthly_report(curve: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per month: return, benchmark return (carried forward over gaps), excess and worst drawdown."""
+    """Per month: return from its first to its last value, the benchmark's (carried forward over gaps, null without any value yet), excess and worst drawdown."""
     w = Window.orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
     both = curve.join(benchmark.select("trade_date", F.col("close").alias("b")), "trade_date", "left").withColumn("b", F.last("b", ignorenulls=True).over(w))
-    month = both.groupBy(F.date_format("trade_date", "yyyy-MM").alias("month")).agg(
-        F.max_by("equity", "trade_date").alias("_e"), F.max_by("b", "trade_date").alias("_b"), F.min_by("equity", "trade_date").alias("_e0"), F.min_by("b", "trade_date").alias("_b0"), F.min("drawdown").alias("max_drawdown"))
-    order = Window.orderBy("month")
-    gain = lambda now, first: ratio(F.col(now), F.coalesce(F.lag(now).over(order), F.col(first))) - 1
-    out = month.withColumns({"return": gain("_e", "_e0"), "benchmark_return": gain("_b", "_b0")})
+    when = lambda c: F.when(F.col(c).isNotNull(), F.col("trade_date"))
+    ends = [f(c, when(c)).alias(f"_{c}{k}") for c in ("equity", "b") for k, f in enumerate((F.min_by, F.max_by))]
+    month = both.groupBy(F.date_format("trade_date", "yyyy-MM").alias("month")).agg(*ends, F.min("drawdown").alias("max_drawdown"))
+    gain = lambda c: F.when(F.col(f"_{c}0") > 0, F.col(f"_{c}1") / F.col(f"_{c}0") - 1).otherwise(0.0)
+    out = month.withColumns({"return": gain("equity"), "benchmark_return": F.when(F.col("_b0").isNotNull(), gain("b"))})
     return out.select("month", "return", "benchmark_return", (F.col("return") - F.col("benchmark_return")).alias("excess_return"), "max_drawdown")
 
 
+def monthly_summary(months: DataFrame) -> DataFrame:
+    """One row: months, those with positive and negative excess, and the mean, worst and best excess."""
+    e = F.col("excess_return")
+    return months.agg(
+        F.count(F.lit(1)).alias("months"), F.count_if(e > 0).alias("positive_excess_months"), F.count_if(e < 0).alias("negative_excess_months"),
+        F.avg(e).alias("mean_monthly_excess"), F.min(e).alias("worst_monthly_excess"), F.max(e).alias("best_monthly_excess"))
+
+
 def walk_forward_windows(dates: DataFrame, train: int, test: int, warmup: int = 0) -> DataFrame:
     """Non-overlapping test windows after a training span; an incomplete tail is dropped. Index arithmetic over the date axis."""
     axis = dates.select("trade_date").distinct().withColumn("idx", F.row_number().over(Window.orderBy("trade_date")) - 1)

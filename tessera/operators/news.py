@@ -144,3 +144,23 @@ def evidence(news: DataFrame, priority: tuple[str, ...], top: int = 20) -> DataF
     rank = F.when(rank == 0, len(priority) + 1).otherwise(rank)
     w = Window.partitionBy("symbol").orderBy(rank, F.desc("known_at"), F.desc("news_id"))
     return news.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+
+
+def outcome_counts(news: DataFrame, spans: DataFrame, severe: str = "severe_company_risk", risk: str = "company_risk") -> DataFrame:
+    """advice_id, horizon, severe_count, risk_count: news about an advice's symbols known after start_date and by the end of end_date.
+
+    ``spans`` holds advice_id, horizon, symbol, start_date, end_date. Counts
+    of a span are running counts at its end less those at its start, so a
+    symbol with much news and many spans is sorted once, never multiplied.
+    """
+    none = F.lit(None)
+    daily = news.groupBy("symbol", F.to_date("known_at").alias("day")).agg(F.count_if(F.col("event_type") == severe).alias("s"), F.count_if(F.col("event_type") == risk).alias("r"))
+    asks = [
+        spans.select("symbol", F.col(f"{end}_date").alias("day"), F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("r"), F.lit(sign).alias("sign"), "advice_id", "horizon")
+        for end, sign in (("start", -1), ("end", 1))]
+    rows = daily.withColumns({"sign": F.lit(0), "advice_id": none.cast(spans.schema["advice_id"].dataType), "horizon": none.cast(spans.schema["horizon"].dataType)})
+    rows = rows.unionByName(asks[0]).unionByName(asks[1])
+    # a range frame: the news of a day counts for every ask of that day
+    w = Window.partitionBy("symbol").orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    known_then = rows.withColumns({"_s": F.sum("s").over(w), "_r": F.sum("r").over(w)}).where("sign <> 0")
+    return known_then.groupBy("advice_id", "horizon").agg(F.sum(F.col("_s") * F.col("sign")).alias("severe_count"), F.sum(F.col("_r") * F.col("sign")).alias("risk_count"))

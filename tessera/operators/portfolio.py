@@ -156,3 +156,70 @@ def compare_variants(metrics: DataFrame, base: str, other: str, names: tuple[str
     """metric, base, other, delta of two runs."""
     long = metrics.where(F.col("run_id").isin(base, other)).select("run_id", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("v")) for n in names])).alias("m"))
     return long.groupBy(F.col("m.metric").alias("metric")).agg(F.max(F.when(F.col("run_id") == base, F.col("m.v"))).alias("base"), F.max(F.when(F.col("run_id") == other, F.col("m.v"))).alias("other")).withColumn("delta", F.col("other") - F.col("base"))
+
+
+# The metrics that windows are averaged over, and the ranges of believable candidates.
+WINDOW_METRICS = ("total_return", "annual_return", "max_drawdown", "sharpe", "benchmark_return", "excess_return")
+BELIEVED = {"annual_return": (-1, 5), "sharpe": (-10, 10), "max_drawdown": (-1, 0), "stressed_sharpe": (-10, 10)}
+
+
+def window_metric_means(windows: DataFrame, key: str = "validation_id") -> DataFrame:
+    """Means of the six metrics over the windows of a validation, a missing metric counting as 0."""
+    return windows.groupBy(key).agg(*(F.round(F.avg(F.coalesce(m, F.lit(0.0))), 6).alias(m) for m in WINDOW_METRICS))
+
+
+def proven(validations: DataFrame, runs: DataFrame, provenance: DataFrame) -> DataFrame:
+    """Completed, eligible validations that their run and its provenance confirm.
+
+    ``validations`` holds validation_id, run_id, status, eligibility_status,
+    source_fingerprint and what its specification says: spec_strategy,
+    spec_run_id, spec_fingerprint, as_of_date (end of the last window; null
+    where there is none). ``runs`` is run_id, strategy_name; ``provenance`` is
+    run_id, fingerprint. Nulls confirm nothing.
+    """
+    good = validations.where("status = 'completed' and eligibility_status = 'eligible' and as_of_date is not null")
+    joined = good.join(runs.select("run_id", "strategy_name"), "run_id").join(provenance.select("run_id", F.col("fingerprint").alias("_p")), "run_id")
+    return joined.where("spec_strategy = strategy_name and spec_run_id = run_id and spec_fingerprint = _p and source_fingerprint = _p").drop("_p")
+
+
+def strategy_candidates(validations: DataFrame, runs: DataFrame, provenance: DataFrame, top: int = 100) -> DataFrame:
+    """rank, validation_id, run_id, strategy_name, as_of_date, score of the best proven validations with believable metrics; the later, then the larger id, goes first among equals."""
+    rows = proven(validations, runs, provenance)
+    for name, (low, high) in BELIEVED.items():
+        rows = rows.where(F.col(name).between(low, high))
+    score = F.col("annual_return") * 100 + F.col("sharpe") * 10 - F.abs("max_drawdown") * 40 + F.col("stressed_sharpe") * 5
+    order = [F.desc("score"), F.desc("as_of_date"), F.desc("validation_id")]
+    best = rows.withColumn("score", F.round(score, 6)).orderBy(*order).limit(top)
+    # the limit leaves ``top`` rows for the one window
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", "validation_id", "run_id", "strategy_name", "as_of_date", "score")
+
+
+def snapshot_matches(advice: DataFrame, validations: DataFrame, runs: DataFrame, provenance: DataFrame) -> DataFrame:
+    """advice_id and whether the validation that its snapshot names still stands and says the same.
+
+    ``advice`` holds advice_id, strategy_name, as_of_date and the snapshot's
+    validation_id, snapshot_run_id, snapshot_fingerprint, snapshot_as_of;
+    validations also hold their own fingerprint.
+    """
+    kept = proven(validations, runs, provenance).select(
+        "validation_id", F.col("run_id").alias("_r"), F.col("spec_strategy").alias("_s"), F.col("as_of_date").alias("_d"), F.col("fingerprint").alias("_f"))
+    same = (F.col("_s") == F.col("strategy_name")) & (F.col("_d") == F.col("as_of_date")) & (F.col("snapshot_run_id") == F.col("_r")) & (F.col("snapshot_fingerprint") == F.col("_f")) & (F.col("snapshot_as_of") == F.col("_d"))
+    return advice.join(kept, "validation_id", "left").select("advice_id", F.coalesce(same, F.lit(False)).alias("matches"))
+
+
+def variant_winner(runs: DataFrame, base: str, other: str) -> DataFrame:
+    """One row: who wins by drawdown, then excess return, then Sharpe ratio; the first difference that isn't 0 decides, missing metrics count as 0."""
+    names = ("max_drawdown", "excess_return", "sharpe")
+    value = lambda m, r: F.coalesce(F.max(F.when(F.col("run_id") == r, F.col(m))), F.lit(0.0))
+    deltas = runs.where(F.col("run_id").isin(base, other)).agg(*((value(m, other) - value(m, base)).alias(f"{m}_delta") for m in names))
+    winner = F.lit("tie")
+    for m in reversed(names):
+        winner = F.when(F.col(f"{m}_delta") > 0, "other").when(F.col(f"{m}_delta") < 0, "base").otherwise(winner)
+    return deltas.withColumn("winner", winner)
+
+
+def traded_by_one(traded: DataFrame, base: str, other: str, top: int = 50) -> DataFrame:
+    """run_id, symbol: the first ``top`` symbols of each of two runs that the other did not trade."""
+    one = traded.where(F.col("run_id").isin(base, other)).groupBy("symbol").agg(F.min("run_id").alias("run_id"), F.max("run_id").alias("_m")).where("run_id = _m")
+    w = Window.partitionBy("run_id").orderBy("symbol")
+    return one.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= top).select("run_id", "symbol")

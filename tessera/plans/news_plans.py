@@ -91,7 +91,15 @@ def news_text_repair(spark, sf_dir):
     return d.withColumn("fixed", N.clean(F.col("text"))).where("fixed <> text").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (news_scan, news_known_counts, news_classify, news_reclassify, news_class_counts, news_block_list, news_risk_summary, news_coverage, news_upsert, news_evidence, news_text_repair)}
+def news_outcome_counts(spark, sf_dir):
+    """News of two types about each advice's symbols, 1, 5 and 20 days on."""
+    k = F.col("c_custkey")
+    spans = load(spark, sf_dir, "customer").select(F.lpad(k.cast("string"), 6, "0").alias("symbol"), (k % 40).alias("advice_id"), F.explode(F.array(*map(F.lit, (1, 5, 20)))).alias("horizon"))
+    spans = spans.withColumn("start_date", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("advice_id") % 15).cast("int"))).withColumn("end_date", F.date_add("start_date", F.col("horizon")))
+    return N.outcome_counts(news(spark, sf_dir), spans, "purchase", "click")
+
+
+QUERIES = {f.__name__: f for f in (news_scan, news_known_counts, news_classify, news_reclassify, news_class_counts, news_block_list, news_risk_summary, news_coverage, news_upsert, news_evidence, news_text_repair, news_outcome_counts)}
 
 _IN = "event_type IN ('click', 'purchase')"
 _HAS = {name: " OR ".join(f"contains(t, '{w}')" for w in words) for name, (_, _, words) in N.KEYWORDS.items()}
@@ -120,4 +128,7 @@ SELECT coalesce(a.source, b.source) AS source, coalesce(a.news_id, b.news_id) AS
 coalesce(b.s2, a.sentiment_score) AS sentiment_score, coalesce(b.published_at, a.published_at) AS published_at, coalesce(a.fetched_at, b.f2) AS fetched_at FROM a FULL JOIN b ON a.source = b.source AND a.news_id = b.news_id""",
     "news_evidence": f"""WITH {SQL_NEWS}, r AS (SELECT symbol, news_id, event_type, row_number() OVER (PARTITION BY symbol ORDER BY CASE event_type WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END, known_at DESC, news_id DESC) AS place FROM news)
 SELECT * FROM r WHERE place <= 3""",
+    "news_outcome_counts": f"""WITH {SQL_NEWS}, sp AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS symbol, c_custkey % 40 AS advice_id, unnest([1, 5, 20]) AS horizon, DATE '2024-01-01' + CAST(c_custkey % 40 % 15 AS INT) AS d FROM customer)
+SELECT advice_id, horizon, count(*) FILTER (event_type = 'purchase') AS severe_count, count(*) FILTER (event_type = 'click') AS risk_count
+FROM sp LEFT JOIN news ON news.symbol = sp.symbol AND CAST(known_at AS DATE) > d AND CAST(known_at AS DATE) <= d + horizon GROUP BY 1, 2""",
 }

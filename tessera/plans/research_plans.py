@@ -122,6 +122,54 @@ def run_eligibility(spark, sf_dir):
     return P.eligibility(runs).select("run_id", "status", "flags")
 
 
+def _validated(spark, sf_dir):
+    """Validations (orders), runs and provenance (customers); some of each disagree."""
+    c, k, v = load(spark, sf_dir, "customer"), F.col("c_custkey"), F.col("o_orderkey")
+    runs = c.select(k.alias("run_id"), F.col("c_mktsegment").alias("strategy_name"))
+    provenance = c.where(k % 5 != 0).select(k.alias("run_id"), F.concat(F.lit("p"), k.cast("string")).alias("fingerprint"))
+    print_of = F.concat(F.lit("p"), F.col("o_custkey").cast("string"))
+    validations = load(spark, sf_dir, "orders").join(c.select(k.alias("o_custkey"), "c_mktsegment"), "o_custkey").select(
+        v.alias("validation_id"), F.col("o_custkey").alias("run_id"), F.when(v % 7 == 0, "failed").otherwise("completed").alias("status"), F.when(v % 3 == 0, "watch").otherwise("eligible").alias("eligibility_status"),
+        F.when(v % 11 == 0, "stale").otherwise(print_of).alias("source_fingerprint"), F.when(v % 13 == 0, "other").otherwise(F.col("c_mktsegment")).alias("spec_strategy"),
+        F.when(v % 17 == 0, F.lit(-1)).otherwise(F.col("o_custkey")).alias("spec_run_id"), F.when(v % 19 == 0, F.lit(None)).otherwise(print_of).alias("spec_fingerprint"),
+        F.when(v % 23 != 0, F.col("o_orderdate").cast("date")).alias("as_of_date"), ((v % 601 - 99) / 100.0).alias("annual_return"), ((v % 41 - 20) / 2.0).alias("sharpe"), (-(v % 29) / 100.0).alias("max_drawdown"),
+        ((v % 43 - 21) / 2.0).alias("stressed_sharpe"), F.concat(F.lit("v"), v.cast("string")).alias("fingerprint"))
+    return validations, runs, provenance
+
+
+def strategy_candidates(spark, sf_dir):
+    """The best validations that run and provenance confirm."""
+    return P.strategy_candidates(*_validated(spark, sf_dir))
+
+
+def snapshot_matches(spark, sf_dir):
+    """Whether each advice's validation still stands."""
+    validations, runs, provenance = _validated(spark, sf_dir)
+    v = F.col("validation_id")
+    advice = validations.select(
+        v.alias("advice_id"), F.when(v % 31 == 0, "other").otherwise(F.col("spec_strategy")).alias("strategy_name"), F.when(v % 37 == 0, F.date_add("as_of_date", 1)).otherwise(F.col("as_of_date")).alias("as_of_date"),
+        F.when(v % 5 == 0, -v).otherwise(v).alias("validation_id"), F.col("run_id").alias("snapshot_run_id"), F.when(v % 29 == 0, "old").otherwise(F.col("fingerprint")).alias("snapshot_fingerprint"), F.col("as_of_date").alias("snapshot_as_of"))
+    return P.snapshot_matches(advice, validations, runs, provenance)
+
+
+def window_metric_means(spark, sf_dir):
+    """Mean metrics over the windows (orders) of each validation (customer)."""
+    v = F.col("o_orderkey")
+    cols = [F.when(v % (7 + i) != 0, (v % (31 + 2 * i) - 15).cast("double")).alias(m) for i, m in enumerate(P.WINDOW_METRICS)]
+    return _round(P.window_metric_means(load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("validation_id"), *cols)))
+
+
+def variant_winner(spark, sf_dir):
+    """Who wins of two runs."""
+    return _round(P.variant_winner(_runs(spark, sf_dir).withColumn("excess_return", F.col("annual_return") - 0.05), "Customer#000000003", "Customer#000000008"))
+
+
+def traded_by_one(spark, sf_dir):
+    """Customers that only one of two order states has; the states stand for runs."""
+    o = load(spark, sf_dir, "orders")
+    return P.traded_by_one(o.select(F.col("o_orderstatus").alias("run_id"), F.lpad(F.col("o_custkey").cast("string"), 6, "0").alias("symbol")), "F", "P")
+
+
 def variant_comparison(spark, sf_dir):
     """Two runs, metric by metric."""
     r = _runs(spark, sf_dir)
@@ -163,7 +211,7 @@ def ml_score_rank(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     regime_metrics, market_breadth, positions, portfolio_state, portfolio_diagnostics, trade_plan, portfolio_review, weight_validation, prediction_weights, advisory_outcomes,
-    advisory_expiry, run_ranking, run_eligibility, variant_comparison, ml_dataset, ml_windows, ml_walk_forward, ml_rank_ic, ml_score_rank)}
+    advisory_expiry, run_ranking, run_eligibility, variant_comparison, strategy_candidates, snapshot_matches, window_metric_means, variant_winner, traded_by_one, ml_dataset, ml_windows, ml_walk_forward, ml_rank_ic, ml_score_rank)}
 
 _W = "(ORDER BY trade_date ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
 _w = lambda n: _W.format(n - 1)
@@ -175,7 +223,21 @@ _T = "t AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS symbol, s_suppkey
 _SCORE = "s AS (SELECT trade_date, symbol, round(close / open - 1, 8) AS score FROM bars)"
 _RUNS = """r AS (SELECT c_name AS run_id, round(c_acctbal / 20000, 6) AS annual_return, (c_custkey % 37 - 12) / 10.0::DOUBLE AS sharpe, -(c_custkey % 41) / 100.0::DOUBLE AS max_drawdown,
 (c_custkey % 29 - 9) / 10.0::DOUBLE AS stressed_sharpe, c_custkey % 7 AS n_windows FROM customer)"""
+_VALID = """r AS (SELECT c_custkey AS run_id, c_mktsegment AS strategy_name, CASE WHEN c_custkey % 5 <> 0 THEN 'p' || c_custkey END AS p FROM customer),
+v AS (SELECT o_orderkey AS k, o_custkey AS run_id, strategy_name, p, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderkey % 13 = 0 THEN 'other' ELSE strategy_name END AS spec_strategy FROM orders JOIN r ON run_id = o_custkey),
+ok AS (SELECT * FROM v WHERE p IS NOT NULL AND k % 7 <> 0 AND k % 3 <> 0 AND k % 11 <> 0 AND k % 13 <> 0 AND k % 17 <> 0 AND k % 19 <> 0 AND k % 23 <> 0)"""
 ORACLE = {
+    "strategy_candidates": f"""WITH {_VALID}, m AS (SELECT *, (k % 601 - 99) / 100.0::DOUBLE AS a, (k % 41 - 20) / 2.0::DOUBLE AS s, (k % 29) / 100.0::DOUBLE AS dd, (k % 43 - 21) / 2.0::DOUBLE AS t FROM ok),
+q AS (SELECT *, round(a * 100 + s * 10 - dd * 40 + t * 5, 6) AS score FROM m WHERE a BETWEEN -1 AND 5 AND s BETWEEN -10 AND 10 AND t BETWEEN -10 AND 10)
+SELECT CAST(row_number() OVER (ORDER BY score DESC, d DESC, k DESC) AS INT) AS rank, k AS validation_id, run_id, strategy_name, d AS as_of_date, score FROM q ORDER BY score DESC, d DESC, k DESC LIMIT 100""",
+    "snapshot_matches": f"WITH {_VALID} SELECT v.k AS advice_id, ok.k IS NOT NULL AND v.k % 31 <> 0 AND v.k % 37 <> 0 AND v.k % 5 <> 0 AND v.k % 29 <> 0 AS matches FROM v LEFT JOIN ok ON ok.k = v.k",
+    "window_metric_means": "SELECT o_custkey AS validation_id, " + ", ".join(
+        f"round(avg(CASE WHEN o_orderkey % {7 + i} <> 0 THEN o_orderkey % {31 + 2 * i} - 15 ELSE 0 END), 6) + 0.0 AS {m}" for i, m in enumerate(P.WINDOW_METRICS)) + " FROM orders GROUP BY 1",
+    "variant_winner": f"""WITH {_RUNS}, d AS (SELECT o.max_drawdown - b.max_drawdown AS dd, o.annual_return - b.annual_return AS e, o.sharpe - b.sharpe AS s FROM r o, r b WHERE o.run_id = 'Customer#000000008' AND b.run_id = 'Customer#000000003')
+SELECT round(dd, 6) + 0.0 AS max_drawdown_delta, round(e, 6) + 0.0 AS excess_return_delta, round(s, 6) + 0.0 AS sharpe_delta,
+CASE WHEN dd > 0 THEN 'other' WHEN dd < 0 THEN 'base' WHEN e > 0 THEN 'other' WHEN e < 0 THEN 'base' WHEN s > 0 THEN 'other' WHEN s < 0 THEN 'base' ELSE 'tie' END AS winner FROM d""",
+    "traded_by_one": """WITH t AS (SELECT DISTINCT o_orderstatus AS run_id, lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS symbol FROM orders WHERE o_orderstatus IN ('F', 'P')),
+o AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY symbol) AS k FROM t x WHERE NOT EXISTS (SELECT 1 FROM t y WHERE y.symbol = x.symbol AND y.run_id <> x.run_id)) SELECT run_id, symbol FROM o WHERE k <= 50""",
     "regime_metrics": f"""WITH {SQL_INDEX}, a AS (SELECT trade_date, close, close / lag(close) OVER (ORDER BY trade_date) - 1 AS r, row_number() OVER (ORDER BY trade_date) AS rn,
   avg(close) OVER {_w(20)} AS a20, avg(close) OVER {_w(60)} AS a60, avg(close) OVER {_w(120)} AS a120, max(close) OVER {_w(120)} AS hi FROM index_bars),
 m AS (SELECT *, CASE WHEN rn >= 20 THEN a20 END AS m20, CASE WHEN rn >= 60 THEN a60 END AS m60, CASE WHEN rn >= 120 THEN a120 END AS m120 FROM a),

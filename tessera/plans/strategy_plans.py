@@ -89,6 +89,11 @@ def monthly_report(spark, sf_dir):
     return _round(X.monthly_report(curve, bars(spark, sf_dir).where("symbol = '000001'")))
 
 
+def monthly_summary(spark, sf_dir):
+    """Counts, mean, worst and best of the monthly excess."""
+    return _round(X.monthly_summary(monthly_report(spark, sf_dir)))
+
+
 def walk_forward_windows(spark, sf_dir):
     """Windows over the date axis."""
     return _round(X.walk_forward_windows(bars(spark, sf_dir), 60, 20, 40))
@@ -97,7 +102,7 @@ def walk_forward_windows(spark, sf_dir):
 _STATELESS = [n for n, s in ALL.items() if not s.buffered]
 QUERIES = (
     {f"ranks_{n}": ranks_query(n) for n in ALL} | {f"weights_{n}": weights_query(n) for n in _STATELESS}
-    | {f.__name__: f for f in (risk_gate, frictionless_returns, downside_beta, drawdown_curve, backtest_metrics, benchmark_curve, monthly_report, walk_forward_windows)})
+    | {f.__name__: f for f in (risk_gate, frictionless_returns, downside_beta, drawdown_curve, backtest_metrics, benchmark_curve, monthly_report, monthly_summary, walk_forward_windows)})
 
 
 def _w(n: int) -> str:
@@ -170,6 +175,10 @@ weights AS (SELECT decision_date, symbol, CASE WHEN sum(w) OVER d > {s.gross} TH
 
 
 _CURVE = f"WITH {SQL_BARS}, {SQL_INDEX}, curve AS (SELECT trade_date, close AS equity, round(close / max(close) OVER (ORDER BY trade_date) - 1, 6) AS drawdown FROM index_bars)"
+_MONTHS = f"""{_CURVE}, j AS (SELECT c.*, last_value(b.close IGNORE NULLS) OVER (ORDER BY c.trade_date) AS b FROM curve c LEFT JOIN bars b ON b.trade_date = c.trade_date AND b.symbol = '000001'),
+m AS (SELECT strftime(trade_date, '%Y-%m') AS month, arg_max(equity, trade_date) / arg_min(equity, trade_date) - 1 AS r,
+  (arg_max(b, trade_date) FILTER (b IS NOT NULL)) / (arg_min(b, trade_date) FILTER (b IS NOT NULL)) - 1 AS br, min(drawdown) AS dd FROM j GROUP BY 1),
+months AS (SELECT month, round(r, 6) + 0.0 AS "return", round(br, 6) + 0.0 AS benchmark_return, round(r - br, 6) + 0.0 AS excess_return, round(dd, 6) + 0.0 AS max_drawdown FROM m)"""
 ORACLE = {f"ranks_{n}": f"WITH {_ranks_sql(s)} SELECT decision_date, symbol, round(score, 6) + 0.0 AS score, rank FROM ranks" for n, s in ALL.items()}
 ORACLE |= {f"weights_{n}": f"WITH {_weights_sql(ALL[n])} SELECT decision_date, symbol, round(weight, 6) + 0.0 AS weight FROM weights" for n in _STATELESS}
 ORACLE |= {
@@ -188,10 +197,9 @@ a AS (SELECT arg_max(equity, trade_date) AS f, arg_min(equity, trade_date) AS f0
 SELECT 'index' AS run_id, f AS final_equity, dd AS max_drawdown, round(f / 1000 - 1, 6) AS total_return, round(pow(f / 1000, 252 / CAST(n AS DOUBLE)) - 1, 6) AS annual_return,
 round(m / s * sqrt(252), 6) AS sharpe, round(f / f0 - 1, 6) AS benchmark_return, round(round(f / 1000 - 1, 6) - round(f / f0 - 1, 6), 6) AS excess_return FROM a""",
     "benchmark_curve": f"WITH {SQL_INDEX} SELECT trade_date, round(close / first_value(close) OVER w * 1000000, 2) AS equity, round(close / first_value(close) OVER w - 1, 6) AS \"return\" FROM index_bars WINDOW w AS (ORDER BY trade_date)",
-    "monthly_report": f"""{_CURVE}, j AS (SELECT c.*, last_value(b.close IGNORE NULLS) OVER (ORDER BY c.trade_date) AS b FROM curve c LEFT JOIN bars b ON b.trade_date = c.trade_date AND b.symbol = '000001'),
-m AS (SELECT strftime(trade_date, '%Y-%m') AS month, last(equity ORDER BY trade_date) AS e, last(b ORDER BY trade_date) AS b, first(equity ORDER BY trade_date) AS e0, first(b ORDER BY trade_date) AS b0, min(drawdown) AS dd FROM j GROUP BY 1),
-g AS (SELECT month, e / nullif(coalesce(lag(e) OVER w, e0), 0) - 1 AS r, b / nullif(coalesce(lag(b) OVER w, b0), 0) - 1 AS br, dd FROM m WINDOW w AS (ORDER BY month))
-SELECT month, round(r, 6) + 0.0 AS "return", round(br, 6) + 0.0 AS benchmark_return, round(r - br, 6) + 0.0 AS excess_return, round(dd, 6) + 0.0 AS max_drawdown FROM g""",
+    "monthly_report": f"{_MONTHS} SELECT * FROM months",
+    "monthly_summary": f"""{_MONTHS} SELECT count(*) AS months, count(*) FILTER (excess_return > 0) AS positive_excess_months, count(*) FILTER (excess_return < 0) AS negative_excess_months,
+round(avg(excess_return), 6) + 0.0 AS mean_monthly_excess, round(min(excess_return), 6) + 0.0 AS worst_monthly_excess, round(max(excess_return), 6) + 0.0 AS best_monthly_excess FROM months""",
     "walk_forward_windows": f"""WITH {SQL_BARS}, a AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS idx FROM (SELECT DISTINCT trade_date FROM bars)), n AS (SELECT count(*) AS n FROM a),
 w AS (SELECT unnest(range(60, n - 20 + 1, 20)) AS s FROM n) SELECT CAST((s - 60) / 20 AS BIGINT) AS window_id, (SELECT trade_date FROM a WHERE idx = s - 60) AS train_start, (SELECT trade_date FROM a WHERE idx = s - 40) AS warmup_start,
 (SELECT trade_date FROM a WHERE idx = s) AS test_start, (SELECT trade_date FROM a WHERE idx = s + 19) AS test_end FROM w""",

@@ -12,9 +12,17 @@ from tessera.operators.repository import normalize_score_symbol
 
 # Column names that providers use, first match wins.
 ALIASES: dict[str, tuple[str, ...]] = {
-    "symbol": ("symbol", "code", "代码", "股票代码"), "trade_date": ("trade_date", "date", "日期"), "open": ("open", "开盘"), "high": ("high", "最高"),
-    "low": ("low", "最低"), "close": ("close", "收盘"), "volume": ("volume", "成交量"), "amount": ("amount", "成交额"),
+    "symbol": ("股票代码", "code", "symbol", "stock_code", "stockCode", "代码"),
+    "trade_date": ("日期", "date", "trade_date", "time", "day", "tradeDate", "trade-date"),
+    "open": ("开盘", "open", "开盘价", "open_price", "openPrice"),
+    "high": ("最高", "high", "最高价", "high_price", "highPrice"),
+    "low": ("最低", "low", "最低价", "low_price", "lowPrice"),
+    "close": ("收盘", "close", "收盘价", "close_price", "closePrice"),
+    "volume": ("成交量", "volume", "vol", "trade_volume", "tradeVolume"),
+    "amount": ("成交额", "amount", "amt", "trade_amount", "tradeAmount"),
+    "adj": ("复权类型", "adj", "adjust", "adjust_type", "adjustType", "复权"),
 }
+OPTIONAL = ("symbol", "adj")
 SCHEMAS = {
     "scores": T.StructType([T.StructField("trade_date", T.DateType()), T.StructField("symbol", T.StringType()), T.StructField("score", T.DoubleType())]),
     "gaps": T.StructType([T.StructField("trade_date", T.DateType()), T.StructField("symbol", T.StringType()), T.StructField("gap_type", T.StringType())]),
@@ -25,9 +33,9 @@ SCHEMAS = {
 
 
 def normalize_columns(raw: DataFrame) -> DataFrame:
-    """Canonical names for the columns that are known, others dropped; a missing canonical column is an error."""
+    """Canonical names for the columns that are known, others dropped; a missing canonical column is an error, but for symbol and adj."""
     found = {name: next((a for a in aliases if a in raw.columns), None) for name, aliases in ALIASES.items()}
-    missing = [n for n, a in found.items() if a is None and n != "symbol"]
+    missing = [n for n, a in found.items() if a is None and n not in OPTIONAL]
     if missing:
         raise ValueError(f"missing columns: {missing}")
     return raw.select(*(F.col(f"`{a}`").alias(n) for n, a in found.items() if a))

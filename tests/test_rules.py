@@ -8,7 +8,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluation, news, pit, portfolio, regime, repository, strategy
+from tessera.operators import evaluation, execution, news, pit, portfolio, regime, repository, strategy
 
 D = dt.date
 
@@ -152,3 +152,50 @@ def test_the_inverse_strategy_stands_aside(spark):
     s = strategy.replace(strategy.catalogue(most_index_momentum=0.25)["inverse_momentum"], gate="true")
     got = strategy.ranked(strategy.with_index_momentum(df, index), s).orderBy("decision_date").collect()
     assert [r.decision_date.day for r in got] == [6, 22]
+
+
+def test_months_and_their_summary(spark):
+    days = [(D(2024, 1, 2), 100.0, None), (D(2024, 1, 30), 110.0, 50.0), (D(2024, 2, 1), 121.0, None), (D(2024, 2, 28), 108.9, 60.0), (D(2024, 3, 1), 108.9, 60.0)]
+    curve = spark.createDataFrame([(d, e, -0.1 * i) for i, (d, e, _) in enumerate(days)], "trade_date date, equity double, drawdown double")
+    index = spark.createDataFrame([(d, b) for d, _, b in days if b], "trade_date date, close double")
+    months = execution.monthly_report(curve, index)
+    got = {r.month: (round(r["return"], 9), r.benchmark_return, r.max_drawdown) for r in months.collect()}
+    # February's benchmark starts from January's last value, its own return from its own first
+    assert got["2024-01"] == (0.1, 0.0, -0.1) and got["2024-02"][0] == -0.1 and math.isclose(got["2024-02"][1], 0.2) and got["2024-03"][:2] == (0.0, 0.0)
+    s = execution.monthly_summary(months).first()
+    assert (s.months, s.positive_excess_months, s.negative_excess_months) == (3, 1, 1) and math.isclose(s.best_monthly_excess, 0.1) and math.isclose(s.worst_monthly_excess, -0.3)
+    none = execution.monthly_report(curve, index.limit(0))
+    assert {(r.benchmark_return, r.excess_return) for r in none.collect()} == {(None, None)}
+
+
+def test_proven_validations(spark):
+    given = "validation_id long, run_id long, status string, eligibility_status string, source_fingerprint string, spec_strategy string, spec_run_id long, spec_fingerprint string, as_of_date date, annual_return double, sharpe double, max_drawdown double, stressed_sharpe double, fingerprint string"
+    good = (1, 7, "completed", "eligible", "p", "s", 7, "p", D(2024, 1, 1), 0.2, 1.0, -0.1, 0.5, "v")
+    bad = [(2, {"status": "failed"}), (3, {"eligibility_status": "watch"}), (4, {"source_fingerprint": "q"}), (5, {"spec_strategy": "t"}), (6, {"spec_run_id": 8}), (7, {"spec_fingerprint": None}), (8, {"as_of_date": None}), (9, {"max_drawdown": 0.1}), (10, {"sharpe": None})]
+    names = [f.split()[0] for f in given.split(", ")]
+    rows = [good, *(tuple({**dict(zip(names, good, strict=True)), **change, "validation_id": i}[n] for n in names) for i, change in bad), (11, *good[1:])]
+    v = spark.createDataFrame(rows, given)
+    runs, provenance = spark.createDataFrame([(7, "s")], "run_id long, strategy_name string"), spark.createDataFrame([(7, "p")], "run_id long, fingerprint string")
+    got = portfolio.strategy_candidates(v, runs, provenance).orderBy("rank").collect()
+    # 0.2 * 100 + 1 * 10 - 0.1 * 40 + 0.5 * 5
+    assert [(r.rank, r.validation_id, r.score) for r in got] == [(1, 11, 28.5), (2, 1, 28.5)]
+    advice = [(1, "s", D(2024, 1, 1), 1, 7, "v", D(2024, 1, 1)), (2, "s", D(2024, 1, 1), 1, 7, "w", D(2024, 1, 1)), (3, "s", D(2024, 1, 2), 1, 7, "v", D(2024, 1, 1)), (4, "s", D(2024, 1, 1), 2, 7, "v", D(2024, 1, 1)), (5, "s", D(2024, 1, 1), None, 7, "v", None)]
+    a = spark.createDataFrame(advice, "advice_id long, strategy_name string, as_of_date date, validation_id long, snapshot_run_id long, snapshot_fingerprint string, snapshot_as_of date")
+    assert {r.advice_id: r.matches for r in portfolio.snapshot_matches(a, v, runs, provenance).collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
+
+
+def test_winner_of_variants(spark):
+    rows = [("a", -0.2, 0.1, 1.0), ("b", -0.2, 0.1, 1.5), ("c", -0.1, 0.0, 0.0), ("d", None, None, None), ("e", 0.0, 0.0, 0.0)]
+    runs = spark.createDataFrame(rows, "run_id string, max_drawdown double, excess_return double, sharpe double")
+    assert [portfolio.variant_winner(runs, x, y).first().winner for x, y in ("ab", "ca", "ac", "de")] == ["other", "base", "other", "tie"]
+    traded = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "1"), ("a", "2"), ("b", "3"), ("c", "2")], "run_id string, symbol string")
+    assert {tuple(r) for r in portfolio.traded_by_one(traded, "a", "b").collect()} == {("a", "2"), ("b", "3")}
+
+
+def test_news_after_advice(spark):
+    at = dt.datetime
+    rows = [("x", "company_risk", at(2024, 1, 1, 23, 59)), ("x", "company_risk", at(2024, 1, 2, 0, 0)), ("x", "severe_company_risk", at(2024, 1, 3, 23, 0)), ("x", "company_risk", at(2024, 1, 4)), ("y", "company_risk", at(2024, 1, 2)), ("x", "neutral", at(2024, 1, 2)), ("x", "company_risk", None)]
+    items = spark.createDataFrame(rows, "symbol string, event_type string, known_at timestamp_ntz")
+    spans = [("a", 2, "x", D(2024, 1, 1), D(2024, 1, 3)), ("a", 2, "y", D(2024, 1, 1), D(2024, 1, 3)), ("b", 1, "z", D(2024, 1, 1), D(2024, 1, 2)), ("a", 9, "x", D(2024, 1, 1), D(2024, 1, 10))]
+    got = news.outcome_counts(items, spark.createDataFrame(spans, "advice_id string, horizon int, symbol string, start_date date, end_date date"))
+    assert {tuple(r) for r in got.collect()} == {("a", 2, 1, 2), ("b", 1, 0, 0), ("a", 9, 1, 2)}

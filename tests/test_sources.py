@@ -16,6 +16,8 @@ from tessera.streaming import feeds
 def test_column_names_of_providers(spark):
     raw = spark.createDataFrame([(dt.date(2024, 1, 2), 1.0, 2.0, 0.5, 1.5, 10.0, 15.0, "x")], "`日期` date, `开盘` double, `最高` double, `最低` double, `收盘` double, `成交量` double, `成交额` double, other string")
     assert files.normalize_columns(raw).columns == ["trade_date", "open", "high", "low", "close", "volume", "amount"]
+    other = raw.toDF("tradeDate", "open_price", "highPrice", "low", "收盘价", "vol", "amt", "复权")
+    assert files.normalize_columns(other).columns == ["trade_date", "open", "high", "low", "close", "volume", "amount", "adj"]
     with pytest.raises(ValueError, match="close"):
         files.normalize_columns(raw.drop("收盘"))
 
