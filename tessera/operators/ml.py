@@ -57,19 +57,23 @@ def predict(model, rows: DataFrame, names: list[str]) -> DataFrame:
 def walk_forward(data: DataFrame, windows: DataFrame, names: list[str], label: str, rounds: int = 10, depth: int = 4, side_by_side: int = 4) -> DataFrame:
     """Rows of every test span with window_id and the score of a model of their own window.
 
-    Windows without training, validation or test rows are skipped. Only the
-    calendar of windows comes to the driver.
+    Windows without training, validation or test rows are skipped: one query
+    over the dates of all windows tells which. Only the calendar of windows
+    comes to the driver.
     """
+    dates = data.select("trade_date").distinct()
+    within = {p: F.col("trade_date").between(F.col(f"{p}_start"), F.col(f"{p}_end")) for p in ("train", "valid", "test")}
+    # dates and windows are both calendars: some hundreds of rows
+    reached = windows.join(dates, F.col("trade_date").between(F.col("train_start"), F.col("test_end"))).groupBy(*windows.columns)
+    usable = reached.agg(*(F.count_if(c).alias(f"_{p}") for p, c in within.items())).where("_train > 0 and _valid > 0 and _test > 0")
 
-    def one(w) -> DataFrame | None:
+    def one(w) -> DataFrame:
         train, valid, test = (data.where(F.col("trade_date").between(F.lit(w[f"{part}_start"]), F.lit(w[f"{part}_end"]))) for part in ("train", "valid", "test"))
-        if train.isEmpty() or valid.isEmpty() or test.isEmpty():
-            return None
         model = train_gbt(train, names, label, rounds, depth, 42 + w["window_id"] + 1, valid)
         return predict(model, test, names).withColumn("window_id", F.lit(w["window_id"]))
 
     with ThreadPoolExecutor(side_by_side) as pool:
-        scored = [x for x in pool.map(one, windows.orderBy("window_id").collect()) if x is not None]
+        scored = list(pool.map(one, usable.orderBy("window_id").collect()))
     return reduce(DataFrame.unionByName, scored) if scored else data.limit(0).withColumns({"score": F.lit(0.0), "window_id": F.lit(0)})
 
 
