@@ -12,24 +12,39 @@ QUALITY_SAMPLE = 3000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality network accepts. The network learns from labelled rows of ``docs``; null texts score as empty ones."""
+    """Documents that the quality network accepts. The network learns from labelled rows of ``docs``; null texts score as empty ones.
+
+    Every text is read whole; repeated rows share one fate; further columns pass through; an empty table gives no rows.
+    """
     net = quality_net.fit(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", QUALITY_SAMPLE))
     scored = docs.withColumn("__score", quality_net.score_column(net, F.col("text")))
     return scored.where(F.col("__score") >= quality_net.KEEP_FROM).drop("__score")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of equal texts."""
+    """One document of each set of texts that are equal without white space: that with the longest original, then the smallest id.
+
+    Null texts count as empty and are equal to each other; rows that repeat one id and text leave a single row; further
+    columns pass through; an empty table gives no rows.
+    """
     return exact_dedup.survivors(docs, Scratch(spark))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate component."""
+    """The document with the smallest id of each near-duplicate component.
+
+    Null and wordless texts are linked with nothing and stay, as do rows without an id; texts are compared whole; further
+    columns pass through; an empty table gives no rows.
+    """
     return shingle_join.one_of_each(docs, Scratch(spark))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as its source's target asks, from not at all to twice."""
+    """The mix: each document as often as its source's target asks, from not at all to twice.
+
+    Null and wordless texts have size 0 and are not taken; a null source is a source of its own; the choice is seeded, so
+    reruns agree; further columns pass through; an empty table gives no rows.
+    """
     mixed = source_mix.mix(docs, Scratch(spark)).where("copies > 0")
     repeated = mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return repeated.select(*docs.columns)

@@ -105,8 +105,9 @@ def scan(documents: DataFrame, table: list[float], cut: float = 1.0) -> DataFram
     characters, access keys of 16 or more, hexadecimal runs of 32 or more. Runs
     of key characters that touch no base span are added as ``markov`` where
     their log-likelihood ratio exceeds ``cut`` a character pair. Offsets count
-    code points, the end is exclusive. Null and empty texts hold no secrets; repeated rows give
-    repeated results; a column named ``secrets`` is replaced.
+    code points, the end is exclusive. Null and empty texts hold no secrets; texts of
+    any length are read whole; spans that start together go by kind; repeated
+    rows give repeated results; an empty table gives no rows; a column named ``secrets`` is replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = F.concat(
