@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, piece_codec, pii_surrogates, pivot_search, quality_net, secret_markov, shingle_join, source_mix, token_transducer, toxic_crf
+from . import (
+    exact_dedup, page_wrapper, periodic_runs, piece_codec, pii_surrogates, pivot_search, quality_net, secret_markov, shingle_join, source_audit, source_mix,
+    token_transducer, toxic_crf,
+)
 from .common import Scratch, held_out, labelled_sample, table, tokenizer_file
 
 #: Most labelled rows of each class that a model is fitted on.
@@ -89,6 +92,30 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words of all documents, some of them with a planted tail."""
+    found = table(spark, sf_dir, "documents").select(
+        "doc_id", periodic_runs.run_column(F.col("text"), F.crc32(F.col("doc_id").cast("string"))).alias("r"))
+    lines = F.transform("r.runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    best = F.col("r.strongest")
+    return found.select(
+        "doc_id", F.size("r.runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * r.strongest.length div r.strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("r.collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language lie apart, over all documents."""
+    return source_audit.audit(table(spark, sf_dir, "documents"), Scratch(spark)).select("lang", "source", "part", "item", "value", "rank")
+
+
+def op13_page_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    found = page_wrapper.extract(table(spark, sf_dir, "pages"), Scratch(spark))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict:
     """Query name to ``(spark, sf_dir) -> DataFrame``."""
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
@@ -177,7 +204,41 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM g
 """
 
+_OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), tok AS (
+  SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term FROM tok GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+), counted AS (
+  SELECT t.lang, t.source, t.term, count(*) AS n FROM tok t JOIN kept k ON t.lang = k.lang AND t.term = k.term GROUP BY t.lang, t.source, t.term
+), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+grp AS (
+  SELECT g.lang, g.source, coalesce(any_value(v.v), 0) AS v, coalesce(sum(c.n), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN v ON v.lang = g.lang LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source GROUP BY g.lang, g.source
+), share AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2)) // (g.total + 2 * g.v) AS p
+  FROM grp g JOIN kept k ON k.lang = g.lang LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), whole AS (
+  SELECT t.lang, t.term, 1 + (CAST(1000000000 AS HUGEINT) * (t.n + 2)) // (l.total + 2 * l.v) AS p
+  FROM (SELECT lang, term, sum(n) AS n FROM counted GROUP BY lang, term) t JOIN (SELECT lang, sum(total) AS total, any_value(v) AS v FROM grp GROUP BY lang) l ON l.lang = t.lang
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), pairs AS (
+  SELECT g.lang, g.source, 'pair' AS part, o.source AS item, coalesce(a.value, 0) AS value
+  FROM grp g JOIN grp o ON o.lang = g.lang AND o.source <> g.source LEFT JOIN apart a ON a.lang = g.lang AND a.source = g.source AND a.item = o.source
+), terms AS (
+  SELECT s.lang, s.source, 'term' AS part, s.term AS item, (s.p - w.p) * (s.p - w.p) // (s.p + w.p) AS value
+  FROM share s JOIN whole w ON w.lang = s.lang AND w.term = s.term WHERE s.n > 0 AND s.p > w.p
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return {"op1_pivot_search": _OP1, "op2_shingle_join": _OP2, "op9_source_mix": _OP9, "op10_exact_dedup": _OP10}
+    return {"op1_pivot_search": _OP1, "op2_shingle_join": _OP2, "op9_source_mix": _OP9, "op10_exact_dedup": _OP10, "op12_source_audit": _OP12}
