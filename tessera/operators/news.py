@@ -112,13 +112,34 @@ def upsert(stored: DataFrame, fresh: DataFrame, keys: tuple[str, ...] = ("source
     return joined.select(*pick)
 
 
-def block_list(news: DataFrame, decisions: DataFrame, days: int = 5, types: tuple[str, ...] = ("severe_risk", "company_risk")) -> DataFrame:
-    """decision_date, symbol pairs blocked by news known in [date - days, end of date].
+# Event types and labels that count as risk where no types are asked for.
+RISK_TYPES, RISK_LABELS = ("negative_news", "risk_news"), ("negative", "risk", "bearish", "bad")
+
+
+def risky(news: DataFrame, types: tuple[str, ...] = ("severe_company_risk",), least_relevance: float = 0.0, most_sentiment: float = -0.2) -> DataFrame:
+    """The items that block: of the types asked for or, without types, of a risk type or label, or with a score of at most most_sentiment.
+
+    Labels and types are compared in lower case without outer spaces. Columns
+    that are missing have their neutral value: label and type empty, score
+    null, relevance 1; a null relevance is 0.
+    """
+    has = lambda c, other: F.col(c) if c in news.columns else other
+    word = lambda c: F.lower(F.trim(F.coalesce(has(c, F.lit("")), F.lit(""))))
+    relevance = F.coalesce(has("relevance_score", F.lit(1.0)).cast("double"), F.lit(0.0))
+    if types:
+        risk = word("event_type").isin(*types)
+    else:
+        risk = word("event_type").isin(*RISK_TYPES) | word("sentiment_label").isin(*RISK_LABELS) | F.coalesce(has("sentiment_score", F.lit(None)).cast("double") <= most_sentiment, F.lit(False))
+    return news.where((relevance >= least_relevance) & risk)
+
+
+def block_list(news: DataFrame, decisions: DataFrame, days: int = 3, types: tuple[str, ...] = ("severe_company_risk",), least_relevance: float = 0.0, most_sentiment: float = -0.2) -> DataFrame:
+    """decision_date, symbol pairs blocked by risky news known in [date - days, end of date]; ``risky`` says which items count.
 
     Each item is dealt to the days it blocks, so the join is an equality of
     dates; an item reaches days + 1 of them at most.
     """
-    hits = news.where(F.col("event_type").isin(*types))
+    hits = risky(news, types, least_relevance, most_sentiment)
     first = F.to_date("known_at")
     reach = hits.select("symbol", F.explode(F.sequence(first, F.date_add(first, days))).alias("decision_date"), "known_at")
     fits = (F.col("known_at") >= F.date_sub("decision_date", days).cast("timestamp_ntz"))

@@ -116,10 +116,21 @@ def outcomes(weights: DataFrame, grid: DataFrame, index: DataFrame, horizons: tu
                        F.when(done, F.col("v") - 1).alias("return"), F.when(done, F.col("worst")).alias("drawdown"), F.when(done, F.col("v") - F.col("b")).alias("excess"))
 
 
-def expired(advice: DataFrame, bars: DataFrame) -> DataFrame:
-    """advice_id and whether every one of its symbols has a bar after its date: then newer data exists and the advice has expired."""
+def expired(advice: DataFrame, bars: DataFrame, calendar: DataFrame, days: int = 14) -> DataFrame:
+    """advice_id and whether the advice can no longer be carried out at its time.
+
+    Its day is the first trading day within ``days`` after its date; it has
+    expired once every one of its symbols has a bar after that day. A symbol
+    without any bar, or no trading day in reach, keeps it open. ``calendar``
+    holds trade_date and, where closed days are in it, is_open.
+    """
     last = bars.groupBy("symbol").agg(F.max("trade_date").alias("last"))
-    return advice.join(last, "symbol", "left").groupBy("advice_id", "as_of").agg(F.min("last").alias("_m")).select("advice_id", F.coalesce(F.col("_m") > F.col("as_of"), F.lit(False)).alias("expired"))
+    open_days = (calendar.where("is_open") if "is_open" in calendar.columns else calendar).select("trade_date").distinct()
+    # a trading day is the first within reach for the dates of the ``days`` before it, so the dates meet it by equality
+    reach = open_days.select("trade_date", F.explode(F.sequence(F.date_sub("trade_date", days), F.date_sub("trade_date", 1))).alias("as_of"))
+    first = advice.select("as_of").distinct().join(reach, "as_of").groupBy("as_of").agg(F.min("trade_date").alias("day"))
+    known = advice.join(last, "symbol", "left").groupBy("advice_id", "as_of").agg(F.min("last").alias("earliest"), F.count_if(F.col("last").isNull()).alias("unknown"))
+    return known.join(first, "as_of", "left").select("advice_id", F.coalesce((F.col("unknown") == 0) & (F.col("earliest") > F.col("day")), F.lit(False)).alias("expired"))
 
 
 def best_candidates(runs: DataFrame, top: int = 100) -> DataFrame:

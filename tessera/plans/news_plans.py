@@ -57,9 +57,22 @@ def news_class_counts(spark, sf_dir):
     return news_classify(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _classed(spark, sf_dir):
+    """The news with a phrase by id as title, classed by keywords, and a relevance by id."""
+    k = F.col("news_id")
+    title = F.element_at(F.array(*map(F.lit, PHRASES)), (F.pmod(k * 11, F.lit(len(PHRASES))) + 1).cast("int"))
+    n = news(spark, sf_dir).drop("event_type", "sentiment_score").withColumn("c", N.classify(title, F.lit("")))
+    return n.select("news_id", "symbol", "known_at", "c.event_type", F.col("c.label").alias("sentiment_label"), F.col("c.score").alias("sentiment_score"), (F.when(k % 7 != 0, k % 10) / 10.0).alias("relevance_score"))
+
+
 def news_block_list(spark, sf_dir):
-    """Blocked symbols by decision date."""
-    return N.block_list(news(spark, sf_dir), _decisions(spark, sf_dir), 3, TYPES)
+    """Blocked symbols by decision date, with the defaults: severe items of the last three days."""
+    return N.block_list(_classed(spark, sf_dir), _decisions(spark, sf_dir))
+
+
+def news_block_list_by_score(spark, sf_dir):
+    """The same by label or score, from a relevance on."""
+    return N.block_list(_classed(spark, sf_dir), _decisions(spark, sf_dir), 5, (), 0.3, -0.4)
 
 
 def news_risk_summary(spark, sf_dir):
@@ -99,7 +112,7 @@ def news_outcome_counts(spark, sf_dir):
     return N.outcome_counts(news(spark, sf_dir), spans, "purchase", "click")
 
 
-QUERIES = {f.__name__: f for f in (news_scan, news_known_counts, news_classify, news_reclassify, news_class_counts, news_block_list, news_risk_summary, news_coverage, news_upsert, news_evidence, news_text_repair, news_outcome_counts)}
+QUERIES = {f.__name__: f for f in (news_scan, news_known_counts, news_classify, news_reclassify, news_class_counts, news_block_list, news_block_list_by_score, news_risk_summary, news_coverage, news_upsert, news_evidence, news_text_repair, news_outcome_counts)}
 
 _IN = "event_type IN ('click', 'purchase')"
 _HAS = {name: " OR ".join(f"contains(t, '{w}')" for w in words) for name, (_, _, words) in N.KEYWORDS.items()}
@@ -109,6 +122,8 @@ _LIST = ", ".join(f"'{p}'" for p in PHRASES)
 _CLASSES = f"""st AS (SELECT doc_id, ([{_LIST}])[1 + doc_id % {len(PHRASES)}] || ' ' || coalesce(text, '') || CASE WHEN doc_id % 3 = 0 THEN ([{_LIST}])[1 + doc_id * 7 % {len(PHRASES)}] ELSE '' END AS t FROM documents),
 c AS (SELECT doc_id, {_CASE} AS event_type FROM st), cl AS (SELECT *, CASE event_type WHEN 'severe_company_risk' THEN 'negative' WHEN 'company_risk' THEN 'risk' ELSE '' END AS label,
   CAST(CASE event_type WHEN 'severe_company_risk' THEN -0.8 WHEN 'company_risk' THEN -0.4 END AS DOUBLE) AS score FROM c)"""
+_CLASSED = f"""ti AS (SELECT news_id, symbol, known_at, ([{_LIST}])[1 + news_id * 11 % {len(PHRASES)}] AS t, CASE WHEN news_id % 7 <> 0 THEN (news_id % 10) / 10.0::DOUBLE ELSE 0 END AS relevance FROM news),
+k AS (SELECT *, {_CASE} AS event_type FROM ti)"""
 ORACLE = {
     "news_scan": f"""WITH {SQL_NEWS} SELECT news_id, symbol, event_type, published_at, fetched_at FROM news WHERE source = 'feed1'
 AND (published_at >= '2024-01-05' OR fetched_at >= '2024-01-05') AND published_at <= '2024-01-20' AND fetched_at <= '2024-01-20' ORDER BY published_at DESC, news_id DESC LIMIT 200""",
@@ -118,8 +133,10 @@ UNION ALL SELECT 'published_at', CAST(published_at AS DATE), count(*) FROM news
     "news_reclassify": f"""WITH {_CLASSES} SELECT doc_id, event_type, label AS sentiment_label, score AS sentiment_score FROM cl
 WHERE event_type <> CASE WHEN doc_id % 2 = 0 THEN 'neutral' ELSE 'company_risk' END""",
     "news_class_counts": f"WITH {_CLASSES} SELECT event_type, count(*) AS n FROM c GROUP BY 1",
-    "news_block_list": f"""WITH {SQL_NEWS}, d AS (SELECT DISTINCT CAST(ts AS DATE) AS decision_date FROM events)
-SELECT DISTINCT decision_date, symbol FROM d JOIN news ON {_IN} AND known_at >= CAST(decision_date - 3 AS TIMESTAMP) AND known_at < CAST(decision_date + 1 AS TIMESTAMP)""",
+    "news_block_list": f"""WITH {SQL_NEWS}, {_CLASSED}, d AS (SELECT DISTINCT CAST(ts AS DATE) AS decision_date FROM events)
+SELECT DISTINCT decision_date, symbol FROM d JOIN k ON event_type = 'severe_company_risk' AND known_at >= CAST(decision_date - 3 AS TIMESTAMP) AND known_at < CAST(decision_date + 1 AS TIMESTAMP)""",
+    "news_block_list_by_score": f"""WITH {SQL_NEWS}, {_CLASSED}, d AS (SELECT DISTINCT CAST(ts AS DATE) AS decision_date FROM events)
+SELECT DISTINCT decision_date, symbol FROM d JOIN k ON (event_type IN ('severe_company_risk', 'company_risk')) AND relevance >= 0.3 AND known_at >= CAST(decision_date - 5 AS TIMESTAMP) AND known_at < CAST(decision_date + 1 AS TIMESTAMP)""",
     "news_risk_summary": f"""WITH {SQL_NEWS} SELECT symbol, count(*) AS n, count(*) FILTER ({_IN}) AS n_risk, count(DISTINCT CASE WHEN {_IN} THEN CAST(known_at AS DATE) END) AS risk_days,
 (arg_max(news_id, (known_at, news_id)) FILTER ({_IN})) AS latest_risk FROM news GROUP BY 1""",
     "news_coverage": f"WITH {SQL_NEWS} SELECT symbol, count(*) AS n, count(DISTINCT source) AS n_sources, min(published_at) AS first_at, max(published_at) AS last_at FROM news GROUP BY 1",

@@ -97,10 +97,10 @@ def advisory_outcomes(spark, sf_dir):
 
 
 def advisory_expiry(spark, sf_dir):
-    """Advice that newer bars supersede."""
+    """Advice whose day of execution newer bars have passed."""
     w = _weights(spark, sf_dir)
     advice = w.select(F.col("decision_date").cast("string").alias("advice_id"), F.col("decision_date").alias("as_of"), "symbol")
-    return P.expired(advice, bars(spark, sf_dir))
+    return P.expired(advice, bars(spark, sf_dir), bars(spark, sf_dir).select("trade_date").distinct())
 
 
 def _runs(spark, sf_dir):
@@ -289,8 +289,9 @@ dy AS (SELECT decision_date, step, sum(weight * close / nullif(c0, 0)) + 1 - sum
 ru AS (SELECT *, max(v) OVER d AS peak, sum(gone) OVER d AS missing FROM dy WINDOW d AS (PARTITION BY decision_date ORDER BY step)), rw AS (SELECT *, min(v / nullif(peak, 0) - 1) OVER (PARTITION BY decision_date ORDER BY step) AS worst FROM ru)
 SELECT decision_date, step AS horizon, CASE WHEN missing = 0 THEN 'done' ELSE 'pending' END AS status, CASE WHEN missing = 0 THEN round(v - 1, 6) + 0.0 END AS "return", CASE WHEN missing = 0 THEN round(worst, 6) + 0.0 END AS drawdown,
 CASE WHEN missing = 0 THEN round(v - b, 6) + 0.0 END AS excess FROM rw WHERE step IN (1, 5, 20)""",
-    "advisory_expiry": f"""WITH {_weights_sql(ALL['momentum_rank'])}, la AS (SELECT symbol, max(trade_date) AS last FROM bars GROUP BY 1)
-SELECT CAST(decision_date AS VARCHAR) AS advice_id, coalesce(min(last) > decision_date, false) AS expired FROM weights LEFT JOIN la USING (symbol) GROUP BY decision_date""",
+    "advisory_expiry": f"""WITH {_weights_sql(ALL['momentum_rank'])}, la AS (SELECT symbol, max(trade_date) AS last FROM bars GROUP BY 1), dd AS (SELECT DISTINCT decision_date FROM weights),
+nd AS (SELECT decision_date, min(trade_date) AS day FROM dd JOIN (SELECT DISTINCT trade_date FROM bars) ON trade_date > decision_date AND trade_date <= decision_date + 14 GROUP BY 1)
+SELECT CAST(w.decision_date AS VARCHAR) AS advice_id, coalesce(count(*) FILTER (last IS NULL) = 0 AND min(last) > any_value(nd.day), false) AS expired FROM weights w LEFT JOIN la USING (symbol) LEFT JOIN nd ON nd.decision_date = w.decision_date GROUP BY w.decision_date""",
     "run_ranking": f"WITH {_RUNS} SELECT run_id, round(annual_return * 100 + sharpe * 10 - abs(max_drawdown) * 40 + stressed_sharpe * 5, 6) + 0.0 AS score FROM r ORDER BY annual_return * 100 + sharpe * 10 - abs(max_drawdown) * 40 + stressed_sharpe * 5 DESC, run_id LIMIT 100",
     "run_eligibility": """WITH c AS (SELECT c_name AS run_id, c_custkey AS k FROM customer), f AS (SELECT run_id,
   CASE WHEN k % 5 = 0 THEN 'source backtest was not built from a point-in-time research universe' END AS a, CASE WHEN k % 5 <> 0 AND k % 11 = 0 THEN 'local trading calendar has no dates for the recorded backtest range' END AS b,

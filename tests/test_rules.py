@@ -8,7 +8,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluation, execution, news, pit, portfolio, regime, repository, strategy
+from tessera.operators import evaluation, execution, news, pit, portfolio, regime, repository, strategy, timeline
 
 D = dt.date
 
@@ -132,7 +132,77 @@ def test_the_past_does_not_know_todays_snapshot(spark):
     assert pool() == {"1": None, "2": None, "3": "not_listed", "4": None, "5": "suspended", "6": "st"}
     assert pool(st_policy="strict")["4"] == "st" and pool(exclude_st=False)["6"] is None
     report = pit.waterfall_report(pit.universe_waterfall(candidates, stocks, status, names, bars, "2023-06-30")).first()
-    assert (report.total_candidates, report.eligible_count, report.missing_status_rows, report.missing_name_rows, report.pit_degraded) == (6, 3, 2, 5, True)
+    assert (report.total_candidates, report.eligible_count, report.missing_status_rows, report.missing_name_rows, report.missing_st_rows, report.pit_degraded) == (6, 3, 2, 5, 5, True)
+
+
+def test_availability_and_risk_are_asked_apart(spark):
+    """A listed security with a risk name, an open risk row beside a later normal one, a suspension beside a risk tier, and the risk table before the mixed one."""
+    stocks = spark.createDataFrame([(str(k), "plain", "active") for k in range(1, 8)], "symbol string, name string, status string")
+    old, row = D(2020, 1, 1), "symbol string, {} string, valid_from date, valid_to date, announced_at date"
+    status = spark.createDataFrame([
+        ("1", "listed", old, None, None), ("2", "st", old, None, None), ("2", "normal", D(2022, 1, 1), None, None), ("3", "suspended", old, None, None), ("3", "st", D(2022, 1, 1), None, None),
+        ("4", "listed", old, None, None), ("5", "st", old, None, None), ("6", "listed", old, None, None), ("6", "delisted", D(2023, 1, 1), None, D(2023, 7, 1)), ("7", "listed", old, None, old)], row.format("status"))
+    risk = spark.createDataFrame([("4", "sst", old, None, D(2023, 8, 1)), ("5", "normal", D(2023, 1, 1), None, None), ("7", "st", old, D(2023, 6, 30), None)], row.format("st_status"))
+    names = spark.createDataFrame([("1", "*ST then", old, None, None), ("5", "*ST then", old, None, None), ("7", "fine", old, None, old)], row.format("name"))
+    bars = spark.createDataFrame([(str(s), D(2023, 6, d), 1.0) for s in range(1, 8) for d in range(1, 3 + s)], "symbol string, trade_date date, close double")
+    candidates = stocks.select("symbol")
+    build = lambda **k: pit.universe_waterfall(candidates, stocks, status, names, bars, "2023-06-30", st_status=risk, **k)
+    pool = lambda **k: {r.symbol: r.exclusion_reason for r in build(**k).collect()}
+    # 4's risk row, 6's delisting are announced later; 5's risk row of the date is normal, so its name is not asked; 7's risk row has ended
+    assert pool(least_bars=1) == {"1": "st", "2": "st", "3": "suspended", "4": None, "5": None, "6": None, "7": None}
+    assert pool(least_bars=1, exclude_st=False) == {"1": None, "2": None, "3": "suspended", **{str(k): None for k in (4, 5, 6, 7)}}
+    assert pool(least_bars=8)["5"] == "no_bars" and pool(least_bars=8)["6"] is None
+    calendar = spark.createDataFrame([(D(2023, 6, d), d != 30) for d in range(1, 31)], "trade_date date, is_open boolean")
+    r = build(least_bars=None, least_share=0.2, start="2023-06-01", calendar=calendar, limit=2).collect()
+    assert {x.symbol for x in r if x.selected} == {"6", "7"} and {(x.expected_trading_days, x.least_trading_days) for x in r} == {(29, 6)}
+    assert {x.symbol: (x.missing_st, x.degraded) for x in r if x.symbol in "57"} == {"5": (False, False), "7": (True, True)}
+
+
+def test_timeline_of_one_security(spark):
+    row = "symbol string, {} string, valid_from date, valid_to date, announced_at date"
+    status = spark.createDataFrame([("a", "listed", D(2020, 1, 1), D(2020, 6, 1), None), ("a", "st", D(2020, 2, 1), D(2020, 4, 1), D(2020, 3, 1)), ("a", "suspended", D(2020, 3, 15), D(2020, 3, 20), None),
+                                    ("a", "normal", D(2020, 8, 1), D(2020, 8, 5), D(2020, 9, 1)), (None, "st", D(2020, 1, 1), None, None), ("b", "listed", D(2020, 1, 1), None, D(2020, 1, 1))], row.format("status"))
+    risk = spark.createDataFrame([("a", "sst", D(2020, 3, 10), D(2020, 3, 12), None)], row.format("st_status"))
+    got = [(r.symbol, str(r.valid_from)[5:], str(r.valid_to)[5:] if r.valid_to else None, r.status, r.availability, r.st_status) for r in timeline.status_timeline(status, risk).orderBy("symbol", "valid_from").collect()]
+    assert got == [
+        ("a", "01-01", "03-01", "listed", "listed", None), ("a", "03-01", "03-10", "st", "listed", "st"), ("a", "03-10", "03-12", "st", "listed", "sst"), ("a", "03-12", "03-15", "st", "listed", "st"),
+        ("a", "03-15", "03-20", "suspended", "suspended", "st"), ("a", "03-20", "04-01", "st", "listed", "st"), ("a", "04-01", "06-01", "listed", "listed", None), ("b", "01-01", None, "listed", "listed", None)]
+    asks = spark.createDataFrame([("a", D(2020, 3, 17)), ("a", D(2020, 7, 1)), ("a", D(2019, 1, 1)), ("b", D(2024, 1, 1)), ("c", D(2020, 3, 1))], "symbol string, as_of date")
+    assert {(r.symbol, r.as_of.year): r.availability for r in timeline.timeline_as_of(asks.where("as_of <> '2020-07-01'"), timeline.status_timeline(status)).collect()} == {("a", 2020): "suspended", ("a", 2019): None, ("b", 2024): "listed", ("c", 2020): None}
+    assert timeline.timeline_as_of(asks.where("as_of = '2020-07-01'"), timeline.status_timeline(status)).first().availability is None
+    assert timeline.status_timeline(status.limit(0)).count() == 0
+
+
+def test_trade_gaps_know_no_later_snapshot(spark):
+    days = [D(2020, 1, d) for d in (1, 2, 3, 4)]
+    grid = spark.createDataFrame([(s, d, None) for s in "abc" for d in days], "symbol string, trade_date date, close double")
+    stocks = spark.createDataFrame([("a", D(2019, 1, 1), "inactive"), ("b", D(2020, 1, 3), "active")], "symbol string, list_date date, status string")
+    status = spark.createDataFrame([("a", "listed", D(2019, 1, 1), None, None), ("a", "suspended", D(2020, 1, 2), D(2020, 1, 3), None), ("a", "delisted", D(2020, 1, 4), None, None)], "symbol string, status string, valid_from date, valid_to date, announced_at date")
+    got = {(r.symbol, r.trade_date.day): r.gap_type for r in pit.trade_gaps(grid, stocks, status).collect()}
+    assert [got["a", d] for d in (1, 2, 3, 4)] == ["provider_gap", "suspended", "provider_gap", "delisted_gap"]
+    assert [got["b", d] for d in (1, 2, 3, 4)] == ["new_listing_gap"] * 2 + ["unknown"] * 2 and got["c", 1] == "unknown"
+
+
+def test_advice_expires_once_its_day_has_passed(spark):
+    advice = spark.createDataFrame([("x", D(2024, 1, 1), "a"), ("x", D(2024, 1, 1), "b"), ("y", D(2024, 1, 1), "a"), ("y", D(2024, 1, 1), "gone"), ("z", D(2024, 1, 5), "a"), ("far", D(2023, 11, 1), "a"), ("eve", D(2024, 1, 3), "a")], "advice_id string, as_of date, symbol string")
+    bars = spark.createDataFrame([("a", D(2024, 1, 4)), ("b", D(2024, 1, 3))], "symbol string, trade_date date")
+    calendar = spark.createDataFrame([(D(2024, 1, 2), True), (D(2024, 1, 4), True), (D(2024, 1, 3), False)], "trade_date date, is_open boolean")
+    got = {r.advice_id: r.expired for r in portfolio.expired(advice, bars, calendar).collect()}
+    # y has a security without bars, far and z no trading day in reach, eve's day is the last bar's own
+    assert got == {"x": True, "y": False, "z": False, "far": False, "eve": False}
+
+
+def test_block_list_defaults(spark):
+    schema = "symbol string, known_at timestamp_ntz, event_type string, sentiment_label string, sentiment_score double, relevance_score double"
+    rows = [("severe", " Severe_company_risk", "", None, None), ("plain", "company_risk", "risk", -0.4, 0.9), ("score", "", "", -0.2, 0.5), ("label", "x", " BAD ", None, 0.5), ("typed", "negative_news", "", None, 0.5), ("faint", "", "bad", None, 0.1), ("fine", "", "", -0.1, 1.0)]
+    items = spark.createDataFrame([(s, dt.datetime(2024, 1, 5, 12), t, label, score, r) for s, t, label, score, r in rows] + [("old", dt.datetime(2024, 1, 1, 23), "severe_company_risk", "", None, None)], schema)
+    on = spark.createDataFrame([(D(2024, 1, 5),), (D(2024, 1, 8),), (D(2024, 1, 9),)], "decision_date date")
+    got = lambda *a, **k: {(r.symbol, r.decision_date.day) for r in news.block_list(items, on, *a, **k).collect()}
+    assert got() == {("severe", 5), ("severe", 8)}
+    assert {s for s, d in got(types=(), least_relevance=0.3)} == {"plain", "score", "label", "typed"}
+    assert ("old", 5) in got(days=4) and ("old", 5) not in got()
+    bare = items.select("symbol", "known_at", "event_type")
+    assert {r.symbol for r in news.block_list(bare, on, types=(), least_relevance=1.0).collect()} == {"typed"}
 
 
 def test_downside_beta_gates_and_scores(spark):
