@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import pit as P
 from tessera.operators import timeline as T
+from tessera.operators import upkeep as U
 from tessera.operators.grid import dense_grid
 from tessera.plans.factor_plans import SQL_GRID
 from tessera.sources.tables import SQL_BARS, SQL_STATUS, SQL_STOCKS, bars, load, status_intervals, stocks
@@ -155,6 +156,51 @@ def trade_gaps(spark, sf_dir):
     return P.trade_gaps(dense_grid(bars(spark, sf_dir)), stocks(spark, sf_dir), _mixed(spark, sf_dir))
 
 
+def _stored_status(spark, sf_dir):
+    """The mixed table as it is stored; without an announcement the confidence is medium."""
+    return _mixed(spark, sf_dir).withColumns({"source": F.lit("old"), "confidence": F.when(F.col("announced_at").isNull(), "medium").otherwise("high")})
+
+
+def _fresh_status(spark, sf_dir):
+    """A delivery, from every third order and every fifth security: some rows repeat keys, some have bad symbols, words, confidences or intervals, some listings are real."""
+    k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    symbol = F.concat(F.lit("SZ"), F.lpad(F.col("o_custkey").cast("string"), 6, "0"))
+    word = F.element_at(F.array(*map(F.lit, (" ST ", "normal", "Suspended", "st_star", "listed"))), (k % 5 + 1).cast("int"))
+    orders = load(spark, sf_dir, "orders").where(k % 3 == 0).select(
+        k.alias("seq"), F.when(k % 29 == 0, "bad!").otherwise(symbol).alias("symbol"), F.when(k % 17 == 0, "halted").otherwise(word).alias("status"), d.alias("valid_from"),
+        F.when(k % 23 == 0, F.date_sub(d, 1)).when(k % 2 == 0, F.date_add(d, 50)).alias("valid_to"), F.when(k % 7 != 0, d).alias("announced_at"),
+        F.when(k % 4 != 0, F.concat(F.lit("feed"), (k % 4).cast("string"))).alias("source"), F.when(k % 19 == 0, "sure").when(k % 3 == 0, "medium").alias("confidence"))
+    listed = F.date_sub("list_date", 100)
+    s = stocks(spark, sf_dir).where(F.col("symbol").cast("int") % 5 == 0).select(
+        (F.col("symbol").cast("long") + 100_000_000).alias("seq"), "symbol", F.lit("Listed").alias("status"), listed.alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), listed.alias("announced_at"),
+        F.lit("exchange").alias("source"), F.lit(None).cast("string").alias("confidence"))
+    return orders.unionByName(s)
+
+
+def pit_status_upsert(spark, sf_dir):
+    """The status table after a delivery."""
+    return U.upserted(_stored_status(spark, sf_dir), _fresh_status(spark, sf_dir), "security_status")
+
+
+def pit_status_rejects(spark, sf_dir):
+    """What the delivery had turned away, with reasons."""
+    return U.rejects(_fresh_status(spark, sf_dir), "security_status").select("seq", "symbol", "status", "confidence", "reasons")
+
+
+def pit_status_spans(spark, sf_dir):
+    """Stretches, overlaps and gaps of the risk axis."""
+    return U.spans(_risk(spark, sf_dir))
+
+
+def pit_gap_upsert(spark, sf_dir):
+    """The trade-gap table after a delivery that states some days anew, some of them with a word that is none."""
+    gaps = trade_gaps(spark, sf_dir).select("symbol", "trade_date", F.lit(True).alias("expected_open"), F.lit(False).alias("has_bar"), "gap_type", F.lit("rule").alias("source"), F.lit("high").alias("confidence"))
+    k = F.col("symbol").cast("int") + F.dayofyear("trade_date")
+    word = F.when(k % 7 == 0, "halted").otherwise(" Limit_Halt")
+    fresh = gaps.where(k % 2 == 0).withColumns({"gap_type": word, "source": F.lit(None).cast("string"), "confidence": F.lit("Low"), "seq": k.cast("long")})
+    return U.upserted(gaps, fresh, "security_trade_gap")
+
+
 def last_wins(spark, sf_dir):
     """Last announced row of each symbol and status."""
     return P.last_wins(status_intervals(spark, sf_dir).drop("valid_to"), ["symbol", "status"], ["announced_at", "valid_from"])
@@ -165,7 +211,7 @@ def pit_st_names(spark, sf_dir):
     return stocks(spark, sf_dir).select("symbol", "name", P.pit_name_class(F.col("name")).alias("class"))
 
 
-QUERIES = {f.__name__: f for f in (status_as_of, last_close_as_of, derived_intervals, scd2_reconcile, pit_universe, pit_universe_report, research_pool_listing, pit_universe_counts, status_timeline, status_timeline_as_of, index_members, pit_coverage_report, trade_gaps, last_wins, pit_st_names)}
+QUERIES = {f.__name__: f for f in (status_as_of, last_close_as_of, derived_intervals, scd2_reconcile, pit_universe, pit_universe_report, research_pool_listing, pit_universe_counts, status_timeline, status_timeline_as_of, index_members, pit_status_upsert, pit_status_rejects, pit_status_spans, pit_gap_upsert, pit_coverage_report, trade_gaps, last_wins, pit_st_names)}
 
 
 def _pick(asks: str) -> str:
@@ -219,7 +265,28 @@ j AS (SELECT c.symbol, pit, av, coalesce(ri, le) AS st, pname, s.name AS sname,
 u0 AS (SELECT *, CASE WHEN av = 'delisted' THEN 'delisted' WHEN av = 'suspended' THEN 'suspended' WHEN pit IS NULL AND coalesce(now, '') <> 'active' THEN 'not_listed'
   WHEN st <> 'normal' THEN 'st' WHEN st IS NULL AND pname IS NOT NULL AND cls <> 'normal' THEN 'st' WHEN n < 5 THEN 'no_bars' END AS reason FROM j),
 u AS (SELECT *, reason IS NULL AND row_number() OVER (PARTITION BY reason IS NULL ORDER BY n DESC, symbol) <= 25 AS selected FROM u0)"""
+_FRESH = """fresh AS (SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 29 <> 0 THEN lpad(CAST(o_custkey AS VARCHAR), 6, '0') END AS symbol, CASE WHEN o_orderkey % 17 = 0 THEN 'halted' ELSE (['st', 'normal', 'suspended', 'st_star', 'listed'])[o_orderkey % 5 + 1] END AS status,
+  CAST(o_orderdate AS DATE) AS valid_from, CASE WHEN o_orderkey % 23 = 0 THEN CAST(o_orderdate AS DATE) - 1 WHEN o_orderkey % 2 = 0 THEN CAST(o_orderdate AS DATE) + 50 END AS valid_to, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS announced_at,
+  CASE WHEN o_orderkey % 4 <> 0 THEN 'feed' || CAST(o_orderkey % 4 AS VARCHAR) ELSE 'unknown' END AS source, CASE WHEN o_orderkey % 19 = 0 THEN 'sure' WHEN o_orderkey % 3 = 0 THEN 'medium' ELSE 'high' END AS confidence FROM orders WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT CAST(symbol AS BIGINT) + 100000000, symbol, 'listed', list_date - 100, NULL, list_date - 100, 'exchange', 'high' FROM stocks WHERE CAST(symbol AS INT) % 5 = 0),
+why AS (SELECT *, array_to_string(list_filter([CASE WHEN symbol IS NULL THEN 'bad_symbol' END, CASE WHEN status = 'halted' THEN 'unknown_word' END, CASE WHEN confidence = 'sure' THEN 'unknown_confidence' END,
+  CASE WHEN valid_to <= valid_from THEN 'empty_interval' END], lambda x: x IS NOT NULL), ',') AS reasons FROM fresh)"""
 ORACLE = {
+    "pit_status_upsert": f"""WITH {SQL_STOCKS}, {SQL_STATUS}, {_MIXED}, {_FRESH},
+both_ AS (SELECT symbol, status, valid_from, valid_to, announced_at, 'old' AS source, CASE WHEN announced_at IS NULL THEN 'medium' ELSE 'high' END AS confidence, -1 AS seq FROM mixed
+  UNION ALL SELECT symbol, status, valid_from, valid_to, announced_at, source, confidence, seq FROM why WHERE reasons = ''),
+last_ AS (SELECT *, row_number() OVER (PARTITION BY symbol, status, valid_from ORDER BY seq DESC) AS rn, coalesce(min(CASE WHEN seq >= 0 THEN seq END) OVER (PARTITION BY symbol, status, valid_from), -1) AS place FROM both_),
+k AS (SELECT * FROM last_ WHERE rn = 1), real_ AS (SELECT symbol, valid_from, place FROM k WHERE seq >= 0 AND status = 'listed' AND confidence = 'high' AND announced_at = valid_from)
+SELECT symbol, status, valid_from, valid_to, announced_at, source, confidence FROM k WHERE NOT (status = 'listed' AND confidence = 'medium' AND announced_at IS NULL
+  AND EXISTS (SELECT 1 FROM real_ r WHERE r.symbol = k.symbol AND r.valid_from < k.valid_from AND r.place > k.place))""",
+    "pit_status_rejects": f"WITH {SQL_STOCKS}, {_FRESH} SELECT seq, symbol, status, confidence, reasons FROM why WHERE reasons <> ''",
+    "pit_status_spans": f"""WITH {_RISK}, e AS (SELECT symbol, valid_from, coalesce(valid_to, DATE '9999-12-31') AS t FROM risk),
+b AS (SELECT *, max(t) OVER (PARTITION BY symbol ORDER BY valid_from, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+i AS (SELECT *, count(*) FILTER (before IS NULL OR valid_from > before) OVER (PARTITION BY symbol ORDER BY valid_from, t ROWS UNBOUNDED PRECEDING) AS span FROM b)
+SELECT symbol, min(valid_from) AS span_from, nullif(max(t), DATE '9999-12-31') AS span_to, count(*) AS n_rows, count(*) FILTER (valid_from < before) AS n_overlaps, CAST(max(CASE WHEN valid_from > before THEN date_diff('day', before, valid_from) END) AS INT) AS gap_days FROM i GROUP BY symbol, span""",
+    "pit_gap_upsert": f"""WITH {SQL_GRID}, {SQL_STOCKS}, {SQL_STATUS}, {_MIXED}, {_GAPS}, k AS (SELECT *, CAST(symbol AS INT) + dayofyear(trade_date) AS k FROM gaps)
+SELECT symbol, trade_date, true AS expected_open, false AS has_bar, CASE WHEN k % 2 = 0 AND k % 7 <> 0 THEN 'limit_halt' ELSE gap_type END AS gap_type, CASE WHEN k % 2 = 0 AND k % 7 <> 0 THEN 'unknown' ELSE 'rule' END AS source,
+  CASE WHEN k % 2 = 0 AND k % 7 <> 0 THEN 'low' ELSE 'high' END AS confidence FROM k""",
     "status_as_of": f"""WITH {SQL_STATUS}, asks AS (SELECT symbol, CAST(unnest(generate_series(DATE '1996-01-01', DATE '2001-07-01', INTERVAL 3 MONTH)) AS DATE) AS as_of FROM (SELECT DISTINCT symbol FROM status)), {_pick('asks')}
 SELECT symbol, as_of, valid_from, status FROM pick WHERE rn = 1""",
     "last_close_as_of": f"""WITH {SQL_BARS}, asks AS (SELECT symbol, CAST(unnest(generate_series(DATE '1996-01-01', DATE '2001-07-01', INTERVAL 1 MONTH)) AS DATE) AS as_of FROM (SELECT DISTINCT symbol FROM bars))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.plans.repository_plans import _JOBS, jobs
+from tessera.session import Folder
 from tessera.sources import sinks
-from tessera.sources.tables import SQL_BARS, SQL_STOCKS, bars, stocks
+from tessera.sources.tables import SQL_BARS, SQL_STOCKS, bars, load, stocks
 from tessera.streaming import feeds
+from tessera.streaming.history import History
 
 
 def stream_hourly_counts(spark, sf_dir):
@@ -54,8 +56,37 @@ def append_once(spark, sf_dir):
     return sinks.append_once(j.where("job_id % 5 <> 0"), j.where("job_id % 5 = 0")).select("fingerprint")
 
 
-QUERIES = {f.__name__: f for f in (stream_hourly_counts, stream_sliding_counts, stream_once_each, stream_sessions, replace_bars, upsert_stocks, append_once)}
+def _snapshots(spark, sf_dir):
+    """A snapshot a month and priority of orders: who ordered, and their last order's status."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("scope"), F.trunc("o_orderdate", "month").alias("as_of"), F.col("o_custkey").cast("string").alias("key"), "o_orderkey", "o_orderstatus")
+    return o.groupBy("scope", "as_of", "key").agg(F.max_by("o_orderstatus", "o_orderkey").alias("value"))
+
+
+def stream_scd2(spark, sf_dir):
+    """The history of monthly snapshots that come two years at a time as a stream; the first ones come again at the end, too late."""
+    folder = Folder(spark, "scd2")
+    rows = _snapshots(spark, sf_dir).withColumn("part", F.floor(F.year("as_of") / 2))
+    first, last = rows.agg(F.min("part"), F.max("part")).first()
+    for k, part in enumerate([*range(first, last + 1), first] if first else []):
+        # one file each, so that the file source gives them in order
+        rows.where(F.col("part") == part).drop("part").coalesce(1).write.parquet(folder.path(f"in/{k:03d}"))
+    history = History(spark, folder.path("table"), 4)
+    if first:
+        schema = "scope string, as_of date, key string, value string"
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder.path("in/*"))
+        stream.writeStream.option("checkpointLocation", folder.path("check")).trigger(availableNow=True).foreachBatch(history.write).start().awaitTermination()
+    return history.table().select("scope", "key", "value", "valid_from", "valid_to")
+
+
+QUERIES = {f.__name__: f for f in (stream_scd2, stream_hourly_counts, stream_sliding_counts, stream_once_each, stream_sessions, replace_bars, upsert_stocks, append_once)}
 ORACLE = {
+    "stream_scd2": """WITH s AS (SELECT o_orderpriority AS scope, CAST(date_trunc('month', o_orderdate) AS DATE) AS as_of, CAST(o_custkey AS VARCHAR) AS key, arg_max(o_orderstatus, o_orderkey) AS value FROM orders GROUP BY 1, 2, 3),
+d AS (SELECT scope, as_of, row_number() OVER (PARTITION BY scope ORDER BY as_of) AS place FROM (SELECT DISTINCT scope, as_of FROM s)),
+p AS (SELECT s.*, d.place FROM s JOIN d USING (scope, as_of)),
+f AS (SELECT *, lag(place) OVER w IS DISTINCT FROM place - 1 OR lag(value) OVER w <> value AS fresh FROM p WINDOW w AS (PARTITION BY scope, key ORDER BY place)),
+g AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY scope, key ORDER BY place) AS stretch FROM f),
+r AS (SELECT scope, key, any_value(value) AS value, min(as_of) AS valid_from, max(place) + 1 AS place FROM g GROUP BY scope, key, stretch)
+SELECT r.scope, r.key, r.value, r.valid_from, d.as_of AS valid_to FROM r LEFT JOIN d ON d.scope = r.scope AND d.place = r.place""",
     "stream_hourly_counts": "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "stream_sliding_counts": "SELECT CAST(CAST(ts AS DATE) - k AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events CROSS JOIN (VALUES (0), (1), (2)) o(k) GROUP BY ALL",
     "stream_once_each": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1",

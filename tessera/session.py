@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -28,6 +30,28 @@ def build_session(app: str = "tessera", master: str | None = None, shuffle_parti
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``), or one below the warehouse where the setting is absent, as in local runs."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``.
+
+    Where the setting is absent, a local session takes a folder below its
+    warehouse; on a cluster that would be a machine's own disk, so it fails.
+    """
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not given and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (given or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared").rstrip("/")
+
+
+class Folder:
+    """A folder of its own in the shared folder. It is removed when the session's application ends, with what it holds."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(self.root)
+        system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(place)
+        system.deleteOnExit(place)
+
+    def path(self, name: str) -> str:
+        """A place in the folder."""
+        return f"{self.root}/{name}"
