@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Keywords by class, the first class that a text meets counts; (label, score, keywords).
 KEYWORDS: dict[str, tuple[str, float | None, tuple[str, ...]]] = {
@@ -40,41 +39,67 @@ def reclassified(news: DataFrame) -> DataFrame:
     return fresh.where(changed).withColumns({"event_type": F.col("_c.event_type"), "sentiment_label": F.col("_c.label"), "sentiment_score": F.col("_c.score")}).drop("_c")
 
 
-def _score(text: str) -> int:
-    wide = sum("一" <= c <= "鿿" for c in text)
-    odd = sum(c in "ÃÂåæçèéäö¤¥¦§¨©ª«¬" for c in text)
-    return 3 * wide - 4 * odd - 8 * text.count("�")
+# Letters that tell of UTF-8 read as a single-byte code; control characters weigh twice.
+MARKERS = "ÃÂâåæçèéï¼½äð"
+#: The letters that Windows-1252 has in place of the control characters of Latin-1, each with its byte.
+_WINDOWS = {bytes([b]).decode("cp1252"): b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 
 
-def repair_text(text: str | None) -> str | None:
-    """Undo UTF-8 read as a single-byte code where that reads better; drop control characters, collapse white space."""
-    if text is None:
-        return None
-    tries = [text]
-    for code in ("latin-1", "cp1252"):
-        try:
-            tries.append(text.encode(code).decode("utf-8"))
-        except UnicodeError:
-            pass
-    best = max(tries, key=_score)
-    return re.sub(r"\s+", " ", re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", best)).strip()
+def _penalty(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(f"[{MARKERS}]")) + 2 * F.regexp_count(text, F.lit(r"[\x{80}-\x{9f}]"))
 
 
-def repaired(text: Column) -> Column:
-    """Repair in Arrow batches; codecs that may fail have no counterpart in SQL."""
+def _reads(text: Column) -> Column:
+    """How well a text reads: Chinese letters count for it, marks of damage against it."""
+    return 3 * F.regexp_count(text, F.lit(r"[\x{4e00}-\x{9fff}]")) - 4 * _penalty(text) - 8 * F.regexp_count(text, F.lit(r"\x{fffd}"))
+
+
+def has_mojibake(text: Column) -> Column:
+    """Whether a text bears two or more marks of damage; false for null."""
+    return F.coalesce(_penalty(text) >= 2, F.lit(False))
 
-    @F.pandas_udf("string")
-    def repair(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: repair_text(t if isinstance(t, str) else None))
 
-    return repair(text)
+def repaired(text: Column) -> Column:
+    """The text, or what its bytes say as UTF-8 where it reads better: bytes of Latin-1, then of Windows-1252; the first of equals.
+
+    All in the JVM: a text is encoded only where every letter has a byte, and
+    bytes that are no UTF-8 give no reading.
+    """
+    read = lambda t: F.try_validate_utf8(F.encode(t, "ISO-8859-1").cast("string"))
+    letters, controls = "".join(_WINDOWS), "".join(map(chr, _WINDOWS.values()))
+    latin = F.when(text.rlike(r"\A[\x{0}-\x{ff}]*\z"), read(text))
+    windows = F.when(text.rlike(rf"\A[\x{{0}}-\x{{7f}}\x{{a0}}-\x{{ff}}{letters}]*\z"), read(F.translate(text, letters, controls)))
+    # ASCII alone reads the same in every code
+    tries = F.array_compact(F.array(text, latin, windows))
+    scored = F.transform(tries, lambda t, i: F.struct(_reads(t).alias("s"), (-i).alias("i"), t.alias("t")))
+    return F.when(text.rlike(r"[^\x{0}-\x{7f}]"), F.array_max(scored)["t"]).otherwise(text)
 
 
 def clean(text: Column) -> Column:
-    """Repaired text: only texts with characters of 128 to 255 pay for the codec trial."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), r"\s+", " "))
-    return F.when(text.rlike(r"[\x{80}-\x{ff}\x{152}-\x{192}\x{2013}-\x{2122}]"), repaired(text)).otherwise(plain)
+    """Repaired text without control characters, white space as single spaces, none at the ends; null stays null."""
+    bare = F.regexp_replace(repaired(text), r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}]", " ")
+    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
+
+
+def cleaned(value: Column, kind: T.DataType) -> Column:
+    """A value of any schema with every string in it cleaned: in structs, arrays, and the keys and values of maps."""
+    if isinstance(kind, T.StringType):
+        return clean(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: cleaned(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(cleaned(value[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, T.MapType):
+        pairs = F.transform(F.map_entries(value), lambda e: F.struct(cleaned(e["key"], kind.keyType).alias("key"), cleaned(e["value"], kind.valueType).alias("value")))
+        # keys that become equal: the later one counts
+        last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda o: o["key"] == e["key"]))
+        return F.map_from_entries(last)
+    return value
+
+
+def clean_payload(payloads: DataFrame) -> DataFrame:
+    """A table of raw payloads with every string of every column cleaned."""
+    return payloads.select(*(cleaned(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in payloads.schema.fields))
 
 
 def news_id(source: Column, symbol: Column, title: Column, published: Column) -> Column:

@@ -58,17 +58,41 @@ def search(stocks: DataFrame, keyword: str, limit: int = 20) -> DataFrame:
     return stocks.where(hit).orderBy("symbol").limit(clamp(limit, 50))
 
 
-def resolve(stocks: DataFrame, texts: DataFrame) -> DataFrame:
-    """text -> symbol, rule: code, exact name, or the only name that contains the text; else null with the reason.
+#: Letters of a gram in the name index; shorter texts have postings of their own length.
+GRAM = 3
+
+
+def _grams(text: Column, size: Column) -> Column:
+    """Distinct pieces of ``size`` letters."""
+    last = F.length(text) - size + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, size)))).otherwise(F.array().cast("array<string>"))
+
 
-    The security master is a reference table of a few thousand rows.
+def names_with(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """text, symbol of every name (symbol, name) that contains a text, by an inverted index of grams.
+
+    A name is posted under each of its pieces of 1 to GRAM letters; a text is
+    looked up under its rarest piece of GRAM letters (all of it, if shorter),
+    and ``contains`` decides among the names found there. A text with a piece
+    that no name has is met by none, and so is the empty text.
     """
+    posted = names.where("name is not null").select("symbol", "name", F.explode(F.sequence(F.lit(1), F.lit(GRAM))).alias("size"))
+    wanted = texts.select("text", F.least(F.length("text"), F.lit(GRAM)).alias("size")).where("size > 0").distinct()
+    postings = posted.select("symbol", "name", F.explode(_grams(F.col("name"), F.col("size"))).alias("gram"))
+    asked = wanted.select("text", F.explode(_grams(F.col("text"), F.col("size"))).alias("gram"))
+    counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(counts, "gram", "left").groupBy("text").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0")
+    return rarest.select("text", "g.gram").join(postings, "gram").where(F.col("name").contains(F.col("text"))).select("text", "symbol")
+
+
+def resolve(stocks: DataFrame, texts: DataFrame) -> DataFrame:
+    """text -> symbol, rule: code, exact name, or the only name that contains the text; else null with the reason. Empty texts are unknown."""
     t = texts.select("text").distinct().withColumn("code", normalize_symbol(F.col("text")))
     names = stocks.select(F.col("symbol").alias("s"), "name")
     by_code = t.join(names, F.col("code") == F.col("s"), "left").groupBy("text").agg(F.max("s").alias("by_code"))
     by_name = t.join(names, F.col("text") == F.col("name"), "left").groupBy("text").agg(F.min("s").alias("by_name"))
-    fuzzy = t.join(F.broadcast(names), F.col("name").contains(F.col("text")), "left").groupBy("text").agg(F.count("s").alias("n"), F.min("s").alias("like"))
-    out = by_code.join(by_name, "text").join(fuzzy, "text")
+    fuzzy = names_with(stocks.select("symbol", "name"), t).groupBy("text").agg(F.count("symbol").alias("n"), F.min("symbol").alias("like"))
+    out = by_code.join(by_name, "text").join(fuzzy, "text", "left")
     rule = F.when(F.col("by_code").isNotNull(), "code").when(F.col("by_name").isNotNull(), "name").when(F.col("n") == 1, "contains").when(F.col("n") > 1, "ambiguous").otherwise("unknown")
     symbol = F.coalesce("by_code", "by_name", F.when(F.col("n") == 1, F.col("like")))
     return out.select("text", symbol.alias("symbol"), rule.alias("rule"))

@@ -99,9 +99,11 @@ def news_evidence(spark, sf_dir):
 
 
 def news_text_repair(spark, sf_dir):
-    """Documents whose cleaned text differs, counted by language; rows only."""
-    d = load(spark, sf_dir, "documents").where("doc_id is not null")
-    return d.withColumn("fixed", N.clean(F.col("text"))).where("fixed <> text").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    """Every document, a third of them read in a wrong code, cleaned: id, digest of the text, marks of damage before and after."""
+    k, text = F.col("doc_id"), F.col("text")
+    damaged = F.when(k % 3 == 0, F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")).when(k % 3 == 1, F.concat(F.lit("\u00e5\u009b\u00bd "), text)).otherwise(text)
+    d = load(spark, sf_dir, "documents").select("doc_id", damaged.alias("text"))
+    return d.select("doc_id", F.sha2(N.clean(F.col("text")), 256).alias("cleaned_sha256"), N.has_mojibake(F.col("text")).alias("damaged"))
 
 
 def news_outcome_counts(spark, sf_dir):

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.news import upsert
 from tessera.operators.pit import last_wins
-from tessera.session import shared_folder
+from tessera.session import Folder
 
 
 def event_stream(spark: SparkSession, folder: str, files: int = 4) -> DataFrame:
@@ -35,6 +33,22 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "3 days")
     return events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def blocked_decisions(news: DataFrame, decisions: DataFrame, days: int = 3, delay: str = "2 days") -> DataFrame:
+    """decided_at, symbol, news_id: every decision with the news that blocks it, or with null once none can come any more.
+
+    Both sides are streams: risky news (symbol, known_at, news_id) and
+    decisions (symbol, decided_at at the start of a day). News counts from
+    ``days`` before the decision to the end of its day. State is kept on both
+    sides while the other's watermark allows a match: news for ``days``, a
+    decision for its day, both plus the delay. News that comes later than the
+    delay blocks nothing.
+    """
+    n = news.select(F.col("symbol").alias("_symbol"), "known_at", "news_id").withWatermark("known_at", delay)
+    d = decisions.select("symbol", "decided_at").withWatermark("decided_at", delay)
+    fits = (F.col("known_at") >= F.col("decided_at") - F.expr(f"interval {int(days)} days")) & (F.col("known_at") < F.col("decided_at") + F.expr("interval 1 day"))
+    return d.join(n, (F.col("symbol") == F.col("_symbol")) & fits, "leftOuter").select("decided_at", "symbol", "news_id")
+
+
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over all that is there into Parquet files and read them back.
 
@@ -43,7 +57,7 @@ def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
     update mode the rows of every batch stay. A replayed batch writes its own
     files again.
     """
-    folder = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    folder = Folder(stream.sparkSession, "stream").root
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/check").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", f"{folder}/out").start()
@@ -51,6 +65,8 @@ def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
         one = mode == "complete"
         query = writer.foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{folder}/out/{0 if one else k}")).start()
     query.awaitTermination()
+    # a stream that gave nothing has written nothing
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("append").parquet(f"{folder}/out/none")
     return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
 
 
