@@ -150,7 +150,8 @@ def audit(documents: DataFrame, scratch: Scratch) -> DataFrame:
     none = groups.where("kept = 0").select("lang", "source").join(other, "lang").where("source <> item")
     pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
     pairs = pairs.unionByName(none.select("lang", "source", F.lit("pair").alias("part"), "item", F.lit(0).cast("long").alias("value")))
-    ranked = pairs.unionByName(found.where("part = 'term'")).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")))
     scratch.drop("kept", "chunks")
-    return ranked.where((F.col("part") == "pair") | (F.col("rank") <= RANKS))
+    place = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
+    # a limit on the rank is kept before the shuffle, so only the best terms of each task meet
+    terms = found.where("part = 'term'").withColumn("rank", place).where(F.col("rank") <= RANKS)
+    return pairs.withColumn("rank", place).unionByName(terms)
