@@ -1,85 +1,97 @@
-"""Learning-to-rank chain: dataset, embargoed windows, gradient-boosted trees, diagnostics."""
+"""Learning-to-rank chain: feature matrix, dataset, embargoed windows, walk-forward scores, diagnostics."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.factors import REGISTRY, compute
-from tessera.operators.evaluation import robust_z, winsorize
+from tessera.operators import boosting
+from tessera.operators.evaluation import MAD_SCALE
 from tessera.operators.grid import dense_grid, forward_returns
+from tessera.session import Folder
 
 
-def dataset(bars: DataFrame, names: list[str], horizons: tuple[int, ...] = (5,)) -> DataFrame:
-    """trade_date, symbol, oriented z-scores, labels; rows with any null are left out. One grid, no join of features and labels."""
-    labels = [f"fwd_{h}d" for h in horizons]
-    panel = compute(forward_returns(dense_grid(bars), horizons), names, keep=tuple(labels))
-    for n in names:
-        panel = robust_z(winsorize(panel, n), n, f"_z_{n}")
-    return panel.select("trade_date", "symbol", *((F.col(f"_z_{n}") * REGISTRY[n].direction).alias(n) for n in names), *labels).dropna()
+#: Columns of a dataset that are no features.
+INDEX_COLUMNS = ("trade_date", "symbol", "split", "window_id", "score")
 
 
-def calendar_windows(dates: DataFrame, train_months: int = 12, valid_months: int = 2, test_months: int = 1, embargo_days: int = 15) -> DataFrame:
-    """window_id with inclusive train, valid and test spans by calendar month; training and validation end ``embargo_days`` before what follows."""
-    ends = dates.agg(F.trunc(F.min("trade_date"), "month").alias("lo"), F.max("trade_date").alias("hi"))
-    months = train_months + valid_months + test_months
-    starts = ends.select("hi", F.posexplode(F.sequence("lo", "hi", F.expr(f"interval {test_months} month"))).alias("window_id", "train_start"))
-    at = lambda m: F.add_months("train_start", m)
-    out = starts.where(at(months) <= F.date_add("hi", 1))
-    return out.select(
-        "window_id", "train_start", F.date_sub(at(train_months), embargo_days + 1).alias("train_end"), at(train_months).alias("valid_start"),
-        F.date_sub(at(train_months + valid_months), embargo_days + 1).alias("valid_end"), at(train_months + valid_months).alias("test_start"), F.date_sub(at(months), 1).alias("test_end"))
+def feature_columns(data: DataFrame, label: str) -> list[str]:
+    """The features of a dataset by its schema: numbers that are neither index columns nor labels, in the order of the columns."""
+    if label not in data.columns:
+        raise ValueError(f"the dataset has no label {label}")
+    numbers = ("double", "float", "int", "bigint", "smallint", "tinyint")
+    found = [c for c, t in data.dtypes if c not in INDEX_COLUMNS and c != label and not c.startswith("fwd_") and (t in numbers or t.startswith("decimal"))]
+    if not found:
+        raise ValueError("the dataset has no feature columns")
+    return found
 
 
-def train_gbt(train: DataFrame, names: list[str], label: str, rounds: int = 10, depth: int = 4, seed: int = 42, valid: DataFrame | None = None):
-    """A fitted tree ensemble on the assembled features. Scores differ from other libraries' by construction.
+def standardised(panel: DataFrame, names: list[str], k: float = 3.0) -> DataFrame:
+    """Every named column as the robust z-score of its date, clipped to k scaled deviations before; the other columns stay.
 
-    With ``valid`` rows, trees are added only as long as they lower the error on these.
+    Clipping moves neither a date's median nor the median of its deviations
+    (both lie well within the limits), so two grouped passes give the exact
+    medians of all columns and all dates: a row a date each, where windows
+    would sort every column anew. The panel is read three times: give one that
+    is written, or cheap.
     """
-    tree = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="score", maxIter=rounds, maxDepth=depth, stepSize=0.1, seed=seed)
-    if valid is not None:
-        train = train.withColumn("_valid", F.lit(False)).unionByName(valid.withColumn("_valid", F.lit(True)))
-        tree = tree.setValidationIndicatorCol("_valid")
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(train)
-    return tree.fit(vectors)
+    medians = panel.groupBy("trade_date").agg(*(F.median(n).alias(f"_m_{n}") for n in names))
+    # one row for each trading date
+    centred = panel.join(F.broadcast(medians), "trade_date")
+    spreads = centred.groupBy("trade_date").agg(*(F.median(F.abs(F.col(n) - F.col(f"_m_{n}"))).alias(f"_d_{n}") for n in names))
+    both = centred.join(F.broadcast(spreads), "trade_date")
 
+    def z(n: str):
+        x, m, d = F.col(n), F.col(f"_m_{n}"), F.col(f"_d_{n}")
+        limit = d * MAD_SCALE * k
+        clipped = F.greatest(m - limit, F.least(m + limit, x))
+        return F.when(d == 0, x - m).when(x.isNotNull(), (clipped - m) / (d * MAD_SCALE)).alias(n)
 
-def predict(model, rows: DataFrame, names: list[str]) -> DataFrame:
-    """The rows with their score."""
-    return model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(rows)).drop("features")
+    kept = [c for c in panel.columns if c not in names]
+    return both.select(*kept, *(z(n) for n in names))
 
 
-def walk_forward(data: DataFrame, windows: DataFrame, names: list[str], label: str, rounds: int = 10, depth: int = 4, side_by_side: int = 4) -> DataFrame:
-    """Rows of every test span with window_id and the score of a model of their own window.
+def factor_matrix(bars: DataFrame, names: list[str] | None = None, horizons: tuple[int, ...] = (5, 10), digits: int | None = None) -> DataFrame:
+    """trade_date, symbol, labels and every named factor (all of the registry by default), oriented and standardised by date; nulls stay.
 
-    Windows without training, validation or test rows are skipped: one query
-    over the dates of all windows tells which. Only the calendar of windows
-    comes to the driver.
+    The panel of factors and labels is computed once, in one ordering by
+    security, and written to the shared folder; the passes over it read that
+    table. ``digits`` rounds the factors before.
     """
-    dates = data.select("trade_date").distinct()
-    within = {p: F.col("trade_date").between(F.col(f"{p}_start"), F.col(f"{p}_end")) for p in ("train", "valid", "test")}
-    # dates and windows are both calendars: some hundreds of rows
-    reached = windows.join(dates, F.col("trade_date").between(F.col("train_start"), F.col("test_end"))).groupBy(*windows.columns)
-    usable = reached.agg(*(F.count_if(c).alias(f"_{p}") for p, c in within.items())).where("_train > 0 and _valid > 0 and _test > 0")
+    names = list(REGISTRY) if names is None else names
+    labels = tuple(f"fwd_{h}d" for h in horizons)
+    panel = compute(forward_returns(dense_grid(bars), horizons), names, keep=labels)
+    oriented = [(F.col(n) * REGISTRY[n].direction).alias(n) for n in names]
+    if digits is not None:
+        oriented = [(F.round(n, digits) * REGISTRY[n].direction).alias(n) for n in names]
+    folder = Folder(bars.sparkSession, "matrix")
+    panel.select("trade_date", "symbol", *labels, *oriented).write.parquet(folder.path("panel"))
+    return standardised(bars.sparkSession.read.parquet(folder.path("panel")), names)
 
-    def one(w) -> DataFrame:
-        train, valid, test = (data.where(F.col("trade_date").between(F.lit(w[f"{part}_start"]), F.lit(w[f"{part}_end"]))) for part in ("train", "valid", "test"))
-        model = train_gbt(train, names, label, rounds, depth, 42 + w["window_id"] + 1, valid)
-        return predict(model, test, names).withColumn("window_id", F.lit(w["window_id"]))
 
-    with ThreadPoolExecutor(side_by_side) as pool:
-        scored = list(pool.map(one, usable.orderBy("window_id").collect()))
-    return reduce(DataFrame.unionByName, scored) if scored else data.limit(0).withColumns({"score": F.lit(0.0), "window_id": F.lit(0)})
+def dataset(bars: DataFrame, names: list[str], horizons: tuple[int, ...] = (5,)) -> DataFrame:
+    """trade_date, symbol, oriented z-scores, labels; rows with any null are left out. One grid, no join of features and labels."""
+    matrix = factor_matrix(bars, names, horizons)
+    return matrix.select("trade_date", "symbol", *names, *(f"fwd_{h}d" for h in horizons)).dropna()
+
+
+def calendar_windows(dates: DataFrame, train_months: int = 12, valid_months: int = 2, test_months: int = 1, embargo_days: int = 15) -> DataFrame:
+    """window_id with inclusive train, valid and test spans by calendar month; training and validation end ``embargo_days`` before what follows."""
+    ends = dates.agg(F.trunc(F.min("trade_date"), "month").alias("lo"), F.max("trade_date").alias("hi"))
+    months = train_months + valid_months + test_months
+    starts = ends.select("hi", F.posexplode(F.sequence("lo", "hi", F.expr(f"interval {test_months} month"))).alias("window_id", "train_start"))
+    at = lambda m: F.add_months("train_start", m)
+    out = starts.where(at(months) <= F.date_add("hi", 1))
+    return out.select(
+        "window_id", "train_start", F.date_sub(at(train_months), embargo_days + 1).alias("train_end"), at(train_months).alias("valid_start"),
+        F.date_sub(at(train_months + valid_months), embargo_days + 1).alias("valid_end"), at(train_months + valid_months).alias("test_start"), F.date_sub(at(months), 1).alias("test_end"))
 
 
-def importance(model, names: list[str]) -> list[tuple[str, float]]:
-    """Features by importance."""
-    return sorted(zip(names, map(float, model.featureImportances.toArray()), strict=True), key=lambda x: (-x[1], x[0]))
+def walk_forward(data: DataFrame, windows: DataFrame, names: list[str], label: str, rounds: int = 10, depth: int = 4) -> DataFrame:
+    """Rows of every test span with window_id and the score of the boosted trees of their own window; ``boosting`` says how these grow."""
+    walk = boosting.walk_forward(data, windows, names, label, boosting.Settings(rounds=rounds, depth=depth))
+    return data.join(walk.scores.select("trade_date", "symbol", "window_id", "score"), ["trade_date", "symbol"])
 
 
 def rank_ic_by_date(scores: DataFrame, label: str) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.factors import REGISTRY
+from tessera.operators import boosting as B
 from tessera.operators import evaluation as E
 from tessera.operators import ml as M
 from tessera.operators import portfolio as P
@@ -186,11 +188,25 @@ def ml_windows(spark, sf_dir):
     return _round(M.calendar_windows(bars(spark, sf_dir)))
 
 
-def ml_walk_forward(spark, sf_dir):
-    """A model for each calendar window, its test span scored, rank IC by date; a model has no SQL."""
+def ml_feature_matrix(spark, sf_dir):
+    """All factors of the registry, standardised by date, with labels; factors are rounded before."""
+    m = M.factor_matrix(bars(spark, sf_dir), digits=8)
+    return m.select("trade_date", "symbol", *((F.round(c, 4) + 0.0).alias(c) for c in ("fwd_5d", "fwd_10d", *REGISTRY)))
+
+
+def _walk(spark, sf_dir):
     b = bars(spark, sf_dir)
-    scored = M.walk_forward(M.dataset(b, NAMES).cache(), M.calendar_windows(b), NAMES, "fwd_5d", rounds=4, depth=3)
-    return M.rank_ic_by_date(scored, "fwd_5d")
+    return B.walk_forward(M.dataset(b, NAMES), M.calendar_windows(b), NAMES, "fwd_5d", B.Settings(rounds=4, depth=3))
+
+
+def ml_walk_forward(spark, sf_dir):
+    """Boosted trees for each calendar window, its test span scored, rank IC by date; a model has no SQL."""
+    return M.rank_ic_by_date(_walk(spark, sf_dir).scores.withColumnRenamed("label", "fwd_5d"), "fwd_5d")
+
+
+def ml_importance(spark, sf_dir):
+    """Share of the gain that each feature brought, over all windows."""
+    return spark.createDataFrame(_walk(spark, sf_dir).importance(), "feature string, share double")
 
 
 def ml_rank_ic(spark, sf_dir):
@@ -211,7 +227,7 @@ def ml_score_rank(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     regime_metrics, market_breadth, positions, portfolio_state, portfolio_diagnostics, trade_plan, portfolio_review, weight_validation, prediction_weights, advisory_outcomes,
-    advisory_expiry, run_ranking, run_eligibility, variant_comparison, strategy_candidates, snapshot_matches, window_metric_means, variant_winner, traded_by_one, ml_dataset, ml_windows, ml_walk_forward, ml_rank_ic, ml_score_rank)}
+    advisory_expiry, run_ranking, run_eligibility, variant_comparison, strategy_candidates, snapshot_matches, window_metric_means, variant_winner, traded_by_one, ml_dataset, ml_feature_matrix, ml_windows, ml_walk_forward, ml_importance, ml_rank_ic, ml_score_rank)}
 
 _W = "(ORDER BY trade_date ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
 _w = lambda n: _W.format(n - 1)
@@ -302,6 +318,13 @@ SELECT run_id, CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN 'not_eligible_pit_d
     "variant_comparison": f"""WITH {_RUNS}, l AS (UNPIVOT (SELECT run_id, annual_return, sharpe, max_drawdown FROM r) ON annual_return, sharpe, max_drawdown INTO NAME metric VALUE v)
 SELECT metric, round(max(v) FILTER (run_id = 'Customer#000000003'), 6) + 0.0 AS base, round(max(v) FILTER (run_id = 'Customer#000000008'), 6) + 0.0 AS other,
 round(max(v) FILTER (run_id = 'Customer#000000008') - max(v) FILTER (run_id = 'Customer#000000003'), 6) + 0.0 AS delta FROM l GROUP BY 1""",
+    "ml_feature_matrix": f"""WITH {SQL_BASE}, p AS (SELECT symbol, trade_date, lead(close, 6) OVER w / nullif(lead(close, 1) OVER w, 0) - 1 AS fwd_5d, lead(close, 11) OVER w / nullif(lead(close, 1) OVER w, 0) - 1 AS fwd_10d,
+  {', '.join(f'round({FACTOR_SQL[n]}, 8) * {f.direction} AS {n}' for n, f in REGISTRY.items())} FROM b3 {SQL_WINDOWS}),
+me AS (SELECT trade_date, {', '.join(f'median({n}) AS m_{n}' for n in REGISTRY)} FROM p GROUP BY 1),
+de AS (SELECT trade_date, {', '.join(f'median(abs({n} - m_{n})) AS d_{n}' for n in REGISTRY)} FROM p JOIN me USING (trade_date) GROUP BY 1)
+SELECT trade_date, symbol, round(fwd_5d, 4) + 0.0 AS fwd_5d, round(fwd_10d, 4) + 0.0 AS fwd_10d,
+  {', '.join(f'round(CASE WHEN d_{n} = 0 THEN {n} - m_{n} WHEN {n} IS NOT NULL THEN (greatest(m_{n} - d_{n} * 1.4826 * 3, least(m_{n} + d_{n} * 1.4826 * 3, {n})) - m_{n}) / (d_{n} * 1.4826) END, 4) + 0.0 AS {n}' for n in REGISTRY)}
+FROM p JOIN me USING (trade_date) JOIN de USING (trade_date)""",
     "ml_dataset": f"""WITH {SQL_BASE}, m0 AS (SELECT symbol, trade_date, {', '.join(f'{FACTOR_SQL[n]} AS {n}' for n in NAMES)}, lead(close, 6) OVER w / nullif(lead(close, 1) OVER w, 0) - 1 AS fwd_5d FROM b3 {SQL_WINDOWS}),
 {_mad('m0', NAMES[0], 'm1x')}, {_mad('m1x', NAMES[1], 'm2x')}, {_mad('m2x', NAMES[2], 'm3x')}
 SELECT trade_date, symbol, round(-z_volatility_20d, 6) + 0.0 AS volatility_20d, round(z_momentum_20d, 6) + 0.0 AS momentum_20d, round(z_amount_stability_20d, 6) + 0.0 AS amount_stability_20d, round(fwd_5d, 6) + 0.0 AS fwd_5d FROM m3x
