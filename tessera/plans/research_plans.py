@@ -8,13 +8,16 @@ from tessera.functions.factors import REGISTRY
 from tessera.operators import boosting as B
 from tessera.operators import evaluation as E
 from tessera.operators import ml as M
+from tessera.operators import paper
 from tessera.operators import portfolio as P
 from tessera.operators import regime as G
 from tessera.operators.grid import dense_grid
 from tessera.plans.evaluation_plans import _mad, _round
 from tessera.plans.factor_plans import FACTOR_SQL, SQL_BASE, SQL_GRID, SQL_WINDOWS
 from tessera.plans.strategy_plans import ALL, _ranks, _weights, _weights_sql
-from tessera.sources.tables import SQL_BARS, SQL_INDEX, bars, index_bars, load
+from tessera.session import Folder
+from tessera.sources.manifest import GuardedTables
+from tessera.sources.tables import SQL_BARS, SQL_INDEX, SQL_STOCKS, bars, index_bars, load, stocks
 
 AS_OF = "1999-06-28"
 NAMES = ["volatility_20d", "momentum_20d", "amount_stability_20d"]
@@ -154,6 +157,49 @@ def snapshot_matches(spark, sf_dir):
     return P.snapshot_matches(advice, validations, runs, provenance)
 
 
+def promotion_eligibility(spark, sf_dir):
+    """Reasons against promoting each advice: one a validation, some unreviewed, without evidence, or with windows that are few, late, or overlap."""
+    validations, runs, provenance = _validated(spark, sf_dir)
+    v, day = F.col("validation_id"), F.coalesce("as_of_date", F.lit("1999-01-01").cast("date"))
+    advice = validations.select(
+        v.alias("advice_id"), F.when(v % 31 == 0, "other").otherwise(F.col("spec_strategy")).alias("strategy_name"), day.alias("as_of_date"), F.when(v % 4 == 0, "draft").otherwise("reviewed").alias("status"),
+        F.when(v % 9 != 0, day).alias("reviewed_at"), (v % 6 != 0).alias("has_evidence"), F.when(v % 10 == 0, F.lit(0)).when(v % 14 == 0, -v + 2_000_000_000).otherwise(v).alias("validation_id"),
+        F.col("run_id").alias("ev_run_id"), F.when(v % 29 == 0, "old").otherwise(F.col("fingerprint")).alias("ev_fingerprint"), day.alias("ev_as_of"))
+    number = F.explode(F.sequence(F.lit(1), (v % 5 + 1).cast("int"))).alias("k")
+    windows = validations.select("validation_id", day.alias("d"), number).where((F.col("validation_id") % 15 != 0)).select(
+        "validation_id", F.expr("d - cast(30 * k - 30 as int) - 29").alias("oos_start"), F.expr("d - cast(30 * k - 30 as int) + case when validation_id % 31 = 5 then 1 else 0 end - case when validation_id % 37 = 3 then 1 else 0 end").alias("oos_end"),
+        (F.col("validation_id") % 41 != 7).alias("has_result"))
+    expired = validations.select(v.alias("advice_id"), (v % 8 == 1).alias("expired"))
+    return paper.promotion_eligibility(advice, expired, validations, runs, provenance, windows)
+
+
+def _wanted(spark, sf_dir, day, step):
+    """Weights of securities that have a bar on a day."""
+    k = F.col("symbol").cast("int")
+    return bars(spark, sf_dir).where(F.col("trade_date") == day).where(k % step == 0).select("symbol", (F.lit(0.9) * (k % 7 + 1) / 8 / 40).alias("weight"))
+
+
+def portfolio_snapshot(spark, sf_dir):
+    """Positions and value after a snapshot, a promotion at a later day, and the same promotion again."""
+    p, b, s = paper.PaperPortfolio(spark, Folder(spark, "paper").path("p")), bars(spark, sf_dir), stocks(spark, sf_dir)
+    p.save("1997-01-27", 1000.0, _wanted(spark, sf_dir, "1997-01-27", 3).select("symbol", F.lit(100).alias("quantity")), s, b)
+    for _ in range(2):
+        p.promote(AS_OF, 50_000_000.0, _wanted(spark, sf_dir, AS_OF, 2), s, b)
+    held = p.positions().select(F.col("price_date").alias("as_of"), "symbol", "quantity", F.round("reference_price", 4).alias("price"))
+    return p.valuations().join(held, "as_of", "left").select("as_of", F.round("position_value", 1).alias("position_value"), F.round("equity", 1).alias("equity"), "symbol", "quantity", "price")
+
+
+def validation_cemetery(spark, sf_dir):
+    """What became of all validations that were stored in two overlapping deliveries: rejected ones lie in the cemetery, each once."""
+    v, runs, _ = _validated(spark, sf_dir)
+    k = F.col("validation_id")
+    rows = v.select("validation_id", "run_id", F.col("spec_strategy").alias("strategy_name"), "eligibility_status", F.array(F.when(k % 2 == 0, "too few windows"), F.when(k % 5 == 0, "stale")).alias("flags"), "fingerprint")
+    tables = GuardedTables(spark, Folder(spark, "validations").path("t"))
+    paper.save_validations(tables, rows.where(k % 3 != 1))
+    paper.save_validations(tables, rows.where(k % 3 != 2))
+    return tables.table("cemetery")
+
+
 def window_metric_means(spark, sf_dir):
     """Mean metrics over the windows (orders) of each validation (customer)."""
     v = F.col("o_orderkey")
@@ -227,7 +273,7 @@ def ml_score_rank(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     regime_metrics, market_breadth, positions, portfolio_state, portfolio_diagnostics, trade_plan, portfolio_review, weight_validation, prediction_weights, advisory_outcomes,
-    advisory_expiry, run_ranking, run_eligibility, variant_comparison, strategy_candidates, snapshot_matches, window_metric_means, variant_winner, traded_by_one, ml_dataset, ml_feature_matrix, ml_windows, ml_walk_forward, ml_importance, ml_rank_ic, ml_score_rank)}
+    advisory_expiry, run_ranking, run_eligibility, variant_comparison, strategy_candidates, snapshot_matches, promotion_eligibility, portfolio_snapshot, validation_cemetery, window_metric_means, variant_winner, traded_by_one, ml_dataset, ml_feature_matrix, ml_windows, ml_walk_forward, ml_importance, ml_rank_ic, ml_score_rank)}
 
 _W = "(ORDER BY trade_date ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
 _w = lambda n: _W.format(n - 1)
@@ -318,6 +364,25 @@ SELECT run_id, CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN 'not_eligible_pit_d
     "variant_comparison": f"""WITH {_RUNS}, l AS (UNPIVOT (SELECT run_id, annual_return, sharpe, max_drawdown FROM r) ON annual_return, sharpe, max_drawdown INTO NAME metric VALUE v)
 SELECT metric, round(max(v) FILTER (run_id = 'Customer#000000003'), 6) + 0.0 AS base, round(max(v) FILTER (run_id = 'Customer#000000008'), 6) + 0.0 AS other,
 round(max(v) FILTER (run_id = 'Customer#000000008') - max(v) FILTER (run_id = 'Customer#000000003'), 6) + 0.0 AS delta FROM l GROUP BY 1""",
+    "promotion_eligibility": """WITH r AS (SELECT c_custkey AS run_id, c_mktsegment AS seg, CASE WHEN c_custkey % 5 <> 0 THEN 'p' || c_custkey END AS p FROM customer),
+v AS (SELECT o_orderkey AS k, o_custkey AS run_id, seg, p, CASE WHEN o_orderkey % 13 = 0 THEN 'other' ELSE seg END AS spec, CASE WHEN o_orderkey % 23 <> 0 THEN CAST(o_orderdate AS DATE) ELSE DATE '1999-01-01' END AS d FROM orders JOIN r ON run_id = o_custkey),
+a AS (SELECT *, CASE WHEN k % 31 = 0 THEN 'other' ELSE spec END AS strategy, k % 6 <> 0 AS ev, CASE WHEN k % 10 = 0 THEN 0 WHEN k % 14 = 0 THEN 2000000000 - k ELSE k END AS vid FROM v),
+f AS (SELECT *, ev AND vid = k AS there, ev AND vid = k AND p IS NOT NULL AS src, CASE WHEN k % 15 = 0 THEN 0 ELSE k % 5 + 1 END AS n FROM a),
+g AS (SELECT *, src AND (n = 0 OR (k % 41 <> 7 AND NOT (n > 1 AND k % 31 = 5 AND k % 37 <> 3))) AS win FROM f),
+h AS (SELECT *, win AND n > 0 AND (CASE WHEN k % 31 = 5 THEN 1 ELSE 0 END - CASE WHEN k % 37 = 3 THEN 1 ELSE 0 END) <> 0 AS shifted,
+  strategy = seg AND spec = strategy AND k % 17 <> 0 AND k % 19 <> 0 AND k % 11 <> 0 AND k % 29 <> 0 AS same FROM g)
+SELECT k AS advice_id, len(rs) = 0 AS eligible, validation_id, oos_window_count, rs AS reasons FROM (SELECT k, CASE WHEN ev AND vid >= 1 THEN vid END AS validation_id, CAST(CASE WHEN win THEN n ELSE 0 END AS BIGINT) AS oos_window_count, list_filter([
+  CASE WHEN k % 4 = 0 OR k % 9 = 0 THEN '%(review)s' END, CASE WHEN k % 8 = 1 THEN '%(expired)s' END, CASE WHEN NOT ev THEN '%(no_evidence)s' END, CASE WHEN ev AND vid < 1 THEN '%(bad_id)s' END,
+  CASE WHEN ev AND vid >= 1 AND vid <> k THEN '%(gone)s' END, CASE WHEN there AND (k % 7 = 0 OR k % 3 = 0) THEN '%(not_eligible)s' END, CASE WHEN there AND NOT src THEN '%(no_source)s' END, CASE WHEN src AND NOT win THEN '%(bad_windows)s' END,
+  CASE WHEN win AND n < 3 THEN '%(few_windows)s' END, CASE WHEN shifted THEN '%(late_window)s' END, CASE WHEN win AND NOT same THEN '%(mismatch)s' END], lambda x: x IS NOT NULL) AS rs FROM h)""".replace(" % ", " %% ") % paper.REASONS,
+    "portfolio_snapshot": f"""WITH {SQL_BARS}, t AS (SELECT symbol, close, 0.9 * (CAST(symbol AS INT) % 7 + 1) / 8 / 40 AS w FROM bars WHERE trade_date = DATE '{AS_OF}' AND CAST(symbol AS INT) % 2 = 0),
+q AS (SELECT symbol, close, CAST(floor(50000000.0::DOUBLE * w / close / 100) * 100 AS BIGINT) AS quantity FROM t), h AS (SELECT * FROM q WHERE quantity > 0),
+o AS (SELECT round(sum(100 * close), 2) AS v FROM bars WHERE trade_date = DATE '1997-01-27' AND CAST(symbol AS INT) % 3 = 0), e AS (SELECT round(sum(quantity * close), 2) AS v, round(50000000 - sum(quantity * close), 2) AS c FROM h)
+SELECT DATE '1997-01-27' AS as_of, round(v, 1) AS position_value, round(v + 1000, 1) AS equity, NULL AS symbol, NULL AS quantity, NULL AS price FROM o
+UNION ALL SELECT DATE '{AS_OF}', round(v, 1), round(v + c, 1), symbol, quantity, round(close, 4) FROM e, h""",
+    "validation_cemetery": """WITH v AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 13 = 0 THEN 'other' ELSE c_mktsegment END AS s FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 = 0)
+SELECT 'strategy' AS research_type, s AS subject_name, CAST(k AS VARCHAR) AS source_ref, 'v' || k AS source_fingerprint,
+  coalesce(nullif(array_to_string(list_filter([CASE WHEN k % 2 = 0 THEN 'too few windows' END, CASE WHEN k % 5 = 0 THEN 'stale' END], lambda x: x IS NOT NULL), '; '), ''), 'watch') AS reason FROM v""",
     "ml_feature_matrix": f"""WITH {SQL_BASE}, p AS (SELECT symbol, trade_date, lead(close, 6) OVER w / nullif(lead(close, 1) OVER w, 0) - 1 AS fwd_5d, lead(close, 11) OVER w / nullif(lead(close, 1) OVER w, 0) - 1 AS fwd_10d,
   {', '.join(f'round({FACTOR_SQL[n]}, 8) * {f.direction} AS {n}' for n, f in REGISTRY.items())} FROM b3 {SQL_WINDOWS}),
 me AS (SELECT trade_date, {', '.join(f'median({n}) AS m_{n}' for n in REGISTRY)} FROM p GROUP BY 1),
