@@ -18,27 +18,34 @@ EXACT = 2**53
 
 
 def quantised(embedding: Column, factor: int = 256) -> Column:
-    """floor(factor * x) of each component as a long, or null where the vector takes no part.
+    """floor(factor * x) of each component as a whole double, or null where the vector takes no part.
 
-    Null vectors and those with null, NaN or infinite components take no part,
-    nor do those with a component outside the range of a long.
+    Null vectors and those with null, NaN or infinite components take no part.
+    A double of 2^52 or more is whole as it is, so no component is too large;
+    only one whose product with ``factor`` is beyond all doubles has no value.
     """
-    wide = F.transform(embedding, lambda x: F.floor(x.cast("double") * factor))
-    sound = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < 2.0**53))
-    return F.when(embedding.isNotNull() & sound, wide.cast("array<long>"))
+    def whole(x: Column) -> Column:
+        y = x.cast("double") * factor
+        return F.when(F.abs(y) < 2.0**52, F.floor(F.when(F.abs(y) < 2.0**52, y)).cast("double")).otherwise(y)
+
+    sound = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double") * factor) < F.lit(float("inf"))))
+    return F.when(embedding.isNotNull() & sound, F.transform(embedding, whole))
 
 
 def _matrix(rows) -> np.ndarray:
     rows = list(rows)
-    return np.array(rows, np.int64).reshape(len(rows), len(rows[0]) if rows else 0)
+    return np.array(rows, np.float64).reshape(len(rows), len(rows[0]) if rows else 0)
+
+
+_WHOLE = np.frompyfunc(int, 1, 1)
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row-wise integer inner products of (n, d) queries and (n, m, d) candidates."""
     top = (int(np.abs(a).max(initial=0)) + 1) * (int(np.abs(b).max(initial=0)) + 1) * max(1, a.shape[-1])
     if top < EXACT:
-        return np.einsum("nd,nmd->nm", a.astype(np.float64), b.astype(np.float64)).astype(np.int64)
-    exact = (a.astype(object)[:, None, :] * b.astype(object)).sum(-1)
+        return np.einsum("nd,nmd->nm", a, b).astype(np.int64)
+    exact = (_WHOLE(a)[:, None, :] * _WHOLE(b)).sum(-1)
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
@@ -76,6 +83,8 @@ class Block:
             np.maximum(low, np.abs(own[:, p, None] - table[None, :, p]), out=low)
         limit = ((q**2).sum(1)[:, None] + reach**2 - low**2) / 2
         limit += 1e-9 * (reach**2 + (q**2).sum(1)[:, None]) + 1e-6
+        # squares beyond all doubles bound nothing
+        limit[np.isnan(limit)] = np.inf
         order = np.argsort(-limit, axis=1)
         sorted_limit = np.take_along_axis(limit, order, 1)
         live = np.arange(len(q))
@@ -145,7 +154,7 @@ def _search_length(spark: SparkSession, rows: DataFrame, scratch: Scratch, name:
             yield pd.DataFrame({"vec_id": pdf["vec_id"], "v": pdf["v"], "table": list(table)})
 
     candidates = scratch.write(
-        rows.select("vec_id", "v").mapInPandas(tabulate, "vec_id long, v array<long>, table array<double>"), f"{name}-table")
+        rows.select("vec_id", "v").mapInPandas(tabulate, "vec_id long, v array<double>, table array<double>"), f"{name}-table")
     queries = candidates.where(F.col("vec_id") % every == 0).select("vec_id", "v").dropDuplicates(["vec_id"])
     parts, held = [], []
 

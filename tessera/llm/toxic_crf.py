@@ -292,17 +292,11 @@ def tag_texts(crf: Crf, texts: list[str | None], cut: float = 0.5, memory: Remem
         fresh = np.zeros(size, bool)
         fresh[starts[lengths > 0]] = True
         prob = marginals(crf, _emissions(crf, held, fresh, memory), fresh)
-        worst = np.zeros(len(held))
-        if size:
-            worst[lengths > 0] = np.maximum.reduceat(prob, starts[lengths > 0])
         for d in np.flatnonzero(lengths):
-            if worst[d] < 0.01:
-                scores[first + d] = worst[d]
-                continue
             own = prob[starts[d] : starts[d] + lengths[d]]
-            top = np.sort(own)[-SUREST:]
+            top = np.partition(own, -SUREST)[-SUREST:] if len(own) > SUREST else own
             scores[first + d] = 1 - np.prod(1 - top)
-            if worst[d] > cut:
+            if top.max() > cut:
                 places = [m.span() for m in TOKEN.finditer(texts[first + d])]
                 spans[first + d] = [(*places[k], float(own[k])) for k in np.flatnonzero(own > cut)]
         held, first, size = [], i + 1, 0

@@ -47,6 +47,31 @@ def test_large_components_stay_exact(spark, scratch):
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+def test_components_of_any_finite_size_take_part(spark, scratch):
+    rows = [(0, [1.0, 2.0], 0), (1, [1e17, 0.0], 0), (2, [-1e17, 3.0], 0), (3, [2.0**45 + 0.0078125, 1.0], 0), (4, [3e38, -3e38], 0), (50, [1e30, 1e30], 0), (51, [0.5, 0.25], 0), (100, [2.0, -1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
+    got = sorted(map(tuple, pivot_search.search(df, scratch).collect()))
+    clamp = lambda s: max(-(2**63), min(2**63 - 1, s))
+    ok = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in rows]
+    want = []
+    for q, v in [r for r in ok if r[0] % 50 == 0]:
+        best = sorted((-clamp(sum(a * b for a, b in zip(v, w))), i) for i, w in ok if i != q)[:5]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+    assert any(r[0] == 0 and r[2] == 1 for r in got)
+
+
+def test_clashing_columns_and_the_query(spark, tmp_path):
+    from tessera.llm import queries
+
+    rows = [(i, [float(i % 7), 1.0], i) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int").selectExpr("*", "1 as score", "2 as query_id", "3 as v", "4 as dim", "5 as norm2")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.op1_pivot_search(spark, str(tmp_path))
+    assert got.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint")]
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
 def test_bounds_eliminate():
     import numpy as np
 
