@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +58,9 @@ RULES = [
     ("SIDEWAYS", "true", "1.0 - (abs(t - 0.5) * 2 + abs(b - 0.5) + abs(v - 0.4)) / 3", 0.30, 0.75),
 ]
 LEAST_ROWS, FULL_ROWS = 20, 120
+# What each rule is called, in the order of RULES.
+RULE_REASONS = (
+    "恐慌信号：高波动+大幅回撤+弱势趋势", "极端回撤触发恐慌判定", "亢奋信号：强趋势+高波动+低回撤", "牛市信号：趋势向好+广度支撑", "均线多头排列", "熊市信号：弱势趋势+低广度", "回撤确认熊市", "趋势极度弱势", "震荡整理：各指标未形成明确方向")
 
 
 def classify(metrics: DataFrame) -> DataFrame:
@@ -80,6 +85,23 @@ def classify(metrics: DataFrame) -> DataFrame:
     return rows.drop("t", "b", "v", "d")
 
 
+def reasons(classified: DataFrame) -> DataFrame:
+    """The rows of ``classify`` with ``reasons``: what the averages, the high, the drawdown and the volatility say, then the rule that held; below 20 rows that alone."""
+    t = {"t": "trend_score", "b": "breadth_score", "v": "volatility_score", "d": "drawdown"}
+    rule = None
+    for (_, test, _, _, _), name in zip(RULES, RULE_REASONS, strict=True):
+        held = F.expr(re.sub(r"\b([tbvd])\b", lambda m: t[m[1]], test))
+        rule = F.when(held, name) if rule is None else rule.when(held, name)
+    ma20, ma60, c = F.col("ma20"), F.col("ma60"), F.col("close")
+    cross = F.when(ma20 > ma60, F.format_string("MA20(%.2f) > MA60(%.2f) — golden cross zone", ma20, ma60)).when(ma20 <= ma60, F.format_string("MA20(%.2f) < MA60(%.2f) — death cross zone", ma20, ma60))
+    high = F.max("close").over(trailing(20))
+    away = F.when(high > 0, (c - high) / high * 100).otherwise(0.0)
+    told = F.array_compact(F.array(
+        cross, F.when(F.col("rn") >= 20, F.format_string("距20日高点 %+.1f%%", away)), F.when(F.col("drawdown") > 0.05, F.format_string("%.1f%% 从120日高点回撤", F.col("drawdown") * 100)),
+        F.when(F.col("volatility_score") > 0.6, F.format_string("高波动率 (%.2f)", "volatility_score")), rule))
+    return classified.withColumn("reasons", F.when(F.col("rn") >= LEAST_ROWS, told).otherwise(F.array(F.format_string(f"Only %d bars (< {LEAST_ROWS}); insufficient for regime classification.", "rn"))))
+
+
 def market_breadth(bars: DataFrame) -> DataFrame:
     """Per date: mean over securities with 60 own rows of (close > ma20 + close > ma60) / 2."""
     rows = bars.withColumns({"rn": F.row_number().over(by_symbol()), "ma20": F.avg("close").over(trailing(20)), "ma60": F.avg("close").over(trailing(60))}).where("rn >= 60")

@@ -206,3 +206,40 @@ def bar_violations(raw: DataFrame) -> DataFrame:
     contradiction = (F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close", "high"))
     rule = F.when(missing, "missing_value").when(bad_price, "price_not_positive").when(contradiction | (F.col("volume") < 0), "contradiction")
     return raw.withColumn("rule", rule).where(F.col("rule").isNotNull())
+
+
+# Columns that bars must have, in the order in which they are looked at.
+REQUIRED = ("trade_date", "open", "high", "low", "close", "volume", "amount")
+PRICES = ("open", "high", "low", "close")
+
+
+def bar_errors(raw: DataFrame, label: str = "") -> DataFrame:
+    """symbol, kind, column, row_indices, message: the error that the bars of each security raise; sound ones give no row.
+
+    Kinds in their order: missing_column (of the whole table), nan_value,
+    invalid_price, ohlc_contradiction; of a kind, the first column counts. Row
+    indices are places in the security's bars by date, from 0; a contradiction
+    names both its parts. Zero volume is allowed. The places are gathered per
+    security, at most as many as it has bars.
+    """
+    absent = [c for c in REQUIRED if c not in raw.columns]
+    if absent:
+        text = f"{label}: missing columns: {', '.join(absent)}"
+        return raw.select("symbol").distinct().select("symbol", F.lit("missing_column").alias("kind"), F.lit(",".join(absent)).alias("column"), F.array().cast("array<int>").alias("row_indices"), F.lit(text).alias("message"))
+    order = Window.partitionBy("symbol").orderBy(F.asc_nulls_last("trade_date"))
+    rows = raw.withColumn("_at", F.row_number().over(order) - 1)
+    tests: list[tuple[str, str, Column]] = [("nan_value", c, F.col(c).isNull() | (F.isnan(c) if c != "trade_date" else F.lit(False))) for c in REQUIRED]
+    tests += [("invalid_price", c, F.col(c) <= 0) for c in PRICES]
+    tests += [("ohlc_contradiction", "high", F.col("high") < F.greatest("open", "close", "low")), ("ohlc_contradiction", "low", F.col("low") > F.least("open", "close", "high"))]
+    places = [F.sort_array(F.collect_list(F.when(F.coalesce(test, F.lit(False)), F.col("_at")))).alias(f"_{k}") for k, (_, _, test) in enumerate(tests)]
+    found = rows.groupBy("symbol").agg(*places)
+    shown = lambda k: F.concat(F.lit("["), F.array_join(F.col(f"_{k}").cast("array<string>"), ", "), F.lit("]"))
+    high, low = len(tests) - 2, len(tests) - 1
+    parts = F.array_compact(F.array(
+        F.when(F.size(f"_{high}") > 0, F.concat(F.lit("high < max(open, close, low) at row indices "), shown(high))), F.when(F.size(f"_{low}") > 0, F.concat(F.lit("low > min(open, close, high) at row indices "), shown(low)))))
+    error = None
+    for k, (kind, column, _) in enumerate(tests[:high]):
+        what = F.struct(F.lit(kind).alias("kind"), F.lit(column).alias("column"), F.col(f"_{k}").alias("row_indices"), F.concat(F.lit(f"{label}: {kind} in {column} at row indices "), shown(k)).alias("message"))
+        error = F.when(F.size(f"_{k}") > 0, what) if error is None else error.when(F.size(f"_{k}") > 0, what)
+    both = F.struct(F.lit("ohlc_contradiction").alias("kind"), F.lit("high,low").alias("column"), F.array_distinct(F.concat(f"_{high}", f"_{low}")).alias("row_indices"), F.concat(F.lit(f"{label}: "), F.array_join(parts, "; ")).alias("message"))
+    return found.withColumn("e", error.when(F.size(parts) > 0, both)).where("e is not null").select("symbol", "e.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import desk as D
 from tessera.operators import repository as R
 from tessera.sources.tables import SQL_BARS, SQL_INDEX, SQL_STOCKS, bars, index_bars, load, stocks
 
@@ -131,18 +132,64 @@ def amount_bands(spark, sf_dir):
     return mean.groupBy(R.amount_band(F.col("m")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def bar_validation(spark, sf_dir):
-    """Rows that break a rule, in bars damaged by a rule of their own."""
+def _damaged(spark, sf_dir):
     b = bars(spark, sf_dir)
     k = F.datediff("trade_date", F.lit("1995-01-02").cast("date")) / 14 + F.col("symbol").cast("int")
-    hurt = b.withColumns({"close": F.when(k % 11 == 0, F.lit(None)).when(k % 13 == 0, -F.col("close")).otherwise(F.col("close")), "high": F.when(k % 17 == 0, F.col("low") / 2).otherwise(F.col("high"))})
-    return R.bar_violations(hurt).select("symbol", "trade_date", "rule")
+    return b.withColumns({"close": F.when(k % 11 == 0, F.lit(None)).when(k % 13 == 0, -F.col("close")).otherwise(F.col("close")), "high": F.when(k % 17 == 0, F.col("low") / 2).otherwise(F.col("high"))})
+
+
+def bar_validation(spark, sf_dir):
+    """Rows that break a rule, in bars damaged by a rule of their own."""
+    return R.bar_violations(_damaged(spark, sf_dir)).select("symbol", "trade_date", "rule")
+
+
+def bar_errors(spark, sf_dir):
+    """The error that each security's bars raise: damage that some securities are spared."""
+    k = F.col("symbol").cast("int")
+    b, d = bars(spark, sf_dir), _damaged(spark, sf_dir)
+    mended = d.withColumn("close", F.when(F.col("close").isNull() | (k % 4 == 1), F.col("open")).otherwise(F.col("close"))).where(k % 3 != 0)
+    return R.bar_errors(b.where(k % 6 == 0).unionByName(d.where(k % 6 == 3)).unionByName(mended), "feed")
+
+
+def _calendar(spark, sf_dir):
+    """Every day of the orders as a calendar; weekends are closed."""
+    days = load(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("trade_date")).distinct()
+    return days.withColumn("is_open", ~F.dayofweek("trade_date").isin(1, 7))
+
+
+def trading_dates(spark, sf_dir):
+    """Open days of two years, after some days were stated anew."""
+    c = _calendar(spark, sf_dir)
+    fresh = c.where(F.dayofmonth("trade_date") == 15).withColumn("is_open", F.month("trade_date") % 2 == 0)
+    return D.trading_dates(D.upsert_calendar(c, fresh.unionByName(fresh)), "1996-01-01", "1997-12-31")
+
+
+def sync_exits(spark, sf_dir):
+    """What each month's batch of the job log leads to, and whether a watcher stops."""
+    log = jobs(spark, sf_dir).groupBy(F.trunc("created_at", "month").alias("batch")).agg(
+        F.count_if(F.col("status") != "failed").alias("processed"), F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "failed").alias("remaining"), F.max("job_id").alias("last"))
+    k = F.month("batch")
+    told = log.withColumns({"processed": F.when(k % 3 == 0, 0).otherwise(F.col("processed")), "remaining": F.when(k == 7, 0).otherwise(F.col("remaining"))})
+    reason = D.exit_reason(F.col("remaining"), F.col("total") == 0, (F.col("processed") == 0) & (k % 2 == 0), F.col("processed"))
+    return told.withColumn("reason", reason).withColumn("s", D.stop_watching(F.col("reason"), F.col("remaining"), F.col("last") % 3)).select("batch", "reason", "s.stop", "s.why")
+
+
+def latest_jobs(spark, sf_dir):
+    """The newest jobs of one target."""
+    return D.latest(jobs(spark, sf_dir), {"target": "000007"}, "created_at", "job_id", 20)
+
+
+def news_sync_symbols(spark, sf_dir):
+    """Securities whose news is synced: the research pool, or all covered ones where it is empty, as it is with a limit that none meets."""
+    pool = R.select_research_symbols(stocks(spark, sf_dir), bars(spark, sf_dir), bars(spark, sf_dir).select("trade_date").distinct(), START, END, least=15, share=2.0)
+    covered = R.covered_symbols(stocks(spark, sf_dir), bars(spark, sf_dir), START, END)
+    return D.snapshot_universe("market", None, D.first_that_has_rows(pool.where("n_bars > 100000").select("symbol"), covered.select("symbol")))
 
 
 QUERIES = {f.__name__: f for f in (
     bars_scan, index_scan, stock_search, symbol_normalizer, symbol_resolver, bar_counts, coverage, market_overview, covered_symbols, sync_progress,
     full_market_progress, next_incomplete_symbols, consecutive_failures, data_quality, data_quality_totals, research_symbols, pool_diagnostics,
-    active_symbols, risk_name_filter, amount_bands, bar_validation)}
+    active_symbols, risk_name_filter, amount_bands, bar_validation, bar_errors, trading_dates, sync_exits, latest_jobs, news_sync_symbols)}
 
 _RANGE = f"trade_date BETWEEN DATE '{START}' AND DATE '{END}'"
 _OK = "status = 'active' AND exchange IN ('SH', 'SZ')"
@@ -197,8 +244,25 @@ SELECT count(*) AS eligible, min(lo) AS first_date, max(hi) AS last_date, CAST(s
     "risk_name_filter": f"WITH {SQL_STOCKS} SELECT symbol, name FROM stocks WHERE {_OK} AND {_NAME}",
     "amount_bands": f"""WITH {SQL_BARS}, m AS (SELECT symbol, avg(amount) * 10 * pow(4.0, CAST(symbol AS INT) % 5 - 2) AS m FROM bars GROUP BY 1)
 SELECT CASE WHEN m < 100000 THEN 'under_100k_cny' WHEN m < 500000 THEN '100k_to_500k_cny' WHEN m < 1000000 THEN '500k_to_1m_cny' WHEN m < 5000000 THEN '1m_to_5m_cny' ELSE 'over_5m_cny' END AS band, count(*) AS n FROM m GROUP BY 1""",
+    "bar_errors": f"""WITH {SQL_BARS}, k AS (SELECT *, date_diff('day', DATE '1995-01-02', trade_date) / 14 + CAST(symbol AS INT) AS k, CAST(symbol AS INT) AS s FROM bars),
+h AS (SELECT symbol, s, trade_date, open, low, CASE WHEN s % 6 = 0 THEN close WHEN k % 11 = 0 THEN CASE WHEN s % 3 <> 0 THEN open END WHEN s % 3 <> 0 AND s % 4 = 1 THEN open WHEN k % 13 = 0 THEN -close ELSE close END AS close,
+  CASE WHEN s % 6 <> 0 AND k % 17 = 0 THEN low / 2 ELSE high END AS high, CAST(row_number() OVER (PARTITION BY symbol ORDER BY trade_date) - 1 AS INT) AS i FROM k),
+e AS (SELECT symbol, list(i ORDER BY i) FILTER (close IS NULL) AS n, list(i ORDER BY i) FILTER (high <= 0) AS hp, list(i ORDER BY i) FILTER (close <= 0) AS cp, list(i ORDER BY i) FILTER (high < greatest(open, close, low)) AS hi, list(i ORDER BY i) FILTER (low > least(open, close, high)) AS lo FROM h GROUP BY 1),
+t AS (SELECT *, '[' || array_to_string(n, ', ') || ']' AS ns, '[' || array_to_string(cp, ', ') || ']' AS cs, 'high < max(open, close, low) at row indices [' || array_to_string(hi, ', ') || ']' AS his, 'low > min(open, close, high) at row indices [' || array_to_string(lo, ', ') || ']' AS los FROM e)
+SELECT symbol, CASE WHEN n IS NOT NULL THEN 'nan_value' WHEN cp IS NOT NULL THEN 'invalid_price' ELSE 'ohlc_contradiction' END AS kind, CASE WHEN n IS NOT NULL OR cp IS NOT NULL THEN 'close' ELSE 'high,low' END AS "column",
+  CASE WHEN n IS NOT NULL THEN n WHEN cp IS NOT NULL THEN cp ELSE list_concat(coalesce(hi, []), list_filter(coalesce(lo, []), lambda x: NOT list_contains(coalesce(hi, []), x))) END AS row_indices,
+  CASE WHEN n IS NOT NULL THEN 'feed: nan_value in close at row indices ' || ns WHEN cp IS NOT NULL THEN 'feed: invalid_price in close at row indices ' || cs ELSE 'feed: ' || concat_ws('; ', his, los) END AS message
+FROM t WHERE coalesce(n, cp, hi, lo) IS NOT NULL""",
+    "trading_dates": """WITH c AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) SELECT d AS trade_date FROM c WHERE d BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' AND CASE WHEN day(d) = 15 THEN month(d) % 2 = 0 ELSE dayofweek(d) NOT IN (0, 6) END""",
+    "sync_exits": f"""WITH {_JOBS}, b AS (SELECT CAST(date_trunc('month', created_at) AS DATE) AS batch, count(*) FILTER (status <> 'failed') AS p, count(*) AS total, count(*) FILTER (status = 'failed') AS r, max(job_id) AS last FROM jobs GROUP BY 1),
+t AS (SELECT batch, CASE WHEN month(batch) % 3 = 0 THEN 0 ELSE p END AS p, total, CASE WHEN month(batch) = 7 THEN 0 ELSE r END AS r, last FROM b),
+x AS (SELECT *, CASE WHEN r = 0 OR total = 0 THEN 'completed' WHEN p = 0 AND month(batch) % 2 = 0 THEN 'blocked' WHEN p = 0 THEN 'idle' ELSE 'continue' END AS reason FROM t)
+SELECT batch, reason, reason = 'completed' OR r = 0 OR (last % 3 = 0 AND reason <> 'continue') AS stop, CASE WHEN r = 0 THEN 'completed' ELSE reason END AS why FROM x""",
+    "latest_jobs": f"WITH {_JOBS} SELECT * FROM jobs WHERE target = '000007' ORDER BY created_at DESC, job_id DESC LIMIT 20",
     "bar_validation": f"""WITH {SQL_BARS}, k AS (SELECT *, date_diff('day', DATE '1995-01-02', trade_date) / 14 + CAST(symbol AS INT) AS k FROM bars),
 h AS (SELECT symbol, trade_date, open, low, volume, amount, CASE WHEN k % 11 = 0 THEN NULL WHEN k % 13 = 0 THEN -close ELSE close END AS close, CASE WHEN k % 17 = 0 THEN low / 2 ELSE high END AS high FROM k),
 r AS (SELECT symbol, trade_date, CASE WHEN close IS NULL THEN 'missing_value' WHEN least(open, high, low, close) <= 0 THEN 'price_not_positive'
   WHEN high < greatest(open, close, low) OR low > least(open, close, high) THEN 'contradiction' END AS rule FROM h) SELECT * FROM r WHERE rule IS NOT NULL""",
 }
+# the pool of that query is empty by its limit, so the fallback answers
+ORACLE["news_sync_symbols"] = f"SELECT symbol, true AS degraded, '{D.SNAPSHOT_WARNING}' AS warning FROM ({ORACLE['covered_symbols']})"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions.factors import REGISTRY
 from tessera.operators import boosting as B
+from tessera.operators import desk as D
 from tessera.operators import evaluation as E
 from tessera.operators import ml as M
 from tessera.operators import paper
@@ -29,6 +31,47 @@ def regime_metrics(spark, sf_dir):
     return _round(out.select("trade_date", "regime", "confidence", "trend_score", "breadth_score", "volatility_score", "drawdown"), 4)
 
 
+def regime_reasons(spark, sf_dir):
+    """What is said for the regime of every index date."""
+    out = G.reasons(G.classify(G.index_metrics(index_bars(spark, sf_dir))))
+    return out.select("trade_date", "regime", F.array_join("reasons", " | ").alias("reasons"))
+
+
+def advice_critique(spark, sf_dir):
+    """Findings about every advice (an order): its evidence, its news, its weights (lines) and its validation."""
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    advice = load(spark, sf_dir, "orders").select(
+        k.alias("advice_id"), day.alias("as_of_date"), F.when(k % 12 == 0, "expired").otherwise("reviewed").alias("status"), F.when(k % 3 != 0, F.expr("cast(o_orderdate as date) + cast(o_orderkey % 9 as int) - 7")).alias("market_end"),
+        F.expr("cast(o_orderdate as date) - cast(o_orderkey % 5 as int) + 1").alias("factor_end"), (k % 4 - 2).alias("severe_count"), (k % 5 != 0).alias("has_validation"), (k % 7 != 0).alias("validation_matches"))
+    lines = load(spark, sf_dir, "lineitem")
+    news = lines.where(F.col("l_returnflag") == "R").select(F.col("l_orderkey").alias("advice_id"), F.col("l_shipdate").cast("date").alias("known_at"))
+    weights = lines.select(F.col("l_orderkey").alias("advice_id"), (F.col("l_quantity") / 150).alias("weight"))
+    out = D.critique(advice, news, weights)
+    shown = F.transform("findings", lambda f: F.concat_ws(":", f["severity"], f["code"], f["citation"]))
+    return out.select("advice_id", F.array_join(shown, "; ").alias("findings"), "approved_for_human_review")
+
+
+def weights_buffered(spark, sf_dir):
+    """Choices by score that keep what was held on the date before, up to a later rank."""
+    s = _scores(spark, sf_dir).select(F.col("trade_date").alias("decision_date"), "symbol", "score")
+    w = Window.partitionBy("decision_date").orderBy(F.desc("score"), "symbol")
+    ranks = s.withColumn("rank", F.row_number().over(w))
+    dates = ranks.select("decision_date").distinct()
+    after = dates.withColumn("next", F.lead("decision_date").over(Window.orderBy("decision_date")))
+    held = ranks.where("rank <= 12").join(F.broadcast(after), "decision_date").select(F.col("next").alias("decision_date"), "symbol").where("decision_date is not null")
+    return _round(D.buffered(ranks, held, 10, 2.5, 1.0, 0.09, 0.8))
+
+
+def weights_normalised(spark, sf_dir):
+    """Weights of every run over all symbols asked for or held."""
+    k = F.col("l_orderkey")
+    line = load(spark, sf_dir, "lineitem").select((k % 50).alias("run_id"), F.col("l_suppkey").cast("string").alias("symbol"), "l_linenumber", k.alias("k"))
+    line = line.groupBy("run_id", "symbol").agg(F.max("k").alias("k"))
+    k = F.col("k")
+    raw = line.where(k % 3 != 0).select("run_id", "symbol", F.when(k % 41 == 0, F.lit(None)).otherwise(k % 10 / 100.0).alias("weight"))
+    return D.normalised_weights(raw, line.where(k % 2 == 0), line.where(k % 5 == 0))
+
+
 def market_breadth(spark, sf_dir):
     """Breadth of every date."""
     return _round(G.market_breadth(bars(spark, sf_dir)))
@@ -272,7 +315,7 @@ def ml_score_rank(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    regime_metrics, market_breadth, positions, portfolio_state, portfolio_diagnostics, trade_plan, portfolio_review, weight_validation, prediction_weights, advisory_outcomes,
+    regime_metrics, regime_reasons, advice_critique, weights_buffered, weights_normalised, market_breadth, positions, portfolio_state, portfolio_diagnostics, trade_plan, portfolio_review, weight_validation, prediction_weights, advisory_outcomes,
     advisory_expiry, run_ranking, run_eligibility, variant_comparison, strategy_candidates, snapshot_matches, promotion_eligibility, portfolio_snapshot, validation_cemetery, window_metric_means, variant_winner, traded_by_one, ml_dataset, ml_feature_matrix, ml_windows, ml_walk_forward, ml_importance, ml_rank_ic, ml_score_rank)}
 
 _W = "(ORDER BY trade_date ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
@@ -317,6 +360,36 @@ c AS (SELECT *, CASE WHEN v >= 0.7 AND d >= 0.15 AND t <= 0.4 THEN ['PANIC', gre
 SELECT trade_date, CASE WHEN rn >= 20 THEN k[1] ELSE 'SIDEWAYS' END AS regime, CASE WHEN rn >= 20 THEN round(CAST(k[2] AS DOUBLE) * least(1, rn / 120.0::DOUBLE), 4) + 0.0 ELSE 0.0 END AS confidence,
   CASE WHEN rn >= 20 THEN round(t, 4) + 0.0 ELSE 0.5 END AS trend_score, CASE WHEN rn >= 20 THEN round(b, 4) + 0.0 ELSE 0.0 END AS breadth_score, CASE WHEN rn >= 20 THEN round(v, 4) + 0.0 ELSE 0.0 END AS volatility_score,
   CASE WHEN rn >= 20 THEN round(d, 4) + 0.0 ELSE 0.0 END AS drawdown FROM c""",
+    "regime_reasons": f"""WITH {SQL_INDEX}, a AS (SELECT trade_date, close, close / lag(close) OVER (ORDER BY trade_date) - 1 AS r, row_number() OVER (ORDER BY trade_date) AS rn,
+  avg(close) OVER {_w(20)} AS a20, avg(close) OVER {_w(60)} AS a60, avg(close) OVER {_w(120)} AS a120, max(close) OVER {_w(120)} AS hi, max(close) OVER {_w(20)} AS h20 FROM index_bars),
+m AS (SELECT *, CASE WHEN rn >= 20 THEN a20 END AS m20, CASE WHEN rn >= 60 THEN a60 END AS m60, CASE WHEN rn >= 120 THEN a120 END AS m120 FROM a),
+s AS (SELECT *, CASE WHEN rn >= 40 THEN lag(m20, 20) OVER (ORDER BY trade_date) WHEN rn >= 21 THEN (SELECT m20 FROM m WHERE rn = 20) END AS base,
+  (SELECT avg(CASE WHEN x.m20 > x.m60 AND x.m60 > x.m120 THEN 1.0::DOUBLE ELSE 0 END) FROM m x WHERE x.rn BETWEEN m.rn - 19 AND m.rn) AS al,
+  (SELECT avg(CASE WHEN x.r > 0 THEN 1.0::DOUBLE ELSE 0 END) FROM m x WHERE x.rn BETWEEN m.rn - 18 AND m.rn) AS up, stddev_samp(r) OVER {_w(20)} AS sd FROM m),
+g AS (SELECT trade_date, rn, (coalesce(1 / (1 + exp(-(close / m20 - 1) / 0.05)), 0.5) + coalesce(1 / (1 + exp(-(m20 / m60 - 1) / 0.03)), 0.5) + coalesce(1 / (1 + exp(-(m60 / m120 - 1) / 0.03)), 0.5)
+    + coalesce(1 / (1 + exp(-(m20 / base - 1) / 0.03)), 0.5)) / 4 AS t, 0.6 * al + 0.4 * up AS b, CASE WHEN sd > 0 THEN 1 / (1 + exp(-(sd * sqrt(252) - 0.35) / 0.12)) ELSE 0 END AS v,
+  CASE WHEN rn >= 120 THEN greatest(0, 1 - close / hi) ELSE 0 END AS d, close, m20, m60, h20 FROM s),
+c AS (SELECT *, CASE WHEN v >= 0.7 AND d >= 0.15 AND t <= 0.4 THEN ['PANIC', greatest(0.6, least(0.95, 0.6 + 0.4 * ((v - 0.7) / 0.3 + (d - 0.15) / 0.5) / 2))::VARCHAR]
+  WHEN d >= 0.35 THEN ['PANIC', greatest(0.6, least(0.95, 0.6 + d))::VARCHAR] WHEN t >= 0.65 AND v >= 0.55 AND d <= 0.1 THEN ['EUPHORIA', greatest(0.55, least(0.9, 0.5 + 0.4 * t + 0.3 * v))::VARCHAR]
+  WHEN t >= 0.55 AND b >= 0.4 AND v <= 0.6 AND d <= 0.15 THEN ['BULL', greatest(0.5, least(0.9, 0.4 + 0.4 * t + 0.2 * b))::VARCHAR] WHEN t >= 0.5 AND b >= 0.6 THEN ['BULL', greatest(0.45, least(0.85, 0.4 + 0.4 * b + 0.2 * t))::VARCHAR]
+  WHEN t <= 0.35 AND b <= 0.3 THEN ['BEAR', greatest(0.5, least(0.9, 0.5 + 0.3 * (0.5 - t) + 0.2 * (0.5 - b) + 0.2 * d))::VARCHAR] WHEN d >= 0.2 AND t <= 0.4 THEN ['BEAR', greatest(0.5, least(0.85, 0.5 + 0.3 * d + 0.2 * (0.5 - t)))::VARCHAR]
+  WHEN t <= 0.25 THEN ['BEAR', greatest(0.55, least(0.9, 0.6 + 0.4 * (0.5 - t)))::VARCHAR] ELSE ['SIDEWAYS', greatest(0.3, least(0.75, 1 - (abs(t - 0.5) * 2 + abs(b - 0.5) + abs(v - 0.4)) / 3))::VARCHAR] END AS k FROM g),
+z AS (SELECT *, CASE WHEN v >= 0.7 AND d >= 0.15 AND t <= 0.4 THEN 1 WHEN d >= 0.35 THEN 2 WHEN t >= 0.65 AND v >= 0.55 AND d <= 0.1 THEN 3 WHEN t >= 0.55 AND b >= 0.4 AND v <= 0.6 AND d <= 0.15 THEN 4 WHEN t >= 0.5 AND b >= 0.6 THEN 5
+  WHEN t <= 0.35 AND b <= 0.3 THEN 6 WHEN d >= 0.2 AND t <= 0.4 THEN 7 WHEN t <= 0.25 THEN 8 ELSE 9 END AS rule FROM c)
+SELECT trade_date, CASE WHEN rn >= 20 THEN k[1] ELSE 'SIDEWAYS' END AS regime, CASE WHEN rn >= 20 THEN concat_ws(' | ', CASE WHEN m20 > m60 THEN printf('MA20(%.2f) > MA60(%.2f) — golden cross zone', m20, m60) WHEN m20 <= m60 THEN printf('MA20(%.2f) < MA60(%.2f) — death cross zone', m20, m60) END,
+  printf('距20日高点 %+.1f%%', (close - h20) / h20 * 100), CASE WHEN d > 0.05 THEN printf('%.1f%% 从120日高点回撤', d * 100) END, CASE WHEN v > 0.6 THEN printf('高波动率 (%.2f)', v) END, ([{', '.join(f"'{x}'" for x in G.RULE_REASONS)}])[rule]) ELSE 'Only ' || rn || ' bars (< 20); insufficient for regime classification.' END AS reasons FROM z""",
+    "advice_critique": """WITH a AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders), n AS (SELECT k, min(CAST(l_shipdate AS DATE)) AS late FROM lineitem JOIN a ON k = l_orderkey WHERE l_returnflag = 'R' AND CAST(l_shipdate AS DATE) > d GROUP BY 1),
+w AS (SELECT l_orderkey AS k, max(l_quantity / 150) AS most FROM lineitem GROUP BY 1), j AS (SELECT a.*, late, most, CASE WHEN k % 3 <> 0 THEN d + CAST(k % 9 AS INT) - 7 END AS m, d - CAST(k % 5 AS INT) + 1 AS f FROM a LEFT JOIN n USING (k) LEFT JOIN w USING (k)),
+l AS (SELECT k, list_filter([CASE WHEN m > d THEN 'blocker:future_market_evidence:' || m END, CASE WHEN f > d THEN 'blocker:future_factor_evidence:' || f END, CASE WHEN late IS NOT NULL THEN 'blocker:future_news_evidence:' || late END,
+  CASE WHEN k % 4 - 2 > 0 THEN 'warning:severe_company_news:persisted news evidence' END, CASE WHEN most > 0.3 THEN 'warning:concentrated_target:risk-gated target weights' END, CASE WHEN k % 5 = 0 THEN 'warning:missing_oos_validation:advisory evidence snapshot' END,
+  CASE WHEN k % 5 <> 0 AND k % 7 = 0 THEN 'blocker:invalid_oos_validation:advisory evidence snapshot' END, CASE WHEN k % 12 = 0 THEN 'blocker:expired_draft:' || d END], lambda x: x IS NOT NULL) AS l FROM j)
+SELECT k AS advice_id, array_to_string(l, '; ') AS findings, len(list_filter(l, lambda x: starts_with(x, 'blocker'))) = 0 AS approved_for_human_review FROM l""",
+    "weights_buffered": f"""WITH {SQL_BARS}, {_SCORE}, r AS (SELECT trade_date AS d, symbol, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, symbol) AS rank FROM s),
+nx AS (SELECT d, lead(d) OVER (ORDER BY d) AS nd FROM (SELECT DISTINCT d FROM r)), h AS (SELECT nd AS d, symbol FROM r JOIN nx USING (d) WHERE rank <= 12 AND nd IS NOT NULL),
+o AS (SELECT r.*, h.symbol IS NOT NULL AND rank <= 25 AS own FROM r LEFT JOIN h ON h.d = r.d AND h.symbol = r.symbol), p AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY own DESC, rank) AS k FROM o WHERE own OR rank <= 10)
+SELECT d AS decision_date, symbol, round(least(0.09, 0.8 / count(*) OVER (PARTITION BY d)), 6) + 0.0 AS weight FROM p WHERE k <= 10""",
+    "weights_normalised": """WITH l AS (SELECT l_orderkey % 50 AS run_id, CAST(l_suppkey AS VARCHAR) AS symbol, max(l_orderkey) AS k FROM lineitem GROUP BY 1, 2)
+SELECT run_id, symbol, CASE WHEN k % 3 = 0 THEN 0.0 WHEN k % 41 <> 0 THEN k % 10 / 100.0 END::DOUBLE AS weight, CASE WHEN k % 3 <> 0 AND k % 41 = 0 THEN 'not_finite' END AS problem FROM l WHERE k % 2 = 0 OR k % 5 = 0""",
     "market_breadth": f"""WITH {SQL_BARS}, a AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS rn, avg(close) OVER (PARTITION BY symbol ORDER BY trade_date ROWS 19 PRECEDING) AS m20,
   avg(close) OVER (PARTITION BY symbol ORDER BY trade_date ROWS 59 PRECEDING) AS m60 FROM bars)
 SELECT trade_date, round(avg(((close > m20)::INT + (close > m60)::INT) / 2.0::DOUBLE), 6) + 0.0 AS breadth, count(*) AS n FROM a WHERE rn >= 60 GROUP BY 1""",
