@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -10,6 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import Folder
+
 #: The white space of every contract here: space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -22,16 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for written tables: ``spark.checkpoint.dir``.
-
-    A folder below the warehouse is taken only where the setting is absent, as
-    in local tests.
-    """
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return given or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-
-
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of at most so many rows for what is run inside: a bound on a Python worker's memory where rows hold whole texts."""
@@ -45,11 +36,11 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; each can be dropped once it has been used."""
+    """Tables written to the shared folder to cut lineage; each can be dropped once it has been used, the rest go with the application."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{shared_folder(spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
+        self.root = Folder(spark, "tessera").root
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write once, read back: later steps and retried tasks never go behind this table."""
