@@ -121,7 +121,7 @@ def spread_turnover(bucketed: DataFrame, groups: int, key: str) -> DataFrame:
     only needs its row before. Keys with one date have none (0).
     """
     dates = bucketed.select(key, "trade_date").distinct().withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy("trade_date")))
-    ends = bucketed.where(F.col("bucket").isin(1, groups)).join(F.broadcast(dates), [key, "trade_date"])
+    ends = bucketed.where(F.col("bucket").isin(1, groups)).join(dates, [key, "trade_date"])
     before = Window.partitionBy(key, "symbol").orderBy("_i")
     stays = (F.lag("_i").over(before) == F.col("_i") - 1) & (F.lag("bucket").over(before) == F.col("bucket"))
     sizes = ends.withColumn("_k", F.coalesce(stays, F.lit(False))).groupBy(key, "bucket", "_i").agg(F.count(F.lit(1)).alias("m"), F.count_if("_k").alias("k"))

@@ -171,7 +171,7 @@ def materialised(pool: DataFrame, pool_key: str, as_of: str) -> DataFrame:
 def replace_pool(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """The pool table after a new build: the (pool_key, as_of) that it holds are replaced whole."""
     built = fresh.select("pool_key", "as_of").distinct()
-    return stored.join(F.broadcast(built), ["pool_key", "as_of"], "left_anti").unionByName(fresh)
+    return stored.join(built, ["pool_key", "as_of"], "left_anti").unionByName(fresh)
 
 
 def pool_listing(stored: DataFrame, pool_key: str, as_of: str) -> DataFrame:

@@ -53,8 +53,8 @@ def upsert_stocks(spark, sf_dir):
 
 
 def append_once(spark, sf_dir):
-    """Jobs that are not logged yet, by fingerprint."""
-    j = jobs(spark, sf_dir).withColumn("fingerprint", F.sha2(F.concat_ws("|", "target", "status"), 256))
+    """Outcomes of a target in a year that are not logged yet, by fingerprint."""
+    j = jobs(spark, sf_dir).withColumn("fingerprint", F.sha2(F.concat_ws("|", "target", "status", F.year("created_at").cast("string")), 256))
     return sinks.append_once(j.where("job_id % 5 <> 0"), j.where("job_id % 5 = 0")).select("fingerprint")
 
 
@@ -140,5 +140,5 @@ SELECT r.scope, r.key, r.value, r.valid_from, d.as_of AS valid_to FROM r LEFT JO
 s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM m) SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS start, count(*) AS n FROM s GROUP BY user_id, sid""",
     "replace_bars": f"WITH {SQL_BARS} SELECT symbol, trade_date, CASE WHEN symbol IN ('000003', '000004') AND trade_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' THEN close * 2 ELSE close END AS close FROM bars",
     "upsert_stocks": f"WITH {SQL_STOCKS} SELECT symbol, name, exchange, list_date, CASE WHEN symbol >= '000050' THEN 'fresh' ELSE status END AS status FROM stocks",
-    "append_once": f"WITH {_JOBS}, f AS (SELECT job_id, sha256(target || '|' || status) AS fingerprint FROM jobs) SELECT DISTINCT fingerprint FROM f WHERE job_id % 5 = 0 AND fingerprint NOT IN (SELECT fingerprint FROM f WHERE job_id % 5 <> 0)",
+    "append_once": f"WITH {_JOBS}, f AS (SELECT job_id, sha256(target || '|' || status || '|' || year(created_at)) AS fingerprint FROM jobs) SELECT DISTINCT fingerprint FROM f WHERE job_id % 5 = 0 AND fingerprint NOT IN (SELECT fingerprint FROM f WHERE job_id % 5 <> 0)",
 }
