@@ -66,7 +66,8 @@ def factor_matrix(bars: DataFrame, names: list[str] | None = None, horizons: tup
     if digits is not None:
         oriented = [(F.round(n, digits) * REGISTRY[n].direction).alias(n) for n in names]
     folder = Folder(bars.sparkSession, "matrix")
-    panel.select("trade_date", "symbol", *labels, *oriented).write.parquet(folder.path("panel"))
+    # a file holds few dates, so a task of the passes over them keeps few groups
+    panel.select("trade_date", "symbol", *labels, *oriented).repartition("trade_date").write.parquet(folder.path("panel"))
     return standardised(bars.sparkSession.read.parquet(folder.path("panel")), names)
 
 
