@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .bpe_tables import PairTable, merge_all
+from .common import give_back
 from .units import Remembered, Units, array_sweeps, code_points, gathered
 
 SPACE = "▁"
@@ -196,27 +197,21 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def _coded(batches: Iterator[pa.Array], model_file: str, with_ids: bool) -> Iterator[pa.Array]:
-    """Structs for every Arrow batch of texts. Only one sweep of a batch is held as Python strings at a time."""
+    """Structs for the texts of every Arrow batch, given back sweep by sweep: neither strings nor ids of a whole batch are held."""
     own = codec(model_file)
     try:
         for batch in batches:
-            parts, sizes, first, second = [], [], [], []
             for texts in array_sweeps(batch, CODED):
                 rows = list(own.coded(texts))
-                sizes += [len(r[0]) for r in rows]
-                first += [r[1] for r in rows]
-                second += [r[2] for r in rows]
+                columns = [pa.array([len(r[0]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
+                names = ["n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    parts.append(_lists([r[0] for r in rows]))
-            columns = [pa.array(sizes, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())]
-            names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.insert(0, pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32())))
-                names.insert(0, "ids")
-            yield pa.StructArray.from_arrays(columns, names)
+                    columns.insert(0, _lists([r[0] for r in rows]))
+                    names.insert(0, "ids")
+                yield pa.StructArray.from_arrays(columns, names)
     finally:
         own.release()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def digest_column(text: Column, model_file: str) -> Column:

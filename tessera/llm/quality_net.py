@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: A chunk and the step to the next one, in bytes: neighbours overlap by CHUNK - HOP.
 CHUNK, HOP = 512, 448
 WIDTH, STEP, DEPTH, FILTERS = 8, 4, 8, 24
@@ -157,5 +159,6 @@ def score_column(net: Net, text: Column) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(score_texts(net, [t if isinstance(t, str) else None for t in texts]))
+        give_back()
 
     return score(text)

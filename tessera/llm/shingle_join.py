@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, batches_of
+from .common import BROADCAST_ROWS, Scratch, batches_of, give_back
 from .components import components
 from .shingles import overlap, set_digest, shingle_sets
 
@@ -113,6 +113,7 @@ def features(documents: DataFrame) -> DataFrame:
                 "doc_id": pdf["doc_id"].astype("Int64"), "n": np.array([s.shape[1] for s in sets], np.int64), "digest": [set_digest(s) for s in sets],
                 "keys": [prefix(s[0], hot.value).view(np.int64) for s in sets], "counts": [count_vector(s[0]) for s in sets],
             })
+        give_back()
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInPandas(describe, "doc_id long, n long, digest binary, keys array<long>, counts binary")
@@ -287,6 +288,7 @@ def _verified(pairs: DataFrame, documents: DataFrame, scratch: Scratch, name: st
                 both = overlap(sets[i], sets[j]) if names[i] == set_a and names[j] == set_b else 0
                 keep.append(both > 0 and DEN * both >= NUM * (sets[i].shape[1] + sets[j].shape[1] - both))
             yield pdf.loc[keep, ["a", "b"]]
+        give_back()
 
     with batches_of(documents.sparkSession, PAIR_BATCH):
         joined = left.join(right, "b").select("a", "b", "set_a", "set_b", "text_a", "text_b")

@@ -44,8 +44,13 @@ def _totals(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def _distinct(shingles: np.ndarray) -> np.ndarray:
-    first = np.unique(shingles[0], return_index=True)[1]
-    return shingles[:, first]
+    """The shingles once each, sorted; those that share their first half are told apart by their second."""
+    sort = shingles[:, np.argsort(shingles[0], kind="stable")]
+    same = sort[0, 1:] == sort[0, :-1]
+    if (sort[1, 1:][same] != sort[1, :-1][same]).any():
+        sort = shingles[:, np.lexsort((shingles[1], shingles[0]))]
+        same = (sort[:, 1:] == sort[:, :-1]).all(0)
+    return sort[:, np.r_[True, ~same]]
 
 
 def _sets(texts: list[str], units: Units) -> list[np.ndarray]:
@@ -94,5 +99,7 @@ def set_digest(shingles: np.ndarray) -> bytes:
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     """Number of shingles that two sets share, all 128 bits compared."""
+    if any((x[0, 1:] == x[0, :-1]).any() for x in (a, b)):
+        return len(set(zip(*a.tolist(), strict=True)) & set(zip(*b.tolist(), strict=True)))
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     return int((a[1][i] == b[1][j]).sum())

@@ -134,3 +134,15 @@ def test_components_of_paths_and_stars(spark, scratch):
     edges = [(i, i + 1) for i in range(30)] + [(100, x) for x in range(101, 140)] + [(200, 200), (7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long"), scratch, "t").collect()))
     assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 140)}
+
+
+def test_shingles_are_told_apart_by_both_halves():
+    from tessera.llm import shingles
+
+    rows = np.array([[5, 5, 1, 5, 9], [1, 2, 3, 1, 7]], np.uint64)
+    one = shingles._distinct(rows)
+    assert one.T.tolist() == [[1, 3], [5, 1], [5, 2], [9, 7]]
+    other = shingles._distinct(np.array([[5, 9, 5], [2, 7, 8]], np.uint64))
+    assert shingles.overlap(one, other) == shingles.overlap(other, one) == 2
+    plain = shingles._distinct(np.array([[9, 1, 9], [7, 3, 7]], np.uint64))
+    assert plain.T.tolist() == [[1, 3], [9, 7]] and shingles.overlap(one, plain) == 2
