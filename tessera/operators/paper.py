@@ -140,18 +140,19 @@ class PaperPortfolio:
             F.lit(as_of).cast("date").alias("as_of"), F.round(F.lit(float(cash)), 2).alias("cash"), "position_value", F.round(F.round(F.lit(float(cash)), 2) + F.col("position_value"), 2).alias("equity"), F.lit(version + 1).cast("long").alias("version"))
         return self.tables.apply(version, {"valuations": valuation}, {"positions": valued}, {"as_of": as_of, "cash": float(cash)})
 
-    def promote(self, as_of: str, equity: float, weights: DataFrame, stocks: DataFrame, bars: DataFrame, reasons: list[str] = ()) -> int:
+    def promote(self, as_of: str, equity: float, weights: DataFrame, stocks: DataFrame, bars: DataFrame, reasons: list[str] = (), capital: float = 1.0) -> int:
         """Take over an advice's accepted weights (symbol, weight) in whole lots; gives the commit.
 
-        Refused with reasons against it, with weights above 1 in all, without
-        a positive equity or a close of its day, or where the portfolio has
-        another snapshot of that day. The same promotion again changes
-        nothing.
+        Refused with reasons against it, with weights above ``capital`` in all
+        (1; more for an account that buys on margin, whose cash may then be
+        negative), without a positive equity or a close of its day, or where
+        the portfolio has another snapshot of that day. The same promotion
+        again changes nothing.
         """
         if reasons:
             raise Refused("Advisory cannot be promoted: " + " ".join(reasons))
         row = weights.agg(F.coalesce(F.sum("weight"), F.lit(0.0)), F.count_if(F.col("weight").isNull() | F.isnan("weight") | (F.col("weight") < 0))).first()
-        if row[1] or row[0] > 1 + 1e-9:
+        if row[1] or row[0] > capital + 1e-9:
             raise Refused("Advisory cannot be promoted: accepted target weights exceed total capital.")
         if not math.isfinite(equity) or equity <= 0:
             raise Refused("Advisory cannot be promoted: total equity is not a finite positive value.")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -223,13 +225,18 @@ def _wanted(spark, sf_dir, day, step):
 
 
 def portfolio_snapshot(spark, sf_dir):
-    """Positions and value after a snapshot, a promotion at a later day, and the same promotion again."""
+    """Positions and value after a snapshot, a promotion at a later day, and the same promotion again.
+
+    Every second security of the day is bought, however many there are, so the account is one on margin.
+    """
     p, b, s = paper.PaperPortfolio(spark, Folder(spark, "paper").path("p")), bars(spark, sf_dir), stocks(spark, sf_dir)
     p.save("1997-01-27", 1000.0, _wanted(spark, sf_dir, "1997-01-27", 3).select("symbol", F.lit(100).alias("quantity")), s, b)
     for _ in range(2):
-        p.promote(AS_OF, 50_000_000.0, _wanted(spark, sf_dir, AS_OF, 2), s, b)
-    held = p.positions().select(F.col("price_date").alias("as_of"), "symbol", "quantity", F.round("reference_price", 4).alias("price"))
-    return p.valuations().join(held, "as_of", "left").select("as_of", F.round("position_value", 1).alias("position_value"), F.round("equity", 1).alias("equity"), "symbol", "quantity", "price")
+        p.promote(AS_OF, 50_000_000.0, _wanted(spark, sf_dir, AS_OF, 2), s, b, capital=math.inf)
+    # binary ties as SQL's round takes them
+    r = lambda c, n: F.round(F.col(c) * 10.0**n) / 10.0**n
+    held = p.positions().select(F.col("price_date").alias("as_of"), "symbol", "quantity", r("reference_price", 4).alias("price"))
+    return p.valuations().join(held, "as_of", "left").select("as_of", r("position_value", 1).alias("position_value"), r("equity", 1).alias("equity"), "symbol", "quantity", "price")
 
 
 def validation_cemetery(spark, sf_dir):

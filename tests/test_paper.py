@@ -59,6 +59,16 @@ def test_promotions(spark, tmp_path, market):
     assert p.state()[0] == 0
 
 
+def test_a_margin_account_invests_more_than_its_equity(spark, tmp_path, market):
+    p = paper.PaperPortfolio(spark, f"file://{tmp_path}/p")
+    advice = spark.createDataFrame([("000001", 0.9), ("000002", 0.8)], "symbol string, weight double")
+    with pytest.raises(paper.Refused, match="exceed"):
+        p.promote("2024-01-02", 10_000.0, advice, *market, capital=1.5)
+    p.promote("2024-01-02", 10_000.0, advice, *market, capital=2.0)
+    assert held(p) == [("000001", 900, 10.0), ("000002", 400, 20.0)] and p.state()[2] == -7000.0
+    assert [tuple(r) for r in p.valuations().collect()] == [(D(2024, 1, 2), -7000.0, 17000.0, 10000.0)]
+
+
 def test_of_two_writers_one_is_refused(spark, tmp_path, market):
     one, two = (paper.PaperPortfolio(spark, f"file://{tmp_path}/p") for _ in range(2))
     rows = spark.createDataFrame([("000001", 100)], "symbol string, quantity int")
