@@ -10,8 +10,6 @@ from tessera.operators import repository as R
 from tessera.sources.tables import SQL_BARS, SQL_INDEX, SQL_STOCKS, bars, index_bars, load, stocks
 
 START, END = "1996-01-01", "2000-12-31"
-#: First day of the latest round of syncs.
-ROUND = "2001-06-01"
 
 
 def _long(df: DataFrame) -> DataFrame:
@@ -87,8 +85,8 @@ def full_market_progress(spark, sf_dir):
 
 
 def next_incomplete_symbols(spark, sf_dir):
-    """Ten securities without a finished job since a round of syncs began."""
-    return R.next_symbols(stocks(spark, sf_dir), jobs(spark, sf_dir).where(F.col("created_at") >= ROUND), 10)
+    """Ten securities without a finished job in the whole log."""
+    return R.next_symbols(stocks(spark, sf_dir), jobs(spark, sf_dir), 10)
 
 
 def consecutive_failures(spark, sf_dir):
@@ -232,7 +230,7 @@ SELECT text, coalesce(by_code, by_name, CASE WHEN n = 1 THEN lk END) AS symbol,
     "covered_symbols": f"WITH {SQL_BARS}, {SQL_STOCKS}, {_COV} SELECT symbol, name, first_date, last_date, n_bars FROM stocks JOIN cov USING (symbol) WHERE {_OK} AND {_NAME} AND first_date <= DATE '{START}' AND last_date >= DATE '{END}'",
     "sync_progress": _progress(f" AND {_NAME}"),
     "full_market_progress": _progress(""),
-    "next_incomplete_symbols": f"WITH {SQL_STOCKS}, {_JOBS} SELECT symbol FROM stocks WHERE {_OK} AND {_NAME} AND symbol NOT IN (SELECT target FROM jobs WHERE status <> 'failed' AND created_at >= DATE '{ROUND}') ORDER BY 1 LIMIT 10",
+    "next_incomplete_symbols": f"WITH {SQL_STOCKS}, {_JOBS} SELECT symbol FROM stocks WHERE {_OK} AND {_NAME} AND symbol NOT IN (SELECT target FROM jobs WHERE status <> 'failed') ORDER BY 1 LIMIT 10",
     "consecutive_failures": f"""WITH {_JOBS}, r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY created_at DESC, job_id DESC) AS rn FROM jobs)
 SELECT target, coalesce(min(rn) FILTER (status <> 'failed') - 1, count(*)) AS failures FROM r GROUP BY 1""",
     "data_quality": f"{_QUALITY} SELECT symbol, expected, present, missing, array_to_string(gone[1:20], ',') AS first_missing FROM q",
