@@ -48,8 +48,10 @@ _OTHERS = frozenset("has with no without is".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _REGION = frozenset("html body div section main article center table tbody tr td fieldset details".split())
 
-#: Pages of a host on which a text must be the same to be its template, nodes that a template holds, and shapes that are merged in one group.
-SAME_PAGES, NODES, TOGETHER = 3, 4000, 500
+#: Pages of a host on which a text must be the same to be its template, and shapes that are merged in one group.
+SAME_PAGES, TOGETHER = 3, 500
+#: Nodes that a template holds at most; None, as every query has it, keeps every place.
+NODES: int | None = None
 #: Elements deeper than this stand beside their parents, as in browsers; labels of siblings beyond which their tags alone count.
 DEPTH, LABELS = 120, 48
 #: Shapes that a task holds before it hands them on.
@@ -274,14 +276,14 @@ def _without_rare(tree: list, floor: int) -> list:
 def merge_all(trees: list[list]) -> list:
     """One template of all trees, the most frequent first, so the order of the rows does not matter.
 
-    A template beyond NODES loses the places that the fewest pages have: such
-    a place is no template, and a page that has it is read all the same.
+    It has every place of every tree. Only where NODES is set does a template
+    beyond it lose the places that the fewest pages have.
     """
     whole = None
     for tree in sorted(trees, key=lambda t: (-t[2], json.dumps(t))):
         whole = tree if whole is None else _merged(whole, tree)
         floor = 1
-        while _count(whole) > NODES:
+        while NODES is not None and _count(whole) > NODES:
             floor *= 2
             whole = _without_rare(whole, floor)
     return whole

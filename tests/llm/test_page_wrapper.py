@@ -101,3 +101,25 @@ def test_a_bounded_template_keeps_what_many_pages_share(monkeypatch):
     trees = [["", [["div", [], 1, 5, 0, 7], [f"div u{k}", [], 1, 9, 0, k]], 1, 0, 0, 0] for k in range(30)]
     whole = page_wrapper.merge_all(trees)
     assert page_wrapper._count(whole) <= 6 and ["div", [], 30, 150, 0, 7] in whole[1]
+
+
+def test_a_template_keeps_every_place():
+    """130 shapes of a host with 40 places of their own each, each on three pages: a notice that all of them show is no content, in the rarest shape either."""
+    name = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(3))
+    wide = lambda k: f"<div class='s{name(k)}'>" + "".join(f"<div class='k{name(i)}'><p>{running(k + i, 3)}</div>" for i in range(20)) + "</div>"
+
+    def shaped(body, j):
+        return page_wrapper.Shaped(f"<body><article><div class='seen'>text {j} {running(j, 12)}</div>{body}</article></body>")
+
+    def tree(body):
+        same = [shaped(body, j) for j in range(3)]
+        total = lambda field: [sum(x) for x in zip(*(getattr(s, field) for s in same), strict=True)]
+        sums = [x[0] if len(set(x)) == 1 else None for x in zip(*(s.sums for s in same), strict=True)]
+        return page_wrapper._row_template(same[0].shape, 3, total("chars"), total("linked"), sums)
+
+    rare = "<div class='zz'>Unsubscribe in your account</div>"
+    whole = page_wrapper.merge_all([tree(rare), *(tree(wide(k)) for k in range(130))])
+    count = lambda t: 1 + sum(map(count, t[1]))
+    template = page_wrapper.json.dumps(whole)
+    page = f"<body><article><div class='seen'>text 9 of today</div>{rare}</article></body>"
+    assert count(whole) > 4000 and page_wrapper.main_text(page, template) == "text 9 of today"
