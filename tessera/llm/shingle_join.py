@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,8 @@ EARLIER = 8
 TEXT_BATCH, PAIR_BATCH = 1000, 200
 #: Passes in which nodes are compared with drawn members of their cells before the trees are built.
 LEADERS = 2
+#: Pairs of each node of a cell that the trees give at first; all follow.
+PICKED = 4
 #: One document in HOT_SAMPLE is looked at for frequent shingles; one met in HOT_LEAST of them is frequent; so many are kept.
 HOT_SAMPLE, HOT_LEAST, HOT_KEPT = 64, 4, 100_000
 
@@ -228,8 +231,17 @@ def tree_pairs(
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (nodes[:0], nodes[:0])
 
 
-def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Join every cell of a partition that is sorted by cell; a cell has at most 2 * TREE or so rows."""
+def picked(a: np.ndarray, b: np.ndarray, few: int) -> np.ndarray:
+    """Which pairs are among the first ``few`` of either of their nodes, in an order drawn by hash: at most ``few`` times the nodes in all."""
+    draw = np.argsort(pd.util.hash_array(a) ^ (pd.util.hash_array(b) * np.uint64(3)), kind="stable")
+    keep = np.zeros(len(a), bool)
+    for side in (a, b):
+        keep[draw] |= pd.Series(side[draw]).groupby(side[draw]).cumcount().to_numpy() < few
+    return keep
+
+
+def _cells(batches: Iterator[pd.DataFrame], few: int | None = None) -> Iterator[pd.DataFrame]:
+    """Join every cell of a partition that is sorted by cell; a cell has at most 2 * TREE or so rows. ``few`` asks for so many pairs of each node of a cell only."""
     rest: pd.DataFrame | None = None
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -243,6 +255,8 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         earlier[:, 0] = lengths
         earlier[:, 1:][np.arange(EARLIER) < lengths[:, None]] = np.concatenate([np.asarray(e, np.int64) for e in pdf["earlier"]])
         found = [tree_pairs(*(c[a:b] for c in columns), counts[a:b], earlier[a:b], bool(across[a])) for a, b in zip(starts, [*starts[1:], len(pdf)], strict=True)]
+        if few is not None:
+            found = [(i[keep], j[keep]) for i, j in found for keep in [picked(i, j, few)]]
         both = [np.concatenate(x) for x in zip(*found, strict=True)]
         return pd.DataFrame({"a": both[0], "b": both[1]}).drop_duplicates()
 
@@ -312,7 +326,11 @@ def near_duplicates(documents: DataFrame, scratch: Scratch) -> DataFrame:
        and every pair of blocks has a tree, so nothing is capped. Nodes that
        meet in many cells are reported in the first, since each row names the
        node's cells just before its own.
-    4. The pairs left are verified on whole texts; links give components.
+    4. The trees run twice. At first each node of a cell gives a few of its
+       pairs, a number that grows with the rows: their links join what the
+       leaders left apart in large groups. Then all pairs are given whose nodes
+       are still of different components, with no bound.
+    5. The pairs are verified on whole texts; links give components.
 
     Texts of fewer than five words are one shingle; null texts and those
     without words have none, are linked with nothing and are their own
@@ -348,8 +366,26 @@ def near_duplicates(documents: DataFrame, scratch: Scratch) -> DataFrame:
             links = links.unionByName(roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = scratch.write(components(links, scratch, f"lead-{turn}"), f"lead-roots-{turn}")
 
-    # the trees' pass
-    placed = _placed(members, roots)
+    # the trees' passes: a few pairs of each node, then all that are still of different components
+    for few in (PICKED, None):
+        name = "all" if few is None else "few"
+        found = _tree_join(_placed(members, roots), points, scratch, f"tree-pairs-{name}", few)
+        more = _verified(_with_docs(found, points), documents, scratch, f"tree-links-{name}")
+        known = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = scratch.write(components(known.unionByName(more), scratch, name), f"tree-roots-{name}")
+
+    groups = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
+    classes = scratch.write(groups.join(first, "root").select("digest", "component_id"), "classes")
+    scratch.keep_only("features", "classes")
+    bare = every.select("doc_id", "n", "digest")
+    linked = bare.where("n > 0").join(classes, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = bare.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone)
+
+
+def _tree_join(placed: DataFrame, points: DataFrame, scratch: Scratch, name: str, few: int | None) -> DataFrame:
+    """a, b: node pairs of different components that the trees of the cells leave, all of them or a few of each node."""
     mixed = placed.groupBy("key").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"), F.expr("bit_xor(xxhash64(node))").alias("who"), F.min("node").alias("least"),
     ).where("low <> high")
@@ -362,19 +398,7 @@ def near_duplicates(documents: DataFrame, scratch: Scratch) -> DataFrame:
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("key", "node", "n", "root", "block", "earlier", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     rows = rows.join(points.select("node", "counts"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    found = scratch.write(rows.select("key", "i", "j", "node", "n", "root", "block", "earlier", "counts").mapInPandas(_cells, "a long, b long").distinct(), "tree-pairs")
-    more = _verified(_with_docs(found, points), documents, scratch, "tree-links")
-    known = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = components(known.unionByName(more), scratch, "all")
-
-    groups = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = groups.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = scratch.write(groups.join(first, "root").select("digest", "component_id"), "classes")
-    scratch.keep_only("features", "classes")
-    bare = every.select("doc_id", "n", "digest")
-    linked = bare.where("n > 0").join(classes, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = bare.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    return scratch.write(rows.select("key", "i", "j", "node", "n", "root", "block", "earlier", "counts").mapInPandas(partial(_cells, few=few), "a long, b long").distinct(), name)
 
 
 def _placed(members: DataFrame, roots: DataFrame | None) -> DataFrame:

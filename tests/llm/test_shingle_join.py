@@ -146,3 +146,9 @@ def test_shingles_are_told_apart_by_both_halves():
     assert shingles.overlap(one, other) == shingles.overlap(other, one) == 2
     plain = shingles._distinct(np.array([[9, 1, 9], [7, 3, 7]], np.uint64))
     assert plain.T.tolist() == [[1, 3], [9, 7]] and shingles.overlap(one, plain) == 2
+
+
+def test_first_pairs_of_a_cell_grow_with_its_nodes():
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(300), np.arange(300, 600)))
+    keep = shingle_join.picked(a, b, shingle_join.PICKED)
+    assert keep.sum() <= shingle_join.PICKED * 600 and set(a[keep]) | set(b[keep]) == set(range(600))
