@@ -8,8 +8,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .windows import by_symbol, lag, over, ratio, rolling, rolling_corr, rolling_skew, sharing
+from .moving import batches
+from .windows import by_symbol, lag, moving, ratio, rolling, rolling_corr, rolling_skew, sharing
 
 o, h, l, c, v, a = "open", "high", "low", "close", "volume", "amount"
 
@@ -55,10 +57,11 @@ def base_columns(grid: DataFrame) -> DataFrame:
 
 
 def compute(grid: DataFrame, names: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """symbol, trade_date, the kept columns and the named factors (all by default), in one projection.
+    """symbol, trade_date, the kept columns and the named factors (all by default), in one ordering by security.
 
-    Factors share their windowed aggregates: each is computed once, in one
-    window stage, before the projection.
+    Factors share their windows and moving aggregates: each is computed once,
+    lags and running sums by Spark's windows, then moving aggregates batch by
+    batch over the same sorted rows, before the last projection.
     """
     names = list(REGISTRY) if names is None else names
     missing = [n for n in names if n not in REGISTRY]
@@ -66,8 +69,14 @@ def compute(grid: DataFrame, names: list[str] | None = None, keep: tuple[str, ..
         raise KeyError(f"unknown factors: {missing}")
     with sharing() as shared:
         built = [REGISTRY[n].build().alias(n) for n in names]
-    helpers = {name: window for name, window in shared.values()}
-    return base_columns(grid).withColumns(helpers).select("symbol", "trade_date", *keep, *built)
+    rows = base_columns(grid).withColumns(dict(shared.windows.values()))
+    if shared.moves:
+        inputs = dict(shared.inputs.values())
+        # the windows left the rows so; the sort is only said here
+        given = rows.withColumns({name: x.cast("double") for name, x in inputs.items()}).sortWithinPartitions("symbol", "trade_date")
+        schema = StructType(rows.schema.fields + [StructField(name, DoubleType()) for name in shared.moves.values()])
+        rows = given.mapInArrow(batches(list(shared.moves), list(inputs), list(shared.moves.values())), schema)
+    return rows.select("symbol", "trade_date", *keep, *built)
 
 
 def _mean(x: Column, n: int) -> Column:
@@ -82,30 +91,14 @@ def _std(x: Column, n: int) -> Column:
     return rolling(F.stddev_samp, x, n)
 
 
-def _max_drawdown(n: int) -> Column:
-    start = F.struct(F.lit(None).cast("double").alias("peak"), F.lit(None).cast("double").alias("worst"))
-
-    def step(acc: Column, x: Column) -> Column:
-        peak = F.greatest(acc["peak"], x)
-        return F.struct(peak.alias("peak"), F.least(acc["worst"], ratio(x, peak) - 1).alias("worst"))
-
-    return F.when(over(F.count(_c(c)), n) == n, F.aggregate(over(F.collect_list(_c(c)), n), start, step, lambda acc: acc["worst"]))
-
-
-def _price_rank(n: int) -> Column:
-    closes, now = over(F.collect_list(_c(c)), n), _c(c)
-    below = F.size(F.filter(closes, lambda x: x < now))
-    same = F.size(F.filter(closes, lambda x: x == now))
-    return F.when(over(F.count(_c(c)), n) == n, (below + (same + 1) / 2.0 - 1) / (n - 1))
-
-
 def _atr(n: int) -> Column:
     true_range = F.when(_c("_prev").isNotNull() & _c(h).isNotNull(), F.greatest(_c(h) - _c(l), F.abs(_c(h) - _c("_prev")), F.abs(_c(l) - _c("_prev"))))
     return ratio(_mean(true_range, n), _c(c))
 
 
 def _up_ratio(n: int) -> Column:
-    return F.when(_c("_i") >= n, ratio(over(F.sum(F.when(_c("_r") > 0, 1.0).otherwise(0.0)), n), over(F.count(_c("_r")), n).cast("double")))
+    up, there = F.when(_c("_r") > 0, 1.0).otherwise(0.0), F.when(_c("_r").isNotNull(), 1.0).otherwise(0.0)
+    return ratio(_sum(up, n), _sum(there, n))
 
 
 def _rsi(n: int) -> Column:
@@ -120,13 +113,12 @@ def _close_position() -> Column:
 
 
 def _regression(kind: str) -> Column:
-    full = over(F.count(_c(c)), 20) == 20
-    slope, intercept = over(F.regr_slope(c, "_i"), 20), over(F.regr_intercept(c, "_i"), 20)
     if kind == "slope":
-        return F.when(full, ratio(slope, _c(c)))
+        return ratio(moving("slope", 20, _c("_i"), _c(c)), _c(c))
     if kind == "r2":
-        return F.when(full & (over(F.stddev_samp(_c(c)), 20) > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), over(F.regr_r2(c, "_i"), 20))))
-    return F.when(full, ratio(_c(c) - (intercept + slope * _c("_i")), _c(c)))
+        return F.when(_std(_c(c), 20) > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), moving("r2", 20, _c("_i"), _c(c)))))
+    slope, intercept = moving("slope", 20, _c("_i"), _c(c)), moving("intercept", 20, _c("_i"), _c(c))
+    return ratio(_c(c) - (intercept + slope * _c("_i")), _c(c))
 
 
 def _declare() -> None:
@@ -144,7 +136,7 @@ def _declare() -> None:
         register(f"volatility_{n}d", -1, "risk", lambda n=n: _std(r(), n))
     register("downside_volatility_20d", -1, "risk", lambda: F.sqrt(_mean(F.when(r().isNotNull(), F.pow(F.least(r(), F.lit(0.0)), F.lit(2))), 20)))
     for n in (20, 60):
-        register(f"max_drawdown_{n}d", 1, "risk", lambda n=n: _max_drawdown(n))
+        register(f"max_drawdown_{n}d", 1, "risk", lambda n=n: moving("drawdown", n, _c(c)))
     register("atr_pct_14d", -1, "risk", lambda: _atr(14))
     register("intraday_range_20d", -1, "risk", lambda: _mean(ratio(_c(h) - _c(l), _c(c)), 20))
     register("log_amount_20d", 1, "liquidity", lambda: F.ln(F.when(_mean(_c(a), 20) > 0, _mean(_c(a), 20))))
@@ -171,7 +163,7 @@ def _declare() -> None:
     register("price_efficiency_20d", 1, "trend", lambda: ratio(F.abs(_c(c) - lag(_c(c), 20)), _sum(F.abs(_c("_d")), 20)))
     register("intraday_momentum_20d", 1, "trend", lambda: _mean(ratio(_c(c), _c(o)) - 1, 20))
     register("overnight_gap_20d", 1, "trend", lambda: _mean(ratio(_c(o), _c("_prev")) - 1, 20))
-    register("tail_risk_20d", 1, "risk", lambda: rolling(lambda x: F.percentile(x, 0.05), r(), 20))
+    register("tail_risk_20d", 1, "risk", lambda: moving("low_tail", 20, r()))
     register("upper_shadow_20d", -1, "candle", lambda: _mean(ratio(_c(h) - F.greatest(_c(o), _c(c)), _c(h) - _c(l)), 20))
     register("lower_shadow_20d", 1, "candle", lambda: _mean(ratio(F.least(_c(o), _c(c)) - _c(l), _c(h) - _c(l)), 20))
     register("close_location_20d", 1, "candle", lambda: _mean(ratio(2 * _c(c) - _c(h) - _c(l), _c(h) - _c(l)), 20))
@@ -181,7 +173,7 @@ def _declare() -> None:
     register("trend_rsquare_20d", 1, "trend", lambda: _regression("r2"))
     register("trend_residual_20d", -1, "trend", lambda: _regression("residual"))
     register("volume_return_divergence_20d", 1, "volume", lambda: rolling_corr(r(), _c("_dlv"), 20))
-    register("price_rank_20d", 1, "trend", lambda: _price_rank(20))
+    register("price_rank_20d", 1, "trend", lambda: moving("place", 20, _c(c)))
     register("rsi_14d", 1, "trend", lambda: _rsi(14))
     register("bollinger_zscore_20d", 1, "trend", lambda: ratio(_c(c) - _mean(_c(c), 20), _std(_c(c), 20)))
     register("parkinson_volatility_20d", -1, "risk", lambda: F.sqrt(_mean(F.pow(F.ln(F.when(ratio(_c(h), _c(l)) > 0, ratio(_c(h), _c(l)))), F.lit(2)), 20) / (4 * math.log(2))))

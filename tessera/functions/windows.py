@@ -19,14 +19,30 @@ def trailing(n: int) -> WindowSpec:
     return by_symbol().rowsBetween(-(n - 1), 0)
 
 
-_shared: dict[str, tuple[str, Column]] | None = None
+class Shared:
+    """What factors share: windows of Spark by name, and moving aggregates, computed from their inputs after those."""
+
+    def __init__(self):
+        self.windows: dict[str, tuple[str, Column]] = {}
+        self.inputs: dict[str, tuple[str, Column]] = {}
+        self.moves: dict[tuple[str, int, tuple[str, ...]], str] = {}
+
+    def window(self, key: str, window: Column) -> Column:
+        return F.col(self.windows.setdefault(key, (f"_w{len(self.windows)}", window))[0])
+
+    def moving(self, kind: str, n: int, xs: tuple[Column, ...]) -> Column:
+        own = tuple(self.inputs.setdefault(str(x), (f"_x{len(self.inputs)}", x))[0] for x in xs)
+        return F.col(self.moves.setdefault((kind, n, own), f"_m{len(self.moves)}"))
+
+
+_shared: Shared | None = None
 
 
 @contextmanager
-def sharing() -> Iterator[dict[str, tuple[str, Column]]]:
-    """Within it ``over`` names each windowed aggregate once; what is collected is to be added as columns before the expressions are used."""
+def sharing() -> Iterator[Shared]:
+    """Within it windows and moving aggregates are named once; what is collected is to be added as columns before the expressions are used."""
     global _shared
-    before, _shared = _shared, {}
+    before, _shared = _shared, Shared()
     try:
         yield _shared
     finally:
@@ -35,20 +51,31 @@ def sharing() -> Iterator[dict[str, tuple[str, Column]]]:
 
 def over(aggregate: Column, n: int) -> Column:
     """An aggregate over the last n rows: a reference to its shared column, or the window itself."""
+    window = aggregate.over(trailing(n))
+    return window if _shared is None else _shared.window(f"{aggregate}|{n}", window)
+
+
+def moving(kind: str, n: int, *xs: Column) -> Column:
+    """A moving aggregate by its name in ``functions/moving.py``, null unless the last n rows are there and none is null; only for what ``compute`` builds."""
     if _shared is None:
-        return aggregate.over(trailing(n))
-    name, _ = _shared.setdefault(f"{aggregate}|{n}", (f"_w{len(_shared)}", aggregate.over(trailing(n))))
-    return F.col(name)
+        raise ValueError("moving aggregates are made by compute alone")
+    return _shared.moving(kind, n, xs)
+
+
+_MOVING = {F.sum: "sum", F.avg: "avg", F.min: "min", F.max: "max", F.stddev_samp: "std"}
 
 
 def rolling(agg: Callable[[Column], Column], x: Column, n: int) -> Column:
     """An aggregate over the last n rows that is null unless all n values are present."""
+    if _shared is not None and agg in _MOVING:
+        return moving(_MOVING[agg], n, x)
     return F.when(over(F.count(x), n) == n, over(agg(x), n))
 
 
 def lag(x: Column, n: int = 1) -> Column:
     """The value n rows before."""
-    return F.lag(x, n).over(by_symbol())
+    window = F.lag(x, n).over(by_symbol())
+    return window if _shared is None else _shared.window(f"lag {x}|{n}", window)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -60,14 +87,12 @@ def rolling_corr(x: Column, y: Column, n: int) -> Column:
     """Pearson correlation of n complete pairs; null where a side is constant."""
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x), F.when(both, y)
-    full = over(F.count(a), n) == n
-    return F.when(full, ratio(over(F.covar_samp(a, b), n), over(F.stddev_samp(a), n) * over(F.stddev_samp(b), n)))
+    return ratio(moving("covar", n, a, b), moving("std", n, a) * moving("std", n, b))
 
 
 def rolling_skew(x: Column, n: int) -> Column:
     """Bias-corrected skewness; 0 where the window is constant."""
-    value = F.when(over(F.stddev_samp(x), n) == 0, F.lit(0.0)).otherwise(over(F.skewness(x), n) * ((n * (n - 1)) ** 0.5) / (n - 2))
-    return F.when(over(F.count(x), n) == n, value)
+    return F.when(moving("std", n, x) == 0, F.lit(0.0)).otherwise(moving("skew", n, x) * ((n * (n - 1)) ** 0.5) / (n - 2))
 
 
 def average_rank(order: str, *keys: str) -> Column:

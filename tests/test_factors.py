@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -91,3 +92,19 @@ def test_label_enters_the_next_day(spark):
     rows = [("000001", DAY + dt.timedelta(i), p, p, p, p, 1.0, p) for i, p in enumerate((10.0, 20.0, 30.0, 60.0))]
     first = forward_returns(dense_grid(spark.createDataFrame(rows, SCHEMA)), (1, 2)).orderBy("trade_date").first()
     assert first.fwd_1d == 0.5 and first.fwd_2d == 2.0
+
+
+def test_frames_go_on_from_batch_to_batch(spark, rows, full):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        small = panel(spark, rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    pd.testing.assert_frame_equal(small, full, check_exact=True)
+
+
+def test_no_window_runs_through_its_frame_for_each_row(spark, rows):
+    plan = compute(dense_grid(spark.createDataFrame(rows, SCHEMA)))._jdf.queryExecution().optimizedPlan().toString()
+    frames = set(re.findall(r"windowframe\(RowFrame, (\S+), (\S+?)\)", plan))
+    assert "windowframe(RowFrame" in plan and all(low == high or low.startswith("unbounded") for low, high in frames)
