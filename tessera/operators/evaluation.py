@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,24 +218,99 @@ def coverage_summary(df: DataFrame) -> DataFrame:
     return daily.agg(F.min("n").alias("min_symbols"), F.median("n").alias("median_symbols"), F.max("n").alias("max_symbols"), F.count(F.lit(1)).alias("n_dates"))
 
 
-def expand_factors(panel: DataFrame, names: list[str], label: str) -> DataFrame:
-    """factor, trade_date, symbol, x, y: one row per factor, so that all factors are evaluated in one plan."""
-    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("factor"), F.col(n).alias("x")) for n in names])).alias("cell")
-    return panel.select("trade_date", "symbol", F.col(label).alias("y"), cells).select("cell.factor", "trade_date", "symbol", "cell.x", "y").dropna(subset=["x", "y"])
+#: So many factors of a security travel in one row: a task holds one date's rows of so many at a time.
+TOGETHER = 18
 
 
-def ic_by_factor(long: DataFrame, least: int, groups: int = 5) -> DataFrame:
-    """IC, rank IC, long-short mean and turnover of many factors at once."""
-    by_date = Window.partitionBy("factor", "trade_date")
-    kept = long.withColumn("_n", F.count(F.lit(1)).over(by_date)).where(F.col("_n") >= least)
-    place = F.row_number().over(by_date.orderBy("x", "symbol"))
-    ranked = kept.withColumns({
-        "_rx": average_rank("x", "factor", "trade_date"), "_ry": average_rank("y", "factor", "trade_date"),
-        "bucket": F.greatest(F.lit(1), F.least(F.lit(groups), F.ceil(place * groups / F.col("_n")))),
-    })
-    side = lambda b: F.avg(F.when(F.col("bucket") == b, F.col("y")))
-    daily = ranked.groupBy("factor", "trade_date").agg(_corr("x", "y").alias("ic"), _corr("_rx", "_ry").alias("rank_ic"), (side(groups) - side(1)).alias("ls"))
-    means = daily.groupBy("factor").agg(
-        F.avg("ic").alias("ic_mean"), F.avg("rank_ic").alias("rank_ic_mean"), ratio(F.avg("rank_ic"), F.stddev_samp("rank_ic")).alias("rank_ic_ir"),
-        F.avg("ls").alias("long_short_mean"), F.count("ic").alias("n_dates"))
-    return means.join(F.broadcast(spread_turnover(ranked, groups, "factor")), "factor")
+def factor_rows(panel: DataFrame, names: list[str], *others: str) -> DataFrame:
+    """trade_date, part, the other columns and xs: the values of up to TOGETHER factors (nulls fill up the last part); ``part`` numbers them."""
+    parts = [names[k:k + TOGETHER] for k in range(0, len(names), TOGETHER)]
+    values = [F.array(*(F.col(n).cast("double") for n in part), *[F.lit(None).cast("double")] * (len(parts[0]) - len(part))) for part in parts]
+    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("part"), x.alias("xs")) for k, x in enumerate(values)))).alias("cell")
+    return panel.select("trade_date", *others, cells).select("trade_date", "cell.part", *others, "cell.xs")
+
+
+def part_values(key: tuple, table: pa.Table, names: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The names of a part of ``factor_rows``, its values as a matrix and where they are not null."""
+    own = names[key[1].as_py() * TOGETHER:][:TOGETHER]
+    flat = pa.concat_arrays([c.flatten() for c in table["xs"].chunks])
+    shape = (table.num_rows, min(TOGETHER, len(names)))
+    return own, flat.to_numpy(zero_copy_only=False).reshape(shape), flat.is_valid().to_numpy(zero_copy_only=False).reshape(shape)
+
+
+def _ranks(ordered: np.ndarray) -> np.ndarray:
+    """Ranks of sorted values from 1, ties averaged."""
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    sizes = np.diff(np.append(starts, len(ordered)))
+    return np.repeat(starts + (sizes + 1) / 2.0, sizes)
+
+
+def _pearson(a: np.ndarray, b: np.ndarray) -> float | None:
+    if len(a) < 2 or a.min() == a.max() or b.min() == b.max():
+        return None
+    a, b = a - a.mean(), b - b.mean()
+    spread = np.sqrt(a @ a) * np.sqrt(b @ b)
+    return None if spread == 0 else float(a @ b / spread)
+
+
+_DAILY = "factor string, trade_date date, symbols string, ic double, rank_ic double, ls double, low_n long, high_n long, low array<long>, high array<long>"
+
+
+def daily_by_factor(panel: DataFrame, names: list[str], label: str, least: int, groups: int) -> DataFrame:
+    """A row for each factor and each date with ``least`` complete pairs: IC, rank IC, top minus bottom bucket, and the securities of both.
+
+    Those are bits in the order of the date's symbols; ``symbols`` is a digest
+    of that order. One task sorts a date's values of a few factors.
+    """
+
+    def each(key, table):
+        by_symbol = pc.sort_indices(table["symbol"], null_placement="at_start").to_numpy()
+        symbols = hashlib.sha256("\0".join(map(str, table["symbol"].take(pa.array(by_symbol)).to_pylist())).encode()).hexdigest()
+        own, xs, _ = part_values(key, table, names)
+        y = table["y"].to_numpy()[by_symbol]
+        by_y, bits, rows = np.argsort(y, kind="stable"), np.zeros(-(-len(y) // 64) * 64, bool), []
+        for j, name in enumerate(own):
+            x = xs[by_symbol, j]
+            kept = ~(np.isnan(x) | np.isnan(y))
+            n = int(kept.sum())
+            if n < max(least, 1):
+                continue
+            px, py = np.argsort(x, kind="stable"), by_y[kept[by_y]]
+            px = px[kept[px]]
+            rx, ry = np.empty(len(y)), np.empty(len(y))
+            rx[px], ry[py] = _ranks(x[px]), _ranks(y[py])
+            low, high = px[: n // groups], px[n * (groups - 1) // groups :]
+            sides = []
+            for side in (low, high):
+                bits[:] = False
+                bits[side] = True
+                sides.append(np.packbits(bits).view(np.int64))
+            with np.errstate(all="ignore"):
+                spread = float(y[high].mean() - y[low].mean()) if len(low) else None
+                rows.append((name, key[0].as_py(), symbols, _pearson(x[kept], y[kept]), _pearson(rx[kept], ry[kept]), spread, len(low), len(high), *sides))
+        columns = list(zip(*rows, strict=True)) or [()] * 10
+        kinds = (pa.string(), pa.date32(), pa.string(), *[pa.float64()] * 3, *[pa.int64()] * 2, *[pa.list_(pa.int64())] * 2)
+        return pa.table([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in _DAILY.split(", ")])
+
+    return factor_rows(panel.withColumn("y", F.col(label).cast("double")), names, "symbol", "y").groupBy("trade_date", "part").applyInArrow(each, _DAILY)
+
+
+def ic_by_factor(panel: DataFrame, names: list[str], label: str, least: int, groups: int = 5) -> DataFrame:
+    """IC, rank IC, long-short mean and turnover of many factors of a dense panel at once, which is read once.
+
+    The turnover is that of ``spread_turnover``; names that stay are bits that
+    both dates have, so every date must hold the same symbols.
+    """
+    days = Window.partitionBy("factor").orderBy("trade_date")
+    daily = daily_by_factor(panel, names, label, least, groups)
+    other = F.lag("symbols").over(days) != F.col("symbols")
+    turned = []
+    for side in ("low", "high"):
+        both = F.zip_with(side, F.lag(side).over(days), lambda a, b: F.bit_count(a.bitwiseAND(b)))
+        m, before = F.col(f"{side}_n"), F.last(F.when(F.col(f"{side}_n") > 0, F.col(f"{side}_n")), ignorenulls=True).over(days.rowsBetween(Window.unboundedPreceding, -1))
+        k = F.when(other, F.raise_error(F.lit("the panel is not dense: dates differ in their symbols"))).otherwise(F.aggregate(both, F.lit(0), lambda acc, x: acc + x))
+        turned.append(F.when((m > 0) & before.isNotNull(), ((before - k) / before + (m - k) / m + k * F.abs(1.0 / m - 1.0 / before)) / 2).alias(f"{side}_t"))
+    each = daily.select("factor", "ic", "rank_ic", "ls", *turned)
+    return each.groupBy("factor").agg(
+        F.avg("ic").alias("ic_mean"), F.avg("rank_ic").alias("rank_ic_mean"), ratio(F.avg("rank_ic"), F.stddev_samp("rank_ic")).alias("rank_ic_ir"), F.avg("ls").alias("long_short_mean"),
+        F.count("ic").alias("n_dates"), ((F.coalesce(F.avg("low_t"), F.lit(0.0)) + F.coalesce(F.avg("high_t"), F.lit(0.0))) / 2).alias("long_short_turnover"))

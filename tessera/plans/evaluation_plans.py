@@ -82,8 +82,7 @@ def composite_factor(spark, sf_dir):
 def factor_screening(spark, sf_dir):
     """All factors: summary, spread, reasons and status."""
     names = list(REGISTRY)
-    long = E.expand_factors(_panel(spark, sf_dir, tuple(names)), names, LABEL)
-    out = E.screen(E.ic_by_factor(long, GROUPS))
+    out = E.screen(E.ic_by_factor(_panel(spark, sf_dir, tuple(names)), names, LABEL, GROUPS))
     return _round(out.select("factor", "ic_mean", "rank_ic_mean", "rank_ic_ir", "long_short_mean", "long_short_turnover", "n_dates", F.array_join("reasons", "; ").alias("reasons"), "status"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,29 @@ def test_turnover_of_the_spread(spark):
     assert got[0].long_short_turnover == pytest.approx(((0.5 + 0.0) / 2 + (0.5 + 0.5) / 2) / 2)
 
 
+def test_many_factors_equal_one_at_a_time(spark):
+    rng, names = random.Random(3), [f"f{k}" for k in range(evaluation.TOGETHER + 2)]
+    value = lambda: rng.choice([None, 1.0, 2.0, rng.random(), rng.random(), rng.random()])
+    rows = [(D(2024, 1, 1 + d), f"s{k}", value(), *(7.0 if n == "f1" else value() if d != 3 or n != "f2" else None for n in names)) for d in range(6) for k in range(70)]
+    panel = spark.createDataFrame(rows, f"trade_date date, symbol string, y double, {', '.join(f'{n} double' for n in names)}").cache()
+    summary = evaluation.ic_by_factor(panel, names, "y", 5)
+    got = {r.factor: r for r in summary.collect()}
+    assert set(got) == set(names) and got["f1"].ic_mean is None and got["f2"].n_dates == 5
+    for name in ("f0", "f1", "f2", names[-1]):
+        pairs = evaluation.complete_pairs(panel, name, "y", 5)
+        bucketed = evaluation.with_bucket(pairs, 5)
+        want = evaluation.ic_summary(evaluation.daily_ic(pairs)).first()
+        spread = evaluation.long_short(bucketed, 5).agg(F.avg("long_short")).first()[0]
+        turned = evaluation.spread_turnover(bucketed.withColumn("factor", F.lit(name)), 5, "factor").first()[1]
+        r = got[name]
+        for a, b in ((r.ic_mean, want.ic_mean), (r.rank_ic_mean, want.rank_ic_mean), (r.rank_ic_ir, want.rank_ic_ir), (r.long_short_mean, spread), (r.long_short_turnover, turned)):
+            assert a == b if b is None else a == pytest.approx(b)
+    # the panel is read once, and no window runs over its rows
+    assert summary._jdf.queryExecution().optimizedPlan().toString().count("InMemoryRelation") == 1
+    with pytest.raises(Exception, match="not dense"):
+        evaluation.ic_by_factor(panel.where("trade_date < '2024-01-03' or symbol <> 's5'"), names, "y", 5).collect()
+
+
 def test_regimes(spark):
     rows = [  # trend, breadth, volatility, drawdown, rows
         ("PANIC", 0.40, 0.5, 0.70, 0.15, 120, 0.6), ("PANIC", 0.9, 0.9, 0.1, 0.35, 120, 0.95), ("EUPHORIA", 0.65, 0.1, 0.55, 0.10, 120, 0.9), ("BULL", 0.55, 0.40, 0.60, 0.15, 120, 0.70),
