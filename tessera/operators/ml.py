@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.factors import REGISTRY, compute
 from tessera.operators import boosting
-from tessera.operators.evaluation import MAD_SCALE
+from tessera.operators.evaluation import MAD_SCALE, factor_rows, part_values
 from tessera.operators.grid import dense_grid, forward_returns
 from tessera.session import Folder
 
@@ -27,26 +29,52 @@ def feature_columns(data: DataFrame, label: str) -> list[str]:
     return found
 
 
+def _middle(ordered: np.ndarray) -> float:
+    low, high = ordered[(len(ordered) - 1) // 2], ordered[len(ordered) // 2]
+    return float(low if low == high else 0.5 * low + 0.5 * high)
+
+
+def medians(panel: DataFrame, names: list[str]) -> DataFrame:
+    """trade_date and for each column its exact median on the date, _m_, and that of its absolute deviations, _d_; null without values."""
+
+    def each(key, table):
+        _, xs, there = part_values(key, table, names)
+        found = []
+        for j in range(xs.shape[1]):
+            values = np.sort(xs[there[:, j], j])
+            m = _middle(values) if len(values) else None
+            found.append((m, None if m is None else _middle(np.sort(np.abs(values - m)))))
+        m, d = ([f[k] for f in found] for k in (0, 1))
+        kind = pa.list_(pa.float64())
+        return pa.table({"trade_date": pa.array([key[0].as_py()], pa.date32()), "part": pa.array([key[1].as_py()], pa.int32()), "m": pa.array([m], kind), "d": pa.array([d], kind)})
+
+    parts = factor_rows(panel, names).groupBy("trade_date", "part").applyInArrow(each, "trade_date date, part int, m array<double>, d array<double>")
+    # a row holds two numbers a column
+    whole = parts.groupBy("trade_date").agg(F.array_sort(F.collect_list(F.struct("part", "m", "d"))).alias("p"))
+    flat = whole.select("trade_date", F.flatten("p.m").alias("m"), F.flatten("p.d").alias("d"))
+    return flat.select("trade_date", *(F.col(c)[k].alias(f"_{c}_{n}") for k, n in enumerate(names) for c in ("m", "d")))
+
+
 def standardised(panel: DataFrame, names: list[str], k: float = 3.0) -> DataFrame:
     """Every named column as the robust z-score of its date, clipped to k scaled deviations before; the other columns stay.
 
     Clipping moves neither a date's median nor the median of its deviations
-    (both lie well within the limits), so two grouped passes give the exact
-    medians of all columns and all dates: a row a date each, where windows
-    would sort every column anew. The panel is read three times: give one that
-    is written, or cheap.
+    (both lie well within the limits), so the exact medians of all columns and
+    all dates are taken first: a task sorts one date's values of a few columns,
+    and a row a date comes back. The panel is read twice: give one that is
+    written, or cheap.
     """
-    medians = panel.groupBy("trade_date").agg(*(F.median(n).alias(f"_m_{n}") for n in names))
-    # one row for each trading date
-    centred = panel.join(F.broadcast(medians), "trade_date")
-    spreads = centred.groupBy("trade_date").agg(*(F.median(F.abs(F.col(n) - F.col(f"_m_{n}"))).alias(f"_d_{n}") for n in names))
-    both = centred.join(F.broadcast(spreads), "trade_date")
+    found = medians(panel, names)
+    # limits and scale are made on the few rows of dates
+    limits = {n: F.col(f"_d_{n}") * MAD_SCALE * k for n in names}
+    sides = found.select("trade_date", *(x for n in names for x in (
+        f"_m_{n}", f"_d_{n}", (F.col(f"_m_{n}") - limits[n]).alias(f"_lo_{n}"), (F.col(f"_m_{n}") + limits[n]).alias(f"_hi_{n}"), (F.col(f"_d_{n}") * MAD_SCALE).alias(f"_s_{n}"))))
+    both = panel.join(F.broadcast(sides), "trade_date")
 
     def z(n: str):
-        x, m, d = F.col(n), F.col(f"_m_{n}"), F.col(f"_d_{n}")
-        limit = d * MAD_SCALE * k
-        clipped = F.greatest(m - limit, F.least(m + limit, x))
-        return F.when(d == 0, x - m).when(x.isNotNull(), (clipped - m) / (d * MAD_SCALE)).alias(n)
+        x, m = F.col(n), F.col(f"_m_{n}")
+        clipped = F.greatest(F.col(f"_lo_{n}"), F.least(F.col(f"_hi_{n}"), x))
+        return F.when(F.col(f"_d_{n}") == 0, x - m).when(x.isNotNull(), (clipped - m) / F.col(f"_s_{n}")).alias(n)
 
     kept = [c for c in panel.columns if c not in names]
     return both.select(*kept, *(z(n) for n in names))

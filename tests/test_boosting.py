@@ -135,3 +135,18 @@ def test_standardised_by_hand(spark):
                 want = (v - m2) / (1.4826 * d2) if d2 else v - m2
                 assert got[r[:2]][name] == pytest.approx(want)
     assert all(r.none is None for r in got.values()) and all((got[r[:2]].x is None) == (r[2] is None) for r in rows)
+
+
+def test_medians_are_sorted_by_date_and_part(spark):
+    rng, names = random.Random(8), [f"c{k}" for k in range(20)]
+    rows = [(day(k), *(rng.choice([None, rng.gauss(0, 1), 2.0]) if i % 20 else None for i in range(20))) for k in range(3) for _ in range(1 + 9 * k)]
+    found = M.medians(spark.createDataFrame(rows, "trade_date date, " + ", ".join(f"{n} double" for n in names)), names)
+    # no aggregate holds a map of a date's values
+    assert "median" not in found._jdf.queryExecution().optimizedPlan().toString().replace("_median", "")
+    got = {r.trade_date: r for r in found.collect()}
+    for d in {r[0] for r in rows}:
+        for k, n in enumerate(names, 1):
+            values = [r[k] for r in rows if r[0] == d and r[k] is not None]
+            m = statistics.median(values) if values else None
+            assert got[d][f"_m_{n}"] == (pytest.approx(m) if values else None)
+            assert got[d][f"_d_{n}"] == (pytest.approx(statistics.median([abs(v - m) for v in values])) if values else None)
